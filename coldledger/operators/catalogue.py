@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coldledger.functions.paths import ancestors, build_destination, clean_path, rebase
@@ -55,13 +55,17 @@ def path_overlaps(folders: DataFrame, min_rows: int = HOT_MIN_ROWS) -> DataFrame
     return nested.unionByName(twice)
 
 
+def destination(bucket: str, archive_dir: str) -> Column:
+    """Place of a looked-up folder: below its archived parent, else its own."""
+    fresh = build_destination(F.lit(bucket), F.lit(archive_dir), F.col("folder"))
+    return F.coalesce(rebase(F.col("folder"), F.col("local_folder"), F.col("archive_folder")), fresh)
+
+
 def destination_paths(folders: DataFrame, catalogue: DataFrame, bucket: str, archive_dir: str,
                       **join_options: int) -> DataFrame:
-    """Where each folder lies or would be put: below an archived parent, else at its own place."""
-    fresh = build_destination(F.lit(bucket), F.lit(archive_dir), F.col("folder"))
-    inherited = rebase(F.col("folder"), F.col("local_folder"), F.col("archive_folder"))
+    """Where each folder lies or would be put."""
     return catalogue_lookup(folders, catalogue, **join_options).select(
-        "folder", "match", F.coalesce(inherited, fresh).alias("destination"))
+        "folder", "match", destination(bucket, archive_dir).alias("destination"))
 
 
 def keep_latest(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:

@@ -69,28 +69,33 @@ def verify_checksums(src: DataFrame, dst: DataFrame) -> DataFrame:
 
 
 def verified_folders(verification: DataFrame) -> DataFrame:
-    """Per folder: files compared, files that fail, and whether all match."""
+    """Per folder: files compared, those in its manifest, those that fail, and whether all match."""
     failed = F.count_if(F.col("status") != "match")
     return verification.groupBy("folder").agg(
-        F.count(F.lit(1)).alias("checked"), failed.alias("failed"), (failed == 0).alias("ok"))
+        F.count(F.lit(1)).alias("checked"), F.count_if(F.col("status") != "missing_on_src").alias("listed"),
+        failed.alias("failed"), (failed == 0).alias("ok"))
 
 
-def _hashed_folders(src: DataFrame) -> DataFrame:
-    return src.select("folder").distinct().withColumn("has_manifest", F.lit(True))
+def _checks(src: DataFrame, dst: DataFrame) -> DataFrame:
+    """Whether a folder has a manifest and passes it, from a single pass over both sides."""
+    return verified_folders(verify_checksums(src, dst)).select(
+        "folder", (F.col("listed") > 0).alias("has_manifest"), "ok")
 
 
 def archive_state(folders: DataFrame, catalogue: DataFrame, src: DataFrame, dst: DataFrame,
                   **join_options: int) -> DataFrame:
     """archived, mismatch, leftover (a manifest but no entry) or new, per folder."""
-    found = catalogue_lookup(folders, catalogue, **join_options).select("folder", "match")
-    ok = verified_folders(verify_checksums(src, dst)).select("folder", "ok")
-    hashed, entry = F.coalesce("has_manifest", F.lit(False)), F.col("match") != "none"
-    state = (F.when(~hashed, F.lit("new"))
-             .when(entry & F.coalesce("ok", F.lit(False)), F.lit("archived"))
+    return state_of(catalogue_lookup(folders, catalogue, **join_options), src, dst).select("folder", "match", "state")
+
+
+def state_of(found: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
+    """``archive_state`` for folders whose catalogue entries are looked up already."""
+    entry = F.col("match") != "none"
+    state = (F.when(~F.coalesce("has_manifest", F.lit(False)), F.lit("new"))
+             .when(entry & F.col("ok"), F.lit("archived"))
              .when(entry, F.lit("mismatch"))
              .otherwise(F.lit("leftover")))
-    return (found.join(_hashed_folders(src), "folder", "left").join(ok, "folder", "left")
-            .select("folder", "match", state.alias("state")))
+    return found.join(_checks(src, dst), "folder", "left").select(*found.columns, state.alias("state"))
 
 
 def _content_folders(files: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -122,7 +127,6 @@ def delete_plan(folders: DataFrame, catalogue: DataFrame, src: DataFrame, dst: D
                 **join_options: int) -> DataFrame:
     """What may be deleted, and why not: one decision per folder with its files and bytes."""
     manifest = effective_manifest(src, restored)
-    ok = verified_folders(verify_checksums(manifest, dst)).select("folder", "ok")
     is_own = ~F.col("name").isin(*names)
     local = files.groupBy("folder").agg(
         F.count_if(is_own).alias("files"),
@@ -130,13 +134,12 @@ def delete_plan(folders: DataFrame, catalogue: DataFrame, src: DataFrame, dst: D
         F.bool_or(F.col("name") == moved_note).alias("_moved"))
     decision = (F.when(F.coalesce("_moved", F.lit(False)), F.lit("already_deleted"))
                 .when(F.col("match") == "none", F.lit("not_archived"))
-                .when(F.col("has_manifest").isNull(), F.lit("no_manifest"))
-                .when(~F.coalesce("ok", F.lit(False)), F.lit("checksum_mismatch"))
+                .when(~F.coalesce("has_manifest", F.lit(False)), F.lit("no_manifest"))
+                .when(~F.col("ok"), F.lit("checksum_mismatch"))
                 .otherwise(F.lit("delete")))
     target = rebase(F.col("folder"), F.col("local_folder"), F.col("archive_folder"))
     return (catalogue_lookup(folders, catalogue, **join_options)
-            .join(_hashed_folders(manifest), "folder", "left")
-            .join(ok, "folder", "left").join(local, "folder", "left")
+            .join(_checks(manifest, dst), "folder", "left").join(local, "folder", "left")
             .select("folder", decision.alias("decision"), target.alias("destination"),
                     "local_folder", "s3_storage_class", "archive_mode", "profile", "provider",
                     "endpoint", "user",

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coldledger.operators.bundle import small_file_plan
-from coldledger.operators.catalogue import KEY, destination_paths, path_overlaps
+from coldledger.operators.catalogue import KEY, catalogue_lookup, destination, path_overlaps
 from coldledger.operators.inventory import non_meta, pick
 from coldledger.operators.objects import (
     restore_readiness, restore_status_counts, tier_change_plan, tier_cost_estimate)
 from coldledger.operators.reports import archive_batch
-from coldledger.operators.verify import archive_state, folders_with_content, restore_plan
+from coldledger.operators.verify import restore_plan, state_of
 
 
 @dataclass(frozen=True)
@@ -38,14 +38,11 @@ def archive_plan(folders: DataFrame, files: DataFrame, catalogue: DataFrame, src
     Overlapping folders collide only in a recursive run; folders with a manifest are left
     alone unless forced; folders without own files are skipped.
     """
-    wanted = folders.select("folder").distinct()
-    state = archive_state(wanted, catalogue, src, dst, **join_options).select("folder", "state")
+    state = state_of(catalogue_lookup(folders, catalogue, **join_options), src, dst).select(
+        "folder", "state", destination(target.bucket, target.archive_dir).alias("destination"))
     small = small_file_plan(non_meta(files), kib).select(
         "folder", "bundled", "bundled_bytes", "objects_before", "objects_after")
-    content = folders_with_content(wanted, files).withColumn("_content", F.lit(True))
-    places = destination_paths(wanted, catalogue, target.bucket, target.archive_dir, **join_options)
-    plan = (state.join(content, "folder", "left").join(small, "folder", "left")
-            .join(places.select("folder", "destination"), "folder", "left"))
+    plan = state.join(small, "folder", "left")
     collides = F.lit(False)
     if recursive:
         overlaps = path_overlaps(folders)
@@ -55,7 +52,7 @@ def archive_plan(folders: DataFrame, files: DataFrame, catalogue: DataFrame, src
         collides = F.coalesce("_clash", F.lit(False))
     decision = (F.when(collides, F.lit("collision"))
                 .when((F.col("state") != "new") & F.lit(not force), F.col("state"))
-                .when(F.col("_content").isNull(), F.lit("skip"))
+                .when(F.col("objects_before").isNull(), F.lit("skip"))
                 .otherwise(F.lit("archive")))
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return plan.select("folder", "state", decision.alias("decision"), "destination",

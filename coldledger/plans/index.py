@@ -18,9 +18,19 @@ from coldledger.operators.ownership import resolve_owner
 
 @dataclass(frozen=True)
 class IndexResult:
+    """Results over the same folders; each one is only planned when it is asked for."""
+
+    folders: DataFrame
+    hot: DataFrame
     report: DataFrame
-    summary: DataFrame
-    aged: DataFrame
+
+    @property
+    def summary(self) -> DataFrame:
+        return index_summary(self.folders, self.hot)
+
+    @property
+    def aged(self) -> DataFrame:
+        return aged_bytes_report(aged_bytes(self.hot))
 
 
 def folder_facts(crawl: DataFrame, names: Sequence[str] = META.all_meta) -> DataFrame:
@@ -55,4 +65,4 @@ def index_job(crawl: DataFrame, users: DataFrame, groups: DataFrame, as_of: str,
         F.col("group_name").alias("Group"), F.col("tib").alias("TiB"),
         F.col("fcount").alias("FileCount"), F.col("dirsum").alias("DirSize"),
     ).orderBy(F.desc("DirSize"), "Folder")
-    return IndexResult(report, index_summary(folders, hot), aged_bytes_report(aged_bytes(hot)))
+    return IndexResult(folders, hot, report)

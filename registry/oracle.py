@@ -107,7 +107,8 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
                  WHEN s.md5 = o.md5 THEN 'match' ELSE 'differ' END AS status
         FROM src s FULL JOIN objects o USING (folder, name)"""),
     "checked": (("verified",), """
-        SELECT folder, count(*) AS checked, count(*) FILTER (status <> 'match') AS failed, bool_and(status = 'match') AS ok
+        SELECT folder, count(*) AS checked, count(*) FILTER (status <> 'missing_on_src') AS listed,
+               count(*) FILTER (status <> 'match') AS failed, bool_and(status = 'match') AS ok
         FROM verified GROUP BY folder"""),
     "states": (("looked_up", "src", "checked"), """
         SELECT l.folder, match, CASE WHEN l.folder NOT IN (SELECT folder FROM src) THEN 'new'
@@ -372,7 +373,7 @@ def statements() -> dict[str, str]:
 
     # Verification and plans
     add("verify_checksums", "verified", "SELECT folder, name, status FROM verified")
-    add("verified_folders", "checked", "SELECT folder, checked, failed, ok FROM checked")
+    add("verified_folders", "checked", "SELECT folder, checked, listed, failed, ok FROM checked")
     add("archive_state", "states", "SELECT folder, match, state FROM states")
     add("folders_with_content", ("folders", "own_files"),
         "SELECT folder FROM folders WHERE folder IN (SELECT folder FROM own_files)")

@@ -229,7 +229,8 @@ def verify_checksums(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def verified_folders(spark: SparkSession, sf: str) -> DataFrame:
-    return verify.verified_folders(verify.verify_checksums(v.src_manifest(spark, sf), v.objects(spark, sf)))
+    compared = verify.verify_checksums(v.src_manifest(spark, sf), v.objects(spark, sf))
+    return verify.verified_folders(compared)
 
 
 def archive_state(spark: SparkSession, sf: str) -> DataFrame:
@@ -258,7 +259,10 @@ def delete_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def deletion_report(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.deletion_report(_delete_plan(spark, sf), v.local_files(spark, sf), "coldledger restore")
+    # The plan is used twice, so it is stored once instead of being verified twice.
+    path = work_dir(spark, "delete-plan")
+    _delete_plan(spark, sf).write.parquet(path)
+    return reports.deletion_report(spark.read.parquet(path), v.local_files(spark, sf), "coldledger restore")
 
 
 def restore_plan(spark: SparkSession, sf: str) -> DataFrame:
@@ -630,7 +634,7 @@ def sink_deletion_notes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return (spark.readStream.schema(v.table(spark, sf, name).schema)
+    return (spark.readStream.schema(v.SCHEMAS[name])
             .option("pathGlobFilter", f"{name}.parquet").parquet(sf))
 
 

@@ -11,8 +11,34 @@ from coldledger.skew import bucketed_running_sum
 AS_OF = "2002-01-01 00:00:00"
 
 
+# Schemas of the given tables; stated, so that no job has to look into the files first.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf.rstrip('/')}/{name}.parquet")
+
+
+def lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest table. A copy in fewer files than cores is spread over all cores first."""
+    rows = table(spark, sf, "lineitem")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, "l_orderkey", "l_partkey") if len(rows.inputFiles()) < cores else rows
 
 
 def supplier_places(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,15 +64,18 @@ FILE_COLUMNS = (
     "l_quantity AS qty", "s_acctbal AS bal", "l_returnflag AS flag")
 
 
-def joined_files(lineitem: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+def joined_files(rows: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    return (lineitem.join(orders, F.expr("l_orderkey = o_orderkey"))
-            .join(supplier_places(spark, sf), F.expr("l_suppkey = s_suppkey"))
+    # Joined one table at a time, so that each one's own size decides how it is joined.
+    return (rows.join(orders, F.expr("l_orderkey = o_orderkey"))
+            .join(table(spark, sf, "supplier"), F.expr("l_suppkey = s_suppkey"))
+            .join(table(spark, sf, "nation"), F.expr("s_nationkey = n_nationkey"))
+            .join(table(spark, sf, "region"), F.expr("n_regionkey = r_regionkey"))
             .selectExpr(*FILE_COLUMNS))
 
 
 def all_files(spark: SparkSession, sf: str) -> DataFrame:
-    return joined_files(table(spark, sf, "lineitem"), spark, sf)
+    return joined_files(lineitem(spark, sf), spark, sf)
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
