@@ -44,7 +44,7 @@ def with_salt(df: DataFrame, keys: Sequence[str], spread: Sequence[str], hot: Da
             F.when(is_null, F.pmod(row_hash, F.lit(share)))
             .otherwise(F.coalesce(F.pmod(row_hash, F.col("_splits")), F.lit(0)))
             .cast("int"))
-        .drop("_splits")
+        .select(*df.columns, "_salt")
     )
 
 
