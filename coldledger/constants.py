@@ -51,6 +51,10 @@ RETRIEVAL_OPTIONS = (
     ("GLACIER", "Expedited", "30.00", 1 / 60, 5 / 60, True),
 )
 
+# Fixed values: $/TiB for a download out of the cloud, over the internet and over a direct line.
+EGRESS_USD_PER_TIB = 90.0
+EGRESS_DIRECT_USD_PER_TIB = 20.0
+
 # Machine types and their local disk in GB.
 MACHINE_DISK_GB = {
     "i3en.24xlarge": 60000,

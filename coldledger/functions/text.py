@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,8 +24,15 @@ def is_number(text: Column) -> Column:
     return text.rlike(_NUMBER)
 
 
-def has_all_words(text: Column, query: Column) -> Column:
-    """Every blank-separated word of ``query`` occurs in ``text``, in any letter case."""
-    words = F.filter(F.split(F.lower(query), " "), lambda w: w != "")
+def search_words(query: str) -> list[str]:
+    """Lower-case words of a query after its punctuation became blanks."""
+    blanks = str.maketrans(SEARCH_PUNCTUATION, " " * len(SEARCH_PUNCTUATION))
+    return [w for w in query.translate(blanks).lower().split(" ") if w]
+
+
+def has_all_words(text: Column, words: Sequence[str]) -> Column:
+    """Every word occurs in ``text``, in any letter case. The words are constants of the plan."""
+    if not words:
+        return F.lit(False)
     lowered = F.lower(text)
-    return F.coalesce((F.size(words) > 0) & F.forall(words, lambda w: F.contains(lowered, w)), F.lit(False))
+    return F.coalesce(reduce(lambda a, b: a & b, [F.contains(lowered, F.lit(w)) for w in words]), F.lit(False))

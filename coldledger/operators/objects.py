@@ -11,7 +11,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldledger.constants import GLACIER_CLASSES, META, RETRIEVAL_OPTIONS, STORAGE_TIERS, TIB
+from coldledger.constants import EGRESS_USD_PER_TIB, GLACIER_CLASSES, META, RETRIEVAL_OPTIONS, STORAGE_TIERS, TIB
 from coldledger.functions.objects import is_glacier, restore_class
 from coldledger.functions.paths import ancestors, basename, parent
 from coldledger.functions.units import to_gib
@@ -113,8 +113,9 @@ def retrieval_options(spark: SparkSession) -> DataFrame:
                                  "hours_lo double, hours_hi double, supported boolean")
 
 
-def tier_cost_estimate(sizes: DataFrame, option: str = "Bulk") -> DataFrame:
-    """Monthly storage cost and retrieval cost of ``sizes`` (storage_class, bytes, ...).
+def tier_cost_estimate(sizes: DataFrame, option: str = "Bulk",
+                       egress_usd_per_tib: float = EGRESS_USD_PER_TIB) -> DataFrame:
+    """Monthly storage, retrieval and download cost of ``sizes`` (storage_class, bytes, ...).
 
     Both price lists are constants of this package, so broadcasting them is bounded.
     """
@@ -130,4 +131,5 @@ def tier_cost_estimate(sizes: DataFrame, option: str = "Bulk") -> DataFrame:
                     cost(F.col("storage_hi")).alias("storage_hi_usd"),
                     F.when(frozen, F.col("supported")).otherwise(F.lit(True)).alias("supported"),
                     cost(F.when(frozen, F.col("usd_per_tib")).otherwise(F.col("retrieval"))).alias("retrieval_usd"),
+                    cost(F.lit(egress_usd_per_tib)).alias("egress_usd"),
                     F.when(frozen, F.col("hours_hi")).otherwise(F.lit(0.0)).alias("hours_hi")))

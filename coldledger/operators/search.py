@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldledger.functions.text import clean_search, has_all_words, is_number
+from coldledger.functions.text import has_all_words, is_number, search_words
 
 
 def dedup_first(df: DataFrame, key: str, *seq: str) -> DataFrame:
@@ -21,17 +21,20 @@ def cascade_search(grants: DataFrame, query: str, cap: int | None = None) -> Dat
     run in one scan. ``cap`` bounds each branch to its first rows, as a paged service would;
     by default results are whole.
     """
-    text = clean_search(F.lit(query))
-    worded = ~is_number(text)
+    words = search_words(query)
+    number = F.lit(" ".join(words))
+    worded = ~is_number(number)
     tested = grants.select(
         "seq", "project_num", "contact_pi_name", "project_title", "org_name",
-        (worded & has_all_words(F.col("contact_pi_name"), text)).alias("_pi"),
-        (F.col("project_num") == F.trim(text)).alias("_project"),
-        (worded & has_all_words(F.col("org_name"), text)).alias("_org"),
-        has_all_words(F.concat_ws(" ", "project_title", "text"), text).alias("_text"))
+        (worded & has_all_words(F.col("contact_pi_name"), words)).alias("_pi"),
+        (F.lower("project_num") == number).alias("_project"),
+        (worded & has_all_words(F.col("org_name"), words)).alias("_org"),
+        has_all_words(F.concat_ws(" ", "project_title", "text"), words).alias("_text"))
     hits = tested.where(F.col("_pi") | F.col("_project") | F.col("_org") | F.col("_text"))
-    any_hit = lambda c: F.coalesce(hits.agg(F.bool_or(c).alias("b")).scalar(), F.lit(False))
-    no_pi, no_project = ~any_hit("_pi"), ~any_hit("_project")
+    # One extra pass tells whether the person and project branches found anything.
+    found_any = hits.agg(F.struct(F.bool_or("_pi").alias("pi"), F.bool_or("_project").alias("project")).alias("f")).scalar()
+    no_pi = ~F.coalesce(found_any["pi"], F.lit(False))
+    no_project = ~F.coalesce(found_any["project"], F.lit(False))
     branches = (("pi", F.col("_pi")),
                 ("project", F.col("_project") & no_pi),
                 ("org", F.col("_org") & no_pi & no_project),

@@ -256,7 +256,7 @@ def _search(query: str) -> str:
     has = lambda c: " AND ".join(f"contains(lower({c}), '{w}')" for w in words)
     worded = "false" if re.fullmatch(r"[0-9.]+", cleaned.strip()) else "true"
     return _with(("grants",), f"""
-        , tested AS (SELECT *, {worded} AND {has('contact_pi_name')} AS p, project_num = '{cleaned.strip()}' AS j,
+        , tested AS (SELECT *, {worded} AND {has('contact_pi_name')} AS p, lower(project_num) = '{' '.join(words)}' AS j,
             {worded} AND {has('org_name')} AS o, {has("(project_title || ' ' || text)")} AS t FROM grants),
         flags AS (SELECT coalesce(bool_or(p), false) AS any_p, coalesce(bool_or(j), false) AS any_j FROM tested),
         found AS (
@@ -475,6 +475,7 @@ def statements() -> dict[str, str]:
                s.storage_class <> 'DEEP_ARCHIVE' AS supported,
                CASE s.storage_class WHEN 'DEEP_ARCHIVE' THEN NULL WHEN 'GLACIER' THEN round(bytes / 1099511627776 * 30.0::DOUBLE, 4)
                  ELSE round(bytes / 1099511627776 * CAST(retrieval AS DOUBLE), 4) END AS retrieval_usd,
+               round(bytes / 1099511627776 * 90.0::DOUBLE, 4) AS egress_usd,
                CASE s.storage_class WHEN 'DEEP_ARCHIVE' THEN NULL WHEN 'GLACIER' THEN 0.0833::DOUBLE ELSE 0.0::DOUBLE END AS hours_hi
         FROM sizes s LEFT JOIN tiers t ON s.storage_class = t.storage_class""")
     add("best_fit_capacity", "units", """
@@ -503,6 +504,8 @@ def statements() -> dict[str, str]:
     # Reports
     add("file_manifest", "manifest_rows", "SELECT * FROM manifest_rows")
     q["scan_manifest"] = q["file_manifest"]
+    add("sink_manifest", "manifest_rows",
+        'SELECT folder, count(*) AS files, CAST(sum("Size(bytes)") AS BIGINT) AS bytes FROM manifest_rows GROUP BY folder')
     add("archive_batch", "hot", """
         , chosen AS (SELECT * FROM hot WHERE gib > 9 AND accd > 60),
         parts AS (SELECT greatest(CAST(ceil(count(*) / 10) AS BIGINT), 1) AS n FROM chosen)
@@ -549,7 +552,7 @@ def statements() -> dict[str, str]:
         FROM (SELECT page_id, url, replace(url, '/', '+') || '+' || regexp_replace(html, '[^a-z]', '', 'g') || '.csv' AS s FROM pages)"""
     add("parse_destination", "folders", """
         SELECT folder, 'bkt' AS bucket, 'arch' || folder AS prefix, ':s3:b/d' || folder AS built FROM folders""")
-    q["clean_search_text"] = """
+    q["clean_search"] = """
         SELECT doc_id, md5(c) AS digest, CAST(length(c) AS BIGINT) AS chars, true AS chars_is_number,
                TRY_CAST(source AS DOUBLE) IS NOT NULL AS is_number
         FROM (SELECT doc_id, source, regexp_replace(text, '[,:?''$^%&*!`~+={}\\\\\\[\\]"]', ' ', 'g') AS c FROM documents)"""
@@ -560,7 +563,8 @@ def statements() -> dict[str, str]:
     add("dedup_first", "grants", """
         SELECT project_num, min(seq) AS seq, arg_min(contact_pi_name, seq) AS contact_pi_name,
                arg_min(project_title, seq) AS project_title FROM grants GROUP BY project_num""")
-    q["cascade_search_pi"] = _search("SRC3, en")
+    q["cascade_search"] = _search("SRC3, en")
+    q["cascade_search_project"] = _search("en-src3-5")
     q["cascade_search_org"] = _search("fr institute")
     q["cascade_search_text"] = _search("the 1")
 
@@ -585,7 +589,7 @@ def statements() -> dict[str, str]:
         SELECT folder AS filename, concat_ws(',', folder, 'not a number', gid, CAST(epoch(first_atime) AS BIGINT), CAST(epoch(first_mtime) AS BIGINT),
                  fcount, dirsum, 4096, CASE fcount % 3 WHEN 0 THEN 16895 WHEN 1 THEN 16877 ELSE 16832 END, 'd',
                  '/' || split_part(folder, '/', 2)) AS line FROM rollup""")
-    for name in ("index_report", "scan_hotspots"):
+    for name in ("index_job", "scan_hotspots"):
         add(name, "index_rows", "SELECT * FROM index_rows")
     add("index_totals", "units", """
         SELECT count(*) AS folders, count(*) FILTER (h) AS hotspots, CAST(sum(dirsum) FILTER (h) AS BIGINT) AS bytes,
@@ -598,6 +602,7 @@ def statements() -> dict[str, str]:
     add("sink_crawl", ("all_files", "rollup"), """
         SELECT '/' || split_part(folder, '/', 2) AS root, type, count(*) AS entries, CAST(sum(size) AS BIGINT) AS bytes
         FROM (SELECT folder, type, size FROM all_files UNION ALL SELECT folder, 'd', 4096 FROM rollup) GROUP BY ALL""")
+    add("sink_md5_manifest", "src", "SELECT folder, md5 || '  ' || name AS line FROM src")
     add("scan_md5_manifest", "src", "SELECT folder, name, md5 FROM src")
     add("scan_catalogue_json", "catalogue", f"SELECT {_CAT} FROM catalogue")
     add("sink_catalogue_export", "catalogue", "SELECT folder_key AS local_folder, timestamp FROM catalogue")

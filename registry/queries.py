@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from coldledger.constants import META
 from coldledger.functions import paths, units
-from coldledger.functions.text import clean_search, is_number
+from coldledger.functions import text
 from coldledger.operators import (
     activity, bundle, capacity, catalogue as cat, entitlements as ent, inventory as inv, objects as obj,
     ownership, permissions as perm, reports, search, verify)
 from coldledger.plans import archive as jobs
-from coldledger.plans.index import index_job
+from coldledger.plans import index
 from coldledger.session import work_dir
 from coldledger.sinks import catalogue as cat_sink, reports as sink
 from coldledger.sources import catalogue as cat_src, crawl as crawl_src, grants as grant_src, text as text_src
@@ -436,11 +436,11 @@ def parse_destination(spark: SparkSession, sf: str) -> DataFrame:
         paths.build_destination(F.lit("b"), F.lit("d"), F.col("folder")).alias("built"))
 
 
-def clean_search_text(spark: SparkSession, sf: str) -> DataFrame:
-    cleaned = clean_search(F.col("text"))
+def clean_search(spark: SparkSession, sf: str) -> DataFrame:
+    cleaned = text.clean_search(F.col("text"))
     return v.table(spark, sf, "documents").select(
         "doc_id", F.md5(cleaned).alias("digest"), F.length(cleaned).cast("long").alias("chars"),
-        is_number(F.col("n_chars").cast("string")).alias("chars_is_number"), is_number(F.col("source")).alias("is_number"))
+        text.is_number(F.col("n_chars").cast("string")).alias("chars_is_number"), text.is_number(F.col("source")).alias("is_number"))
 
 
 # Search and deduplication
@@ -459,7 +459,7 @@ def _search(spark: SparkSession, sf: str, query: str) -> DataFrame:
     return search.cascade_search(grant_src.parse_grants(v.grant_lines(spark, sf)), query)
 
 
-def cascade_search_pi(spark: SparkSession, sf: str) -> DataFrame:
+def cascade_search(spark: SparkSession, sf: str) -> DataFrame:
     return _search(spark, sf, "SRC3, en")
 
 
@@ -467,6 +467,10 @@ def cascade_search_org(spark: SparkSession, sf: str) -> DataFrame:
     return _search(spark, sf, "fr institute")
 
 
+def cascade_search_project(spark: SparkSession, sf: str) -> DataFrame:
+    return _search(spark, sf, "en-src3-5")
+
+
 def cascade_search_text(spark: SparkSession, sf: str) -> DataFrame:
     return _search(spark, sf, "the 1")
 
@@ -515,10 +519,10 @@ def scan_crawl_quarantine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf: str):
-    return index_job(v.crawl(spark, sf), v.users(spark, sf), v.groups(spark, sf), v.AS_OF)
+    return index.index_job(v.crawl(spark, sf), v.users(spark, sf), v.groups(spark, sf), v.AS_OF)
 
 
-def index_report(spark: SparkSession, sf: str) -> DataFrame:
+def index_job(spark: SparkSession, sf: str) -> DataFrame:
     return _index(spark, sf).report
 
 
@@ -528,14 +532,14 @@ def index_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 def scan_hotspots(spark: SparkSession, sf: str) -> DataFrame:
     path = work_dir(spark, "report")
-    sink.write_hotspots(index_report(spark, sf), path)
+    sink.write_hotspots(index_job(spark, sf), path)
     return crawl_src.read_hotspots(spark, path)
 
 
 def sink_hotspots(spark: SparkSession, sf: str) -> DataFrame:
     """A second write without force keeps the first report; with force it replaces it."""
     path = work_dir(spark, "report")
-    report = index_report(spark, sf)
+    report = index_job(spark, sf)
     sink.write_hotspots(report.where("GiB >= 10"), path)
     sink.write_hotspots(report, path)
     kept = crawl_src.read_hotspots(spark, path).groupBy().agg(F.count(F.lit(1)).alias("kept_rows"))
@@ -548,7 +552,7 @@ def sink_hotspots(spark: SparkSession, sf: str) -> DataFrame:
 
 def sink_user_hotspots(spark: SparkSession, sf: str) -> DataFrame:
     source, path = work_dir(spark, "report"), work_dir(spark, "user-report")
-    sink.write_hotspots(index_report(spark, sf), source)
+    sink.write_hotspots(index_job(spark, sf), source)
     stats = folder_stats(spark, sf)
     sink.write_user_hotspots(spark, source, path, stats, USER_ID, USER_GROUPS)
     sink.write_user_hotspots(spark, source, path, stats, USER_ID, USER_GROUPS)
@@ -562,12 +566,27 @@ def sink_crawl(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("entries"), F.sum("st_size").alias("bytes"))
 
 
+def sink_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    path = work_dir(spark, "manifest")
+    sink.write_manifest(file_manifest(spark, sf), path)
+    return crawl_src.read_manifest(spark, path).groupBy("folder").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("Size(bytes)").alias("bytes"))
+
+
 def scan_manifest(spark: SparkSession, sf: str) -> DataFrame:
     path = work_dir(spark, "manifest")
     sink.write_manifest(file_manifest(spark, sf), path)
     return crawl_src.read_manifest(spark, path)
 
 
+def sink_md5_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines as they are on storage."""
+    path = work_dir(spark, "md5")
+    digests = verify.md5_manifest(v.src_manifest(spark, sf))
+    sink.write_md5_manifest(digests, digests.select("folder"), path)
+    return spark.read.text(path).select("folder", F.col("value").alias("line"))
+
+
 def scan_md5_manifest(spark: SparkSession, sf: str) -> DataFrame:
     path = work_dir(spark, "md5")
     digests = verify.md5_manifest(v.src_manifest(spark, sf))
@@ -618,7 +637,7 @@ def scan_live_listing(spark: SparkSession, sf: str) -> DataFrame:
 
 def report_listing(spark: SparkSession, sf: str) -> DataFrame:
     path = work_dir(spark, "reports")
-    report = index_report(spark, sf)
+    report = index_job(spark, sf)
     for root in ("+AFRICA", "+ASIA"):
         sink.write_hotspots(report.where(F.col("Folder").startswith(root.replace("+", "/"))), f"{path}/{root}.csv")
     return crawl_src.read_report_listing(spark, path)
@@ -663,11 +682,10 @@ def stream_folder_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return stream.stream_folder_rollup(arriving, work_dir(spark, "rollup"), work_dir(spark, "rollup-progress"))
 
 
-_NOT_QUERIES = {"folder_ages", "folder_stats", "new_entries", "index_job", "work_dir", "is_number", "clean_search"}
+_HELPERS = {"folder_ages", "folder_stats", "new_entries", "registered"}
 
 
 def registered() -> dict[str, Query]:
-    """All public query functions of this module by name."""
+    """All query functions of this module by name."""
     return {name: fn for name, fn in globals().items()
-            if callable(fn) and not name.startswith("_") and getattr(fn, "__module__", "") == __name__
-            and name not in _NOT_QUERIES | {"registered"}}
+            if not name.startswith("_") and name not in _HELPERS and getattr(fn, "__module__", "") == __name__}

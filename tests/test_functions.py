@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from coldledger.constants import META
 from coldledger.functions import paths, units
 from coldledger.functions.objects import restore_class
-from coldledger.functions.text import clean_search, has_all_words, is_number
+from coldledger.functions.text import clean_search, has_all_words, is_number, search_words
 from coldledger.operators.capacity import best_fit_capacity
 
 
@@ -101,9 +101,10 @@ def test_is_number_follows_float_notation(spark):
 def test_search_text(spark):
     x = F.col("x")
     assert apply(spark, ["a,b:c[d]\"e\\f"], "string", clean_search(x)) == ["a b c d  e f"]
-    assert apply(spark, ["Smith, John", "Smithson", None], "string", has_all_words(x, F.lit("john  SMITH"))) == [
-        True, False, False]
-    assert apply(spark, ["x"], "string", has_all_words(x, F.lit("  "))) == [False]
+    john = search_words("john,  SMITH")
+    assert john == ["john", "smith"] and search_words(" ?") == []
+    assert apply(spark, ["Smith, John", "Smithson", None], "string", has_all_words(x, john)) == [True, False, False]
+    assert apply(spark, ["x"], "string", has_all_words(x, [])) == [False]
 
 
 @pytest.mark.parametrize("row, want", [
