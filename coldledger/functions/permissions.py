@@ -31,3 +31,9 @@ def mode_flags(mode: Column, owner: Column, group: Column, uid: int,
         "can_read": (is_owner & has_bits(mode, 0o400)) | (is_member & has_bits(mode, 0o040)) | read_all,
         "can_write": (is_owner & has_bits(mode, 0o200)) | (is_member & has_bits(mode, 0o020)) | write_all,
     }
+
+
+def entry_type(mode: Column) -> Column:
+    """'d' for a directory, 'l' for a link, 'f' for anything else, from the file-type bits."""
+    kind = mode.bitwiseAND(F.lit(0o170000))
+    return F.when(kind == 0o040000, F.lit("d")).when(kind == 0o120000, F.lit("l")).otherwise(F.lit("f"))

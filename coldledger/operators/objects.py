@@ -86,13 +86,13 @@ def tier_change_plan(folders: DataFrame, catalogue: DataFrame, objects: DataFram
                 .when(is_glacier(F.col("s3_storage_class")), F.lit("rejected"))
                 .otherwise(F.lit("change")))
     asked = catalogue_lookup(folders, catalogue, **join_options).select(
-        "folder", F.col("archive_folder").alias("location"), "s3_storage_class", decision.alias("decision"))
+        "folder", "matched_folder", F.col("archive_folder").alias("location"), "s3_storage_class", decision.alias("decision"))
     moves = F.col("decision") == "change"
     n = F.when(moves, F.coalesce("objects", F.lit(0))).otherwise(F.lit(0))
     kept = F.when(moves, F.coalesce("kept", F.lit(0))).otherwise(F.lit(0))
     size = F.when(moves, F.coalesce("bytes", F.lit(0))).otherwise(F.lit(0))
     return asked.join(sizes, "location", "left").select(
-        "folder", "location", "decision", F.col("s3_storage_class").alias("old_class"),
+        "folder", "matched_folder", "location", "decision", F.col("s3_storage_class").alias("old_class"),
         F.lit(new_class).alias("new_class"), n.alias("total"), (n - kept).alias("changed"),
         kept.alias("skipped"), size.alias("bytes"))
 

@@ -99,11 +99,15 @@ def tier_change_job(folders: DataFrame, catalogue: DataFrame, objects: DataFrame
 
 
 def tier_change_entries(plan: DataFrame, catalogue: DataFrame, timestamp: str) -> DataFrame:
-    """Catalogue rows to upsert once a planned change was carried out."""
+    """Catalogue rows to upsert once a planned change was carried out.
+
+    A folder below a recursively archived parent gets a row of its own with the parent's record.
+    """
     changed = plan.where("decision = 'change'").select(
-        F.col("folder").alias(KEY), F.col("new_class").alias("_class"))
+        F.col("matched_folder").alias(KEY), F.col("folder").alias("_folder"), F.col("new_class").alias("_class"))
     return (catalogue.join(changed, KEY)
-            .withColumns({"s3_storage_class": F.col("_class"), "timestamp": F.lit(timestamp)}).drop("_class"))
+            .withColumns({KEY: F.col("_folder"), "s3_storage_class": F.col("_class"), "timestamp": F.lit(timestamp)})
+            .drop("_folder", "_class"))
 
 
 def pick_and_batch(hotspot_rows: DataFrame, command: str, larger: float = 0, older: int = 0,

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from coldledger.constants import META
 from coldledger.functions.paths import basename, parent
 from coldledger.functions.units import epoch_days_ago
+from coldledger.operators.catalogue import path_overlaps
 from coldledger.operators.inventory import (
-    aged_bytes, aged_bytes_report, index_summary, is_hotspot, size_units, truncate_units)
+    aged_bytes, aged_bytes_report, index_summary, is_hotspot, multi_root_union, size_units, truncate_units)
 from coldledger.operators.ownership import resolve_owner
 
 
@@ -66,3 +67,13 @@ def index_job(crawl: DataFrame, users: DataFrame, groups: DataFrame, as_of: str,
         F.col("fcount").alias("FileCount"), F.col("dirsum").alias("DirSize"),
     ).orderBy(F.desc("DirSize"), "Folder")
     return IndexResult(folders, hot, report)
+
+
+def index_roots(crawls: dict[str, DataFrame], users: DataFrame, groups: DataFrame, as_of: str,
+                min_gib: float | None = None, min_mib: float | None = None, **join_options: int) -> IndexResult:
+    """Index several roots at once. Roots that contain one another are refused."""
+    spark = users.sparkSession
+    clash = path_overlaps(spark.createDataFrame([(root,) for root in crawls], "folder string")).first()
+    if clash is not None:
+        raise ValueError(f"{clash.folder} lies below {clash.ancestor}")
+    return index_job(multi_root_union(crawls), users, groups, as_of, min_gib, min_mib, **join_options)

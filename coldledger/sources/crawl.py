@@ -14,22 +14,26 @@ BAD = "_bad"
 _CSV = {"header": "true", "quote": '"', "escape": '"'}
 
 
-def read_crawl_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
+def read_crawl_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", mode_base: int = 10) -> DataFrame:
     """One row per crawled entry. Lines that do not fit the schema keep their text in ``_bad``.
 
-    Columns are matched by the header, so a crawl may have more of them. Every line is parsed
-    whole: a plain CSV scan would only check the columns that a query happens to use.
+    Columns are matched by the header, so a crawl may have more of them; ``mode_base`` is the
+    number base of ``st_mode``. Every line is parsed whole: a plain CSV scan would only check
+    the columns that a query happens to use.
     """
     names = spark.read.options(**_CSV).csv(path).columns
     require_columns_in(names, [f.name for f in CRAWL.fields[:7]])
-    types = {f.name: f.dataType for f in CRAWL.fields}
-    schema = T.StructType([T.StructField(n, types.get(n, T.StringType()), True) for n in [*names, BAD]])
+    types = {f.name: f.dataType.simpleString() for f in CRAWL.fields} | {"st_mode": "string"}
+    schema = ", ".join(f"`{n}` {types.get(n, 'string')}" for n in [*names, BAD])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, "quote": '"', "escape": '"'}
     raw = spark.read.text(path)
     head = raw.first()
     lines = raw.where(F.col("value") != F.lit(head[0] if head else "")).select(
         F.decode(F.col("value").cast("binary"), encoding).alias("line"))
-    return lines.select(F.from_csv("line", schema.simpleString()[7:-1].replace(":", " "), options).alias("r")).select("r.*")
+    parsed = lines.select(F.from_csv("line", schema, options).alias("r")).select("r.*")
+    if "st_mode" in names:
+        parsed = parsed.withColumn("st_mode", F.conv("st_mode", mode_base, 10).cast("int"))
+    return parsed
 
 
 def good_rows(crawl: DataFrame) -> DataFrame:

@@ -86,13 +86,13 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
           FROM folders JOIN catalogue c
             ON folder = folder_key OR (archive_mode = 'Recursive' AND starts_with(folder, folder_key || '/'))) m
         ON f.folder = m.folder AND rn = 1"""),
-    "src": (("all_files",), f"""
+    "src": (("all_files", "folders"), f"""
         SELECT folder, name, md5(folder || '/' || name || ':' || size) AS md5 FROM all_files
         WHERE NOT (flag = 'A' AND bal < 1000) AND NOT ({_SHAKY} AND qty = 50)
         UNION ALL
-        SELECT DISTINCT folder, '{META.manifest}', md5(folder) FROM all_files
-        WHERE NOT (flag = 'A' AND bal < 1000) AND NOT ({_SHAKY} AND qty = 50)"""),
-    "objects": (("all_files",), f"""
+        SELECT folder, '{META.manifest}', md5(folder) FROM folders
+        WHERE folder NOT IN (SELECT lvl3 FROM places WHERE s_acctbal < 1000)"""),
+    "objects": (("all_files", "folders"), f"""
         SELECT folder, name, size,
                CASE WHEN qty = 2 THEN NULL WHEN qty IN (3, 4) THEN 'STANDARD_IA' WHEN qty < 25 THEN 'GLACIER'
                     ELSE 'DEEP_ARCHIVE' END AS storage_class,
@@ -100,8 +100,8 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
                md5(folder || '/' || name || ':' || size || CASE WHEN {_SHAKY} AND qty = 13 THEN '!' ELSE '' END) AS md5
         FROM all_files WHERE NOT (flag = 'A' AND bal < 0) AND NOT ({_SHAKY} AND qty = 49)
         UNION ALL
-        SELECT folder, '{META.manifest}', count(*) * 100, 'INTELLIGENT_TIERING', NULL, md5(folder)
-        FROM all_files WHERE NOT (flag = 'A' AND bal < 0) AND NOT ({_SHAKY} AND qty = 49) GROUP BY folder"""),
+        SELECT folder, '{META.manifest}', length(folder) * 100, 'INTELLIGENT_TIERING', NULL, md5(folder)
+        FROM folders WHERE folder NOT IN (SELECT lvl3 FROM places WHERE s_acctbal < 0)"""),
     "verified": (("src", "objects"), """
         SELECT folder, name, CASE WHEN o.md5 IS NULL THEN 'missing_on_dst' WHEN s.md5 IS NULL THEN 'missing_on_src'
                  WHEN s.md5 = o.md5 THEN 'match' ELSE 'differ' END AS status
@@ -140,7 +140,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(kept) AS BIGINT) AS kept
         FROM folders f JOIN dirs d ON d.folder = f.folder OR starts_with(d.folder, f.folder || '/') GROUP BY f.folder"""),
     "tier_plan": (("looked_up", "subtrees"), """
-        SELECT l.folder, l.archive_folder AS location, l.s3_storage_class AS old_class, 'GLACIER_IR' AS new_class,
+        SELECT l.folder, l.matched_folder, l.archive_folder AS location, l.archive_mode, l.user, l.s3_storage_class AS old_class, 'GLACIER_IR' AS new_class,
                CASE WHEN match = 'none' THEN 'not_archived' WHEN s3_storage_class IN ('GLACIER', 'DEEP_ARCHIVE') THEN 'rejected'
                  ELSE 'change' END AS decision,
                coalesce(s.objects, 0) AS o, coalesce(s.kept, 0) AS k, coalesce(s.bytes, 0) AS b
@@ -456,9 +456,14 @@ def statements() -> dict[str, str]:
     add("restore_readiness", "objects", f"""
         SELECT ':s3:bkt/arch' || folder AS location, triggered + restoring > 0 AS pending, {mix} AS progress FROM ({bulk})""")
     add("tier_change_plan", "tier_plan", """
-        SELECT folder, location, decision, old_class, new_class, CASE decision WHEN 'change' THEN o ELSE 0 END AS total,
+        SELECT folder, matched_folder, location, decision, old_class, new_class, CASE decision WHEN 'change' THEN o ELSE 0 END AS total,
                CASE decision WHEN 'change' THEN o - k ELSE 0 END AS changed, CASE decision WHEN 'change' THEN k ELSE 0 END AS skipped,
                CASE decision WHEN 'change' THEN b ELSE 0 END AS bytes FROM tier_plan""")
+    add("tier_change_update", ("tier_plan", "catalogue"), f"""
+        SELECT folder AS folder_key, location AS archive_folder, new_class AS s3_storage_class, archive_mode,
+               '2024-05-01T00:00:00' AS timestamp, user FROM tier_plan WHERE decision = 'change'
+        UNION ALL
+        SELECT {_CAT} FROM catalogue WHERE folder_key NOT IN (SELECT folder FROM tier_plan WHERE decision = 'change')""")
     add("tier_change_job", ("tier_plan", "tiers"), """
         , sized AS (SELECT *, CASE decision WHEN 'change' THEN b ELSE 0 END AS bytes FROM tier_plan)
         SELECT folder, decision, old_class, new_class, CASE decision WHEN 'change' THEN o ELSE 0 END AS total,
@@ -591,6 +596,9 @@ def statements() -> dict[str, str]:
                  '/' || split_part(folder, '/', 2)) AS line FROM rollup""")
     for name in ("index_job", "scan_hotspots"):
         add(name, "index_rows", "SELECT * FROM index_rows")
+    add("index_roots", ("index_rows", "units"), """
+        SELECT * FROM index_rows WHERE split_part("Folder", '/', 2) IN ('AFRICA', 'ASIA')
+          AND "Folder" IN (SELECT folder FROM units WHERE gibf >= 9)""")
     add("index_totals", "units", """
         SELECT count(*) AS folders, count(*) FILTER (h) AS hotspots, CAST(sum(dirsum) FILTER (h) AS BIGINT) AS bytes,
                round(sum(dirsum) FILTER (h) / 1099511627776, 3) AS tib

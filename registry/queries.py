@@ -334,6 +334,13 @@ def tier_change_job(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.tier_change_job(v.folders(spark, sf), v.catalogue(spark, sf), v.objects(spark, sf), "GLACIER_IR")
 
 
+def tier_change_update(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalogue after the planned changes were carried out."""
+    known = v.catalogue(spark, sf)
+    entries = jobs.tier_change_entries(tier_change_plan(spark, sf), known, "2024-05-01T00:00:00")
+    return cat.catalogue_upsert(known, entries).select(*CATALOGUE_OUT)
+
+
 def tier_cost_estimate(spark: SparkSession, sf: str) -> DataFrame:
     sizes = v.objects(spark, sf).where("storage_class IS NOT NULL").groupBy("folder", "storage_class").agg(
         F.sum("size").alias("bytes"))
@@ -526,6 +533,13 @@ def index_job(spark: SparkSession, sf: str) -> DataFrame:
     return _index(spark, sf).report
 
 
+def index_roots(spark: SparkSession, sf: str) -> DataFrame:
+    crawled = v.crawl(spark, sf)
+    return index.index_roots(
+        {r: crawled.where(F.col("root") == r).drop("root") for r in ("/AFRICA", "/ASIA")},
+        v.users(spark, sf), v.groups(spark, sf), v.AS_OF, min_gib=9).report
+
+
 def index_totals(spark: SparkSession, sf: str) -> DataFrame:
     return _index(spark, sf).summary
 

@@ -87,10 +87,11 @@ def supplier_folders(spark: SparkSession, sf: str) -> DataFrame:
         "concat('/', r_name, '/', n_name, '/', s_name) AS folder", "s_acctbal AS bal", "s_suppkey")
 
 
-def folders(spark: SparkSession, sf: str) -> DataFrame:
-    """Every folder of the tree, with files or not."""
+def folders(spark: SparkSession, sf: str, least: float | None = None) -> DataFrame:
+    """Every folder of the tree, or without those of suppliers poorer than ``least``."""
     places = supplier_places(spark, sf)
-    return (supplier_folders(spark, sf).select("folder")
+    leaves = supplier_folders(spark, sf)
+    return ((leaves if least is None else leaves.where(F.col("bal") >= least)).select("folder")
             .unionByName(places.selectExpr("concat('/', r_name, '/', n_name) AS folder").distinct())
             .unionByName(places.selectExpr("concat('/', r_name) AS folder").distinct()))
 
@@ -174,7 +175,7 @@ def src_manifest(spark: SparkSession, sf: str) -> DataFrame:
     hashed = all_files(spark, sf).where(
         f"NOT (flag = 'A' AND bal < 1000) AND NOT ({_SHAKY} AND qty = 50)")
     rows = hashed.selectExpr("folder", "name", "md5(concat(folder, '/', name, ':', size)) AS md5")
-    lists = hashed.select("folder").distinct().selectExpr("folder", f"'{META.manifest}' AS name", "md5(folder) AS md5")
+    lists = folders(spark, sf, 1000).selectExpr("folder", f"'{META.manifest}' AS name", "md5(folder) AS md5")
     return rows.unionByName(lists)
 
 
@@ -189,8 +190,8 @@ def objects(spark: SparkSession, sf: str) -> DataFrame:
         "CASE WHEN bal >= 9000 THEN 'ongoing-request=\"false\", expiry-date=\"x\"' "
         "WHEN bal >= 8000 THEN 'ongoing-request=\"true\"' END AS restore",
         f"md5(concat(folder, '/', name, ':', size, CASE WHEN {_SHAKY} AND qty = 13 THEN '!' ELSE '' END)) AS md5")
-    lists = stored.groupBy("folder").agg(F.count(F.lit(1)).alias("n")).selectExpr(
-        "folder", f"'{META.manifest}' AS name", "n * 100 AS size", "'INTELLIGENT_TIERING' AS storage_class",
+    lists = folders(spark, sf, 0).selectExpr(
+        "folder", f"'{META.manifest}' AS name", "100L * length(folder) AS size", "'INTELLIGENT_TIERING' AS storage_class",
         "CAST(NULL AS STRING) AS restore", "md5(folder) AS md5")
     return rows.unionByName(lists).selectExpr(
         "'bkt' AS bucket", "concat('arch', folder, '/', name) AS key", "size", "storage_class", "restore",

@@ -71,6 +71,16 @@ def test_golden_tree(spark, crawl, rows):
     assert tuple(result.summary.first())[:2] == (11, 6)
 
 
+def test_roots_must_not_contain_one_another(spark, crawl):
+    from coldledger.plans.index import index_roots
+
+    users = spark.createDataFrame([(1, "ann")], "uid bigint, user string")
+    groups = spark.createDataFrame([(9, "lab")], "gid bigint, group_name string")
+    with pytest.raises(ValueError, match="lies below"):
+        index_roots({"/root": crawl, "/root/x": crawl}, users, groups, str(NOW))
+    assert index_roots({"/root": crawl}, users, groups, str(NOW)).report.count() == 6
+
+
 def test_job_equals_its_operators(spark, crawl, files):
     """The one-pass job and the join of separate operators give the same folders and times."""
     from coldledger.plans.index import folder_facts

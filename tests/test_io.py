@@ -20,6 +20,17 @@ def test_crawl_csv(spark, tmp_path, rows):
     assert src.bad_lines(crawl).count() == 2
 
 
+def test_crawl_csv_with_other_columns(spark, tmp_path):
+    from coldledger.functions.permissions import entry_type
+
+    head = 'inode,parent-inode,directory-depth,"filename","fileExtension",UID,GID,st_size,"st_mode",st_atime,st_mtime,pw_fcount,pw_dirsum\n'
+    (tmp_path / "c.csv").write_text(head + '1,0,0,"/a","",5,6,4096,"0040755",10,20,1,7\n2,1,1,"/a/f","txt",5,6,7,"0100644",10,20,-1,0\n'
+                                    '3,1,1,"/a/l","",5,6,7,"0120777",10,20,-1,0\n')
+    crawl = src.good_rows(src.read_crawl_csv(spark, str(tmp_path), mode_base=8))
+    got = {r.filename: (r.st_mode, r.t) for r in crawl.select("*", entry_type(F.col("st_mode")).alias("t")).collect()}
+    assert got == {"/a": (0o40755, "d"), "/a/f": (0o100644, "f"), "/a/l": (0o120777, "l")}
+
+
 def test_crawl_csv_needs_its_columns(spark, tmp_path):
     (tmp_path / "c.csv").write_text("filename,UID\n/a,1\n")
     with pytest.raises(ValueError, match="pw_dirsum"):
