@@ -57,13 +57,22 @@ def io_rates(counters: DataFrame, unit: str = "day") -> DataFrame:
             .withColumn("is_busy", F.coalesce(busy, F.lit(False))))
 
 
-def activity_windows(samples: DataFrame, seconds: int = SAMPLE_SECONDS) -> DataFrame:
-    """Bytes per host and tumbling window against the limits. Works on batches and streams.
+def window_sums(samples: DataFrame, seconds: int = SAMPLE_SECONDS) -> DataFrame:
+    """Bytes per host and tumbling window. Works on batches and streams.
 
     ``samples`` has host, ts and byte deltas write_bytes, sent_bytes, recv_bytes.
     """
-    sums = samples.groupBy("host", F.window("ts", f"{seconds} seconds").alias("w")).agg(
-        *[F.sum(c).alias(c) for c in COUNTERS])
+    return samples.groupBy("host", F.window("ts", f"{seconds} seconds").alias("w")).agg(
+        *[F.sum(c).alias(c) for c in COUNTERS]).select("host", F.col("w.start").alias("window_start"), *COUNTERS)
+
+
+def with_busy(sums: DataFrame, seconds: int = SAMPLE_SECONDS) -> DataFrame:
+    """Whether a window passes any limit."""
     busy = (F.col("write_bytes") > DISK_WRITE_LIMIT * seconds) | (F.col("sent_bytes") > NET_SENT_LIMIT * seconds) \
         | (F.col("recv_bytes") > NET_RECV_LIMIT * seconds)
-    return sums.select("host", F.col("w.start").alias("window_start"), *COUNTERS, busy.alias("is_busy"))
+    return sums.withColumn("is_busy", busy)
+
+
+def activity_windows(samples: DataFrame, seconds: int = SAMPLE_SECONDS) -> DataFrame:
+    """Bytes per host and window against the limits."""
+    return with_busy(window_sums(samples, seconds), seconds)

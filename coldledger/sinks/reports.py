@@ -37,10 +37,9 @@ def write_user_hotspots(spark: SparkSession, report_path: str, path: str, folder
     have, source = last_modified(spark, path), last_modified(spark, report_path)
     if not force and have is not None and source is not None and have >= source:
         return False
-    report = read_hotspots(spark, report_path).withColumn("folder", F.col("Folder"))
+    report = read_hotspots(spark, report_path)
     allowed = writable_hotspots(report.withColumnRenamed("Folder", "folder"), folders, uid, gids)
-    columns = [F.col("folder").alias("Folder") if c == "folder" else F.col(c) for c in allowed.columns]
-    allowed.select(*columns).write.mode("overwrite").options(**_CSV).csv(path)
+    allowed.withColumnRenamed("folder", "Folder").select(*report.columns).write.mode("overwrite").options(**_CSV).csv(path)
     return True
 
 

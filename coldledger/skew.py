@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 # Keys with fewer rows than this fit one task anyway and are never split.
 HOT_MIN_ROWS = 200_000
-# A lookup table is broadcast only when a bounded count proves it has no more rows.
+# A lookup table is broadcast only when a count proves it has no more rows.
 BROADCAST_ROWS = 100_000
 
 
@@ -63,8 +63,12 @@ def split_join(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], spread:
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` is proven to have at most ``rows`` rows. Reads at most one row more."""
-    return rows > 0 and df.limit(rows + 1).count() <= rows
+    """True when ``df`` is proven to have at most ``rows`` rows.
+
+    A plain count: it runs on all partitions and moves one number each, where a limit would
+    send its rows through one task.
+    """
+    return rows > 0 and df.count() <= rows
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: Sequence[str],

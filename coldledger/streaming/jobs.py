@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coldledger.constants import IDLE_RUNS, SAMPLE_SECONDS
-from coldledger.operators.activity import activity_windows, idle_summary
+from coldledger.operators.activity import COUNTERS, idle_summary, window_sums, with_busy
 from coldledger.operators.catalogue import keep_latest
 from coldledger.operators.inventory import folder_rollup
 
@@ -29,9 +29,11 @@ def _batch_path(table: str, batch: int) -> str:
     return f"{table.rstrip('/')}/batch={batch:012d}"
 
 
-def write_changes(table: str) -> Callable[[DataFrame, int], None]:
-    def write(changes: DataFrame, batch: int) -> None:
-        changes.write.mode("overwrite").parquet(_batch_path(table, batch))
+def write_batches(table: str, reduce: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+                  ) -> Callable[[DataFrame, int], None]:
+    """Writer that keeps each micro-batch, reduced first, in a directory of its own."""
+    def write(rows: DataFrame, batch: int) -> None:
+        reduce(rows).write.mode("overwrite").parquet(_batch_path(table, batch))
     return write
 
 
@@ -74,12 +76,21 @@ def stream_idle_streak(heartbeats: DataFrame, table: str, checkpoint: str, n: in
 
 
 def stream_activity(samples: DataFrame, table: str, checkpoint: str, seconds: int = SAMPLE_SECONDS,
-                    delay: str = "10 minutes") -> DataFrame:
-    """Bytes per host and window; windows still open are listed with what they hold so far."""
+                    delay: str | None = None) -> DataFrame:
+    """Bytes per host and window against the limits.
+
+    By default every batch adds its part of each window, so no row comes too late and no state
+    is held. With a ``delay`` windows are kept in state and closed by the watermark; rows later
+    than that are not counted, and the table holds the newest total of each window.
+    """
     spark = samples.sparkSession
-    windows = activity_windows(samples.withWatermark("ts", delay), seconds)
-    run_available(windows, write_changes(table), checkpoint, "update")
-    return latest_changes(spark, table, "host", "window_start")
+    if delay is not None:
+        totals = window_sums(samples.withWatermark("ts", delay), seconds)
+        run_available(totals, write_batches(table), checkpoint, "update")
+        return with_busy(latest_changes(spark, table, "host", "window_start"), seconds)
+    run_available(samples, write_batches(table, lambda rows: window_sums(rows, seconds)), checkpoint)
+    parts = spark.read.parquet(table).groupBy("host", "window_start")
+    return with_busy(parts.agg(*[F.sum(c).alias(c) for c in COUNTERS]), seconds)
 
 
 def restore_events_state(events: DataFrame) -> DataFrame:
@@ -94,23 +105,19 @@ def restore_events_state(events: DataFrame) -> DataFrame:
         F.bool_or(open_states).alias("pending"))
 
 
-def stream_restore_state(events: DataFrame, table: str, checkpoint: str, delay: str = "2 days") -> DataFrame:
-    """Restore progress from status rows that may come late or twice."""
-    spark = events.sparkSession
-    once = (events.withWatermark("ts", delay)
-            .dropDuplicatesWithinWatermark(["folder", "name", "state", "ts", "seq"]))
+def stream_restore_state(events: DataFrame, table: str, checkpoint: str) -> DataFrame:
+    """Restore progress from status rows that may come late or twice.
 
-    def write(rows: DataFrame, batch: int) -> None:
-        keep_latest(rows, ["folder", "name"], "ts", "seq").write.mode("overwrite").parquet(
-            _batch_path(table, batch))
-
-    run_available(once, write, checkpoint)
-    return restore_events_state(spark.read.parquet(table).drop("batch"))
+    The newest row by event time decides, so neither needs a watermark: a late row loses
+    against a newer one and a copy changes nothing.
+    """
+    run_available(events, write_batches(
+        table, lambda rows: keep_latest(rows, ["folder", "name"], "ts", "seq")), checkpoint)
+    return restore_events_state(events.sparkSession.read.parquet(table).drop("batch"))
 
 
 def stream_folder_rollup(files: DataFrame, table: str, checkpoint: str) -> DataFrame:
-    """Folder count and bytes kept up to date as crawl files arrive."""
-    spark = files.sparkSession
-    run_available(folder_rollup(files), write_changes(table), checkpoint, "update")
-    return latest_changes(spark, table, "folder")
-
+    """Folder count and bytes as crawl files arrive: each batch adds its part of every folder."""
+    run_available(files, write_batches(table, folder_rollup), checkpoint)
+    return files.sparkSession.read.parquet(table).groupBy("folder").agg(
+        F.sum("fcount").alias("fcount"), F.sum("dirsum").alias("dirsum"))

@@ -43,7 +43,7 @@ def test_hot_key_rows_are_spread(facts):
     assert len(salts) == 4 and max(r["count"] for r in salts) < 3_500
 
 
-def test_is_small_counts_no_more_than_the_limit(spark):
+def test_is_small(spark):
     assert skew.is_small(spark.range(10), 10)
     assert not skew.is_small(spark.range(11), 10)
     assert not skew.is_small(spark.range(0), 0)

@@ -42,8 +42,12 @@ def test_idle_streak(spark, events, tmp_path):
     assert listed(got, want.columns) == listed(want, want.columns)
 
 
-def test_activity(spark, events, tmp_path):
-    got = jobs.stream_activity(arrive(spark, events, tmp_path / "in", "seq"), str(tmp_path / "t"), str(tmp_path / "c"))
+@pytest.mark.parametrize("delay, order", [(None, "back"), ("10 minutes", "seq")])
+def test_activity(spark, events, tmp_path, delay, order):
+    """Without a delay rows may arrive in any order, here newest first."""
+    rows = events.withColumn("back", 399 - F.col("seq"))
+    got = jobs.stream_activity(
+        arrive(spark, rows, tmp_path / "in", order), str(tmp_path / "t"), str(tmp_path / "c"), delay=delay)
     want = activity.activity_windows(events)
     assert listed(got, want.columns) == listed(want, want.columns)
 
