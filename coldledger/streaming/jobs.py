@@ -50,15 +50,15 @@ def stream_idle_streak(heartbeats: DataFrame, table: str, checkpoint: str, n: in
 
     Each batch is first reduced to one row per host, so a busy host costs no more than others;
     that row is then added to the host's state. A batch with a busy heartbeat restarts the
-    streak. The state of batch k is a full table built from that of batch k-1.
+    streak. The state of batch k is a full table built from that of batch k-1;
+    batch -1 is empty.
     """
     spark = heartbeats.sparkSession
-    spark.createDataFrame([], _IDLE_STATE).write.mode("ignore").parquet(f"{table}/init")
+    spark.createDataFrame([], _IDLE_STATE).write.mode("ignore").parquet(_batch_path(table, -1))
 
     def write(rows: DataFrame, batch: int) -> None:
         session = rows.sparkSession
-        earlier = _batch_path(table, batch - 1) if batch > 0 else f"{table}/init"
-        state = session.read.schema(_IDLE_STATE).parquet(earlier).select(
+        state = session.read.schema(_IDLE_STATE).parquet(_batch_path(table, batch - 1)).select(
             "host", F.col("runs").alias("_runs"), F.col("streak").alias("_streak"))
         zero = F.lit(0).cast("long")
         grown = F.when(F.coalesce("was_busy", F.lit(False)), F.coalesce("streak", zero)).otherwise(
@@ -69,7 +69,7 @@ def stream_idle_streak(heartbeats: DataFrame, table: str, checkpoint: str, n: in
          .write.mode("overwrite").parquet(_batch_path(table, batch)))
 
     run_available(heartbeats, write, checkpoint)
-    states = spark.read.option("basePath", table).parquet(f"{table.rstrip('/')}/batch=*")
+    states = spark.read.parquet(table)
     newest = states.agg(F.max("batch")).scalar()
     return states.where(F.col("batch") == newest).select(
         "host", "runs", "streak", (F.col("streak") >= n).alias("is_idle"))
