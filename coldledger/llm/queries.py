@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldledger.llm import bpe, decontam, exact, simhash, toxicity
+from coldledger.llm import (bpe, decontam, exact, html_text, langid, ppm, secret_scan, sharding, simhash,
+                            toxicity)
 from coldledger.llm.shared import table
 
 SHINGLE, MAX_BITS = 3, 2
@@ -22,6 +23,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.balanced_shards(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,28 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 public_tokenizers.PATTERN)
 
 
+def remainder(modulus: int) -> Column:
+    """crc32 of the id as text, modulo; null without an id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op5_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(table(spark, sf_dir, "documents"), remainder(7) != 2)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, F.coalesce(remainder(5) != 0, F.lit(False)))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(True)).alias("held_out"),
+                        "lang_pred", "score", "ambiguous")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.fit(docs))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"), CATEGORIES)
@@ -41,8 +68,13 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_simhash_near_dedup, op3_exact_dedup, op4_byte_bpe, op8_toxicity, op9_benchmark_decontamination]
+    ops = [op1_simhash_near_dedup, op2_sharding, op3_exact_dedup, op4_byte_bpe, op5_ppm_scoring, op6_language_id,
+           op7_secret_scan, op8_toxicity, op9_benchmark_decontamination, op10_html_text]
     return {f.__name__: f for f in ops}
 
 

@@ -45,9 +45,9 @@ def whole(text: Column) -> Column:
 _shipped: set[str] = set()
 
 
-def map_batches(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` after the package was sent to the workers, which may run in any folder."""
-    context = df.sparkSession.sparkContext
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the workers, which may run in any folder; once for each application."""
+    context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = Path(coldledger.__file__).parent
         archive = Path(tempfile.mkdtemp()) / "coldledger_package.zip"
@@ -56,4 +56,8 @@ def map_batches(df: DataFrame, function: Callable, schema: str | StructType) ->
                 out.write(file, file.relative_to(root.parent))
         context.addPyFile(str(archive))
         _shipped.add(context.applicationId)
+
+
+def map_batches(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    ship_package(df.sparkSession)
     return df.mapInArrow(function, schema)
