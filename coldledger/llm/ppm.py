@@ -2,8 +2,9 @@
 
 A document is its lower-cased words joined by single spaces and one end symbol, coded byte by byte. The
 contexts are the ORDER bytes before (start symbols before the first byte) and all their shorter ends,
-which form a trie. Each order estimates its escape by method C; a symbol that a longer context knows is
-excluded from the shorter ones. The score is the negated code length, as a log10 probability. A plain
+which form a trie. Each order estimates its escape by method D (a symbol seen c of T times has (2c - 1) / 2T,
+d different ones leave d / 2T to the next shorter context); a symbol that a longer context knows is excluded
+from the shorter ones. The score is the negated code length, as a log10 probability. A plain
 unigram score of the words (add-one counts) comes along.
 
 How it is dealt out: documents form blocks of about ``BLOCK_BYTES`` by a hash. Each block lists its
@@ -21,6 +22,7 @@ training documents every symbol has probability 1/256. No rows: no rows.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,9 @@ from pyspark.sql import functions as F
 from coldledger.llm.shared import ship_package, whole
 from coldledger.session import work_dir
 
-ORDER = 4
-BLOCK_BYTES = 16_000_000
+ORDER = 5
+BLOCK_BYTES = 32_000_000
+CHUNK_BYTES = 4_000_000  # text of a block that is split into grams at a time
 START, END = 0xFE, 0xFF  # bytes that UTF-8 text never has
 GRAM, WORD = b"\x00", b"\x01"  # first byte of a key; the bare WORD key is the end token
 SYMBOLS = 256
@@ -65,14 +68,27 @@ def _gram_keys(codes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(offsets), pa.py_buffer(keyed.tobytes())])
 
 
+def _chunks(texts: pa.ChunkedArray) -> Iterator[list[list[bytes]]]:
+    """Words of some documents at a time."""
+    part, size = [], 0
+    for text in texts:
+        words = split_words(text.as_py())
+        part.append(words)
+        size += sum(map(len, words)) + len(words) + ORDER
+        if size >= CHUNK_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _block_facts(docs: pa.Table) -> pa.Table:
     """(block, key, n): all grams and words of a block with their counts in training documents."""
     block = docs["block"][0]
     grams, words = {}, Counter()
     for train in (True, False):
         rows = docs.filter(pc.equal(docs["train"], train))
-        for at in range(0, rows.num_rows, 1000):
-            split = [split_words(t) for t in rows["body"].slice(at, 1000).to_pylist()]
+        for split in _chunks(rows["body"]):
             counted = pc.value_counts(pa.array(gram_codes(split)[0]))
             codes, counts = counted.field("values").to_numpy(), counted.field("counts").to_numpy()
             grams.setdefault("codes", []).append(codes)
@@ -87,37 +103,52 @@ def _block_facts(docs: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(np.full(len(n), block.as_py()), pa.int64()), "key": keys, "n": n})
 
 
-def gram_log_probabilities(context: tuple[int, int], first: np.ndarray, second: np.ndarray, symbol: np.ndarray,
-                           n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """log10 probabilities of grams (first, second, *context, symbol) with training counts n.
+class _Level:
+    """Counts of one context length: for each row its gram's count and its context's total and variety."""
+
+    def __init__(self, context: np.ndarray, symbol: np.ndarray, n: np.ndarray):
+        grams, self.first, self.gram = np.unique(context * SYMBOLS + symbol, return_index=True, return_inverse=True)
+        self.counts = np.bincount(self.gram, n)
+        _, self.node = np.unique(grams // SYMBOLS, return_inverse=True)
+        self.total, self.variety = self._sum(self.counts), self._sum(self.counts > 0)
+
+    def _sum(self, per_gram: np.ndarray) -> np.ndarray:
+        """Sum over the symbols of each row's context."""
+        return np.bincount(self.node, per_gram)[self.node][self.gram]
+
+    def known_in(self, shorter: np.ndarray) -> np.ndarray:
+        """For each row the counts that a shorter context gives to the symbols this context knows."""
+        return self._sum(np.where(self.counts > 0, shorter[self.first], 0))
+
+    @property
+    def count(self) -> np.ndarray:
+        return self.counts[self.gram]
+
+
+def gram_log_probabilities(last: int, before: np.ndarray, symbol: np.ndarray, n: np.ndarray,
+                           pairs: np.ndarray) -> np.ndarray:
+    """log10 probabilities of grams with training counts n that share the last two context bytes.
 
-    The grams must be all with this context end; ``pairs`` has the counts of (byte before, symbol).
+    before: the ORDER - 2 bytes ahead of those two, as a number; last: the byte right before the symbol.
+    The grams must be all with these two bytes; ``pairs`` has the counts of (byte, next symbol).
     """
-    last = context[1]
-    top = first * 256 + second
-    c3 = np.bincount(second * 256 + symbol, n, minlength=65_536).reshape(256, 256)
-    c2, c1, c0 = c3.sum(axis=0), pairs[last], pairs.sum(axis=0)
-    known = n > 0
-    total4, distinct4 = np.bincount(top, n, minlength=65_536), np.bincount(top, known, minlength=65_536)
-    total3, distinct3 = c3.sum(axis=1), (c3 > 0).sum(axis=1)
-    distinct2, distinct1, distinct0 = (c2 > 0).sum(), (c1 > 0).sum(), (c0 > 0).sum()
-    orders = [
-        (n, total4[top], distinct4[top]),
-        (c3[second, symbol], total3[second] - np.bincount(top, known * c3[second, symbol], minlength=65_536)[top],
-         distinct3[second] - distinct4[top]),
-        (c2[symbol], (c2.sum() - (c3 > 0) @ c2)[second], (distinct2 - distinct3)[second]),
-        (c1[symbol], c1.sum() - (c2 > 0) @ c1, distinct1 - distinct2),
-        (c0[symbol], c0.sum() - (c1 > 0) @ c0, distinct0 - distinct1)]
+    levels = [_Level(before % (SYMBOLS ** k), symbol, n) for k in range(ORDER - 2, -1, -1)]
+    c1, c0 = pairs[last], pairs.sum(axis=0)
+    orders = [(levels[0].count, levels[0].total, levels[0].variety)]
+    for longer, level in zip(levels, levels[1:], strict=False):
+        orders.append((level.count, level.total - longer.known_in(level.count), level.variety - longer.variety))
+    orders.append((c1[symbol], c1.sum() - levels[-1].known_in(c1[symbol]), (c1 > 0).sum() - levels[-1].variety))
+    everywhere = np.ones(len(n))
+    orders.append((c0[symbol], (c0.sum() - (c1 > 0) @ c0) * everywhere, ((c0 > 0).sum() - (c1 > 0).sum()) * everywhere))
     out, waiting = np.zeros(len(n)), np.ones(len(n), dtype=bool)
-    for count, total, distinct in orders:
-        total, distinct = np.broadcast_to(total, len(n)), np.broadcast_to(distinct, len(n))
+    for count, total, variety in orders:
         alive = waiting & (total > 0)
         here = alive & (count > 0)
-        out[here] += np.log10(count[here] / (total + distinct)[here])
+        out[here] += np.log10((2 * count[here] - 1) / (2 * total[here]))
         escape = alive & ~here
-        out[escape] += np.log10(distinct[escape] / (total + distinct)[escape])
+        out[escape] += np.log10(variety[escape] / (2 * total[escape]))
         waiting &= ~here
-    out[waiting] -= np.log10(max(1, SYMBOLS - distinct0))
+    out[waiting] -= np.log10(max(1, SYMBOLS - (c0 > 0).sum()))
     return out
 
 
@@ -134,9 +165,7 @@ def _score_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
     codes, gram_values = pa.array(codes), values[is_gram]
     counts = dict(zip((k[1:] for k in keys.filter(pa.array(~is_gram)).to_pylist()), values[~is_gram].tolist(), strict=True))
     tokens, known, logs, scores = [], [], [], []
-    bodies = docs["body"]
-    for at in range(0, docs.num_rows, 1000):
-        split = [split_words(t) for t in bodies.slice(at, 1000).to_pylist()]
+    for split in _chunks(docs["body"]):
         grams, sizes = gram_codes(split)
         found = pc.index_in(pa.array(grams), value_set=codes)
         if found.null_count:
@@ -181,13 +210,16 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
 
     def probabilities(part: pa.Table) -> pa.Table:
         raw = np.frombuffer(b"".join(part["key"].to_pylist()), np.uint8).reshape(-1, ORDER + 2).astype(np.int64)
-        values = gram_log_probabilities((raw[0, 3], raw[0, 4]), raw[:, 1], raw[:, 2], raw[:, 5],
-                                        part["n"].to_numpy(), pairs)
+        before = np.zeros(len(raw), np.int64)
+        for i in range(1, ORDER - 1):
+            before = before * SYMBOLS + raw[:, i]
+        values = gram_log_probabilities(int(raw[0, ORDER]), before, raw[:, ORDER + 1], part["n"].to_numpy(), pairs)
         return pa.table({"key": part["key"], "value": values})
 
     model = (grams.groupBy(F.substring("key", ORDER, 2)).applyInArrow(probabilities, "key binary, value double")
              .unionByName(totals.where(is_word).select("key", F.col("n").cast("double").alias("value"))))
-    answers = facts.select("block", "key").join(model, "key").select("block", "key", "value")
+    # Written as well, so that the shuffle files of this join are gone before the next ones come.
+    answers = _written(facts.select("block", "key").join(model, "key").select("block", "key", "value"), f"{folder}/answers")
     scored = (dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _score_block, f"id {dealt.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, "
                       "n_known long, logs double, score double"))

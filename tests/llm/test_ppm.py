@@ -10,30 +10,30 @@ from coldledger.llm import ppm
 
 
 def slow_scores(docs):
-    """Byte by byte PPM with escapes of method C and exclusion, and the unigram score."""
+    """Byte by byte PPM with escapes of method D and exclusion, and the unigram score."""
     split = [ppm.split_words(t) for _, t, _ in docs]
-    coded = [b"\xfe" * 4 + b" ".join(w) + b"\xff" for w in split]
+    coded = [b"\xfe" * 5 + b" ".join(w) + b"\xff" for w in split]
     counts = defaultdict(Counter)
     words = Counter()
     for line, ws, (_, _, train) in zip(coded, split, docs, strict=True):
         if train:
             words.update([*ws, b""])
-            for i in range(4, len(line)):
-                for k in range(5):
+            for i in range(5, len(line)):
+                for k in range(6):
                     counts[line[i - k:i]][line[i]] += 1
     n, v = sum(words.values()), len(words)
     out = []
     for line, ws, (doc, _, train) in zip(coded, split, docs, strict=True):
         score = 0.0
-        for i in range(4, len(line)):
+        for i in range(5, len(line)):
             out_of = set()
-            for k in range(4, -1, -1):
+            for k in range(5, -1, -1):
                 seen = {s: c for s, c in counts[line[i - k:i]].items() if s not in out_of}
-                total = sum(seen.values()) + len(seen)
+                total = 2 * sum(seen.values())
                 if not seen:
                     continue
                 if line[i] in seen:
-                    score += math.log10(seen[line[i]] / total)
+                    score += math.log10((2 * seen[line[i]] - 1) / total)
                     break
                 score += math.log10(len(seen) / total)
                 out_of |= set(seen)
@@ -67,5 +67,5 @@ def test_nothing_to_learn(spark, none, odd):
 def test_model_beats_unigrams_on_held_out_text(spark):
     from coldledger.llm.queries import op5_ppm_scoring
 
-    got = op5_ppm_scoring(spark, "/root/testdata/sf0.001").where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    got = op5_ppm_scoring(spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert got[1] > got[0]
