@@ -76,7 +76,7 @@ SNAPSHOT_DIRS = (".snapshot",)
 
 @dataclass(frozen=True)
 class MetaFiles:
-    """Names of the files that an archiving tool leaves behind in each folder.
+    """Names of the files that an archiving tool leaves behind in each folder.
 
     The names follow one rule, so archives made under another tool name are read
     by passing that name.

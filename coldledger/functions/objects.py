@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from coldledger.constants import GLACIER_CLASSES, META
+from coldledger.functions.paths import parent
+
+
+def location(bucket: Column, key: Column) -> Column:
+    """Location of the folder that holds an object."""
+    return parent(F.concat(F.lit(":s3:"), bucket, F.lit("/"), key))
 
 
 def is_glacier(storage_class: Column) -> Column:

@@ -47,11 +47,15 @@ def clean_path(path: Column) -> Column:
 
 
 def report_slug(path: Column, shorten: bool = False) -> Column:
-    """File name of a folder's report: every '/' becomes '+', plus '.csv'."""
+    """File name of a folder's report: every '/' becomes '+', plus '.csv'.
+
+    A name that is too long for a file keeps its start and its end, and the digest of the whole path
+    between them keeps different folders apart.
+    """
     slug = F.concat(F.translate(path, "/", "+"), F.lit(".csv"))
     if not shorten:
         return slug
-    short = F.concat(F.left(slug, F.lit(25)), F.lit("....."), F.right(slug, F.lit(225)))
+    short = F.concat(F.left(slug, F.lit(25)), F.lit(".."), F.md5(path), F.lit(".."), F.right(slug, F.lit(190)))
     return F.when(F.length(slug) > 255, short).otherwise(slug)
 
 

@@ -12,25 +12,25 @@ def has_bits(mode: Column, bits: int) -> Column:
     return mode.bitwiseAND(F.lit(bits)) == F.lit(bits)
 
 
+# A class's three bits start at its shift; a mode is open to everybody if all classes have these bits.
+_CLASSES = {"owner": 6, "group": 3}
+_BIT = {"read": 4, "write": 2}
+_OPEN = {"read": 0o444, "write": 0o666}
+
+
 def mode_flags(mode: Column, owner: Column, group: Column, uid: int,
                gids: Sequence[int]) -> dict[str, Column]:
     """Named flags for one user: ownership, single bits, and the resulting access."""
-    is_owner = owner == F.lit(uid)
-    is_member = group.isin([int(g) for g in gids]) if gids else F.lit(False)
-    read_all = has_bits(mode, 0o444)
-    write_all = has_bits(mode, 0o666) | has_bits(mode, 0o777)
-    return {
-        "is_owner": is_owner,
-        "is_group_member": is_member,
-        "owner_read": has_bits(mode, 0o400),
-        "owner_write": has_bits(mode, 0o200),
-        "group_read": has_bits(mode, 0o040),
-        "group_write": has_bits(mode, 0o020),
-        "is_444": read_all,
-        "is_666_or_777": write_all,
-        "can_read": (is_owner & has_bits(mode, 0o400)) | (is_member & has_bits(mode, 0o040)) | read_all,
-        "can_write": (is_owner & has_bits(mode, 0o200)) | (is_member & has_bits(mode, 0o020)) | write_all,
-    }
+    holds = {"owner": owner == F.lit(uid), "group": group.isin([int(g) for g in gids]) if gids else F.lit(False)}
+    flags = {"is_owner": holds["owner"], "is_group_member": holds["group"]}
+    for access, everybody in (("read", "is_444"), ("write", "is_666_or_777")):
+        flags[everybody] = has_bits(mode, _OPEN[access])
+        granted = flags[everybody]
+        for who, shift in _CLASSES.items():
+            flags[f"{who}_{access}"] = has_bits(mode, _BIT[access] << shift)
+            granted = granted | holds[who] & flags[f"{who}_{access}"]
+        flags[f"can_{access}"] = granted
+    return flags
 
 
 def entry_type(mode: Column) -> Column:

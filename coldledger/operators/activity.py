@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coldledger.constants import DISK_WRITE_LIMIT, IDLE_RUNS, NET_RECV_LIMIT, NET_SENT_LIMIT, SAMPLE_SECONDS
@@ -17,24 +17,16 @@ COUNTERS = ("write_bytes", "sent_bytes", "recv_bytes")
 def idle_summary(heartbeats: DataFrame) -> DataFrame:
     """Per host: heartbeats seen, and how many idle ones followed the last busy one.
 
-    A host may own a third of all heartbeats, so rows are only gathered per (host, hour). Those
-    hours become one row each, and just the hourly rows of a host meet.
+    The last busy one is a partial aggregate, one small row per host that joins back; a host with a third
+    of all heartbeats is split by the adaptive skew join, or not moved at all where the hosts fit a broadcast.
     """
     at = F.struct("ts", "seq")
-    hour = Window.partitionBy("host", "hour")
-    busy_at = F.max(F.when(F.col("idle") == 0, at)).over(hour)
-    hourly = (
-        heartbeats.select("host", "ts", "seq", "idle", F.date_trunc("hour", "ts").alias("hour"))
-        .withColumn("busy_at", busy_at)
-        .groupBy("host", "hour").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("busy_at").isNull() | (at > F.col("busy_at"))).alias("tail"),
-            F.bool_or(F.col("busy_at").isNotNull()).alias("busy")))
-    last_busy = F.max(F.when(F.col("busy"), F.col("hour"))).over(Window.partitionBy("host"))
-    counted = F.col("last_busy").isNull() | (F.col("hour") >= F.col("last_busy"))
-    return (hourly.withColumn("last_busy", last_busy).groupBy("host").agg(
-        F.sum("n").alias("runs"), F.bool_or("busy").alias("was_busy"),
-        F.sum(F.when(counted, F.col("tail")).otherwise(0)).alias("streak")))
+    last = heartbeats.groupBy(F.col("host").alias("_host")).agg(F.max(F.when(F.col("idle") == 0, at)).alias("_busy_at"))
+    idle_since = F.col("_busy_at").isNull() | (F.col("_at") > F.col("_busy_at"))
+    return (heartbeats.select("host", at.alias("_at")).join(last, F.col("host").eqNullSafe(F.col("_host")))
+            .groupBy("host").agg(
+                F.count(F.lit(1)).alias("runs"), F.bool_or(F.col("_busy_at").isNotNull()).alias("was_busy"),
+                F.count_if(idle_since).alias("streak")))
 
 
 def idle_streak(heartbeats: DataFrame, n: int = IDLE_RUNS) -> DataFrame:

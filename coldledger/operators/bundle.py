@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from coldledger.constants import KIB, META, MIB, OBJECT_OVERHEAD_BYTES, SMALL_FILE_KIB
 from coldledger.operators.inventory import non_meta
-from coldledger.skew import BROADCAST_ROWS, HOT_MIN_ROWS, lookup_join
 
 BUNDLE_BYTES = 64 * MIB
 
@@ -40,8 +39,7 @@ def even_part(name: Column, parts: Column) -> Column:
     return F.pmod(number, parts)
 
 
-def bundle_small(files: DataFrame, kib: int | None = None, target_bytes: int = BUNDLE_BYTES,
-                 broadcast_rows: int = BROADCAST_ROWS, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+def bundle_small(files: DataFrame, kib: int | None = None, target_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Pack each folder's small files (folder, name, size, content) into containers.
 
     A folder gets as many containers as its bytes need, and names are spread evenly over
@@ -50,7 +48,7 @@ def bundle_small(files: DataFrame, kib: int | None = None, target_bytes: int = B
     small = files.where(is_small(F.col("size"), kib)).select("folder", "name", "size", "content")
     parts = small.groupBy("folder").agg(
         F.greatest(F.ceil(F.sum("size") / F.lit(target_bytes)), F.lit(1)).cast("long").alias("_parts"))
-    placed = (lookup_join(small, parts, ["folder"], ["name"], "inner", broadcast_rows, min_rows)
+    placed = (small.join(parts, "folder")
               .withColumn("bundle", even_part(F.col("name"), F.col("_parts"))))
     return (placed.groupBy("folder", "bundle")
             .agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"),

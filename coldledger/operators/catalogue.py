@@ -11,36 +11,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coldledger.functions.paths import ancestors, build_destination, clean_path, rebase
-from coldledger.skew import BROADCAST_ROWS, HOT_MIN_ROWS, lookup_join
 from coldledger.sources.catalogue import KEY
 
 RECORD = ("local_folder", "archive_folder", "s3_storage_class", "profile", "provider", "endpoint",
           "archive_mode", "timestamp", "user")
 
 
-def catalogue_lookup(folders: DataFrame, catalogue: DataFrame,
-                     broadcast_rows: int = BROADCAST_ROWS, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+def catalogue_lookup(folders: DataFrame, catalogue: DataFrame) -> DataFrame:
     """For each distinct folder its own entry, else that of the nearest recursive ancestor.
 
-    The prefix test is an equi-join on expanded ancestors. A top directory is an ancestor of
-    most folders, hence ``lookup_join``. Unmatched folders stay, with null record columns.
+    The prefix test is an equi-join on expanded ancestors; the same grouping that takes the nearest
+    match also removes repeated folders, so each input is read once. A top directory is an ancestor
+    of most folders: the adaptive skew join splits it. Unmatched folders stay, with null record columns.
+    ``destination`` is where the folder itself lies: its rest of the path below the archive of its entry.
     """
-    wanted = folders.select("folder").distinct()
-    exploded = wanted.select("folder", F.posexplode(ancestors(F.col("folder"))).alias("_depth", KEY))
+    exploded = folders.select("folder", F.posexplode_outer(ancestors(F.col("folder"))).alias("_depth", KEY))
     entries = catalogue.select(KEY, F.struct(*RECORD).alias("_entry"))
-    matches = (
-        lookup_join(exploded, entries, [KEY], ["folder"], "inner", broadcast_rows, min_rows)
-        .where((F.col(KEY) == F.col("folder")) | (F.col("_entry.archive_mode") == "Recursive"))
-        .groupBy("folder").agg(F.max_by(F.struct(KEY, "_entry"), "_depth").alias("_best")))
-    return wanted.join(matches, "folder", "left").select(
+    valid = F.col("_entry").isNotNull() & (
+        (F.col(KEY) == F.col("folder")) | (F.col("_entry.archive_mode") == "Recursive"))
+    best = F.max_by(F.struct(KEY, "_entry"), F.when(valid, F.col("_depth")))
+    return exploded.join(entries, KEY, "left").groupBy("folder").agg(best.alias("_best")).select(
         "folder", F.col(f"_best.{KEY}").alias("matched_folder"),
         F.when(F.col("_best").isNull(), F.lit("none"))
         .when(F.col(f"_best.{KEY}") == F.col("folder"), F.lit("exact"))
         .otherwise(F.lit("ancestor")).alias("match"),
+        rebase(F.col("folder"), F.col("_best._entry.local_folder"), F.col("_best._entry.archive_folder")).alias("destination"),
         *[F.col(f"_best._entry.{c}").alias(c) for c in RECORD])
 
 
-def path_overlaps(folders: DataFrame, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+def path_overlaps(folders: DataFrame) -> DataFrame:
     """Folders that are listed twice or lie below another listed folder: (ancestor, folder, copies).
 
     Each folder carries its number of copies, so equal paths are counted, not paired.
@@ -49,7 +48,7 @@ def path_overlaps(folders: DataFrame, min_rows: int = HOT_MIN_ROWS) -> DataFrame
     below = listed.select("folder", F.explode(ancestors(F.col("folder"))).alias("ancestor")).where(
         F.col("ancestor") != F.col("folder"))
     keys = listed.select(F.col("folder").alias("ancestor"))
-    nested = (lookup_join(below, keys, ["ancestor"], ["folder"], "inner", min_rows=min_rows)
+    nested = (below.join(keys, "ancestor")
               .select("ancestor", "folder", F.lit(1).cast("long").alias("copies")))
     twice = listed.where("copies > 1").select(F.col("folder").alias("ancestor"), "folder", "copies")
     return nested.unionByName(twice)
@@ -57,14 +56,12 @@ def path_overlaps(folders: DataFrame, min_rows: int = HOT_MIN_ROWS) -> DataFrame
 
 def destination(bucket: str, archive_dir: str) -> Column:
     """Place of a looked-up folder: below its archived parent, else its own."""
-    fresh = build_destination(F.lit(bucket), F.lit(archive_dir), F.col("folder"))
-    return F.coalesce(rebase(F.col("folder"), F.col("local_folder"), F.col("archive_folder")), fresh)
+    return F.coalesce("destination", build_destination(F.lit(bucket), F.lit(archive_dir), F.col("folder")))
 
 
-def destination_paths(folders: DataFrame, catalogue: DataFrame, bucket: str, archive_dir: str,
-                      **join_options: int) -> DataFrame:
+def destination_paths(folders: DataFrame, catalogue: DataFrame, bucket: str, archive_dir: str) -> DataFrame:
     """Where each folder lies or would be put."""
-    return catalogue_lookup(folders, catalogue, **join_options).select(
+    return catalogue_lookup(folders, catalogue).select(
         "folder", "match", destination(bucket, archive_dir).alias("destination"))
 
 
@@ -89,7 +86,7 @@ def catalogue_export(catalogue: DataFrame, columns: Sequence[str]) -> DataFrame:
     return catalogue.orderBy(F.desc("timestamp"), KEY).select(*present)
 
 
-def unarchived_hotspots(hotspot_rows: DataFrame, catalogue: DataFrame, **join_options: int) -> DataFrame:
+def unarchived_hotspots(hotspot_rows: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Hotspots that no catalogue entry covers."""
-    found = catalogue_lookup(hotspot_rows, catalogue, **join_options).where("match <> 'none'")
+    found = catalogue_lookup(hotspot_rows, catalogue).where("match <> 'none'")
     return hotspot_rows.join(found.select("folder"), "folder", "left_anti")

@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldledger.skew import BROADCAST_ROWS, HOT_MIN_ROWS, lookup_join
 
-
-def entitlements(principals: DataFrame, policies: DataFrame, broadcast_rows: int = BROADCAST_ROWS,
-                 min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+def entitlements(principals: DataFrame, policies: DataFrame) -> DataFrame:
     """Pairs a principal may use, with the options left to it.
 
     ``principals``: principal, account, groups, options. ``policies``: resource, state,
@@ -34,7 +31,7 @@ def entitlements(principals: DataFrame, policies: DataFrame, broadcast_rows: int
         F.transform("groups", lambda g: F.struct(F.lit("group").alias("kind"), g.alias("name"))))
     flat = lambda df: df.withColumns({"_kind": F.col("_token.kind"), "_name": F.col("_token.name")}).drop("_token")
     asked = flat(principals.withColumn("_token", F.explode(F.array_distinct(mine))))
-    pairs = lookup_join(asked, flat(rules), ["_kind", "_name"], ["principal"], "inner", broadcast_rows, min_rows)
+    pairs = asked.join(flat(rules), ["_kind", "_name"])
     denied = F.arrays_overlap("deny_groups", "groups") | F.array_contains(F.col("deny_accounts"), F.col("account"))
     all_options = (F.size("allow_options") == 1) & F.array_contains("allow_options", "ALL")
     left = (F.when(~empty("deny_options"), F.array_except("options", "deny_options"))

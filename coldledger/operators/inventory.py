@@ -91,14 +91,12 @@ def truncate_units(df: DataFrame) -> DataFrame:
 
 
 def hotspots(base: DataFrame, min_gib: float | None = None, min_mib: float | None = None) -> DataFrame:
-    """Folders over both thresholds, largest first."""
-    return (truncate_units(base.where(is_hotspot(min_gib, min_mib)))
-            .orderBy(F.desc("dirsum"), "folder"))
+    """Folders over both thresholds; reports sort them when they are written."""
+    return truncate_units(base.where(is_hotspot(min_gib, min_mib)))
 
 
-def top_hotspots(hotspot_rows: DataFrame, n: int | None = None) -> DataFrame:
+def top_hotspots(hotspot_rows: DataFrame, n: int) -> DataFrame:
     """The n largest hotspots for display."""
-    n = MAX_REPORT_ROWS if n is None else n
     return hotspot_rows.orderBy(F.desc("dirsum"), "folder").limit(n)
 
 

@@ -12,19 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coldledger.constants import EGRESS_USD_PER_TIB, GLACIER_CLASSES, META, RETRIEVAL_OPTIONS, STORAGE_TIERS, TIB
-from coldledger.functions.objects import is_glacier, restore_class
-from coldledger.functions.paths import ancestors, basename, parent
+from coldledger.functions.objects import is_glacier, location, restore_class
+from coldledger.functions.paths import ancestors, basename
 from coldledger.functions.units import to_gib
 from coldledger.operators.catalogue import catalogue_lookup
 
 STATES = ("triggered", "restoring", "restored", "not_glacier", "unsupported", "ignored")
 
 
-def location(bucket: Column, key: Column) -> Column:
-    """Location of the folder that holds an object."""
-    return parent(F.concat(F.lit(":s3:"), bucket, F.lit("/"), key))
-
-
 def object_rollup(objects: DataFrame, keep: Sequence[str] = META.keep_standard) -> DataFrame:
     """Objects, bytes and kept metadata files per location, direct objects only."""
     return objects.groupBy(location(F.col("bucket"), F.col("key")).alias("location")).agg(
@@ -74,27 +69,39 @@ def restore_readiness(counts: DataFrame) -> DataFrame:
     return counts.select("*", (F.col("triggered") + running > 0).alias("pending"), mix.alias("progress"))
 
 
-def tier_change_plan(folders: DataFrame, catalogue: DataFrame, objects: DataFrame, new_class: str,
-                     **join_options: int) -> DataFrame:
-    """What moving each folder's archive to another storage class would touch.
+def tier_change_plan(folders: DataFrame, catalogue: DataFrame, objects: DataFrame, new_class: str) -> DataFrame:
+    """What moving the archives of the given folders to another storage class would touch.
 
-    Archives that need a retrieval first are rejected. Metadata files keep their class; they
-    count as skipped but their bytes belong to the total.
+    One row for each archive (catalogue entry), with the number of folders that asked for it; folders
+    without an archive have a row of their own. An object counts for the nearest archive above it in the
+    catalogue only, so the rows add up to the objects. Archives that need a retrieval first are rejected.
+    Metadata files keep their class; they count as skipped but their bytes belong to the total.
     """
-    sizes = subtree_rollup(object_rollup(objects))
-    decision = (F.when(F.col("match") == "none", F.lit("not_archived"))
-                .when(is_glacier(F.col("s3_storage_class")), F.lit("rejected"))
-                .otherwise(F.lit("change")))
-    asked = catalogue_lookup(folders, catalogue, **join_options).select(
-        "folder", "matched_folder", F.col("archive_folder").alias("location"), "s3_storage_class", decision.alias("decision"))
+    asked = catalogue_lookup(folders, catalogue).groupBy(
+        F.coalesce("matched_folder", "folder").alias("archive"), F.col("archive_folder").alias("location"),
+        F.col("s3_storage_class").alias("old_class")).agg(F.count(F.lit(1)).alias("folders"))
+    decision = (F.when(F.col("location").isNull(), F.lit("not_archived"))
+                .when(is_glacier(F.col("old_class")), F.lit("rejected")).otherwise(F.lit("change")))
     moves = F.col("decision") == "change"
-    n = F.when(moves, F.coalesce("objects", F.lit(0))).otherwise(F.lit(0))
-    kept = F.when(moves, F.coalesce("kept", F.lit(0))).otherwise(F.lit(0))
-    size = F.when(moves, F.coalesce("bytes", F.lit(0))).otherwise(F.lit(0))
-    return asked.join(sizes, "location", "left").select(
-        "folder", "matched_folder", "location", "decision", F.col("s3_storage_class").alias("old_class"),
-        F.lit(new_class).alias("new_class"), n.alias("total"), (n - kept).alias("changed"),
-        kept.alias("skipped"), size.alias("bytes"))
+    count = lambda c: F.when(moves, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return (asked.join(archive_sizes(catalogue, objects), "location", "left").withColumn("decision", decision).select(
+        "archive", "location", "folders", "decision", "old_class", F.lit(new_class).alias("new_class"),
+        count("objects").alias("total"), count(F.col("objects") - F.col("kept")).alias("changed"),
+        count("kept").alias("skipped"), count("bytes").alias("bytes")))
+
+
+def archive_sizes(catalogue: DataFrame, objects: DataFrame) -> DataFrame:
+    """Objects, bytes and kept files of each archive; each object belongs to the nearest archive above it.
+
+    Objects are one row per location before the ancestors are expanded.
+    """
+    archives = catalogue.select(F.col("archive_folder").alias("above"), "archive_mode").distinct()
+    at = object_rollup(objects).select("*", F.posexplode(ancestors(F.col("location"))).alias("_depth", "above"))
+    valid = (F.col("above") == F.col("location")) | (F.col("archive_mode") == "Recursive")
+    nearest = (at.join(archives, "above").where(valid).groupBy("location", "objects", "bytes", "kept")
+               .agg(F.max_by("above", "_depth").alias("archive")))
+    return nearest.groupBy(F.col("archive").alias("location")).agg(
+        *[F.sum(c).alias(c) for c in ("objects", "bytes", "kept")])
 
 
 def storage_tiers(spark: SparkSession) -> DataFrame:

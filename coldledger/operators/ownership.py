@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldledger.skew import BROADCAST_ROWS, HOT_MIN_ROWS, lookup_join
-
 
-def resolve_owner(df: DataFrame, users: DataFrame, groups: DataFrame,
-                  spread: Sequence[str] = ("folder", "name"),
-                  broadcast_rows: int = BROADCAST_ROWS, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+def resolve_owner(df: DataFrame, users: DataFrame, groups: DataFrame) -> DataFrame:
     """Add owner and group_name; an unknown id is kept as text.
 
-    One user may own a third of all files: names join through ``lookup_join``, which
-    broadcasts a small directory of users and splits hot ids otherwise.
+    Plain joins: the sizes that are seen at run time decide between a broadcast and a shuffle, and
+    a user who owns a third of all files is split by the adaptive skew join.
     """
     named = df
     for lookup, key, source, target in (
             (users, "uid", "user", "owner"), (groups, "gid", "group_name", "group_name")):
         names = lookup.select(key, F.col(source).alias("_name"))
-        named = (lookup_join(named, names, [key], spread, "left", broadcast_rows, min_rows)
+        named = (named.join(names, key, "left")
                  .withColumn(target, F.coalesce("_name", F.col(key).cast("string"))).drop("_name"))
     return named

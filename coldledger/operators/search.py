@@ -14,14 +14,15 @@ def dedup_first(df: DataFrame, key: str, *seq: str) -> DataFrame:
             .select("_row.*"))
 
 
-def cascade_search(grants: DataFrame, query: str, cap: int | None = None) -> DataFrame:
+def cascade_search(grants: DataFrame, query: str) -> DataFrame:
     """Person, else project number, else organisation; and always full text; first hit per project.
 
     ``grants`` has seq, project_num, contact_pi_name, project_title, org_name, text. All tests
-    run in one scan. ``cap`` bounds each branch to its first rows, as a paged service would;
-    by default results are whole.
+    run in one scan, and results are whole. A query without words finds nothing.
     """
     words = search_words(query)
+    if not words:
+        grants = grants.where(F.lit(False))
     number = F.lit(" ".join(words))
     worded = ~is_number(number)
     tested = grants.select(
@@ -40,16 +41,9 @@ def cascade_search(grants: DataFrame, query: str, cap: int | None = None) -> Dat
                 ("org", F.col("_org") & no_pi & no_project),
                 ("text", F.col("_text")))
     columns = ["seq", "project_num", "contact_pi_name", "project_title", "org_name"]
-    if cap is None:
-        taken = F.array_compact(F.array(*[
-            F.when(test, F.struct(F.lit(i).alias("rank"), F.lit(n).alias("found_by")))
-            for i, (n, test) in enumerate(branches)]))
-        found = hits.select(*columns, F.array_min(taken).alias("_b")).where("_b is not null")
-        found = found.select(*columns, "_b.rank", "_b.found_by")
-    else:
-        found = None
-        for i, (n, test) in enumerate(branches):
-            branch = hits.where(test).orderBy("seq").limit(cap).select(
-                *columns, F.lit(i).alias("rank"), F.lit(n).alias("found_by"))
-            found = branch if found is None else found.unionByName(branch)
+    taken = F.array_compact(F.array(*[
+        F.when(test, F.struct(F.lit(i).alias("rank"), F.lit(n).alias("found_by")))
+        for i, (n, test) in enumerate(branches)]))
+    found = hits.select(*columns, F.array_min(taken).alias("_b")).where("_b is not null")
+    found = found.select(*columns, "_b.rank", "_b.found_by")
     return dedup_first(found, "project_num", "rank", "seq").drop("rank")

@@ -1,20 +1,21 @@
 """Checksum verification and the decisions that depend on it.
 
-Manifests and object listings share the columns folder, name, md5.
+Manifests have folder, name, md5. Object listings have bucket, key, md5; which folder an object archives
+follows from where it lies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coldledger.constants import META
 from coldledger.operators.catalogue import catalogue_lookup
 from coldledger.operators.inventory import non_meta
-from coldledger.functions.objects import is_glacier
-from coldledger.functions.paths import rebase
+from coldledger.functions.objects import is_glacier, location
+from coldledger.functions.paths import basename
 
 
 def content_md5(files: DataFrame, content: str = "content") -> DataFrame:
@@ -22,50 +23,55 @@ def content_md5(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("md5", F.md5(F.col(content).cast("binary"))).drop(content)
 
 
-def digest_files(paths: DataFrame, chunk_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """Digest of whole files on a mount that all executors share, read in chunks.
-
-    ``paths`` has folder, name. Memory is one chunk per task, however long the file.
-    """
-    def read(batches):
-        import hashlib
-        import os
+def md5_manifest(digests: DataFrame, names: Sequence[str] = META.not_hashed) -> DataFrame:
+    """Manifest rows without the files that are never hashed."""
+    return non_meta(digests.select("folder", "name", "md5"), names)
 
-        import pandas as pd
 
-        def digest(path: str) -> str:
-            state = hashlib.md5()
-            with open(path, "rb") as stream:
-                while chunk := stream.read(chunk_bytes):
-                    state.update(chunk)
-            return state.hexdigest()
+def located(objects: DataFrame, places: DataFrame) -> DataFrame:
+    """Objects (bucket, key, md5) under the folders whose place they lie at: (folder, name, md5).
 
-        for pdf in batches:
-            yield pd.DataFrame({
-                "folder": pdf["folder"], "name": pdf["name"],
-                "md5": [digest(os.path.join(f, n)) for f, n in zip(pdf["folder"], pdf["name"])]})
+    ``places`` has folder and destination. Objects anywhere else belong to no folder, whatever their names.
+    """
+    rows = objects.select(location(F.col("bucket"), F.col("key")).alias("destination"),
+                          basename(F.col("key")).alias("name"), "md5")
+    return rows.join(places.where("destination IS NOT NULL").select("folder", "destination"), "destination").select(
+        "folder", "name", "md5")
 
-    return paths.select("folder", "name").mapInPandas(read, "folder string, name string, md5 string")
 
+def _compared(src: DataFrame, dst: DataFrame, restored: DataFrame | None = None) -> DataFrame:
+    """Per folder and name: the least and greatest digest of each side, null where a side has no such file.
 
-def md5_manifest(digests: DataFrame, names: Sequence[str] = META.not_hashed) -> DataFrame:
-    """Manifest rows without the files that are never hashed."""
-    return non_meta(digests.select("folder", "name", "md5"), names)
+    The sides are stacked and aggregated, so each one is read once and copies of a row shrink early.
+    """
+    sides = {"src": src, "dst": dst} | ({"re": restored} if restored is not None else {})
+    rows = None
+    for side, df in sides.items():
+        part = df.select("folder", "name", F.coalesce("md5", F.lit("")).alias("md5"), F.lit(side).alias("side"))
+        rows = part if rows is None else rows.unionByName(part)
+    of = lambda side: F.when(F.col("side") == side, F.col("md5"))
+    return rows.groupBy("folder", "name").agg(
+        *[f(of(side)).alias(f"{side}_{n}") for side in sides for n, f in (("low", F.min), ("high", F.max))])
+
+
+def _status(side: str) -> Column:
+    """How one side of ``_compared`` and the archive agree; null for names that neither has."""
+    low, high, dst = F.col(f"{side}_low"), F.col(f"{side}_high"), F.col("dst_low")
+    same = (low == high) & (dst == F.col("dst_high")) & (low == dst) & (low != "")
+    return (F.when(low.isNull() & dst.isNull(), F.lit(None))
+            .when(dst.isNull(), F.lit("missing_on_dst"))
+            .when(low.isNull(), F.lit("missing_on_src"))
+            .when(same, F.lit("match")).otherwise(F.lit("differ")))
 
 
 def verify_checksums(src: DataFrame, dst: DataFrame) -> DataFrame:
     """Compare by folder and name: match, differ, missing_on_dst or missing_on_src.
 
-    Both sides hold direct files under their own folder, so only that level is compared.
+    Both sides hold direct files under their own folder, so only that level is compared. A name that
+    comes with several digests, or with none, never matches.
     """
-    left = src.select("folder", "name", F.col("md5").alias("src_md5"), F.lit(True).alias("_src"))
-    right = dst.select("folder", "name", F.col("md5").alias("dst_md5"), F.lit(True).alias("_dst"))
-    status = (F.when(F.col("_dst").isNull(), F.lit("missing_on_dst"))
-              .when(F.col("_src").isNull(), F.lit("missing_on_src"))
-              .when(F.col("src_md5") == F.col("dst_md5"), F.lit("match"))
-              .otherwise(F.lit("differ")))
-    return (left.join(right, ["folder", "name"], "full_outer")
-            .select("folder", "name", "src_md5", "dst_md5", status.alias("status")))
+    digest = lambda side: F.nullif(F.col(f"{side}_low"), F.lit("")).alias(f"{side}_md5")
+    return _compared(src, dst).select("folder", "name", digest("src"), digest("dst"), _status("src").alias("status"))
 
 
 def verified_folders(verification: DataFrame) -> DataFrame:
@@ -76,26 +82,40 @@ def verified_folders(verification: DataFrame) -> DataFrame:
         failed.alias("failed"), (failed == 0).alias("ok"))
 
 
-def _checks(src: DataFrame, dst: DataFrame) -> DataFrame:
-    """Whether a folder has a manifest and passes it, from a single pass over both sides."""
-    return verified_folders(verify_checksums(src, dst)).select(
-        "folder", (F.col("listed") > 0).alias("has_manifest"), "ok")
+def folder_checks(src: DataFrame, dst: DataFrame, restored: DataFrame | None = None) -> DataFrame:
+    """Per folder: has_manifest, and ok if the archive holds exactly what the manifest lists.
+
+    Folders without an archive-time manifest are judged by the restore-time one, if there is any.
+    """
+    compared = _compared(src, dst, restored)
+    facts = []
+    for side in ("src", "re") if restored is not None else ("src",):
+        facts += [F.bool_or(F.col(f"{side}_low").isNotNull()).alias(f"{side}_any"),
+                  F.coalesce(F.bool_and(_status(side) == "match"), F.lit(False)).alias(f"{side}_ok")]
+    sums = compared.groupBy("folder").agg(*facts)
+    if restored is None:
+        return sums.select("folder", F.col("src_any").alias("has_manifest"), F.col("src_ok").alias("ok"))
+    return sums.select("folder", (F.col("src_any") | F.col("re_any")).alias("has_manifest"),
+                       F.when(F.col("src_any"), F.col("src_ok")).otherwise(F.col("re_any") & F.col("re_ok")).alias("ok"))
 
 
-def archive_state(folders: DataFrame, catalogue: DataFrame, src: DataFrame, dst: DataFrame,
-                  **join_options: int) -> DataFrame:
+def archive_state(folders: DataFrame, catalogue: DataFrame, src: DataFrame, objects: DataFrame) -> DataFrame:
     """archived, mismatch, leftover (a manifest but no entry) or new, per folder."""
-    return state_of(catalogue_lookup(folders, catalogue, **join_options), src, dst).select("folder", "match", "state")
+    return state_of(catalogue_lookup(folders, catalogue), src, objects).select("folder", "match", "state")
 
 
-def state_of(found: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
-    """``archive_state`` for folders whose catalogue entries are looked up already."""
+def state_of(found: DataFrame, src: DataFrame, objects: DataFrame) -> DataFrame:
+    """``archive_state`` for folders whose catalogue entries are looked up already.
+
+    Only objects at the destination that the catalogue names count as the folder's archive.
+    """
     entry = F.col("match") != "none"
     state = (F.when(~F.coalesce("has_manifest", F.lit(False)), F.lit("new"))
              .when(entry & F.col("ok"), F.lit("archived"))
              .when(entry, F.lit("mismatch"))
              .otherwise(F.lit("leftover")))
-    return found.join(_checks(src, dst), "folder", "left").select(*found.columns, state.alias("state"))
+    checks = folder_checks(src, located(objects, found))
+    return found.join(checks, "folder", "left").select(*found.columns, state.alias("state"))
 
 
 def _content_folders(files: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -113,20 +133,14 @@ def folders_skipped(folders: DataFrame, files: DataFrame,
     return folders.join(_content_folders(files, names), "folder", "left_anti")
 
 
-def effective_manifest(src: DataFrame, restored: DataFrame | None) -> DataFrame:
-    """The archive-time manifest, or the restore-time one of folders that have no other."""
-    if restored is None:
-        return src
-    only_restored = restored.join(src.select("folder").distinct(), "folder", "left_anti")
-    return src.select("folder", "name", "md5").unionByName(only_restored.select("folder", "name", "md5"))
-
-
-def delete_plan(folders: DataFrame, catalogue: DataFrame, src: DataFrame, dst: DataFrame,
+def delete_plan(folders: DataFrame, catalogue: DataFrame, src: DataFrame, objects: DataFrame,
                 files: DataFrame, restored: DataFrame | None = None,
-                names: Sequence[str] = META.all_meta, moved_note: str = META.moved_note,
-                **join_options: int) -> DataFrame:
-    """What may be deleted, and why not: one decision per folder with its files and bytes."""
-    manifest = effective_manifest(src, restored)
+                names: Sequence[str] = META.all_meta, moved_note: str = META.moved_note) -> DataFrame:
+    """What may be deleted, and why not: one decision per folder with its files and bytes.
+
+    A folder may go only if the objects at its catalogued destination match its manifest; a copy
+    anywhere else does not count.
+    """
     is_own = ~F.col("name").isin(*names)
     local = files.groupBy("folder").agg(
         F.count_if(is_own).alias("files"),
@@ -137,10 +151,10 @@ def delete_plan(folders: DataFrame, catalogue: DataFrame, src: DataFrame, dst: D
                 .when(~F.coalesce("has_manifest", F.lit(False)), F.lit("no_manifest"))
                 .when(~F.col("ok"), F.lit("checksum_mismatch"))
                 .otherwise(F.lit("delete")))
-    target = rebase(F.col("folder"), F.col("local_folder"), F.col("archive_folder"))
-    return (catalogue_lookup(folders, catalogue, **join_options)
-            .join(_checks(manifest, dst), "folder", "left").join(local, "folder", "left")
-            .select("folder", decision.alias("decision"), target.alias("destination"),
+    found = catalogue_lookup(folders, catalogue)
+    return (found.join(folder_checks(src, located(objects, found), restored), "folder", "left")
+            .join(local, "folder", "left")
+            .select("folder", decision.alias("decision"), "destination",
                     "local_folder", "s3_storage_class", "archive_mode", "profile", "provider",
                     "endpoint", "user",
                     F.coalesce("files", F.lit(0)).cast("long").alias("files"),
@@ -148,13 +162,12 @@ def delete_plan(folders: DataFrame, catalogue: DataFrame, src: DataFrame, dst: D
 
 
 def restore_plan(folders: DataFrame, catalogue: DataFrame, files: DataFrame,
-                 names: Sequence[str] = META.all_meta, **join_options: int) -> DataFrame:
+                 names: Sequence[str] = META.all_meta) -> DataFrame:
     """Which folders can be restored: archived ones that hold nothing but metadata."""
     occupied = _content_folders(files, names).withColumn("_occupied", F.lit(True))
     decision = (F.when(F.col("match") == "none", F.lit("not_archived"))
                 .when(F.col("_occupied"), F.lit("not_empty"))
                 .otherwise(F.lit("restore")))
-    source = rebase(F.col("folder"), F.col("local_folder"), F.col("archive_folder"))
-    return (catalogue_lookup(folders, catalogue, **join_options).join(occupied, "folder", "left")
-            .select("folder", decision.alias("decision"), source.alias("source"), "s3_storage_class",
+    return (catalogue_lookup(folders, catalogue).join(occupied, "folder", "left")
+            .select("folder", decision.alias("decision"), F.col("destination").alias("source"), "s3_storage_class",
                     F.coalesce(is_glacier(F.col("s3_storage_class")), F.lit(False)).alias("needs_retrieval")))

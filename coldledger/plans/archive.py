@@ -7,13 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coldledger.constants import META
+from coldledger.functions.paths import ancestors
 from coldledger.operators.bundle import small_file_plan
 from coldledger.operators.catalogue import KEY, catalogue_lookup, destination, path_overlaps
 from coldledger.operators.inventory import non_meta, pick
 from coldledger.operators.objects import (
     restore_readiness, restore_status_counts, tier_change_plan, tier_cost_estimate)
 from coldledger.operators.reports import archive_batch
-from coldledger.operators.verify import restore_plan, state_of
+from coldledger.operators.verify import folder_checks, located, restore_plan, state_of, verify_checksums
 
 
 @dataclass(frozen=True)
@@ -31,14 +33,14 @@ class Target:
 
 
 def archive_plan(folders: DataFrame, files: DataFrame, catalogue: DataFrame, src: DataFrame,
-                 dst: DataFrame, target: Target, kib: int | None = None, force: bool = False,
-                 recursive: bool = False, **join_options: int) -> DataFrame:
+                 objects: DataFrame, target: Target, kib: int | None = None, force: bool = False,
+                 recursive: bool = False) -> DataFrame:
     """What archiving each folder would do.
 
     Overlapping folders collide only in a recursive run; folders with a manifest are left
     alone unless forced; folders without own files are skipped.
     """
-    state = state_of(catalogue_lookup(folders, catalogue, **join_options), src, dst).select(
+    state = state_of(catalogue_lookup(folders, catalogue), src, objects).select(
         "folder", "state", destination(target.bucket, target.archive_dir).alias("destination"))
     small = small_file_plan(non_meta(files), kib).select(
         "folder", "bundled", "bundled_bytes", "objects_before", "objects_after")
@@ -73,13 +75,17 @@ def catalogue_entries(archived: DataFrame, target: Target, mode: str, timestamp:
 
 
 def restore_job(folders: DataFrame, catalogue: DataFrame, files: DataFrame, objects: DataFrame,
-                option: str = "Bulk", **join_options: int) -> DataFrame:
-    """Restore decisions with the retrieval state of each folder's objects."""
+                option: str = "Bulk") -> DataFrame:
+    """Restore decisions with the retrieval state of each folder's objects.
+
+    Objects whose class does not support the retrieval option make the step ``unsupported``.
+    """
     status = restore_readiness(restore_status_counts(objects, option))
-    plan = restore_plan(folders, catalogue, files, **join_options)
+    plan = restore_plan(folders, catalogue, files)
     pending = F.coalesce("pending", F.lit(False)) & F.col("needs_retrieval")
+    refused = (F.coalesce("unsupported", F.lit(0)) > 0) & F.col("needs_retrieval")
     step = (F.when(F.col("decision") != "restore", F.col("decision"))
-            .when(pending, F.lit("wait")).otherwise(F.lit("download")))
+            .when(refused, F.lit("unsupported")).when(pending, F.lit("wait")).otherwise(F.lit("download")))
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in (
         "triggered", "restoring", "restored", "not_glacier", "unsupported")]
     return (plan.join(status.withColumnRenamed("location", "source"), "source", "left")
@@ -87,11 +93,10 @@ def restore_job(folders: DataFrame, catalogue: DataFrame, files: DataFrame, obje
                     F.coalesce("progress", F.lit("none")).alias("progress")))
 
 
-def tier_change_job(folders: DataFrame, catalogue: DataFrame, objects: DataFrame, new_class: str,
-                    **join_options: int) -> DataFrame:
+def tier_change_job(folders: DataFrame, catalogue: DataFrame, objects: DataFrame, new_class: str) -> DataFrame:
     """Tier-change plan with the monthly cost before and after."""
-    plan = tier_change_plan(folders, catalogue, objects, new_class, **join_options)
-    keys = ["folder", "decision", "old_class", "new_class", "total", "changed", "skipped", "bytes"]
+    plan = tier_change_plan(folders, catalogue, objects, new_class)
+    keys = ["archive", "folders", "decision", "old_class", "new_class", "total", "changed", "skipped", "bytes"]
     before = tier_cost_estimate(plan.select(*keys, F.col("old_class").alias("storage_class")))
     before = before.select(*keys, F.col("storage_lo_usd").alias("old_usd"))
     after = tier_cost_estimate(before.withColumn("storage_class", F.col("new_class")))
@@ -99,15 +104,48 @@ def tier_change_job(folders: DataFrame, catalogue: DataFrame, objects: DataFrame
 
 
 def tier_change_entries(plan: DataFrame, catalogue: DataFrame, timestamp: str) -> DataFrame:
-    """Catalogue rows to upsert once a planned change was carried out.
+    """Catalogue rows to upsert once a planned change was carried out: one for each changed archive."""
+    changed = plan.where("decision = 'change'").select(F.col("archive").alias(KEY), F.col("new_class").alias("_class"))
+    return (catalogue.join(changed, KEY)
+            .withColumns({"s3_storage_class": F.col("_class"), "timestamp": F.lit(timestamp)}).drop("_class"))
+
 
-    A folder below a recursively archived parent gets a row of its own with the parent's record.
+def archive_commit(uploaded: DataFrame, src: DataFrame, objects: DataFrame, target: Target, timestamp: str,
+                   roots: DataFrame | None = None) -> DataFrame:
+    """Catalogue rows for what was uploaded (folder, destination) and passes its checksums there.
+
+    A single archive is recorded if it matches. ``roots`` (folder, destination) are recursive archives:
+    each is recorded only if no folder below it fails and at least one matches.
     """
-    changed = plan.where("decision = 'change'").select(
-        F.col("matched_folder").alias(KEY), F.col("folder").alias("_folder"), F.col("new_class").alias("_class"))
-    return (catalogue.join(changed, KEY)
-            .withColumns({KEY: F.col("_folder"), "s3_storage_class": F.col("_class"), "timestamp": F.lit(timestamp)})
-            .drop("_folder", "_class"))
+    checks = uploaded.join(folder_checks(src, located(objects, uploaded)), "folder", "left").select(
+        "folder", "destination", F.coalesce("has_manifest", F.lit(False)).alias("has_manifest"),
+        F.coalesce("ok", F.lit(False)).alias("ok"))
+    if roots is None:
+        return catalogue_entries(checks.where("has_manifest and ok"), target, "Single", timestamp)
+    below = (checks.select(F.explode(ancestors(F.col("folder"))).alias("folder"), "has_manifest", "ok")
+             .groupBy("folder").agg(F.count_if(F.expr("has_manifest and ok")).alias("good"),
+                                    F.count_if(F.expr("has_manifest and not ok")).alias("bad")))
+    done = roots.join(below.where("good > 0 and bad = 0").select("folder"), "folder", "left_semi")
+    return catalogue_entries(done, target, "Recursive", timestamp)
+
+
+def restore_verified(restored: DataFrame, fetched: DataFrame, objects: DataFrame,
+                     bundle_name: str = META.bundle) -> DataFrame:
+    """Next step of each restored folder (folder, source), judged by the digests of what was fetched.
+
+    ``fetched`` has folder, name, md5 of the files that arrived. mismatch: fetch again; unbundle: files are
+    packed; done: the note about the move can go; nothing: no file arrived and none should have.
+    """
+    places = restored.select("folder", F.col("source").alias("destination"))
+    compared = verify_checksums(fetched, located(objects, places))
+    counts = compared.groupBy("folder").agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") != "match").alias("failed"),
+        F.bool_or(F.col("name") == bundle_name).alias("packed"))
+    step = (F.when(F.col("files").isNull(), F.lit("nothing")).when(F.col("failed") > 0, F.lit("mismatch"))
+            .when(F.col("packed"), F.lit("unbundle")).otherwise(F.lit("done")))
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return restored.join(counts, "folder", "left").select(
+        "folder", "source", number("files"), number("failed"), step.alias("step"))
 
 
 def pick_and_batch(hotspot_rows: DataFrame, command: str, larger: float = 0, older: int = 0,

@@ -53,13 +53,12 @@ def folder_facts(crawl: DataFrame, names: Sequence[str] = META.all_meta) -> Data
 
 
 def index_job(crawl: DataFrame, users: DataFrame, groups: DataFrame, as_of: str,
-              min_gib: float | None = None, min_mib: float | None = None,
-              **join_options: int) -> IndexResult:
+              min_gib: float | None = None, min_mib: float | None = None) -> IndexResult:
     """Hotspots of a crawl, largest first, under the report's column names."""
     folders = folder_facts(crawl)
     hot = truncate_units(size_units(folders).where(is_hotspot(min_gib, min_mib))).withColumns({
         "accd": epoch_days_ago(F.col("atime"), as_of), "modd": epoch_days_ago(F.col("mtime"), as_of)})
-    named = resolve_owner(hot, users, groups, ["folder"], **join_options)
+    named = resolve_owner(hot, users, groups)
     report = named.select(
         F.col("owner").alias("User"), F.col("accd").alias("AccD"), F.col("modd").alias("ModD"),
         F.col("gib").alias("GiB"), F.col("mib_avg").alias("MiBAvg"), F.col("folder").alias("Folder"),
@@ -70,10 +69,10 @@ def index_job(crawl: DataFrame, users: DataFrame, groups: DataFrame, as_of: str,
 
 
 def index_roots(crawls: dict[str, DataFrame], users: DataFrame, groups: DataFrame, as_of: str,
-                min_gib: float | None = None, min_mib: float | None = None, **join_options: int) -> IndexResult:
+                min_gib: float | None = None, min_mib: float | None = None) -> IndexResult:
     """Index several roots at once. Roots that contain one another are refused."""
     spark = users.sparkSession
     clash = path_overlaps(spark.createDataFrame([(root,) for root in crawls], "folder string")).first()
     if clash is not None:
         raise ValueError(f"{clash.folder} lies below {clash.ancestor}")
-    return index_job(multi_root_union(crawls), users, groups, as_of, min_gib, min_mib, **join_options)
+    return index_job(multi_root_union(crawls), users, groups, as_of, min_gib, min_mib)

@@ -11,21 +11,35 @@ from coldledger.operators.catalogue import catalogue_export, catalogue_upsert
 
 
 def write_snapshot(catalogue: DataFrame, root: str, version: int) -> None:
-    """Write a whole catalogue as a new version; readers keep the one before until it is complete."""
-    catalogue.write.mode("overwrite").parquet(f"{root.rstrip('/')}/version={version:010d}")
+    """Write a whole catalogue as a new version; readers keep the one before until it is complete.
+
+    A version that exists is never overwritten: of two writers that chose the same one, the second fails.
+    """
+    catalogue.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/version={version:010d}")
+
+
+def newest_version(spark: SparkSession, root: str) -> int:
+    """The newest complete version, by the names of the directories below ``root``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    storage = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath() for s in storage.listStatus(folder)]
+    done = [int(p.getName().split("=")[1]) for p in names if p.getName().startswith("version=")
+            and storage.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    if not done:
+        raise FileNotFoundError(f"no catalogue version below {root}")
+    return max(done)
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """Newest version; other versions are pruned from the scan."""
-    versions = spark.read.parquet(root)
-    newest = versions.agg(F.max("version")).scalar()
-    return versions.where(F.col("version") == newest).drop("version")
+    """Newest version; no other one is opened."""
+    return spark.read.parquet(f"{root.rstrip('/')}/version={newest_version(spark, root):010d}")
 
 
 def upsert_snapshot(spark: SparkSession, root: str, entries: DataFrame) -> None:
     """Merge ``entries`` into the newest version and write the result as the next one."""
-    current = spark.read.parquet(root).agg(F.max("version")).first()[0]
-    write_snapshot(catalogue_upsert(read_snapshot(spark, root), entries), root, int(current) + 1)
+    current = newest_version(spark, root)
+    old = spark.read.parquet(f"{root.rstrip('/')}/version={current:010d}")
+    write_snapshot(catalogue_upsert(old, entries), root, current + 1)
 
 
 def write_catalogue_json(catalogue: DataFrame, path: str, key: str = "folder_key") -> None:

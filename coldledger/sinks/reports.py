@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coldledger.operators.permissions import writable_hotspots
-from coldledger.skew import spread_partitions
+from coldledger.operators.reports import note_text
 from coldledger.sources.crawl import read_hotspots
 
 _CSV = {"header": "true", "quote": '"', "escape": '"'}
+BUCKETS = 16  # directories of a partitioned report; large ones hold several files
 
 
 def write_hotspots(report: DataFrame, path: str, force: bool = False) -> None:
@@ -48,22 +49,32 @@ def write_crawl(crawl: DataFrame, path: str) -> None:
     crawl.write.mode("overwrite").partitionBy("root").parquet(path)
 
 
-def write_manifest(manifest: DataFrame, path: str) -> None:
-    """One CSV manifest per folder. Rows of a huge folder are written by several tasks."""
-    (spread_partitions(manifest, ["folder"], ["File"])
-     .write.mode("overwrite").partitionBy("folder").options(**_CSV).csv(path))
+def _by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows of a bucket together for a partitioned write; adaptive execution splits large buckets."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("folder"), F.lit(buckets))).hint("rebalance", "bucket")
 
 
-def write_md5_manifest(digests: DataFrame, folders: DataFrame, path: str) -> None:
-    """'<md5>  <name>' lines per folder. Fails when a folder has nothing to list."""
-    missing = folders.select("folder").distinct().join(
-        digests.select("folder").distinct(), "folder", "left_anti")
-    if not missing.isEmpty():
-        raise ValueError(f"no checksums for {missing.count()} folders, first: {missing.first()[0]}")
-    lines = spread_partitions(digests, ["folder"], ["name"]).select(
-        "folder", F.concat("md5", F.lit("  "), "name").alias("value"))
-    lines.write.mode("overwrite").partitionBy("folder").text(path)
+def write_manifest(manifest: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """CSV manifests of all folders, in one directory for each hash bucket of folders.
 
+    The folder is a column: paths may be longer than a directory name, and folders are too many for
+    one directory each.
+    """
+    _by_bucket(manifest, buckets).write.mode("overwrite").partitionBy("bucket").options(**_CSV).csv(path)
 
-def write_deletion_notes(notes: DataFrame, path: str) -> None:
-    notes.select("folder", F.col("note").alias("value")).write.mode("overwrite").partitionBy("folder").text(path)
+
+def write_md5_manifest(digests: DataFrame, folders: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """'<folder> TAB <md5>  <name>' lines in hash buckets of folders. Fails when a folder has nothing to list."""
+    missing = folders.select("folder").join(
+        digests.groupBy("folder").agg(F.count(F.lit(1)).alias("_n")), "folder", "left_anti").agg(
+        F.countDistinct("folder").alias("n"), F.min("folder").alias("first")).first()
+    if missing["n"]:
+        raise ValueError(f"no checksums for {missing['n']} folders, first: {missing['first']}")
+    lines = digests.select("folder", F.concat("folder", F.lit("\t"), "md5", F.lit("  "), "name").alias("value"))
+    _by_bucket(lines, buckets).drop("folder").write.mode("overwrite").partitionBy("bucket").text(path)
+
+
+def write_deletion_notes(notes: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Notes as JSON lines (folder, note) in hash buckets of folders."""
+    facts = [c for c in notes.columns if c != "folder"]
+    _by_bucket(notes.select("folder", note_text(facts).alias("note")), buckets).write.mode("overwrite").partitionBy("bucket").json(path)

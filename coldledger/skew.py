@@ -1,4 +1,4 @@
-"""Joins and ordered sums that hold when one key owns a large share of all rows."""
+"""Ordered sums and neighbours that hold when one key owns a large share of all rows."""
 
 from __future__ import annotations
 
@@ -7,85 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with more than 1/HOT_SHARE of the rows is split. There can be at most HOT_SHARE
-# such keys, whatever the size of the data, so the table of hot keys is safe to broadcast.
-HOT_SHARE = 1000
-# Keys with fewer rows than this fit one task anyway and are never split.
-HOT_MIN_ROWS = 200_000
-# A lookup table is broadcast only when a count proves it has no more rows.
-BROADCAST_ROWS = 100_000
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE,
-             min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Keys to split, with ``_splits`` parts each; at most ``share`` rows."""
-    counts = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total")).scalar()
-    return (
-        counts.where((F.col("_n") > min_rows) & (F.col("_n") * share > total))
-        .select(*keys, F.ceil(F.col("_n") * share / total).cast("int").alias("_splits"))
-    )
-
-
-def with_salt(df: DataFrame, keys: Sequence[str], spread: Sequence[str], hot: DataFrame,
-              share: int = HOT_SHARE) -> DataFrame:
-    """Add ``_salt``: 0 for ordinary keys, spread over the parts of hot and null ones.
-
-    The salt is a hash of row values, so a recomputed partition gets the same salts.
-    """
-    row_hash = F.xxhash64(*spread)
-    is_null = F.lit(False)
-    for k in keys:
-        is_null = is_null | F.col(k).isNull()
-    return (
-        df.join(F.broadcast(hot), list(keys), "left")
-        .withColumn(
-            "_salt",
-            F.when(is_null, F.pmod(row_hash, F.lit(share)))
-            .otherwise(F.coalesce(F.pmod(row_hash, F.col("_splits")), F.lit(0)))
-            .cast("int"))
-        .select(*df.columns, "_salt")
-    )
-
-
-def split_join(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: Sequence[str],
-               how: str = "left", share: int = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Equi-join in which hot keys of ``facts`` are split and their lookup rows repeated."""
-    keys = list(keys)
-    hot = hot_keys(facts, keys, share, min_rows)
-    left = with_salt(facts, keys, spread, hot, share)
-    right = (
-        lookup.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1)))
-        .drop("_splits")
-    )
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` is proven to have at most ``rows`` rows.
-
-    A plain count: it runs on all partitions and moves one number each, where a limit would
-    send its rows through one task.
-    """
-    return rows > 0 and df.count() <= rows
-
-
-def lookup_join(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: Sequence[str],
-                how: str = "left", broadcast_rows: int = BROADCAST_ROWS,
-                min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Join to a lookup table: broadcast when its checked size allows, else ``split_join``."""
-    if is_small(lookup, broadcast_rows):
-        return facts.join(F.broadcast(lookup), list(keys), how)
-    return split_join(facts, lookup, keys, spread, how, min_rows=min_rows)
-
-
-def spread_partitions(df: DataFrame, keys: Sequence[str], spread: Sequence[str],
-                      min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Bring each key together for a partitioned write, with hot keys split over several tasks."""
-    salted = with_salt(df, keys, spread, hot_keys(df, keys, min_rows=min_rows))
-    return salted.repartition(*keys, "_salt").drop("_salt")
-
 
 def _bucket(ts: str, unit: str) -> Column:
     return F.date_trunc(unit, F.col(ts))

@@ -18,9 +18,18 @@ def parse_catalogue(documents: DataFrame, column: str = "value") -> DataFrame:
             .select(KEY, "record.*"))
 
 
-def read_catalogue_json(spark: SparkSession, path: str) -> DataFrame:
-    """Catalogue files; each one is a JSON map and is parsed whole, many files in parallel."""
-    return parse_catalogue(spark.read.text(path, wholetext=True))
+def read_catalogue_json(spark: SparkSession, path: str, one_map_per_file: bool = False) -> DataFrame:
+    """Catalogue files with one JSON map to a line, as ``write_catalogue_json`` leaves them.
+
+    A line that is no JSON map ends the job instead of losing entries. ``one_map_per_file`` reads small
+    files of another tool, which are one map over many lines.
+    """
+    lines = spark.read.text(path, wholetext=one_map_per_file).where(F.trim("value") != "")
+    body = F.trim(F.regexp_replace("value", r"\s+$", ""))
+    whole = body.startswith("{") & body.endswith("}") & F.from_json("value", _MAP).isNotNull()
+    checked = F.when(whole, F.col("value")).otherwise(
+        F.raise_error(F.concat(F.lit("not a catalogue map: "), F.left("value", F.lit(80)))))
+    return parse_catalogue(lines.select(checked.alias("value")))
 
 
 def read_objects(spark: SparkSession, path: str, prefix: str | None = None) -> DataFrame:

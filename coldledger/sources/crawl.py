@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,23 +19,36 @@ _CSV = {"header": "true", "quote": '"', "escape": '"'}
 def read_crawl_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", mode_base: int = 10) -> DataFrame:
     """One row per crawled entry. Lines that do not fit the schema keep their text in ``_bad``.
 
-    Columns are matched by the header, so a crawl may have more of them; ``mode_base`` is the
-    number base of ``st_mode``. Every line is parsed whole: a plain CSV scan would only check
-    the columns that a query happens to use.
+    Columns are matched by the header of each file, so crawls may have them in any order and more of
+    them; ``mode_base`` is the number base of ``st_mode``. Every line is parsed whole: a plain CSV scan
+    would only check the columns that a query happens to use. A line with an open quote (a name with a
+    line break) does not fit either, nor does the line that closes it.
     """
-    names = spark.read.options(**_CSV).csv(path).columns
-    require_columns_in(names, [f.name for f in CRAWL.fields[:7]])
+    raw = spark.read.text(path).select(
+        F.decode(F.col("value").cast("binary"), encoding).alias("line"), F.col("_metadata.file_path").alias("file"))
+    # A line of column names; there are as many different ones as layouts, not as files.
+    cells = F.split(F.replace("line", F.lit('"'), F.lit("")), ",")
+    is_head = F.array_contains(cells, "filename") & F.array_contains(cells, "UID")
+    heads = [r["line"] for r in raw.where(is_head).select("line").distinct().collect()]
+    files = raw.where(is_head).select("file", F.col("line").alias("head")).distinct()
     types = {f.name: f.dataType.simpleString() for f in CRAWL.fields} | {"st_mode": "string"}
-    schema = ", ".join(f"`{n}` {types.get(n, 'string')}" for n in [*names, BAD])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, "quote": '"', "escape": '"'}
-    raw = spark.read.text(path)
-    head = raw.first()
-    lines = raw.where(F.col("value") != F.lit(head[0] if head else "")).select(
-        F.decode(F.col("value").cast("binary"), encoding).alias("line"))
-    parsed = lines.select(F.from_csv("line", schema, options).alias("r")).select("r.*")
-    if "st_mode" in names:
-        parsed = parsed.withColumn("st_mode", F.conv("st_mode", mode_base, 10).cast("int"))
-    return parsed
+    if not heads:
+        raise ValueError(f"no header below {path}")
+    lines = raw.where(~is_head).join(files, "file")
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    parts = []
+    for head in heads:
+        names = head.replace('"', "").split(",")
+        require_columns_in(names, [f.name for f in CRAWL.fields[:7]])
+        schema = ", ".join(f"`{n}` {types.get(n, 'string')}" for n in [*names, BAD])
+        parsed = lines.where((F.col("head") == head) & (quotes % 2 == 0)).select(
+            F.from_csv("line", schema, options).alias("r")).select("r.*")
+        if "st_mode" in names:
+            parsed = parsed.withColumn("st_mode", F.conv("st_mode", mode_base, 10).cast("int"))
+        parts.append(parsed)
+    broken = lines.where(quotes % 2 == 1).select(F.col("line").alias(BAD))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*parts, broken])
 
 
 def good_rows(crawl: DataFrame) -> DataFrame:
@@ -55,22 +70,16 @@ def read_hotspots(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """File manifests under ``path``, with the folder taken from the ``folder=`` directory."""
-    schema = T.StructType([*MANIFEST.fields, T.StructField("folder", T.StringType(), True)])
-    return spark.read.schema(schema).options(**_CSV).csv(path)
-
-
-def read_live_listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files below a storage path as they are now. The content column is never read."""
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-               .option("pathGlobFilter", pattern).load(path)
-               .select("path", "length", "modificationTime"))
-    plain = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-    return listing.select(
-        parent(plain).alias("folder"), basename(plain).alias("name"),
-        F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    """File manifests under ``path``; the folder is their first column, directories add none."""
+    schema = T.StructType([T.StructField("folder", T.StringType(), True), *MANIFEST.fields])
+    return spark.read.schema(schema).options(recursiveFileLookup="true", **_CSV).csv(path)
 
 
 def read_report_listing(spark: SparkSession, path: str) -> DataFrame:
-    """Report files, newest first."""
-    return read_live_listing(spark, path, "*.csv").orderBy(F.desc("mtime"), "folder", "name")
+    """Reports below a path with the rows of each and when it was written last."""
+    rows = spark.read.schema("line string").option("recursiveFileLookup", "true").text(path).select(
+        "line", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"))
+    # Every part file starts with the header.
+    report = basename(parent(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))))
+    return rows.groupBy(report.alias("report")).agg(
+        (F.count(F.lit(1)) - F.countDistinct("file")).alias("rows"), F.max("mtime").alias("mtime"))

@@ -9,7 +9,7 @@ from coldledger.schemas import GRANT
 
 
 def parse_grants(lines: DataFrame, column: str = "line") -> DataFrame:
-    """JSON grant records -> flat rows: trimmed text, ten-character dates, contact person's id."""
+    """JSON grant records -> flat rows: trimmed text, ten-character dates, the ids of all contact persons."""
     g = "_g."
     trimmed = lambda name: F.coalesce(F.trim(F.col(g + name)), F.lit(""))
     contact = F.filter(g + "principal_investigators", lambda p: p["is_contact_pi"])
@@ -23,5 +23,5 @@ def parse_grants(lines: DataFrame, column: str = "line") -> DataFrame:
                 trimmed("project_title").alias("project_title"),
                 F.coalesce(g + "organization.org_name", F.lit("")).alias("org_name"),
                 F.coalesce(g + "project_detail_url", F.lit("")).alias("project_detail_url"),
-                F.coalesce(F.try_element_at(contact, F.lit(1))["profile_id"].cast("string"), F.lit(""))
-                .alias("pi_profile_id")))
+                F.coalesce(F.transform(contact, lambda p: F.coalesce(p["profile_id"].cast("string"), F.lit(""))),
+                           F.array().cast("array<string>")).alias("pi_profile_ids")))

@@ -8,16 +8,14 @@ from pyspark.sql import types as T
 
 from coldledger.schemas import TRANSFER_LINE
 
-_MD5_LINE = r"^([0-9a-f]{32})  (.*)$"
+_MD5_LINE = r"^([^\t]*)\t([0-9a-f]{32})  (.*)$"
 
 
 def read_md5_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """'<md5>  <name>' lines; the folder comes from the ``folder=`` directory."""
-    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("folder", T.StringType())])
-    lines = spark.read.schema(schema).text(path)
-    return (lines.where(F.col("value").rlike(_MD5_LINE))
-            .select("folder", F.regexp_extract("value", _MD5_LINE, 2).alias("name"),
-                    F.regexp_extract("value", _MD5_LINE, 1).alias("md5")))
+    """'<folder> TAB <md5>  <name>' lines; others are skipped."""
+    part = lambda i, name: F.regexp_extract("value", _MD5_LINE, i).alias(name)
+    return (spark.read.text(path).where(F.col("value").rlike(_MD5_LINE))
+            .select(part(1, "folder"), part(3, "name"), part(2, "md5")))
 
 
 def parse_transfer_log(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -36,11 +34,17 @@ def read_transfer_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_key_values(line: Column) -> Column:
-    """'a=1 b=x=y' -> map; the first '=' of a token separates, later ones belong to the value."""
+    """'a=1 b=x=y' -> map; the first '=' of a token separates, later ones belong to the value.
+
+    A key that comes again has its last value.
+    """
     tokens = F.filter(F.split(F.trim(line), r"\s+"), lambda t: F.contains(t, F.lit("=")))
-    return F.map_from_entries(F.transform(tokens, lambda t: F.struct(
+    pairs = F.transform(tokens, lambda t: F.struct(
         F.substring_index(t, "=", 1).alias("key"),
-        F.substring(t, F.instr(t, "=") + 1, F.length(t)).alias("value"))))
+        F.substring(t, F.instr(t, "=") + 1, F.length(t)).alias("value")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(
+        F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(0))), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(last)
 
 
 def parse_delimited(line: Column, schema: str, sep: str = "|", quote: str = '"') -> Column:

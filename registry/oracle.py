@@ -70,7 +70,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         UNION ALL
         SELECT '/' || r_name || '/' || n_name, CASE r_name WHEN 'AFRICA' THEN 'DEEP_ARCHIVE' ELSE 'INTELLIGENT_TIERING' END,
                'Recursive', strftime(TIMESTAMP '2021-01-01' + to_hours(n_nationkey), '%Y-%m-%dT%H:%M:%S'), 'admin',
-               ':s3:bkt/arch/' || r_name || '/' || n_name
+               CASE r_name WHEN 'ASIA' THEN ':s3:cold/vault/' || n_name ELSE ':s3:bkt/arch/' || r_name || '/' || n_name END
         FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('AFRICA', 'ASIA')
         UNION ALL
         SELECT '/' || r_name, CASE r_name WHEN 'AMERICA' THEN 'GLACIER' ELSE 'GLACIER_IR' END,
@@ -80,7 +80,8 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "looked_up": (("folders", "catalogue"), """
         SELECT f.folder, m.folder_key AS matched_folder,
                CASE WHEN m.folder_key IS NULL THEN 'none' WHEN m.folder_key = f.folder THEN 'exact' ELSE 'ancestor' END AS match,
-               m.archive_mode, m.s3_storage_class, m.archive_folder, m.user
+               m.archive_mode, m.s3_storage_class, m.archive_folder, m.user,
+               m.archive_folder || substr(f.folder, length(m.folder_key) + 1) AS dest
         FROM folders f LEFT JOIN (
           SELECT folder, c.*, row_number() OVER (PARTITION BY folder ORDER BY length(folder_key) DESC) AS rn
           FROM folders JOIN catalogue c
@@ -92,20 +93,30 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         UNION ALL
         SELECT folder, '{META.manifest}', md5(folder) FROM folders
         WHERE folder NOT IN (SELECT lvl3 FROM places WHERE s_acctbal < 1000)"""),
-    "objects": (("all_files", "folders"), f"""
+    "stored": (("all_files", "folders"), f"""
         SELECT folder, name, size,
                CASE WHEN qty = 2 THEN NULL WHEN qty IN (3, 4) THEN 'STANDARD_IA' WHEN qty < 25 THEN 'GLACIER'
                     ELSE 'DEEP_ARCHIVE' END AS storage_class,
                CASE WHEN bal >= 9000 THEN 'false' WHEN bal >= 8000 THEN 'true' END AS ongoing,
-               md5(folder || '/' || name || ':' || size || CASE WHEN {_SHAKY} AND qty = 13 THEN '!' ELSE '' END) AS md5
+               md5(folder || '/' || name || ':' || size || CASE WHEN {_SHAKY} AND qty = 13 THEN '!' ELSE '' END) AS md5,
+               flag = 'A' AND bal >= 3000 AS rich, gid AS supplier
         FROM all_files WHERE NOT (flag = 'A' AND bal < 0) AND NOT ({_SHAKY} AND qty = 49)
         UNION ALL
-        SELECT folder, '{META.manifest}', length(folder) * 100, 'INTELLIGENT_TIERING', NULL, md5(folder)
-        FROM folders WHERE folder NOT IN (SELECT lvl3 FROM places WHERE s_acctbal < 0)"""),
-    "verified": (("src", "objects"), """
+        SELECT folder, '{META.manifest}', length(folder) * 100, 'INTELLIGENT_TIERING', NULL, md5(folder),
+               coalesce(s_acctbal >= 3000, false), s_suppkey
+        FROM folders LEFT JOIN places ON folder = lvl3 WHERE coalesce(s_acctbal >= 0, true)"""),
+    "objects": (("stored",), """
+        SELECT *, ':s3:' || bucket || '/' || dir AS location, dir || '/' || name AS key
+        FROM (SELECT *, CASE WHEN rich AND supplier % 10 = 3 THEN 'elsewhere'
+                          WHEN starts_with(folder, '/ASIA/') AND NOT rich THEN 'cold' ELSE 'bkt' END AS bucket,
+                     CASE WHEN starts_with(folder, '/ASIA/') AND NOT rich THEN 'vault' || substr(folder, 6)
+                       ELSE 'arch' || folder END AS dir FROM stored)"""),
+    "found": (("objects", "looked_up"), """
+        SELECT l.folder, o.name, o.md5 FROM objects o JOIN looked_up l ON o.location = l.dest"""),
+    "verified": (("src", "found"), """
         SELECT folder, name, CASE WHEN o.md5 IS NULL THEN 'missing_on_dst' WHEN s.md5 IS NULL THEN 'missing_on_src'
                  WHEN s.md5 = o.md5 THEN 'match' ELSE 'differ' END AS status
-        FROM src s FULL JOIN objects o USING (folder, name)"""),
+        FROM src s FULL JOIN found o USING (folder, name)"""),
     "checked": (("verified",), """
         SELECT folder, count(*) AS checked, count(*) FILTER (status <> 'missing_on_src') AS listed,
                count(*) FILTER (status <> 'match') AS failed, bool_and(status = 'match') AS ok
@@ -119,8 +130,8 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         UNION ALL
         SELECT folder, name, md5(folder || '/' || name || ':' || size) FROM all_files
         WHERE flag = 'A' AND bal >= 500 AND bal < 1000 AND folder NOT IN (SELECT folder FROM src)"""),
-    "deletions": (("looked_up", "del_src", "objects", "local_files", "own_files"), f"""
-        SELECT l.*, replace(l.folder, l.matched_folder, '') AS rest,
+    "deletions": (("looked_up", "del_src", "found", "local_files", "own_files"), f"""
+        SELECT l.*,
                CASE WHEN l.folder IN (SELECT folder FROM local_files WHERE name = '{META.moved_note}') THEN 'already_deleted'
                  WHEN match = 'none' THEN 'not_archived'
                  WHEN l.folder NOT IN (SELECT folder FROM del_src) THEN 'no_manifest'
@@ -128,23 +139,34 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(coalesce(n.files, 0) AS BIGINT) AS files, CAST(coalesce(n.bytes, 0) AS BIGINT) AS bytes
         FROM looked_up l
         LEFT JOIN (SELECT folder, bool_and(coalesce(s.md5 = o.md5, false)) AS ok
-                   FROM del_src s FULL JOIN objects o USING (folder, name) GROUP BY folder) v ON l.folder = v.folder
+                   FROM del_src s FULL JOIN found o USING (folder, name) GROUP BY folder) v ON l.folder = v.folder
         LEFT JOIN (SELECT folder, count(*) AS files, sum(size) AS bytes FROM own_files GROUP BY folder) n
           ON l.folder = n.folder"""),
     "dirs": (("objects",), f"""
-        SELECT ':s3:bkt/arch' || folder AS location, folder, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes,
+        SELECT location, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes,
                count(*) FILTER (name = '{META.manifest}') AS kept
-        FROM objects GROUP BY folder"""),
+        FROM objects GROUP BY location"""),
     "subtrees": (("folders", "dirs"), """
-        SELECT ':s3:bkt/arch' || f.folder AS location, f.folder, CAST(sum(objects) AS BIGINT) AS objects,
+        SELECT p.location, CAST(sum(objects) AS BIGINT) AS objects,
                CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(kept) AS BIGINT) AS kept
-        FROM folders f JOIN dirs d ON d.folder = f.folder OR starts_with(d.folder, f.folder || '/') GROUP BY f.folder"""),
-    "tier_plan": (("looked_up", "subtrees"), """
-        SELECT l.folder, l.matched_folder, l.archive_folder AS location, l.archive_mode, l.user, l.s3_storage_class AS old_class, 'GLACIER_IR' AS new_class,
-               CASE WHEN match = 'none' THEN 'not_archived' WHEN s3_storage_class IN ('GLACIER', 'DEEP_ARCHIVE') THEN 'rejected'
-                 ELSE 'change' END AS decision,
-               coalesce(s.objects, 0) AS o, coalesce(s.kept, 0) AS k, coalesce(s.bytes, 0) AS b
-        FROM looked_up l LEFT JOIN subtrees s ON l.archive_folder = s.location"""),
+        FROM (SELECT ':s3:bkt/arch' || folder AS location FROM folders) p
+        JOIN dirs d ON d.location = p.location OR starts_with(d.location, p.location || '/') GROUP BY p.location"""),
+    "nearest": (("objects", "catalogue"), f"""
+        SELECT archive, count(*) AS o, count(*) FILTER (name = '{META.manifest}') AS k, CAST(sum(size) AS BIGINT) AS b
+        FROM (SELECT location, arg_max(archive_folder, length(archive_folder)) AS archive
+              FROM (SELECT DISTINCT location FROM objects) JOIN catalogue
+                ON location = archive_folder OR (archive_mode = 'Recursive' AND starts_with(location, archive_folder || '/'))
+              GROUP BY location) JOIN objects USING (location) GROUP BY archive"""),
+    "tier_plan": (("looked_up", "nearest"), """
+        SELECT a.*, CASE decision WHEN 'change' THEN coalesce(o, 0) ELSE 0 END AS total,
+               CASE decision WHEN 'change' THEN coalesce(o - k, 0) ELSE 0 END AS changed,
+               CASE decision WHEN 'change' THEN coalesce(k, 0) ELSE 0 END AS skipped,
+               CASE decision WHEN 'change' THEN coalesce(b, 0) ELSE 0 END AS bytes
+        FROM (SELECT coalesce(matched_folder, folder) AS archive, archive_folder AS location, s3_storage_class AS old_class,
+                     'GLACIER_IR' AS new_class, count(*) AS folders,
+                     CASE WHEN archive_folder IS NULL THEN 'not_archived'
+                       WHEN s3_storage_class IN ('GLACIER', 'DEEP_ARCHIVE') THEN 'rejected' ELSE 'change' END AS decision
+              FROM looked_up GROUP BY ALL) a LEFT JOIN nearest ON a.location = nearest.archive"""),
     "tiers": ((), """
         SELECT * FROM (VALUES ('INTELLIGENT_TIERING', 2.5, 23.0, 0.0), ('STANDARD_IA', 12.5, 12.5, 10.0),
           ('ONEZONE_IA', 10.0, 10.0, 10.0), ('GLACIER_IR', 4.0, 4.0, 10.0), ('GLACIER', 3.6, 3.6, 10.0),
@@ -154,8 +176,8 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
                '2020-01-01' AS start, '2024-12-31' AS "end", upper(source) || ', ' || lang AS contact_pi_name,
                'Study ' || d.doc_id AS project_title, CASE WHEN lang <> 'es' THEN lang || ' institute' ELSE '' END AS org_name,
                'https://example.org/' || d.doc_id AS project_detail_url,
-               CASE WHEN quality = 1 THEN CAST(d.doc_id AS VARCHAR) WHEN toxic = 1 THEN CAST(d.doc_id + 1000000 AS VARCHAR)
-                 ELSE '' END AS pi_profile_id
+               concat_ws(',', CASE WHEN quality = 1 THEN d.doc_id END, CASE WHEN toxic = 1 THEN d.doc_id + 1000000 END)
+                 AS pi_profile_ids
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""),
     "index_rows": (("units",), f"""
         SELECT coalesce(c_name, CAST(uid AS VARCHAR)) AS "User", {_days('atime')} AS "AccD", {_days('mtime')} AS "ModD",
@@ -362,8 +384,7 @@ def statements() -> dict[str, str]:
           ON a.folder <> b.folder AND a.folder <> '' AND starts_with(b.folder, a.folder || '/')
         UNION ALL SELECT folder, folder, copies FROM one WHERE copies > 1""")
     add("destination_paths", "looked_up", """
-        SELECT folder, match, CASE WHEN match = 'none' THEN ':s3:bkt2/new' || folder ELSE ':s3:bkt/arch' || folder END AS destination
-        FROM looked_up""")
+        SELECT folder, match, coalesce(dest, ':s3:bkt2/new' || folder) AS destination FROM looked_up""")
     add("catalogue_upsert", "upserted", f"SELECT {_CAT} FROM upserted")
     q["catalogue_snapshot"] = q["catalogue_upsert"]
     add("catalogue_export", "catalogue",
@@ -380,104 +401,120 @@ def statements() -> dict[str, str]:
     add("folders_skipped", ("folders", "own_files"),
         "SELECT folder FROM folders WHERE folder NOT IN (SELECT folder FROM own_files)")
     add("delete_plan", "deletions", """
-        SELECT folder, decision, CASE WHEN match <> 'none' THEN ':s3:bkt/arch' || folder END AS destination, files, bytes
-        FROM deletions""")
+        SELECT folder, decision, dest AS destination, files, bytes FROM deletions""")
     add("deletion_report", ("deletions", "own_files"), """
-        SELECT d.folder, d.files,
-               'The files in this folder have been moved to an archive.' || chr(10) ||
-               'Archive location: :s3:bkt/arch' || d.folder || chr(10) || 'Local folder: ' || d.matched_folder || chr(10) ||
-               'Provider: AWS' || chr(10) || 'Endpoint: ' || chr(10) || 'Storage class: ' || d.s3_storage_class || chr(10) ||
-               'Archive mode: ' || d.archive_mode || chr(10) || 'Profile: default' || chr(10) || 'Archiver: ' || d.user || chr(10) ||
-               'Restore command: coldledger restore "' || d.folder || '"' || chr(10) || 'First files: ' ||
+        SELECT d.folder, dest AS destination, s3_storage_class, d.user AS archived_by,
+               'coldledger restore "' || d.folder || '"' AS restore, d.files, d.bytes,
                coalesce((SELECT string_agg(name, ', ' ORDER BY name) FROM (
-                 SELECT name FROM own_files o WHERE o.folder = d.folder ORDER BY name LIMIT 10)), '') AS note
+                 SELECT name FROM own_files o WHERE o.folder = d.folder ORDER BY name LIMIT 10)), '') AS first_files,
+               CAST(greatest(d.files - 10, 0) AS BIGINT) AS more_files
         FROM deletions d WHERE decision = 'delete'""")
-    q["sink_deletion_notes"] = _with(("deletions",),
-        "SELECT folder, CAST(11 AS BIGINT) AS lines FROM deletions WHERE decision = 'delete'")
+    q["sink_deletion_notes"] = f"""
+        SELECT folder, 'destination: ' || destination || chr(10) || 's3 storage class: ' || s3_storage_class || chr(10) ||
+               'archived by: ' || archived_by || chr(10) || 'restore: ' || restore || chr(10) || 'files: ' || files || chr(10) ||
+               'bytes: ' || bytes || chr(10) || 'first files: ' || first_files || chr(10) || 'more files: ' || more_files AS note
+        FROM ({q['deletion_report']})"""
     add("restore_plan", ("looked_up", "own_files"), """
         SELECT folder, CASE WHEN match = 'none' THEN 'not_archived'
                  WHEN folder IN (SELECT folder FROM own_files) THEN 'not_empty' ELSE 'restore' END AS decision,
-               CASE WHEN match <> 'none' THEN ':s3:bkt/arch' || folder END AS source, s3_storage_class,
+               dest AS source, s3_storage_class,
                coalesce(s3_storage_class IN ('GLACIER', 'DEEP_ARCHIVE'), false) AS needs_retrieval
         FROM looked_up""")
     counted = f"""
-        SELECT folder, count(*) FILTER (st = 'triggered') AS triggered, count(*) FILTER (st = 'restoring') AS restoring,
+        SELECT location, count(*) FILTER (st = 'triggered') AS triggered, count(*) FILTER (st = 'restoring') AS restoring,
                count(*) FILTER (st = 'restored') AS restored, count(*) FILTER (st = 'not_glacier') AS not_glacier,
                count(*) FILTER (st = 'unsupported') AS unsupported, count(*) FILTER (st = 'ignored') AS ignored
-        FROM (SELECT folder, CASE WHEN storage_class IS NULL THEN 'ignored' WHEN ongoing = 'true' THEN 'restoring'
+        FROM (SELECT location, CASE WHEN storage_class IS NULL THEN 'ignored' WHEN ongoing = 'true' THEN 'restoring'
                 WHEN ongoing = 'false' THEN 'restored'
                 WHEN storage_class NOT IN ('GLACIER', 'DEEP_ARCHIVE') THEN
                   CASE WHEN name = '{META.manifest}' THEN 'ignored' ELSE 'not_glacier' END
                 WHEN storage_class = 'DEEP_ARCHIVE' AND @OPT = 'Expedited' THEN 'unsupported' ELSE 'triggered' END AS st
-              FROM objects) GROUP BY folder"""
+              FROM objects) GROUP BY location"""
     mix = ("CASE WHEN restoring > 0 AND restored > 0 THEN 'mixed' WHEN restoring > 0 THEN 'all_running' "
            "WHEN restored > 0 THEN 'all_done' ELSE 'none' END")
     expedited, bulk = counted.replace("@OPT", "'Expedited'"), counted.replace("@OPT", "'Bulk'")
     add("restore_job", ("looked_up", "own_files", "objects"), f"""
         , counts AS ({expedited})
-        SELECT l.folder, CASE WHEN match <> 'none' THEN ':s3:bkt/arch' || l.folder END AS source,
+        SELECT l.folder, dest AS source,
                CASE WHEN match = 'none' THEN 'not_archived' WHEN l.folder IN (SELECT folder FROM own_files) THEN 'not_empty'
+                 WHEN s3_storage_class IN ('GLACIER', 'DEEP_ARCHIVE') AND coalesce(unsupported, 0) > 0 THEN 'unsupported'
                  WHEN s3_storage_class IN ('GLACIER', 'DEEP_ARCHIVE') AND coalesce(triggered + restoring, 0) > 0 THEN 'wait'
                  ELSE 'download' END AS step,
                coalesce(s3_storage_class IN ('GLACIER', 'DEEP_ARCHIVE'), false) AS needs_retrieval,
                coalesce(triggered, 0) AS triggered, coalesce(restoring, 0) AS restoring, coalesce(restored, 0) AS restored,
                coalesce(not_glacier, 0) AS not_glacier, coalesce(unsupported, 0) AS unsupported,
                coalesce({mix}, 'none') AS progress
-        FROM looked_up l LEFT JOIN counts c ON l.folder = c.folder AND match <> 'none'""")
+        FROM looked_up l LEFT JOIN counts c ON l.dest = c.location""")
     add("archive_plan", ("states", "own_files", "looked_up"), """
         , small AS (SELECT folder, count(*) FILTER (size < 20971520) AS bundled,
             coalesce(sum(size) FILTER (size < 20971520), 0) AS bundled_bytes, count(*) AS n FROM own_files GROUP BY folder)
         SELECT s.folder, state, CASE WHEN state <> 'new' THEN state WHEN n IS NULL THEN 'skip' ELSE 'archive' END AS decision,
-               ':s3:bkt/arch' || s.folder AS destination, coalesce(bundled, 0) AS bundled,
+               coalesce(dest, ':s3:bkt/arch' || s.folder) AS destination, coalesce(bundled, 0) AS bundled,
                CAST(coalesce(bundled_bytes, 0) AS BIGINT) AS bundled_bytes, coalesce(n, 0) AS objects_before,
                coalesce(n - bundled + CASE WHEN bundled > 0 THEN 1 ELSE 0 END, 0) AS objects_after
-        FROM states s LEFT JOIN small ON s.folder = small.folder""")
+        FROM states s JOIN looked_up l ON s.folder = l.folder LEFT JOIN small ON s.folder = small.folder""")
+    checked_at = """
+        , placed AS (SELECT folder, o.name, o.md5 FROM folders JOIN objects o ON o.location = ':s3:bkt/arch' || folders.folder),
+        good AS (SELECT folder, bool_or(s.md5 IS NOT NULL) AS listed, bool_and(coalesce(s.md5 = o.md5, false)) AS ok
+                 FROM src s FULL JOIN placed o USING (folder, name) GROUP BY folder)"""
+    committed = """
+        SELECT folder AS folder_key, ':s3:bkt/arch' || folder AS archive_folder, 'DEEP_ARCHIVE' AS s3_storage_class,
+               '{0}' AS archive_mode, '2024-06-01T00:00:00' AS timestamp, 'me' AS user FROM folders f WHERE {1}"""
+    # The objects that the join above binds carry a folder of their own; only their place counts.
+    places = ("folders", "src", "objects")
+    checked_at = checked_at.replace("SELECT folder, o.name", "SELECT folders.folder, o.name")
+    add("archive_commit", places, checked_at + committed.format("Single", "folder IN (SELECT folder FROM good WHERE listed AND ok)"))
+    add("archive_commit_recursive", places, checked_at + committed.format("Recursive", """
+        len(string_split(folder, '/')) > 2
+          AND EXISTS (FROM good g WHERE listed AND ok AND (g.folder = f.folder OR starts_with(g.folder, f.folder || '/')))
+          AND NOT EXISTS (FROM good g WHERE listed AND NOT ok AND (g.folder = f.folder OR starts_with(g.folder, f.folder || '/')))"""))
+    add("restore_verified", ("looked_up", "found", "all_files", "places"), f"""
+        , fetched AS (
+          SELECT folder, name, md5(folder || '/' || name || ':' || size || CASE WHEN uid % 50 = 7 THEN '?' ELSE '' END) AS md5
+          FROM all_files WHERE flag = 'A' UNION ALL SELECT lvl3, '{META.manifest}', md5(lvl3) FROM places WHERE s_acctbal >= 0),
+        sums AS (SELECT folder, count(*) AS files, count(*) FILTER (NOT coalesce(f.md5 = o.md5, false)) AS failed,
+                        bool_or(name = '{META.manifest}') AS packed
+                 FROM fetched f FULL JOIN found o USING (folder, name) GROUP BY folder)
+        SELECT l.folder, dest AS source, coalesce(files, 0) AS files, coalesce(failed, 0) AS failed,
+               CASE WHEN files IS NULL THEN 'nothing' WHEN failed > 0 THEN 'mismatch' WHEN packed THEN 'unbundle' ELSE 'done' END AS step
+        FROM looked_up l LEFT JOIN sums s ON l.folder = s.folder WHERE dest IS NOT NULL""")
     add("content_md5", "content_files", "SELECT folder, name, size, md5(content) AS md5 FROM content_files")
 
     # Objects
-    key = "'arch' || folder || '/' || name"
-    add("scan_objects_prefix", "objects", f"""
-        SELECT 'bkt' AS bucket, {key} AS key, size, storage_class FROM objects
-        WHERE folder = '/AFRICA' OR starts_with(folder, '/AFRICA/')""")
-    add("direct_children", "objects", f"SELECT 'bkt' AS bucket, {key} AS key, size FROM objects WHERE folder = '/AFRICA'")
+    add("scan_objects_prefix", "objects", """
+        SELECT bucket, key, size, storage_class FROM objects WHERE starts_with(key, 'arch/AFRICA/')""")
+    add("direct_children", "objects", "SELECT bucket, key, size FROM objects WHERE dir = 'arch/AFRICA'")
     for name, source in (("prefix_size", "subtrees"), ("prefix_size_direct", "dirs")):
         add(name, ("folders", source), f"""
             SELECT ':s3:bkt/arch' || f.folder AS location, coalesce(objects, 0) AS objects, coalesce(bytes, 0) AS bytes,
                    round(coalesce(bytes, 0) / 1073741824, 2) AS gib
-            FROM folders f LEFT JOIN {source} s ON f.folder = s.folder""")
+            FROM folders f LEFT JOIN {source} s ON ':s3:bkt/arch' || f.folder = s.location""")
     add("restore_status", "objects", f"""
-        SELECT {key} AS key, CASE WHEN storage_class IS NULL THEN 'ignored' WHEN ongoing = 'true' THEN 'restoring'
+        SELECT key, CASE WHEN storage_class IS NULL THEN 'ignored' WHEN ongoing = 'true' THEN 'restoring'
                  WHEN ongoing = 'false' THEN 'restored' WHEN name = '{META.manifest}' THEN 'ignored'
                  WHEN storage_class = 'STANDARD_IA' THEN 'not_glacier' WHEN storage_class = 'GLACIER' THEN 'triggered'
                  ELSE 'unsupported' END AS state FROM objects""")
     add("restore_status_counts", "objects", f"""
-        SELECT ':s3:bkt/arch' || folder AS location, triggered, restoring, restored, not_glacier, unsupported, ignored
+        SELECT location, triggered, restoring, restored, not_glacier, unsupported, ignored
         FROM ({bulk})""")
     add("restore_readiness", "objects", f"""
-        SELECT ':s3:bkt/arch' || folder AS location, triggered + restoring > 0 AS pending, {mix} AS progress FROM ({bulk})""")
+        SELECT location, triggered + restoring > 0 AS pending, {mix} AS progress FROM ({bulk})""")
     add("tier_change_plan", "tier_plan", """
-        SELECT folder, matched_folder, location, decision, old_class, new_class, CASE decision WHEN 'change' THEN o ELSE 0 END AS total,
-               CASE decision WHEN 'change' THEN o - k ELSE 0 END AS changed, CASE decision WHEN 'change' THEN k ELSE 0 END AS skipped,
-               CASE decision WHEN 'change' THEN b ELSE 0 END AS bytes FROM tier_plan""")
+        SELECT archive, location, folders, decision, old_class, new_class, total, changed, skipped, bytes FROM tier_plan""")
     add("tier_change_update", ("tier_plan", "catalogue"), f"""
-        SELECT folder AS folder_key, location AS archive_folder, new_class AS s3_storage_class, archive_mode,
-               '2024-05-01T00:00:00' AS timestamp, user FROM tier_plan WHERE decision = 'change'
-        UNION ALL
-        SELECT {_CAT} FROM catalogue WHERE folder_key NOT IN (SELECT folder FROM tier_plan WHERE decision = 'change')""")
+        SELECT folder_key, archive_folder, CASE WHEN t.archive IS NULL THEN s3_storage_class ELSE new_class END AS s3_storage_class,
+               archive_mode, CASE WHEN t.archive IS NULL THEN timestamp ELSE '2024-05-01T00:00:00' END AS timestamp, user
+        FROM catalogue LEFT JOIN (SELECT * FROM tier_plan WHERE decision = 'change') t ON folder_key = t.archive""")
     add("tier_change_job", ("tier_plan", "tiers"), """
-        , sized AS (SELECT *, CASE decision WHEN 'change' THEN b ELSE 0 END AS bytes FROM tier_plan)
-        SELECT folder, decision, old_class, new_class, CASE decision WHEN 'change' THEN o ELSE 0 END AS total,
-               CASE decision WHEN 'change' THEN o - k ELSE 0 END AS changed, CASE decision WHEN 'change' THEN k ELSE 0 END AS skipped,
-               bytes, round(bytes / 1099511627776 * CAST(t.lo AS DOUBLE), 4) AS old_usd,
+        SELECT archive, folders, decision, old_class, new_class, total, changed, skipped, bytes, round(bytes / 1099511627776 * CAST(t.lo AS DOUBLE), 4) AS old_usd,
                round(bytes / 1099511627776 * CAST(n.lo AS DOUBLE), 4) AS new_usd
-        FROM sized LEFT JOIN tiers t ON old_class = t.storage_class LEFT JOIN tiers n ON new_class = n.storage_class""")
+        FROM tier_plan LEFT JOIN tiers t ON old_class = t.storage_class LEFT JOIN tiers n ON new_class = n.storage_class""")
     add("tier_cost_estimate", ("objects", "tiers"), """
-        , sizes AS (SELECT folder, storage_class, CAST(sum(size) AS BIGINT) AS bytes FROM objects
-            WHERE storage_class IS NOT NULL GROUP BY ALL)
-        SELECT folder, s.storage_class, bytes, round(bytes / 1099511627776, 3) AS tib,
+        , sizes AS (SELECT location, storage_class, CAST(sum(size) AS BIGINT) AS bytes FROM objects GROUP BY ALL)
+        SELECT location, s.storage_class, bytes, round(bytes / 1099511627776, 3) AS tib,
                round(bytes / 1099511627776 * CAST(lo AS DOUBLE), 4) AS storage_lo_usd,
                round(bytes / 1099511627776 * CAST(hi AS DOUBLE), 4) AS storage_hi_usd,
-               s.storage_class <> 'DEEP_ARCHIVE' AS supported,
+               coalesce(s.storage_class <> 'DEEP_ARCHIVE', true) AS supported,
                CASE s.storage_class WHEN 'DEEP_ARCHIVE' THEN NULL WHEN 'GLACIER' THEN round(bytes / 1099511627776 * 30.0::DOUBLE, 4)
                  ELSE round(bytes / 1099511627776 * CAST(retrieval AS DOUBLE), 4) END AS retrieval_usd,
                round(bytes / 1099511627776 * 90.0::DOUBLE, 4) AS egress_usd,
@@ -517,17 +554,20 @@ def statements() -> dict[str, str]:
         SELECT CAST('0x' || substr(md5(folder), 1, 8) AS BIGINT) % n AS batch, count(*) AS folders,
                CAST(sum(dirsum) AS BIGINT) AS bytes, CAST(sum(gib) AS BIGINT) AS gib,
                'coldledger archive ' || string_agg('"' || folder || '"', ' ' ORDER BY folder) AS command
-        FROM chosen, parts GROUP BY batch""")
+        FROM chosen, parts GROUP BY batch
+        UNION ALL
+        SELECT NULL, count(*), CAST(coalesce(sum(dirsum), 0) AS BIGINT), CAST(coalesce(sum(gib), 0) AS BIGINT), 'total' FROM chosen""")
     q["cost_report"] = """
-        WITH lines AS (SELECT o_custkey, o_orderpriority, CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(18,4)) AS amount
+        WITH lines AS (SELECT CAST(o_custkey AS VARCHAR) AS owner, o_orderpriority AS instance_type, 'service-' || o_orderstatus AS service,
+                         CASE o_orderkey % 4 WHEN 3 THEN 'EUR' ELSE 'USD' END AS unit, CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(18,4)) AS amount
                        FROM orders WHERE o_orderdate >= DATE '1998-06-01' AND o_orderdate < DATE '1998-06-15'),
         sums AS (
-          SELECT 'account' AS scope, 'root' AS name, sum(amount) AS m, sum(amount) FILTER (day = DATE '1998-06-14') AS d FROM lines
-          UNION ALL SELECT 'owner', CAST(o_custkey AS VARCHAR), sum(amount), sum(amount) FILTER (day = DATE '1998-06-14')
-            FROM lines GROUP BY o_custkey
-          UNION ALL SELECT 'instance_type', o_orderpriority, sum(amount), sum(amount) FILTER (day = DATE '1998-06-14')
-            FROM lines GROUP BY o_orderpriority)
-        SELECT scope, name, CAST(coalesce(m, 0) AS DOUBLE) AS month_to_date, CAST(coalesce(d, 0) AS DOUBLE) AS last_day FROM sums"""
+          SELECT scope, name, unit, sum(amount) AS m, sum(amount) FILTER (day = DATE '1998-06-14') AS d
+          FROM (SELECT 'account' AS scope, 'root' AS name, unit, day, amount FROM lines
+                UNION ALL SELECT 'owner', owner, unit, day, amount FROM lines
+                UNION ALL SELECT 'instance_type', instance_type, unit, day, amount FROM lines
+                UNION ALL SELECT 'service', service, unit, day, amount FROM lines) GROUP BY ALL)
+        SELECT scope, name, unit, CAST(coalesce(m, 0) AS DOUBLE) AS month_to_date, CAST(coalesce(d, 0) AS DOUBLE) AS last_day FROM sums"""
     add("transfer_errors", "log_lines", """
         SELECT log, count(*) AS stats_lines, max(bytes) AS bytes, arg_min(last_error, pos) FILTER (last_error IS NOT NULL) AS first_error
         FROM log_lines WHERE kind = 'stats' GROUP BY log""")
@@ -549,12 +589,13 @@ def statements() -> dict[str, str]:
           SELECT page_id, array_to_string(string_split(path, '/')[1:i], '/') AS a
           FROM page_paths, unnest(range(1, len(string_split(path, '/')) + 1)) t(i)))""")
     add("clean_paths", "page_paths", """
-        SELECT page_id, CASE WHEN rtrim(path, '/') = '' THEN '/' ELSE regexp_replace(rtrim(path, '/'), '/+', '/', 'g') END AS path
-        FROM page_paths WHERE path <> ''""")
+        SELECT page_id, CASE WHEN path = '' THEN '' WHEN rtrim(path, '/') = '' THEN '/' ELSE regexp_replace(rtrim(path, '/'), '/+', '/', 'g') END AS path
+        FROM page_paths""")
     q["report_slug"] = """
-        SELECT page_id, replace(url, '/', '+') || '.csv' AS slug, CASE WHEN length(s) > 255 THEN left(s, 25) || '.....' || right(s, 225)
+        SELECT page_id, replace(url, '/', '+') || '.csv' AS slug, CASE WHEN length(s) > 255 THEN left(s, 25) || '..' || md5(p) || '..' || right(s, 190)
                  ELSE s END AS short_slug
-        FROM (SELECT page_id, url, replace(url, '/', '+') || '+' || regexp_replace(html, '[^a-z]', '', 'g') || '.csv' AS s FROM pages)"""
+        FROM (SELECT page_id, url, p, replace(p, '/', '+') || '.csv' AS s
+              FROM (SELECT *, url || '/' || regexp_replace(html, '[^a-z]', '', 'g') AS p FROM pages))"""
     add("parse_destination", "folders", """
         SELECT folder, 'bkt' AS bucket, 'arch' || folder AS prefix, ':s3:b/d' || folder AS built FROM folders""")
     q["clean_search"] = """
@@ -564,7 +605,7 @@ def statements() -> dict[str, str]:
 
     # Search
     add("scan_grants", "grants", """
-        SELECT seq, project_num, start, "end", contact_pi_name, project_title, org_name, project_detail_url, pi_profile_id FROM grants""")
+        SELECT seq, project_num, start, "end", contact_pi_name, project_title, org_name, project_detail_url, pi_profile_ids FROM grants""")
     add("dedup_first", "grants", """
         SELECT project_num, min(seq) AS seq, arg_min(contact_pi_name, seq) AS contact_pi_name,
                arg_min(project_title, seq) AS project_title FROM grants GROUP BY project_num""")
@@ -572,6 +613,7 @@ def statements() -> dict[str, str]:
     q["cascade_search_project"] = _search("en-src3-5")
     q["cascade_search_org"] = _search("fr institute")
     q["cascade_search_text"] = _search("the 1")
+    q["cascade_search_blank"] = f"SELECT * FROM ({q['cascade_search_text']}) WHERE false"
 
     # Activity
     add("idle_streak", "streaks", "SELECT host, runs, streak, streak >= 5 AS is_idle FROM streaks")
@@ -597,8 +639,7 @@ def statements() -> dict[str, str]:
     for name in ("index_job", "scan_hotspots"):
         add(name, "index_rows", "SELECT * FROM index_rows")
     add("index_roots", ("index_rows", "units"), """
-        SELECT * FROM index_rows WHERE split_part("Folder", '/', 2) IN ('AFRICA', 'ASIA')
-          AND "Folder" IN (SELECT folder FROM units WHERE gibf >= 9)""")
+        SELECT * FROM index_rows WHERE "Folder" IN (SELECT folder FROM units WHERE gibf >= 9)""")
     add("index_totals", "units", """
         SELECT count(*) AS folders, count(*) FILTER (h) AS hotspots, CAST(sum(dirsum) FILTER (h) AS BIGINT) AS bytes,
                round(sum(dirsum) FILTER (h) / 1099511627776, 3) AS tib
@@ -610,9 +651,12 @@ def statements() -> dict[str, str]:
     add("sink_crawl", ("all_files", "rollup"), """
         SELECT '/' || split_part(folder, '/', 2) AS root, type, count(*) AS entries, CAST(sum(size) AS BIGINT) AS bytes
         FROM (SELECT folder, type, size FROM all_files UNION ALL SELECT folder, 'd', 4096 FROM rollup) GROUP BY ALL""")
-    add("sink_md5_manifest", "src", "SELECT folder, md5 || '  ' || name AS line FROM src")
+    add("sink_md5_manifest", "src", "SELECT folder || chr(9) || md5 || '  ' || name AS line FROM src")
     add("scan_md5_manifest", "src", "SELECT folder, name, md5 FROM src")
-    add("scan_catalogue_json", "catalogue", f"SELECT {_CAT} FROM catalogue")
+    for name in ("scan_catalogue_json", "parse_catalogue"):
+        add(name, "catalogue", f"SELECT {_CAT} FROM catalogue")
+    add("report_listing", "index_rows", """
+        SELECT '+' || split_part("Folder", '/', 2) || '.csv' AS report, count(*) AS rows FROM index_rows GROUP BY ALL""")
     add("sink_catalogue_export", "catalogue", "SELECT folder_key AS local_folder, timestamp FROM catalogue")
     add("scan_transfer_log", "log_lines", "SELECT kind, msg, bytes, last_error FROM log_lines")
     q["scan_key_value"] = """

@@ -25,6 +25,7 @@ from registry import views as v
 AGED_AS_OF = "2011-10-26 00:00:00"
 USER_ID, USER_GROUPS = 7, [1, 2, 3, 4, 5]
 COST_DAY = date(1998, 6, 15)
+ROOTS = ("/AFRICA", "/AMERICA", "/ASIA", "/EUROPE", "/MIDDLE EAST")
 TARGET = jobs.Target("bkt", "arch", "DEEP_ARCHIVE", user="me")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,8 +126,7 @@ def crawl_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 def multi_root_union(spark: SparkSession, sf: str) -> DataFrame:
     rows = inv.folder_rollup(v.files(spark, sf))
-    roots = ("/AFRICA", "/AMERICA", "/ASIA", "/EUROPE", "/MIDDLE EAST")
-    return inv.multi_root_union({r: rows.where(paths.is_under(F.col("folder"), F.lit(r))) for r in roots})
+    return inv.multi_root_union({r: rows.where(paths.is_under(F.col("folder"), F.lit(r))) for r in ROOTS})
 
 
 # Ownership and permissions
@@ -225,12 +225,16 @@ def unarchived_hotspots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def verify_checksums(spark: SparkSession, sf: str) -> DataFrame:
-    return verify.verify_checksums(v.src_manifest(spark, sf), v.objects(spark, sf)).select("folder", "name", "status")
+    return _verification(spark, sf).select("folder", "name", "status")
+
+
+def _verification(spark: SparkSession, sf: str) -> DataFrame:
+    places = cat.catalogue_lookup(v.folders(spark, sf), v.catalogue(spark, sf))
+    return verify.verify_checksums(v.src_manifest(spark, sf), verify.located(v.objects(spark, sf), places))
 
 
 def verified_folders(spark: SparkSession, sf: str) -> DataFrame:
-    compared = verify.verify_checksums(v.src_manifest(spark, sf), v.objects(spark, sf))
-    return verify.verified_folders(compared)
+    return verify.verified_folders(_verification(spark, sf))
 
 
 def archive_state(spark: SparkSession, sf: str) -> DataFrame:
@@ -280,12 +284,38 @@ def archive_plan(spark: SparkSession, sf: str) -> DataFrame:
         v.objects(spark, sf), TARGET, kib=20 * 1024)
 
 
-def content_md5(spark: SparkSession, sf: str) -> DataFrame:
-    return verify.content_md5(v.content_files(spark, sf))
+def _uploaded(spark: SparkSession, sf: str) -> DataFrame:
+    return v.folders(spark, sf).select("folder", F.concat(F.lit(":s3:bkt/arch"), "folder").alias("destination"))
+
+
+def archive_commit(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries of all folders whose upload to bkt/arch passes its checksums."""
+    entries = jobs.archive_commit(
+        _uploaded(spark, sf), v.src_manifest(spark, sf), v.objects(spark, sf), TARGET, "2024-06-01T00:00:00")
+    return entries.select(*CATALOGUE_OUT)
+
+
+def archive_commit_recursive(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations as recursive archives, recorded only if nothing below them fails."""
+    uploaded = _uploaded(spark, sf)
+    entries = jobs.archive_commit(
+        uploaded, v.src_manifest(spark, sf), v.objects(spark, sf), TARGET, "2024-06-01T00:00:00",
+        roots=uploaded.where(paths.depth(F.col("folder")) >= 2))
+    return entries.select(*CATALOGUE_OUT)
+
 
+def restore_verified(spark: SparkSession, sf: str) -> DataFrame:
+    """Restored folders against their archive; a few files arrived altered, some bundles came along."""
+    plan = restore_plan(spark, sf).where("source IS NOT NULL")
+    fetched = v.all_files(spark, sf).where("flag = 'A'").selectExpr(
+        "folder", "name", "md5(concat(folder, '/', name, ':', size, CASE WHEN uid % 50 = 7 THEN '?' ELSE '' END)) AS md5")
+    lists = v.supplier_folders(spark, sf).where("bal >= 0").selectExpr(
+        "folder", f"'{META.manifest}' AS name", "md5(folder) AS md5")
+    return jobs.restore_verified(plan, fetched.unionByName(lists), v.objects(spark, sf), bundle_name=META.manifest)
 
-def digest_files(spark: SparkSession, sf: str) -> DataFrame:
-    return verify.digest_files(crawl_src.read_live_listing(spark, sf, "*.parquet"))
+
+def content_md5(spark: SparkSession, sf: str) -> DataFrame:
+    return verify.content_md5(v.content_files(spark, sf))
 
 
 # Objects
@@ -342,8 +372,8 @@ def tier_change_update(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tier_cost_estimate(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = v.objects(spark, sf).where("storage_class IS NOT NULL").groupBy("folder", "storage_class").agg(
-        F.sum("size").alias("bytes"))
+    sizes = v.objects(spark, sf).groupBy(
+        obj.location(F.col("bucket"), F.col("key")).alias("location"), "storage_class").agg(F.sum("size").alias("bytes"))
     return obj.tier_cost_estimate(sizes, "Expedited").withColumn("hours_hi", F.round("hours_hi", 4))
 
 
@@ -424,7 +454,7 @@ def ancestors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clean_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return v.page_paths(spark, sf).where("path <> ''").select(
+    return v.page_paths(spark, sf).select(
         "page_id", paths.clean_path(F.col("path")).alias("path"))
 
 
@@ -454,7 +484,8 @@ def clean_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_grants(spark: SparkSession, sf: str) -> DataFrame:
-    return grant_src.parse_grants(v.grant_lines(spark, sf)).drop("text")
+    found = grant_src.parse_grants(v.grant_lines(spark, sf)).drop("text")
+    return found.withColumn("pi_profile_ids", F.array_join("pi_profile_ids", ","))
 
 
 def dedup_first(spark: SparkSession, sf: str) -> DataFrame:
@@ -482,6 +513,11 @@ def cascade_search_text(spark: SparkSession, sf: str) -> DataFrame:
     return _search(spark, sf, "the 1")
 
 
+def cascade_search_blank(spark: SparkSession, sf: str) -> DataFrame:
+    """Punctuation only: no words, no hits."""
+    return _search(spark, sf, ", :")
+
+
 # Activity
 
 
@@ -536,7 +572,7 @@ def index_job(spark: SparkSession, sf: str) -> DataFrame:
 def index_roots(spark: SparkSession, sf: str) -> DataFrame:
     crawled = v.crawl(spark, sf)
     return index.index_roots(
-        {r: crawled.where(F.col("root") == r).drop("root") for r in ("/AFRICA", "/ASIA")},
+        {r: crawled.where(F.col("root") == r).drop("root") for r in ROOTS},
         v.users(spark, sf), v.groups(spark, sf), v.AS_OF, min_gib=9).report
 
 
@@ -598,7 +634,7 @@ def sink_md5_manifest(spark: SparkSession, sf: str) -> DataFrame:
     path = work_dir(spark, "md5")
     digests = verify.md5_manifest(v.src_manifest(spark, sf))
     sink.write_md5_manifest(digests, digests.select("folder"), path)
-    return spark.read.text(path).select("folder", F.col("value").alias("line"))
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 def scan_md5_manifest(spark: SparkSession, sf: str) -> DataFrame:
@@ -611,8 +647,13 @@ def scan_md5_manifest(spark: SparkSession, sf: str) -> DataFrame:
 def scan_catalogue_json(spark: SparkSession, sf: str) -> DataFrame:
     path = work_dir(spark, "catalogue-json")
     cat_sink.write_catalogue_json(v.catalogue(spark, sf), path)
-    lines = spark.read.text(path)
-    # One catalogue file was cut off; it must not add rows.
+    return cat_src.read_catalogue_json(spark, path).select(*CATALOGUE_OUT)
+
+
+def parse_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """Maps of which some are cut off; those must not add rows."""
+    record = F.struct(*[c for c in v.catalogue(spark, sf).columns if c != "folder_key"])
+    lines = v.catalogue(spark, sf).select(F.to_json(F.create_map(F.col("folder_key"), record)).alias("value"))
     cut = lines.select(F.left("value", F.length("value") - 5).alias("value"))
     return cat_src.parse_catalogue(lines.unionByName(cut)).select(*CATALOGUE_OUT)
 
@@ -632,7 +673,7 @@ def scan_transfer_log(spark: SparkSession, sf: str) -> DataFrame:
 
 def scan_key_value(spark: SparkSession, sf: str) -> DataFrame:
     lines = v.table(spark, sf, "part").selectExpr(
-        "concat('Part=', p_partkey, ' Brand=', p_brand, '  Expr=a=', p_size, ' Type=', p_type) AS line")
+        "concat('Brand=old Part=', p_partkey, ' Brand=', p_brand, '  Expr=a=', p_size, ' Type=', p_type) AS line")
     kv = text_src.parse_key_values(F.col("line"))
     return lines.select(kv["Part"].cast("long").alias("part"), kv["Brand"].alias("brand"),
                         kv["Expr"].alias("expr"), kv["Type"].alias("type"))
@@ -645,22 +686,19 @@ def scan_delimited(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select(row.alias("r")).select("r.id", "r.name", "r.segment")
 
 
-def scan_live_listing(spark: SparkSession, sf: str) -> DataFrame:
-    return crawl_src.read_live_listing(spark, sf)
-
-
 def report_listing(spark: SparkSession, sf: str) -> DataFrame:
     path = work_dir(spark, "reports")
     report = index_job(spark, sf)
-    for root in ("+AFRICA", "+ASIA"):
-        sink.write_hotspots(report.where(F.col("Folder").startswith(root.replace("+", "/"))), f"{path}/{root}.csv")
-    return crawl_src.read_report_listing(spark, path)
+    for root in ROOTS:
+        rows = report.where(paths.is_under(F.col("Folder"), F.lit(root)))
+        sink.write_hotspots(rows, f"{path}/{root.replace('/', '+')}.csv")
+    return crawl_src.read_report_listing(spark, path).select("report", "rows")
 
 
 def sink_deletion_notes(spark: SparkSession, sf: str) -> DataFrame:
     path = work_dir(spark, "notes")
     sink.write_deletion_notes(deletion_report(spark, sf), path)
-    return spark.read.text(path).groupBy("folder").agg(F.count(F.lit(1)).alias("lines"))
+    return spark.read.schema("folder string, note string").option("recursiveFileLookup", "true").json(path)
 
 
 # Streams: the given table is the file source; the result equals the batch twin

@@ -35,10 +35,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def lineitem(spark: SparkSession, sf: str) -> DataFrame:
-    """The largest table. A copy in fewer files than cores is spread over all cores first."""
-    rows = table(spark, sf, "lineitem")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores, "l_orderkey", "l_partkey") if len(rows.inputFiles()) < cores else rows
+    """The largest table; the scan decides how it is split."""
+    return table(spark, sf, "lineitem")
 
 
 def supplier_places(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,11 +140,12 @@ _TIME = "date_format({0}, \"yyyy-MM-dd'T'HH:mm:ss\")"
 def catalogue(spark: SparkSession, sf: str) -> DataFrame:
     places = supplier_places(spark, sf)
     record = [
-        "folder AS folder_key", "folder AS local_folder", "concat(':s3:bkt/arch', folder) AS archive_folder",
+        "folder AS folder_key", "folder AS local_folder", "archive_folder",
         "s3_storage_class", "'default' AS profile", "'AWS' AS provider", "'' AS endpoint", "archive_mode",
         "ts AS timestamp", "ts AS timestamp_archive", "user", "CAST(NULL AS STRING) AS nih_project"]
     suppliers = places.where("s_acctbal >= 3000").selectExpr(
         "concat('/', r_name, '/', n_name, '/', s_name) AS folder",
+        "concat(':s3:bkt/arch/', r_name, '/', n_name, '/', s_name) AS archive_folder",
         "CASE WHEN s_acctbal < 5000 THEN 'DEEP_ARCHIVE' WHEN s_acctbal < 7500 THEN 'GLACIER' "
         "ELSE 'STANDARD_IA' END AS s3_storage_class", "'Single' AS archive_mode",
         _TIME.format("timestampadd(MINUTE, s_suppkey * 37, timestamp'2000-01-01 00:00:00')") + " AS ts",
@@ -155,11 +154,12 @@ def catalogue(spark: SparkSession, sf: str) -> DataFrame:
     nations = by_region.where("r_name IN ('AFRICA', 'ASIA')").selectExpr(
         "concat('/', r_name, '/', n_name) AS folder",
         "CASE r_name WHEN 'AFRICA' THEN 'DEEP_ARCHIVE' ELSE 'INTELLIGENT_TIERING' END AS s3_storage_class",
-        "'Recursive' AS archive_mode",
+        "CASE r_name WHEN 'ASIA' THEN concat(':s3:cold/vault/', n_name) ELSE concat(':s3:bkt/arch/', r_name, '/', n_name) "
+        "END AS archive_folder", "'Recursive' AS archive_mode",
         _TIME.format("timestampadd(HOUR, n_nationkey, timestamp'2021-01-01 00:00:00')") + " AS ts",
         "'admin' AS user")
     regions = table(spark, sf, "region").where("r_name IN ('AFRICA', 'AMERICA', 'EUROPE')").selectExpr(
-        "concat('/', r_name) AS folder",
+        "concat('/', r_name) AS folder", "concat(':s3:bkt/arch/', r_name) AS archive_folder",
         "CASE r_name WHEN 'AMERICA' THEN 'GLACIER' ELSE 'GLACIER_IR' END AS s3_storage_class",
         "CASE r_name WHEN 'EUROPE' THEN 'Single' ELSE 'Recursive' END AS archive_mode",
         _TIME.format("timestampadd(DAY, r_regionkey, timestamp'2022-01-01 00:00:00')") + " AS ts",
@@ -179,6 +179,15 @@ def src_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return rows.unionByName(lists)
 
 
+# Where the objects of a folder lie: most under bkt/arch, those of ASIA's nations in another bucket under
+# another root, and some rich suppliers' where no catalogue entry looks for them.
+_OWN = "(bal IS NOT NULL AND bal >= 3000)"
+BUCKET = (f"CASE WHEN {_OWN} AND supplier % 10 = 3 THEN 'elsewhere' "
+          f"WHEN startswith(folder, '/ASIA/') AND NOT {_OWN} THEN 'cold' ELSE 'bkt' END")
+KEY_PREFIX = (f"CASE WHEN startswith(folder, '/ASIA/') AND NOT {_OWN} THEN concat('vault', substr(folder, 6)) "
+              "ELSE concat('arch', folder) END")
+
+
 def objects(spark: SparkSession, sf: str) -> DataFrame:
     """Archived objects; uploads of shaky suppliers are partly missing or altered."""
     stored = all_files(spark, sf).where(
@@ -189,13 +198,15 @@ def objects(spark: SparkSession, sf: str) -> DataFrame:
         "WHEN qty < 25 THEN 'GLACIER' ELSE 'DEEP_ARCHIVE' END AS storage_class",
         "CASE WHEN bal >= 9000 THEN 'ongoing-request=\"false\", expiry-date=\"x\"' "
         "WHEN bal >= 8000 THEN 'ongoing-request=\"true\"' END AS restore",
-        f"md5(concat(folder, '/', name, ':', size, CASE WHEN {_SHAKY} AND qty = 13 THEN '!' ELSE '' END)) AS md5")
-    lists = folders(spark, sf, 0).selectExpr(
+        f"md5(concat(folder, '/', name, ':', size, CASE WHEN {_SHAKY} AND qty = 13 THEN '!' ELSE '' END)) AS md5",
+        "CASE WHEN flag = 'A' THEN bal END AS bal", "gid AS supplier")
+    leaves = supplier_folders(spark, sf).where("bal >= 0").selectExpr("folder", "bal", "s_suppkey AS supplier")
+    upper = folders(spark, sf, float("inf")).selectExpr("folder", "CAST(NULL AS DOUBLE) AS bal", "0L AS supplier")
+    lists = leaves.unionByName(upper).selectExpr(
         "folder", f"'{META.manifest}' AS name", "100L * length(folder) AS size", "'INTELLIGENT_TIERING' AS storage_class",
-        "CAST(NULL AS STRING) AS restore", "md5(folder) AS md5")
+        "CAST(NULL AS STRING) AS restore", "md5(folder) AS md5", "bal", "supplier")
     return rows.unionByName(lists).selectExpr(
-        "'bkt' AS bucket", "concat('arch', folder, '/', name) AS key", "size", "storage_class", "restore",
-        "folder", "name", "md5")
+        f"{BUCKET} AS bucket", f"concat({KEY_PREFIX}, '/', name) AS key", "size", "storage_class", "restore", "md5")
 
 
 def content_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -244,7 +255,8 @@ def restore_events_of(events: DataFrame) -> DataFrame:
 
 def cost_lines(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").selectExpr(
-        "o_orderdate AS day", "o_custkey AS owner", "o_orderpriority AS instance_type", "o_totalprice AS amount")
+        "o_orderdate AS day", "o_custkey AS owner", "o_orderpriority AS instance_type", "o_totalprice AS amount",
+        "concat('service-', o_orderstatus) AS service", "CASE o_orderkey % 4 WHEN 3 THEN 'EUR' ELSE 'USD' END AS unit")
 
 
 def grant_lines(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,11 +1,11 @@
 from __future__ import annotations
 
-import hashlib
 import os
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from coldledger.constants import META
@@ -29,6 +29,14 @@ def catalogue(spark):
         KEYS)
 
 
+OBJECTS = "bucket string, key string, md5 string"
+
+
+def objects_of(spark, rows, top="arch"):
+    """Objects where the catalogue and the target of these tests place a folder's archive."""
+    return spark.createDataFrame([("b", top + folder + "/" + name, md5) for folder, name, md5 in rows], OBJECTS)
+
+
 def folders_of(spark, *names):
     return spark.createDataFrame([(n,) for n in names], "folder string")
 
@@ -80,18 +88,25 @@ def test_snapshot_versions(spark, catalogue, tmp_path):
     cat_sink.write_snapshot(catalogue, root, 1)
     cat_sink.upsert_snapshot(spark, root, spark.createDataFrame([entry("/new")], KEYS))
     assert cat_sink.read_snapshot(spark, root).count() == 6
-    plan = cat_sink.read_snapshot(spark, root)._jdf.queryExecution().toString()
-    assert "PartitionFilters" in plan
+    assert len(cat_sink.read_snapshot(spark, root).inputFiles()) <= 8
+    assert all("version=0000000002" in f for f in cat_sink.read_snapshot(spark, root).inputFiles())
+    with pytest.raises(AnalysisException):
+        cat_sink.write_snapshot(catalogue, root, 2)
+    assert cat_sink.read_snapshot(spark, root).count() == 6
 
 
 def test_catalogue_json(spark, catalogue, tmp_path, rows):
     path = str(tmp_path / "json")
     cat_sink.write_catalogue_json(catalogue, path)
-    (tmp_path / "json" / "broken.txt").write_text('{"/x": {"local_folder": ')
     (tmp_path / "pretty.json").write_text('{\n  "/p": {\n "local_folder": "/p", "archive_mode": "Single"}\n}')
     lines = spark.read.text(path)
     assert rows(cat_src.parse_catalogue(lines), "folder_key") == rows(catalogue, "folder_key")
-    one = cat_src.read_catalogue_json(spark, str(tmp_path / "pretty.json")).first()
+    listed = lambda df: sorted(map(str, df.select(*catalogue.columns).collect()))
+    assert listed(cat_src.read_catalogue_json(spark, path)) == listed(catalogue)
+    (tmp_path / "cut.json").write_text('{"/x": {"local_folder": ')
+    with pytest.raises(Exception, match="not a catalogue map"):
+        cat_src.read_catalogue_json(spark, str(tmp_path / "cut.json")).collect()
+    one = cat_src.read_catalogue_json(spark, str(tmp_path / "pretty.json"), one_map_per_file=True).first()
     assert (one.folder_key, one.archive_mode, one.nih_project) == ("/p", "Single", None)
 
 
@@ -116,10 +131,48 @@ def test_verify(spark, rows):
 
 def test_archive_states(spark, catalogue, rows):
     src = spark.createDataFrame([("/s", "a", "1"), ("/r", "a", "1"), ("/x", "a", "1"), ("/y", "a", "1")], MD5)
-    dst = spark.createDataFrame([("/s", "a", "1"), ("/r", "a", "2"), ("/x", "a", "1"), ("/n", "a", "1")], MD5)
+    dst = objects_of(spark, [("/s", "a", "1"), ("/r", "a", "2"), ("/x", "a", "1"), ("/n", "a", "1")])
     wanted = folders_of(spark, "/s", "/r", "/x", "/y", "/n", "/a/b")
     assert rows(verify.archive_state(wanted, catalogue, src, dst), "folder", "state") == [
         ("/a/b", "new"), ("/n", "new"), ("/r", "mismatch"), ("/s", "archived"), ("/x", "leftover"), ("/y", "leftover")]
+    elsewhere = objects_of(spark, [("/s", "a", "1")], "other/place")
+    assert rows(verify.archive_state(folders_of(spark, "/s"), catalogue, src, elsewhere), "state") == [("mismatch",)]
+
+
+def test_a_copy_elsewhere_allows_no_delete(spark, catalogue, rows):
+    """Only objects at the destination of the catalogue count, whatever others are called."""
+    src = spark.createDataFrame([("/s", "a", "1"), ("/r/x", "a", "1")], MD5)
+    local = spark.createDataFrame([("/s", "a", 5), ("/r/x", "a", 5)], FILES)
+    plan = lambda dst: rows(verify.delete_plan(
+        folders_of(spark, "/s", "/r/x"), catalogue, src, dst, local), "folder", "decision")
+    held = [("/s", "a", "1"), ("/r/x", "a", "1")]
+    assert plan(objects_of(spark, held)) == [("/r/x", "delete"), ("/s", "delete")]
+    for wrong in (objects_of(spark, held, "elsewhere"), objects_of(spark, held, "arch/deeper"),
+                  objects_of(spark, held).withColumn("bucket", F.lit("c"))):
+        assert plan(wrong) == [("/r/x", "checksum_mismatch"), ("/s", "checksum_mismatch")]
+
+
+def test_commit_needs_the_checksums(spark, rows):
+    src = spark.createDataFrame([("/p/x", "a", "1"), ("/p/y", "a", "2"), ("/q", "a", "3")], MD5)
+    up = folders_of(spark, "/p/x", "/p/y", "/q", "/none").withColumn("destination", F.concat(F.lit(":s3:b/arch"), "folder"))
+    tops = folders_of(spark, "/p", "/q", "/none").withColumn("destination", F.concat(F.lit(":s3:b/arch"), "folder"))
+    target = jobs.Target("b", "arch", "GLACIER")
+    recorded = lambda dst, roots=None: [r[0] for r in rows(
+        jobs.archive_commit(up, src, objects_of(spark, dst), target, "t", roots), "folder_key")]
+    held = [("/p/x", "a", "1"), ("/p/y", "a", "2"), ("/q", "a", "3")]
+    assert recorded(held) == ["/p/x", "/p/y", "/q"]
+    assert recorded(held, tops) == ["/p", "/q"]
+    assert recorded(held[:1] + held[2:]) == ["/p/x", "/q"]
+    assert recorded(held[:1] + held[2:], tops) == ["/q"]
+
+
+def test_restored_files_are_compared(spark, rows):
+    asked = folders_of(spark, "/ok", "/bad", "/packed", "/none").withColumn("source", F.concat(F.lit(":s3:b/arch"), "folder"))
+    held = [("/ok", "a", "1"), ("/bad", "a", "1"), ("/bad", "b", "2"), ("/packed", META.bundle, "3")]
+    fetched = spark.createDataFrame([("/ok", "a", "1"), ("/bad", "a", "1"), ("/packed", META.bundle, "3")], MD5)
+    got = jobs.restore_verified(asked, fetched, objects_of(spark, held))
+    assert rows(got, "folder", "files", "failed", "step") == [
+        ("/bad", 2, 1, "mismatch"), ("/none", 0, 0, "nothing"), ("/ok", 1, 0, "done"), ("/packed", 1, 0, "unbundle")]
 
 
 FILES = "folder string, name string, size bigint"
@@ -128,7 +181,7 @@ FILES = "folder string, name string, size bigint"
 def test_delete_and_restore_plans(spark, catalogue, rows):
     src = spark.createDataFrame([("/s", "a", "1"), ("/r", "a", "1"), ("/r/gone", "a", "1")], MD5)
     restored = spark.createDataFrame([("/r/deep", "a", "1"), ("/s", "a", "wrong")], MD5)
-    dst = spark.createDataFrame([(f, "a", "1") for f in ("/s", "/r/gone", "/r/deep")], MD5)
+    dst = objects_of(spark, [(f, "a", "1") for f in ("/s", "/r/gone", "/r/deep")])
     local = spark.createDataFrame(
         [("/s", "a", 5), ("/s", META.md5, 1), ("/r", "a", 5), ("/r/gone", META.moved_note, 1), ("/r/deep", "a", 7), ("/r/none", "z", 1)],
         FILES)
@@ -137,8 +190,8 @@ def test_delete_and_restore_plans(spark, catalogue, rows):
     assert rows(plan, "folder", "decision", "files", "bytes") == [
         ("/r", "checksum_mismatch", 1, 5), ("/r/deep", "delete", 1, 7), ("/r/gone", "already_deleted", 0, 0),
         ("/r/none", "no_manifest", 1, 1), ("/s", "delete", 1, 5), ("/zz", "not_archived", 0, 0)]
-    notes = {r.folder: r.note for r in reports.deletion_report(plan, local, "restore").collect()}
-    assert set(notes) == {"/s", "/r/deep"} and notes["/s"].endswith("First files: a")
+    report = {r.folder: r for r in reports.deletion_report(plan, local, "restore").collect()}
+    assert set(report) == {"/s", "/r/deep"} and (report["/s"].first_files, report["/s"].more_files) == ("a", 0)
     assert rows(verify.restore_plan(asked, catalogue, local), "folder", "decision") == [
         ("/r", "not_empty"), ("/r/deep", "not_empty"), ("/r/gone", "restore"), ("/r/none", "not_empty"),
         ("/s", "not_empty"), ("/zz", "not_archived")]
@@ -147,10 +200,10 @@ def test_delete_and_restore_plans(spark, catalogue, rows):
 def test_archive_plan_collisions_only_when_recursive(spark, catalogue, rows):
     asked = folders_of(spark, "/n", "/n/m", "/o", "/empty")
     local = spark.createDataFrame([("/n", "a", 5), ("/n/m", "a", 5), ("/o", "a", 5), ("/empty", META.md5, 1)], FILES)
-    none = spark.createDataFrame([], MD5)
+    none, nothing = spark.createDataFrame([], MD5), spark.createDataFrame([], OBJECTS)
     target = jobs.Target("b", "arch", "GLACIER")
     plan = lambda deep: dict(rows(jobs.archive_plan(
-        asked, local, catalogue, none, none, target, recursive=deep), "folder", "decision"))
+        asked, local, catalogue, none, nothing, target, recursive=deep), "folder", "decision"))
     assert plan(False) == {"/n": "archive", "/n/m": "archive", "/o": "archive", "/empty": "skip"}
     assert plan(True) == {"/n": "collision", "/n/m": "collision", "/o": "archive", "/empty": "skip"}
     made = jobs.catalogue_entries(cat.destination_paths(asked, catalogue, "b", "arch"), target, "Single", "t")
@@ -162,21 +215,14 @@ def test_tier_change(spark, catalogue):
     objects = spark.createDataFrame(rows_, "bucket string, key string, size bigint")
     warm = catalogue.withColumn("s3_storage_class", F.when(F.col("folder_key") == "/a/b", "STANDARD_IA").otherwise("GLACIER"))
     plan = obj.tier_change_plan(folders_of(spark, "/a/b", "/s", "/no"), warm, objects, "GLACIER_IR")
-    got = {r.folder: (r.decision, r.total, r.changed, r.skipped, r.bytes) for r in plan.collect()}
+    got = {r.archive: (r.decision, r.total, r.changed, r.skipped, r.bytes) for r in plan.collect()}
     assert got == {"/a/b": ("change", 3, 2, 1, 16), "/s": ("rejected", 0, 0, 0, 0), "/no": ("not_archived", 0, 0, 0, 0)}
+    below = obj.tier_change_plan(folders_of(spark, "/a/b/c", "/a/b/d", "/a/b"), warm, objects, "GLACIER_IR").collect()
+    assert [(r.archive, r.folders, r.bytes) for r in below] == [("/a/b", 3, 16)]
     entries = jobs.tier_change_entries(plan, warm, "2025-01-01T00:00:00")
     assert [(r.folder_key, r.s3_storage_class) for r in entries.collect()] == [("/a/b", "GLACIER_IR")]
 
 
-def test_digest_files_reads_whole_files(spark, tmp_path):
-    data = {"a.bin": os.urandom(300_001), "b.bin": b""}
-    for name, content in data.items():
-        (tmp_path / name).write_bytes(content)
-    listed = spark.createDataFrame([(str(tmp_path), n) for n in data], "folder string, name string")
-    got = {r.name: r.md5 for r in verify.digest_files(listed, chunk_bytes=1000).collect()}
-    assert got == {n: hashlib.md5(c).hexdigest() for n, c in data.items()}
-
-
 def test_small_file_plan(spark, rows):
     files = spark.createDataFrame([("/f", "a", 10), ("/f", "b", 20), ("/f", "c", 5000), ("/g", "a", 9000)], FILES)
     assert rows(bundle.small_file_plan(files, kib=1)) == [("/f", 2, 30, 3, 2, 40960), ("/g", 0, 0, 1, 1, 0)]
@@ -184,7 +230,10 @@ def test_small_file_plan(spark, rows):
 
 def test_batches_hold_every_folder_once(spark):
     chosen = spark.range(120).selectExpr("concat('/d/', id) AS folder", "id AS dirsum", "id AS gib")
-    batches = reports.archive_batch(chosen, "archive", per_batch=10).collect()
+    listed = reports.archive_batch(chosen, "archive", per_batch=10).collect()
+    batches = [b for b in listed if b.batch is not None]
+    total, = (b for b in listed if b.batch is None)
+    assert (total.folders, total.bytes) == (120, sum(range(120)))
     quoted = [w for b in batches for w in b.command.split('"')[1::2]]
     assert sorted(quoted) == sorted(f"/d/{i}" for i in range(120)) and max(b.folders for b in batches) < 40
     assert sum(b.bytes for b in batches) == sum(range(120))

@@ -31,6 +31,26 @@ def test_crawl_csv_with_other_columns(spark, tmp_path):
     assert got == {"/a": (0o40755, "d"), "/a/f": (0o100644, "f"), "/a/l": (0o120777, "l")}
 
 
+def test_crawl_files_with_headers_of_their_own(spark, tmp_path, rows):
+    (tmp_path / "a.csv").write_text(HEADER + "1,/a,5,6,10,20,1,7\n")
+    (tmp_path / "b.csv").write_text("GID,UID,filename,st_atime,st_mtime,pw_fcount,pw_dirsum,inode\n6,5,/b,10,20,1,7,2\n")
+    crawl = src.good_rows(src.read_crawl_csv(spark, str(tmp_path)))
+    assert rows(crawl, "filename", "UID", "GID", "pw_dirsum") == [("/a", 5, 6, 7), ("/b", 5, 6, 7)]
+
+
+def test_crawl_names_with_a_line_break_are_set_aside(spark, tmp_path, rows):
+    (tmp_path / "c.csv").write_text(HEADER + '1,"/a\nb",5,6,10,20,1,7\n2,/c,5,6,10,20,1,7\n')
+    crawl = src.read_crawl_csv(spark, str(tmp_path))
+    assert rows(src.good_rows(crawl), "filename") == [("/c",)] and src.bad_lines(crawl).count() == 2
+
+
+def test_long_paths_in_manifests(spark, tmp_path, rows):
+    deep = "/" + "/".join("lab" for _ in range(100))
+    digests = spark.createDataFrame([(deep, "x", "0" * 32)], "folder string, name string, md5 string")
+    sink.write_md5_manifest(digests, digests.select("folder"), str(tmp_path / "m"))
+    assert rows(text.read_md5_manifest(spark, str(tmp_path / "m"))) == rows(digests)
+
+
 def test_crawl_csv_needs_its_columns(spark, tmp_path):
     (tmp_path / "c.csv").write_text("filename,UID\n/a,1\n")
     with pytest.raises(ValueError, match="pw_dirsum"):
@@ -78,6 +98,8 @@ def test_key_values_and_delimited(spark):
     line = F.lit("PartitionName=a  AllowQos=x,y Expr=p=q State=UP")
     kv = spark.range(1).select(text.parse_key_values(line).alias("m")).first().m
     assert kv == {"PartitionName": "a", "AllowQos": "x,y", "Expr": "p=q", "State": "UP"}
+    again = spark.range(1).select(text.parse_key_values(F.lit("a=1 b=2 a=3")).alias("m")).first().m
+    assert again == {"a": "3", "b": "2"}
     row = spark.range(1).select(text.parse_delimited(F.lit('1, "a,b", c'), "i INT, s STRING, t STRING", ",").alias("r")).first().r
     assert tuple(row) == (1, "a,b", "c")
 
@@ -86,7 +108,9 @@ def test_grants(spark):
     line = ('{"core_project_num": " R01 ", "project_start_date": "2020-01-02T00:00:00", "organization": {"org_name": null}, '
             '"principal_investigators": [{"profile_id": 1, "is_contact_pi": false}, {"profile_id": 2, "is_contact_pi": true}]}')
     row = grants.parse_grants(spark.createDataFrame([(line,)], "line string")).first()
-    assert (row.project_num, row.start, row.end, row.org_name, row.pi_profile_id) == ("R01", "2020-01-02", "", "", "2")
+    assert (row.project_num, row.start, row.end, row.org_name, row.pi_profile_ids) == ("R01", "2020-01-02", "", "", ["2"])
+    both = grants.parse_grants(spark.createDataFrame([(line.replace("false", "true"),)], "line string")).first()
+    assert both.pi_profile_ids == ["1", "2"]
 
 
 def test_work_dir_is_new_each_time(spark):

@@ -8,7 +8,18 @@ from pyspark.sql import functions as F
 from coldledger import skew
 from coldledger.operators import activity, bundle, catalogue as cat, entitlements as ent, ownership
 
-SPLIT = {"broadcast_rows": 0, "min_rows": 0}
+@pytest.fixture
+def no_broadcast(spark):
+    """Plans of lookup tables that are too large for a broadcast, with small skewed partitions split."""
+    forced = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+              "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+              "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8KB"}
+    before = {k: spark.conf.get(k, None) for k in forced}
+    for k, v in forced.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def same(a, b):
@@ -24,35 +35,6 @@ def facts(spark):
         "id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 50 = 1 THEN NULL ELSE id % 900 END AS k")
 
 
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_split_join(spark, facts, how):
-    lookup = spark.range(800).selectExpr("id AS k", "concat('n', id) AS v")
-    got = skew.split_join(facts, lookup, ["k"], ["id"], how, min_rows=10)
-    assert same(got.select("id", "k", "v"), facts.join(lookup, "k", how).select("id", "k", "v"))
-
-
-def test_hot_keys_are_few_and_split_by_size(facts):
-    hot = {r.k: r._splits for r in skew.hot_keys(facts, ["k"], share=10, min_rows=100).collect()}
-    assert hot == {7: 4}
-    assert skew.hot_keys(facts, ["k"], share=1000, min_rows=0).count() <= 1000
-
-
-def test_hot_key_rows_are_spread(facts):
-    hot = skew.hot_keys(facts, ["k"], share=10, min_rows=100)
-    salts = skew.with_salt(facts.where("k = 7"), ["k"], ["id"], hot).groupBy("_salt").count().collect()
-    assert len(salts) == 4 and max(r["count"] for r in salts) < 3_500
-
-
-def test_is_small(spark):
-    assert skew.is_small(spark.range(10), 10)
-    assert not skew.is_small(spark.range(11), 10)
-    assert not skew.is_small(spark.range(0), 0)
-
-
-def test_spread_partitions_keeps_rows(facts):
-    assert same(skew.spread_partitions(facts, ["k"], ["id"], min_rows=10), facts)
-
-
 @pytest.fixture(scope="module")
 def beats(spark):
     return spark.range(5_000).selectExpr(
@@ -102,33 +84,36 @@ def test_idle_limit(spark, states, idle):
     assert activity.idle_streak(df).first().is_idle is idle
 
 
-def test_resolve_owner_without_broadcast(spark, facts):
+def test_resolve_owner_without_broadcast(spark, facts, no_broadcast):
     files = facts.selectExpr("'/f' AS folder", "CAST(id AS STRING) AS name", "k AS uid", "id % 9 AS gid")
     users = spark.range(500).selectExpr("id AS uid", "concat('u', id) AS user")
     groups = spark.range(5).selectExpr("id AS gid", "concat('g', id) AS group_name")
-    plain = ownership.resolve_owner(files, users, groups).select("name", "owner", "group_name")
-    split = ownership.resolve_owner(files, users, groups, **SPLIT).select("name", "owner", "group_name")
-    assert same(plain, split)
+    got = {(r.name, r.owner, r.group_name) for r in ownership.resolve_owner(files, users, groups).collect()}
+    want = set()
+    for r in facts.collect():
+        uid, gid = r.k, r.id % 9
+        owner = None if uid is None else f"u{uid}" if uid < 500 else str(uid)
+        want.add((str(r.id), owner, f"g{gid}" if gid < 5 else str(gid)))
+    assert got == want and len(got) == 30_000
 
 
-def test_lookup_and_bundles_without_broadcast(spark):
+def test_lookup_and_bundles_without_broadcast(spark, no_broadcast):
     folders = spark.range(3_000).selectExpr("concat('/hot/', id % 40, '/', id) AS folder")
     record = {c: F.lit("x") for c in cat.RECORD}
     catalogue = spark.range(10).selectExpr("concat('/hot/', id) AS folder_key").unionByName(
         spark.createDataFrame([("/hot",)], "folder_key string")).withColumns(record).withColumns(
         {"archive_mode": F.lit("Recursive"), "local_folder": F.col("folder_key")})
-    assert same(cat.catalogue_lookup(folders, catalogue), cat.catalogue_lookup(folders, catalogue, **SPLIT))
+    found = {r.folder: r.matched_folder for r in cat.catalogue_lookup(folders, catalogue).collect()}
+    assert len(found) == 3_000 and found["/hot/3/3"] == "/hot/3" and found["/hot/39/39"] == "/hot"
     small = spark.range(2_000).selectExpr(
         "CASE WHEN id % 3 = 0 THEN '/hot' ELSE concat('/', id % 50) END AS folder", "CAST(id AS STRING) AS name",
         "id % 900 AS size", "repeat('x', CAST(id % 900 AS INT)) AS content")
-    packed = bundle.bundle_small(small, target_bytes=4096, **SPLIT)
+    packed = bundle.bundle_small(small, target_bytes=4096)
     assert same(bundle.unbundle(packed), small)
-    assert same(packed.select("folder", "bundle", "files"),
-                bundle.bundle_small(small, target_bytes=4096).select("folder", "bundle", "files"))
     assert packed.where("folder = '/hot'").agg(F.max("bytes")).first()[0] < 4 * 4096
 
 
-def test_entitlements_without_broadcast(spark):
+def test_entitlements_without_broadcast(spark, no_broadcast):
     principals = spark.range(600).selectExpr(
         "id AS principal", "concat('a', id % 4) AS account", "array(concat('g', id % 5)) AS groups",
         "array('x', 'y') AS options")
@@ -138,7 +123,7 @@ def test_entitlements_without_broadcast(spark):
         ("p5", "UP", [], [], ["a1"], ["ALL"], [], []), ("p6", "UP", [], [], [], ["ALL", "g9"], [], ["ALL"])],
         "resource string, state string, deny_groups array<string>, deny_accounts array<string>, "
         "allow_accounts array<string>, allow_groups array<string>, deny_options array<string>, allow_options array<string>")
-    got = {(r.principal, r.resource): r.options for r in ent.entitlements(principals, policies, **SPLIT).collect()}
+    got = {(r.principal, r.resource): r.options for r in ent.entitlements(principals, policies).collect()}
     want = {}
     for p in principals.collect():
         for r in policies.collect():
