@@ -101,15 +101,15 @@ def linked_pairs(prints: DataFrame, max_bits: int = 2, pair_bound: int = 64) ->
         raise ValueError("Golay keys of three segments find up to two differing bits")
     keys = _keys(prints)
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = sizes.where(F.col("n") > pair_bound).select("key")
-    shared = keys.join(sizes, "key")
+    # Most keys belong to one fingerprint alone; what several share is small and read three times.
+    shared = checkpointed(keys.join(sizes, "key"))
     sparse = shared.where(F.col("n") <= pair_bound)
     distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     asking = sparse.where("asks").select("key", F.col("fp").alias("a"))
     answering = sparse.select("key", F.col("fp").alias("b"))
     pairs = (asking.join(answering, "key").where((F.col("a") != F.col("b")) & (distance <= max_bits))
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    hot = keys.join(crowded, "key", "left_semi").select("fp").distinct()
+    hot = shared.where(F.col("n") > pair_bound).select("fp").distinct()
     if max_bits == 2:
         flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
         listed = hot.select("fp", F.explode(flips).alias("middle"))
