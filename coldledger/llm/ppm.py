@@ -21,7 +21,6 @@ training documents every symbol has probability 1/256. No rows: no rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +33,8 @@ from coldledger.llm.shared import ship_package, whole
 from coldledger.session import work_dir
 
 ORDER = 5
-BLOCK_BYTES = 32_000_000
-CHUNK_BYTES = 4_000_000  # text of a block that is split into grams at a time
+BLOCK_BYTES = 12_000_000
+CHUNK_BYTES = 1_000_000  # text of a block that is split into grams at a time
 START, END = 0xFE, 0xFF  # bytes that UTF-8 text never has
 GRAM, WORD = b"\x00", b"\x01"  # first byte of a key; the bare WORD key is the end token
 SYMBOLS = 256
@@ -84,23 +83,28 @@ def _chunks(texts: pa.ChunkedArray) -> Iterator[list[list[bytes]]]:
 
 def _block_facts(docs: pa.Table) -> pa.Table:
     """(block, key, n): all grams and words of a block with their counts in training documents."""
-    block = docs["block"][0]
-    grams, words = {}, Counter()
+    block = docs["block"][0].as_py()
+    grams, words = [], []
     for train in (True, False):
-        rows = docs.filter(pc.equal(docs["train"], train))
-        for split in _chunks(rows["body"]):
-            counted = pc.value_counts(pa.array(gram_codes(split)[0]))
-            codes, counts = counted.field("values").to_numpy(), counted.field("counts").to_numpy()
-            grams.setdefault("codes", []).append(codes)
-            grams.setdefault("counts", []).append(counts if train else np.zeros_like(counts))
-            found = Counter(w for ws in split for w in ws)
-            found[b""] = len(split)
-            words.update(found if train else dict.fromkeys(found, 0))
-    codes, at = np.unique(np.concatenate(grams["codes"]), return_inverse=True)
-    counts = np.bincount(at, np.concatenate(grams["counts"])).astype(np.int64)
-    keys = pa.concat_arrays([_gram_keys(codes), pa.array([WORD + w for w in words], pa.binary())])
-    n = np.concatenate([counts, np.fromiter(words.values(), np.int64, len(words))])
-    return pa.table({"block": pa.array(np.full(len(n), block.as_py()), pa.int64()), "key": keys, "n": n})
+        for split in _chunks(docs.filter(pc.equal(docs["train"], train))["body"]):
+            for found, kept in ((pa.array(gram_codes(split)[0]), grams), (_tokens(split), words)):
+                counted = pc.value_counts(found)
+                n = counted.field("counts")
+                kept.append(pa.table({"key": counted.field("values"), "n": n if train else pc.multiply(n, 0)}))
+            pa.default_memory_pool().release_unused()
+    parts = []
+    for kept in (grams, words):
+        summed = pa.concat_tables(kept).group_by("key").aggregate([("n", "sum")])
+        key = summed["key"].combine_chunks()
+        key = _gram_keys(key.to_numpy()) if kept is grams else key
+        parts.append(pa.table({"block": pa.array(np.full(len(key), block)), "key": key, "n": summed["n_sum"].cast(pa.int64())}))
+    return pa.concat_tables(parts)
+
+
+def _tokens(split: list[list[bytes]]) -> pa.Array:
+    """Keys of the words of all documents, each document's followed by its end token."""
+    words = pa.array([w for words in split for w in (*words, b"")], pa.binary())
+    return pc.binary_join_element_wise(pa.scalar(WORD), words, pa.scalar(b""))
 
 
 class _Level:
@@ -154,16 +158,11 @@ def gram_log_probabilities(last: int, before: np.ndarray, symbol: np.ndarray, n:
 
 def _score_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """Scores of a block's documents from the values of their grams and words."""
-    keys = answers["key"].combine_chunks()
-    is_gram = pc.equal(pc.binary_slice(keys, 0, 1), pa.scalar(GRAM)).to_numpy(zero_copy_only=False)
-    values = answers["value"].to_numpy()
-    raw = b"".join(keys.filter(pa.array(is_gram)).to_pylist())
-    raw = np.frombuffer(raw, np.uint8).reshape(-1, ORDER + 2)[:, 1:].astype(np.int64)
-    codes = np.zeros(len(raw), np.int64)
-    for i in range(ORDER + 1):
-        codes = (codes << 8) | raw[:, i]
-    codes, gram_values = pa.array(codes), values[is_gram]
-    counts = dict(zip((k[1:] for k in keys.filter(pa.array(~is_gram)).to_pylist()), values[~is_gram].tolist(), strict=True))
+    keys, values = answers["key"].combine_chunks(), answers["value"].combine_chunks()
+    is_gram = pc.starts_with(keys, GRAM)
+    codes, gram_values = pa.array(_codes(keys.filter(is_gram))), values.filter(is_gram).to_numpy()
+    known_words = keys.filter(pc.invert(is_gram))
+    word_counts = values.filter(pc.invert(is_gram)).to_numpy()
     tokens, known, logs, scores = [], [], [], []
     for split in _chunks(docs["body"]):
         grams, sizes = gram_codes(split)
@@ -172,16 +171,27 @@ def _score_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
             raise RuntimeError("a gram of a document has no value")
         scores.append(np.add.reduceat(gram_values[found.to_numpy()], np.cumsum(sizes) - sizes))
         sizes = np.array([len(words) + 1 for words in split])
-        seen = np.fromiter((counts[w] for words in split for w in (*words, b"")), np.float64, int(sizes.sum()))
+        seen = word_counts[pc.index_in(_tokens(split), value_set=known_words).to_numpy()]
         firsts = np.cumsum(sizes) - sizes
         tokens.append(sizes)
         known.append(np.add.reduceat((seen > 0).astype(np.int64), firsts))
         logs.append(np.add.reduceat(np.log10(seen + 1), firsts))
+        pa.default_memory_pool().release_unused()
     joined = lambda parts: pa.array(np.concatenate(parts))
     return pa.table({"id": docs["id"], "held_out": pc.invert(docs["train"]), "n_tokens": joined(tokens),
                      "n_known": joined(known), "logs": joined(logs), "score": joined(scores)})
 
 
+def _codes(keys: pa.Array) -> np.ndarray:
+    """Gram codes of gram keys, read from the array's own memory."""
+    raw = np.frombuffer(keys.buffers()[2], np.uint8) if len(keys) else np.zeros(0, np.uint8)
+    raw = raw[keys.offset * (ORDER + 2):(keys.offset + len(keys)) * (ORDER + 2)].reshape(-1, ORDER + 2)
+    codes = np.zeros(len(keys), np.int64)
+    for i in range(1, ORDER + 2):
+        codes = (codes << 8) | raw[:, i]
+    return codes
+
+
 def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -209,11 +219,9 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         pairs[row["pair"][0], row["pair"][1]] = row["n"]
 
     def probabilities(part: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(part["key"].to_pylist()), np.uint8).reshape(-1, ORDER + 2).astype(np.int64)
-        before = np.zeros(len(raw), np.int64)
-        for i in range(1, ORDER - 1):
-            before = before * SYMBOLS + raw[:, i]
-        values = gram_log_probabilities(int(raw[0, ORDER]), before, raw[:, ORDER + 1], part["n"].to_numpy(), pairs)
+        codes = _codes(part["key"].combine_chunks())
+        last, symbol = int(codes[0] >> 8) % SYMBOLS, codes % SYMBOLS
+        values = gram_log_probabilities(last, codes >> 24, symbol, part["n"].to_numpy(), pairs)
         return pa.table({"key": part["key"], "value": values})
 
     model = (grams.groupBy(F.substring("key", ORDER, 2)).applyInArrow(probabilities, "key binary, value double")
