@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldledger.llm import (bpe, decontam, exact, html_text, langid, ppm, secret_scan, sharding, simhash,
+from coldledger.llm import (bpe, decontam, exact, html_text, langid, line_dedup, ppm, secret_scan, sharding, simhash,
                             toxicity)
 from coldledger.llm.shared import table
 
@@ -72,9 +72,15 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, min_docs=10, min_chars=1))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [op1_simhash_near_dedup, op2_sharding, op3_exact_dedup, op4_byte_bpe, op5_ppm_scoring, op6_language_id,
-           op7_secret_scan, op8_toxicity, op9_benchmark_decontamination, op10_html_text]
+           op7_secret_scan, op8_toxicity, op9_benchmark_decontamination, op10_html_text, op13_line_dedup]
     return {f.__name__: f for f in ops}
 
 
@@ -84,4 +90,17 @@ def statements() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                    doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+        "op13_line_dedup": """
+            WITH lines AS (
+                SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                       generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+                FROM documents),
+            keyed AS (
+                SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+                                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+            common AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+            SELECT doc_id, count(*) AS n_lines, count(common.k) AS n_dropped,
+                   sha256(coalesce(string_agg(CASE WHEN common.k IS NULL THEN line END, chr(10) ORDER BY pos), ''))
+                       AS kept_sha256
+            FROM keyed LEFT JOIN common USING (k) GROUP BY doc_id""",
     }
