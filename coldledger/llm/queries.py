@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldledger.llm import (bpe, decontam, exact, html_text, langid, line_dedup, ppm, secret_scan, sharding, simhash,
-                            toxicity)
+from coldledger.llm import (bpe, decontam, exact, html_text, langid, line_dedup, ppm, ranked_search, secret_scan,
+                            sharding, simhash, toxicity)
 from coldledger.llm.shared import table
 
 SHINGLE, MAX_BITS = 3, 2
@@ -72,6 +72,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, min_docs=10, min_chars=1))
@@ -80,7 +84,8 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [op1_simhash_near_dedup, op2_sharding, op3_exact_dedup, op4_byte_bpe, op5_ppm_scoring, op6_language_id,
-           op7_secret_scan, op8_toxicity, op9_benchmark_decontamination, op10_html_text, op13_line_dedup]
+           op7_secret_scan, op8_toxicity, op9_benchmark_decontamination, op10_html_text, op12_ranked_search,
+           op13_line_dedup]
     return {f.__name__: f for f in ops}
 
 
@@ -90,6 +95,32 @@ def statements() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                    doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+        "op12_ranked_search": r"""
+            WITH split AS (
+                SELECT doc_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+                                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+                FROM documents),
+            counts AS (SELECT doc_id, term, count(*) AS tf FROM split GROUP BY doc_id, term),
+            lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counts GROUP BY doc_id),
+            totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+            norms AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM lengths, totals),
+            weights AS (
+                SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+                FROM counts, totals GROUP BY term),
+            asked AS (
+                SELECT item_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+                                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+                FROM benchmark),
+            wanted AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY item_id, term),
+            scored AS (
+                SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+                FROM wanted JOIN counts USING (term) JOIN weights USING (term) JOIN norms USING (doc_id)
+                GROUP BY item_id, doc_id),
+            ranked AS (
+                SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank,
+                       doc_id, score
+                FROM scored WHERE score > 0)
+            SELECT * FROM ranked WHERE rank <= 20""",
         "op13_line_dedup": """
             WITH lines AS (
                 SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
