@@ -20,7 +20,7 @@ from registry.queries import registered  # noqa: E402
 HEADLINE = (
     "index_job", "hotspots", "folder_rollup", "recursive_rollup", "newest_times", "aged_bytes_report",
     "resolve_owner", "file_manifest", "catalogue_lookup", "unarchived_hotspots", "verify_checksums",
-    "archive_state", "archive_plan", "delete_plan", "restore_job", "tier_change_job", "prefix_size",
+    "store_listing", "archive_state", "archive_plan", "delete_plan", "restore_job", "tier_change_job", "prefix_size",
     "restore_status_counts", "small_file_plan", "bundle_small", "entitlements", "cost_report",
     "cascade_search_text", "idle_streak", "io_rates", "activity_windows")
 

@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coldledger.constants import GLACIER_CLASSES, META
-from coldledger.functions.paths import parent
+from coldledger.functions.paths import basename
 
 
 def location(bucket: Column, key: Column) -> Column:
-    """Location of the folder that holds an object."""
-    return parent(F.concat(F.lit(":s3:"), bucket, F.lit("/"), key))
+    """Location of the folder that holds an object; each input is named once, as it may be a long expression."""
+    return F.regexp_replace(F.concat(F.lit(":s3:"), bucket, F.lit("/"), key), "/[^/]*$", "")
+
+
+def placed(objects: DataFrame) -> tuple[Column, Column]:
+    """Place and name of each object: the columns of a stored listing, else cut from bucket and key.
+
+    Never null, so that no test for null is pushed into the plan that makes the listing.
+    """
+    if "place" in objects.columns:
+        return F.col("place"), F.col("name")
+    return (F.coalesce(location(F.col("bucket"), F.col("key")), F.lit("")).alias("place"),
+            F.coalesce(basename(F.col("key")), F.lit("")).alias("name"))
 
 
 def is_glacier(storage_class: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coldledger.constants import EGRESS_USD_PER_TIB, GLACIER_CLASSES, META, RETRIEVAL_OPTIONS, STORAGE_TIERS, TIB
-from coldledger.functions.objects import is_glacier, location, restore_class
+from coldledger.functions.objects import is_glacier, placed, restore_class
 from coldledger.functions.paths import ancestors, basename
 from coldledger.functions.units import to_gib
 from coldledger.operators.catalogue import catalogue_lookup
@@ -22,7 +22,7 @@ STATES = ("triggered", "restoring", "restored", "not_glacier", "unsupported", "i
 
 def object_rollup(objects: DataFrame, keep: Sequence[str] = META.keep_standard) -> DataFrame:
     """Objects, bytes and kept metadata files per location, direct objects only."""
-    return objects.groupBy(location(F.col("bucket"), F.col("key")).alias("location")).agg(
+    return objects.groupBy(placed(objects)[0].alias("location")).agg(
         F.count(F.lit(1)).alias("objects"),
         F.sum(F.coalesce("size", F.lit(0))).alias("bytes"),
         F.count_if(basename(F.col("key")).isin(*keep)).alias("kept"))
@@ -55,7 +55,7 @@ def restore_status(objects: DataFrame, option: str = "Bulk") -> DataFrame:
 def restore_status_counts(objects: DataFrame, option: str = "Bulk") -> DataFrame:
     """Objects per retrieval state and location."""
     return (restore_status(objects, option)
-            .groupBy(location(F.col("bucket"), F.col("key")).alias("location"))
+            .groupBy(placed(objects)[0].alias("location"))
             .agg(*[F.count_if(F.col("state") == s).alias(s) for s in STATES]))
 
 

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from coldledger.constants import META
 from coldledger.operators.catalogue import catalogue_lookup
 from coldledger.operators.inventory import non_meta
-from coldledger.functions.objects import is_glacier, location
-from coldledger.functions.paths import basename
+from coldledger.functions.objects import is_glacier, placed
 
 
 def content_md5(files: DataFrame, content: str = "content") -> DataFrame:
@@ -28,23 +27,25 @@ def md5_manifest(digests: DataFrame, names: Sequence[str] = META.not_hashed) ->
     return non_meta(digests.select("folder", "name", "md5"), names)
 
 
-def located(objects: DataFrame, places: DataFrame) -> DataFrame:
-    """Objects (bucket, key, md5) under the folders whose place they lie at: (folder, name, md5).
+def archived_digests(objects: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """One row per place and name with its digest; empty where the copies of a row have several, or none.
 
-    ``places`` has folder and destination. Objects anywhere else belong to no folder, whatever their names.
+    A stored listing is that already and is passed through.
     """
-    rows = objects.select(location(F.col("bucket"), F.col("key")).alias("destination"),
-                          basename(F.col("key")).alias("name"), "md5")
-    return rows.join(places.where("destination IS NOT NULL").select("folder", "destination"), "destination").select(
-        "folder", "name", "md5")
+    if "place" in objects.columns:
+        return objects
+    digest = F.coalesce("md5", F.lit(""))
+    return objects.select(*placed(objects), digest.alias("md5"), *more).groupBy("place", "name").agg(
+        F.when(F.min("md5") == F.max("md5"), F.min("md5")).otherwise(F.lit("")).alias("md5"),
+        *[F.max(c).alias(c) for c in more])
 
 
-def _compared(src: DataFrame, dst: DataFrame, restored: DataFrame | None = None) -> DataFrame:
+def _compared(src: DataFrame, dst: DataFrame) -> DataFrame:
     """Per folder and name: the least and greatest digest of each side, null where a side has no such file.
 
     The sides are stacked and aggregated, so each one is read once and copies of a row shrink early.
     """
-    sides = {"src": src, "dst": dst} | ({"re": restored} if restored is not None else {})
+    sides = {"src": src, "dst": dst}
     rows = None
     for side, df in sides.items():
         part = df.select("folder", "name", F.coalesce("md5", F.lit("")).alias("md5"), F.lit(side).alias("side"))
@@ -82,21 +83,64 @@ def verified_folders(verification: DataFrame) -> DataFrame:
         failed.alias("failed"), (failed == 0).alias("ok"))
 
 
-def folder_checks(src: DataFrame, dst: DataFrame, restored: DataFrame | None = None) -> DataFrame:
-    """Per folder: has_manifest, and ok if the archive holds exactly what the manifest lists.
+def _listed(src: DataFrame, places: DataFrame, *keep: str) -> DataFrame:
+    """Manifest rows with their folder's place: folder, place, name, md5, *keep."""
+    where = places.select("folder", F.coalesce("destination", F.lit("")).alias("place"))
+    return src.join(where, "folder", "left").select(
+        "folder", F.coalesce("place", F.lit("")).alias("place"), "name", F.coalesce("md5", F.lit("")).alias("md5"), *keep)
 
-    Folders without an archive-time manifest are judged by the restore-time one, if there is any.
+
+def _against(listed: DataFrame, objects: DataFrame, *keep: str) -> DataFrame:
+    """Each manifest name against what lies at its folder's place: folder, place, name, status, *keep.
+
+    Only manifests move: they meet the listing on place and name, by which a stored listing is bucketed.
+    """
+    dst = archived_digests(objects).select("place", "name", F.col("md5").alias("dst_md5"))
+    met = listed.join(dst, ["place", "name"], "left")
+    same = F.coalesce((F.col("md5") == F.col("dst_md5")) & (F.col("md5") != ""), F.lit(False))
+    return met.groupBy("place", "name", "folder", *keep).agg(
+        F.when(~F.bool_and(F.col("dst_md5").isNotNull()), F.lit("missing_on_dst"))
+        .when(F.bool_and(same), F.lit("match")).otherwise(F.lit("differ")).alias("status"))
+
+
+def verify_archives(src: DataFrame, objects: DataFrame, places: DataFrame) -> DataFrame:
+    """Compare manifests with what lies at their folders' places (folder, destination): folder, name, status.
+
+    As ``verify_checksums``, but for a listing, raw or stored, instead of rows under folders. Objects at a place
+    that a folder's manifest does not name are missing_on_src for it. What no manifest names is found by an
+    anti-join that leaves the listing where it lies; only that remainder is looked up by place. Where folders share
+    a place, each name that one of them lists is asked of all.
+    """
+    at = places.where("destination IS NOT NULL").select("folder", F.col("destination").alias("place"))
+    sharing = at.groupBy("place").agg(F.collect_set("folder").alias("sharers")).where(F.size("sharers") > 1)
+    listed = _listed(src, places)
+    asked = (listed.join(sharing, "place", "left").withColumn("by", F.col("folder"))
+             .withColumn("folder", F.explode(F.coalesce("sharers", F.array("folder")))))
+    found = _against(asked.select("place", "name", "folder", "md5", (F.col("by") == F.col("folder")).alias("own")),
+                     objects, "own").groupBy("place", "name", "folder").agg(F.max_by("status", "own").alias("status"),
+                                                                          F.bool_or("own").alias("own"))
+    status = F.when(F.col("own"), F.col("status")).when(F.col("status") != "missing_on_dst", F.lit("missing_on_src"))
+    others = (archived_digests(objects).select("place", "name").join(listed, ["place", "name"], "left_anti")
+              .join(at, "place").select("folder", "name", F.lit("missing_on_src").alias("status")))
+    return found.select("folder", "name", status.alias("status")).where("status IS NOT NULL").unionByName(others)
+
+
+def folder_checks(src: DataFrame, objects: DataFrame, places: DataFrame, restored: DataFrame | None = None) -> DataFrame:
+    """Per folder: has_manifest, and ok if its place holds exactly what the manifest lists.
+
+    Folders without an archive-time manifest are judged by the restore-time one, if there is any. Objects that no
+    manifest names are found by counting: a place must hold as many names as matched.
     """
-    compared = _compared(src, dst, restored)
-    facts = []
-    for side in ("src", "re") if restored is not None else ("src",):
-        facts += [F.bool_or(F.col(f"{side}_low").isNotNull()).alias(f"{side}_any"),
-                  F.coalesce(F.bool_and(_status(side) == "match"), F.lit(False)).alias(f"{side}_ok")]
-    sums = compared.groupBy("folder").agg(*facts)
-    if restored is None:
-        return sums.select("folder", F.col("src_any").alias("has_manifest"), F.col("src_ok").alias("ok"))
-    return sums.select("folder", (F.col("src_any") | F.col("re_any")).alias("has_manifest"),
-                       F.when(F.col("src_any"), F.col("src_ok")).otherwise(F.col("re_any") & F.col("re_ok")).alias("ok"))
+    sides = src.select("folder", "name", "md5", F.lit("src").alias("side"))
+    if restored is not None:
+        sides = sides.unionByName(restored.select("folder", "name", "md5", F.lit("re").alias("side")))
+    facts = _against(_listed(sides, places, "side"), objects, "side").groupBy("folder", "place", "side").agg(
+        F.count(F.lit(1)).alias("names"), F.bool_and(F.col("status") == "match").alias("match"))
+    held = archived_digests(objects).groupBy("place").agg(F.count(F.lit(1)).alias("held"))
+    judged = facts.join(held, "place", "left").withColumn("ok", F.col("match") & (F.col("names") == F.col("held")))
+    # The archive-time manifest wins where there is one: 's' sorts behind 'r'.
+    return judged.groupBy("folder").agg(
+        F.lit(True).alias("has_manifest"), F.coalesce(F.max_by("ok", "side"), F.lit(False)).alias("ok"))
 
 
 def archive_state(folders: DataFrame, catalogue: DataFrame, src: DataFrame, objects: DataFrame) -> DataFrame:
@@ -114,7 +158,7 @@ def state_of(found: DataFrame, src: DataFrame, objects: DataFrame) -> DataFrame:
              .when(entry & F.col("ok"), F.lit("archived"))
              .when(entry, F.lit("mismatch"))
              .otherwise(F.lit("leftover")))
-    checks = folder_checks(src, located(objects, found))
+    checks = folder_checks(src, objects, found)
     return found.join(checks, "folder", "left").select(*found.columns, state.alias("state"))
 
 
@@ -152,7 +196,7 @@ def delete_plan(folders: DataFrame, catalogue: DataFrame, src: DataFrame, object
                 .when(~F.col("ok"), F.lit("checksum_mismatch"))
                 .otherwise(F.lit("delete")))
     found = catalogue_lookup(folders, catalogue)
-    return (found.join(folder_checks(src, located(objects, found), restored), "folder", "left")
+    return (found.join(folder_checks(src, objects, found, restored), "folder", "left")
             .join(local, "folder", "left")
             .select("folder", decision.alias("decision"), "destination",
                     "local_folder", "s3_storage_class", "archive_mode", "profile", "provider",

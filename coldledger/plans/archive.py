@@ -15,7 +15,7 @@ from coldledger.operators.inventory import non_meta, pick
 from coldledger.operators.objects import (
     restore_readiness, restore_status_counts, tier_change_plan, tier_cost_estimate)
 from coldledger.operators.reports import archive_batch
-from coldledger.operators.verify import folder_checks, located, restore_plan, state_of, verify_checksums
+from coldledger.operators.verify import folder_checks, restore_plan, state_of, verify_archives
 
 
 @dataclass(frozen=True)
@@ -117,7 +117,7 @@ def archive_commit(uploaded: DataFrame, src: DataFrame, objects: DataFrame, targ
     A single archive is recorded if it matches. ``roots`` (folder, destination) are recursive archives:
     each is recorded only if no folder below it fails and at least one matches.
     """
-    checks = uploaded.join(folder_checks(src, located(objects, uploaded)), "folder", "left").select(
+    checks = uploaded.join(folder_checks(src, objects, uploaded), "folder", "left").select(
         "folder", "destination", F.coalesce("has_manifest", F.lit(False)).alias("has_manifest"),
         F.coalesce("ok", F.lit(False)).alias("ok"))
     if roots is None:
@@ -137,7 +137,7 @@ def restore_verified(restored: DataFrame, fetched: DataFrame, objects: DataFrame
     packed; done: the note about the move can go; nothing: no file arrived and none should have.
     """
     places = restored.select("folder", F.col("source").alias("destination"))
-    compared = verify_checksums(fetched, located(objects, places))
+    compared = verify_archives(fetched, objects, places)
     counts = compared.groupBy("folder").agg(
         F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") != "match").alias("failed"),
         F.bool_or(F.col("name") == bundle_name).alias("packed"))

@@ -483,6 +483,9 @@ def statements() -> dict[str, str]:
     # Objects
     add("scan_objects_prefix", "objects", """
         SELECT bucket, key, size, storage_class FROM objects WHERE starts_with(key, 'arch/AFRICA/')""")
+    add("store_listing", "objects", """
+        SELECT location AS place, count(*) AS objects, coalesce(sum(size), 0)::BIGINT AS bytes
+        FROM objects GROUP BY location""")
     add("direct_children", "objects", "SELECT bucket, key, size FROM objects WHERE dir = 'arch/AFRICA'")
     for name, source in (("prefix_size", "subtrees"), ("prefix_size_direct", "dirs")):
         add(name, ("folders", source), f"""

@@ -17,7 +17,7 @@ from coldledger.operators import (
 from coldledger.plans import archive as jobs
 from coldledger.plans import index
 from coldledger.session import work_dir
-from coldledger.sinks import catalogue as cat_sink, reports as sink
+from coldledger.sinks import catalogue as cat_sink, listing as listing_sink, reports as sink
 from coldledger.sources import catalogue as cat_src, crawl as crawl_src, grants as grant_src, text as text_src
 from coldledger.streaming import jobs as stream
 from registry import views as v
@@ -230,7 +230,7 @@ def verify_checksums(spark: SparkSession, sf: str) -> DataFrame:
 
 def _verification(spark: SparkSession, sf: str) -> DataFrame:
     places = cat.catalogue_lookup(v.folders(spark, sf), v.catalogue(spark, sf))
-    return verify.verify_checksums(v.src_manifest(spark, sf), verify.located(v.objects(spark, sf), places))
+    return verify.verify_archives(v.src_manifest(spark, sf), v.listing(spark, sf), places)
 
 
 def verified_folders(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,7 +239,13 @@ def verified_folders(spark: SparkSession, sf: str) -> DataFrame:
 
 def archive_state(spark: SparkSession, sf: str) -> DataFrame:
     return verify.archive_state(
-        v.folders(spark, sf), v.catalogue(spark, sf), v.src_manifest(spark, sf), v.objects(spark, sf))
+        v.folders(spark, sf), v.catalogue(spark, sf), v.src_manifest(spark, sf), v.listing(spark, sf))
+
+
+def store_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """The listing written anew by place and name, and what it holds at each place."""
+    stored = listing_sink.store_listing(v.objects(spark, sf), "listing_written")
+    return listing_sink.place_summary(stored)
 
 
 def folders_with_content(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,7 +260,7 @@ def _delete_plan(spark: SparkSession, sf: str) -> DataFrame:
     restored = v.all_files(spark, sf).where("flag = 'A' AND bal >= 500 AND bal < 1000").selectExpr(
         "folder", "name", "md5(concat(folder, '/', name, ':', size)) AS md5")
     return verify.delete_plan(
-        v.folders(spark, sf), v.catalogue(spark, sf), v.src_manifest(spark, sf), v.objects(spark, sf),
+        v.folders(spark, sf), v.catalogue(spark, sf), v.src_manifest(spark, sf), v.listing(spark, sf),
         v.local_files(spark, sf), restored)
 
 
@@ -275,13 +281,13 @@ def restore_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 def restore_job(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.restore_job(
-        v.folders(spark, sf), v.catalogue(spark, sf), v.local_files(spark, sf), v.objects(spark, sf), "Expedited")
+        v.folders(spark, sf), v.catalogue(spark, sf), v.local_files(spark, sf), v.listing(spark, sf), "Expedited")
 
 
 def archive_plan(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.archive_plan(
         v.folders(spark, sf), v.local_files(spark, sf), v.catalogue(spark, sf), v.src_manifest(spark, sf),
-        v.objects(spark, sf), TARGET, kib=20 * 1024)
+        v.listing(spark, sf), TARGET, kib=20 * 1024)
 
 
 def _uploaded(spark: SparkSession, sf: str) -> DataFrame:
@@ -291,7 +297,7 @@ def _uploaded(spark: SparkSession, sf: str) -> DataFrame:
 def archive_commit(spark: SparkSession, sf: str) -> DataFrame:
     """Entries of all folders whose upload to bkt/arch passes its checksums."""
     entries = jobs.archive_commit(
-        _uploaded(spark, sf), v.src_manifest(spark, sf), v.objects(spark, sf), TARGET, "2024-06-01T00:00:00")
+        _uploaded(spark, sf), v.src_manifest(spark, sf), v.listing(spark, sf), TARGET, "2024-06-01T00:00:00")
     return entries.select(*CATALOGUE_OUT)
 
 
@@ -299,7 +305,7 @@ def archive_commit_recursive(spark: SparkSession, sf: str) -> DataFrame:
     """Nations as recursive archives, recorded only if nothing below them fails."""
     uploaded = _uploaded(spark, sf)
     entries = jobs.archive_commit(
-        uploaded, v.src_manifest(spark, sf), v.objects(spark, sf), TARGET, "2024-06-01T00:00:00",
+        uploaded, v.src_manifest(spark, sf), v.listing(spark, sf), TARGET, "2024-06-01T00:00:00",
         roots=uploaded.where(paths.depth(F.col("folder")) >= 2))
     return entries.select(*CATALOGUE_OUT)
 
@@ -311,7 +317,7 @@ def restore_verified(spark: SparkSession, sf: str) -> DataFrame:
         "folder", "name", "md5(concat(folder, '/', name, ':', size, CASE WHEN uid % 50 = 7 THEN '?' ELSE '' END)) AS md5")
     lists = v.supplier_folders(spark, sf).where("bal >= 0").selectExpr(
         "folder", f"'{META.manifest}' AS name", "md5(folder) AS md5")
-    return jobs.restore_verified(plan, fetched.unionByName(lists), v.objects(spark, sf), bundle_name=META.manifest)
+    return jobs.restore_verified(plan, fetched.unionByName(lists), v.listing(spark, sf), bundle_name=META.manifest)
 
 
 def content_md5(spark: SparkSession, sf: str) -> DataFrame:

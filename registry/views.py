@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coldledger.constants import META
+from coldledger.sinks.listing import store_listing
 from coldledger.skew import bucketed_running_sum
 
 AS_OF = "2002-01-01 00:00:00"
@@ -209,6 +210,18 @@ def objects(spark: SparkSession, sf: str) -> DataFrame:
         f"{BUCKET} AS bucket", f"concat({KEY_PREFIX}, '/', name) AS key", "size", "storage_class", "restore", "md5")
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def listing(spark: SparkSession, sf: str) -> DataFrame:
+    """The objects as a stored listing, written by the first query of a session that asks for it."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _stored:
+        _stored[key] = f"listing_{len(_stored)}"
+        store_listing(objects(spark, sf), _stored[key])
+    return spark.table(_stored[key])
+
+
 def content_files(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").selectExpr(
         "concat('/', lang, '/', source) AS folder", "concat(doc_id, '.txt') AS name",

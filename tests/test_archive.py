@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from coldledger.constants import META
 from coldledger.operators import bundle, catalogue as cat, objects as obj, reports, verify
 from coldledger.plans import archive as jobs
-from coldledger.sinks import catalogue as cat_sink
+from coldledger.sinks import catalogue as cat_sink, listing as listing_sink
 from coldledger.sources import catalogue as cat_src
 
 KEYS = "folder_key string, local_folder string, archive_folder string, s3_storage_class string, profile string, " \
@@ -237,3 +237,64 @@ def test_batches_hold_every_folder_once(spark):
     quoted = [w for b in batches for w in b.command.split('"')[1::2]]
     assert sorted(quoted) == sorted(f"/d/{i}" for i in range(120)) and max(b.folders for b in batches) < 40
     assert sum(b.bytes for b in batches) == sum(range(120))
+
+
+LISTED = "bucket string, key string, size long, storage_class string, restore string, md5 string"
+
+
+def _verification_tables(spark):
+    """Manifests, a listing and the folders' places: shared places, copies that differ, foreign objects."""
+    src = spark.createDataFrame(
+        [("/a", "x", "1"), ("/a", "y", "2"), ("/a", "z", None), ("/b", "x", "1"), ("/c", "x", "9"), ("/c", "w", "3"), ("/n", "x", "1"),
+         ("/d", "x", "1"), ("/d", "x", "1"), ("/e", "x", "1"), ("/e", "x", "2")], "folder string, name string, md5 string")
+    at = lambda key, md5: ("b", key, 5, None, None, md5)
+    objects = spark.createDataFrame(
+        [at("p/a/x", "1"), at("p/a/y", "2"), at("p/a/z", "3"), at("p/s/x", "1"), at("p/s/q", "7"), at("p/d/x", "1"), at("p/d/x", "1"),
+         at("p/e/x", "1"), at("elsewhere/w", "3"), at("top", "1")], LISTED)
+    places = spark.createDataFrame(
+        [("/a", ":s3:b/p/a"), ("/b", ":s3:b/p/s"), ("/c", ":s3:b/p/s"), ("/d", ":s3:b/p/d"), ("/e", ":s3:b/p/e"), ("/n", None),
+         ("/empty", ":s3:b")], "folder string, destination string")
+    return src, objects, places
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_verification_by_place(spark, rows, stored):
+    src, objects, places = _verification_tables(spark)
+    listing = listing_sink.store_listing(objects, "listing_test", buckets=4) if stored else objects
+    assert rows(verify.verify_archives(src, listing, places), "folder", "name", "status") == [
+        ("/a", "x", "match"), ("/a", "y", "match"), ("/a", "z", "differ"), ("/b", "q", "missing_on_src"),
+        ("/b", "x", "match"), ("/c", "q", "missing_on_src"), ("/c", "w", "missing_on_dst"),
+        ("/c", "x", "differ"), ("/d", "x", "match"), ("/e", "x", "differ"), ("/empty", "top", "missing_on_src"),
+        ("/n", "x", "missing_on_dst")]
+    restored = src.where("folder = '/b'").unionByName(
+        spark.createDataFrame([("/empty", "top", "1"), ("/a", "x", "0")], "folder string, name string, md5 string"))
+    assert rows(verify.folder_checks(src, listing, places), "folder", "ok") == [
+        ("/a", False), ("/b", False), ("/c", False), ("/d", True), ("/e", False), ("/n", False)]
+    assert rows(verify.folder_checks(src.where("folder <> '/b'"), listing, places, restored), "folder", "has_manifest", "ok") == [
+        ("/a", True, False), ("/b", True, False), ("/c", True, False), ("/d", True, True), ("/e", True, False), ("/empty", True, True),
+        ("/n", True, False)]
+
+
+def test_a_stored_listing_is_never_shuffled(spark):
+    """Exchanges above the listing's scan carry sums per place at most."""
+    src, objects, places = _verification_tables(spark)
+    listing = listing_sink.store_listing(objects, "listing_plan", buckets=8)
+    assert rows_of_place(listing) == {":s3:b/p/a": 3, ":s3:b/p/s": 2, ":s3:b/p/d": 1, ":s3:b/p/e": 1, ":s3:b/elsewhere": 1, ":s3:b": 1}
+    plan = verify.folder_checks(src, listing, places)._jdf.queryExecution().executedPlan().toString()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines, scans = plan.splitlines(), []
+    for n, line in enumerate(lines):
+        if "FileScan" in line:
+            scans.append(("Bucketed: true" in line, "name" in line.partition("[")[2].partition("]")[0]))
+            above, at = [], depth(line)
+            for upper in reversed(lines[:n]):
+                if depth(upper) < at:
+                    at = depth(upper)
+                    above.append(upper.strip(" :+-"))
+            first = next((k for k, u in enumerate(above) if u.startswith("Exchange")), None)
+            assert first is None or any(u.startswith(("HashAggregate", "SortAggregate")) for u in above[:first])
+    assert sorted(scans) == [(False, False), (True, True)]  # the rows by bucket, the sums by any split
+
+
+def rows_of_place(listing):
+    return {r["place"]: r["objects"] for r in listing_sink.place_summary(listing).collect()}
