@@ -3,8 +3,9 @@
 Documents with equal texts are linked, each through the hash of its text. All rows start in shards of
 equal counts. In every round a group of linked rows looks where most of its members are and the others
 ask to move there. Only as many may move as leave all counts as they were: moves both ways cancel out,
-and a shard that gains more linked rows than it loses sends out as many rows without links. So the law
-``rows`` holds exactly after every round, and each move puts linked rows together (fewer cut links).
+and a shard that gains more linked rows than it loses sends out as many rows that can give way: those without
+links, and small groups that lie in it whole, which stay whole where they go (a move between two shards cuts
+one of them at most). So the law ``rows`` holds exactly after every round, and moves put linked rows together.
 
 What the driver sees is one number for each pair of shards. Which rows of a pair move is settled by
 ranks: counts for each (input partition, pair) give the offsets, and a window ranks inside one partition,
@@ -26,6 +27,7 @@ from coldledger.llm.exact import content_hash
 from coldledger.llm.shared import checkpointed, whole
 
 SHARDS, ROUNDS = 8, 6
+SMALL_SHARE = 50  # a group gives way if it is no more than this part of a shard
 _PARTITION_BITS = 33  # of monotonically_increasing_id: rows of a partition are numbered below it
 
 
@@ -93,15 +95,21 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
         F.crc32(text.cast("binary")).alias("crc"), content_hash(text).alias("h"),
         F.monotonically_increasing_id().alias("rid"))
     # The row numbers are kept before anything refers to them, so a lost task cannot renumber rows.
-    rows = checkpointed(rows.withColumn("pid", F.shiftright("rid", _PARTITION_BITS)))
+    rows = checkpointed(rows)
+    # Numbered anew in the order of the hashes, so that ranks keep groups whole; a large group spans partitions.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = checkpointed(rows.repartitionByRange(parts, "h", "rid").sortWithinPartitions("h", "rid")
+                        .withColumn("rid", F.monotonically_increasing_id())
+                        .withColumn("pid", F.shiftright("rid", _PARTITION_BITS)))
     starts = _offsets(rows.groupBy("pid").agg(F.count(F.lit(1)).alias("n")), [])
     groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     number = F.col("offset") + F.col("rid").bitwiseAND(F.lit((1 << _PARTITION_BITS) - 1))
     state = checkpointed(
         rows.join(starts, "pid").withColumn("shard", F.pmod(number, F.lit(shards)).cast("int")).drop("offset")
-        .join(groups, "h", "left").withColumn("linked", F.col("members").isNotNull()).drop("members"))
+        .join(groups, "h", "left").withColumn("linked", F.col("members").isNotNull()))
+    small = state.count() // (shards * SMALL_SHARE)
     for _ in range(rounds):
-        moved = _round(state, shards)
+        moved = _round(state, shards, small)
         if moved is None:
             break
         state = checkpointed(moved)
@@ -110,15 +118,16 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
         F.col("rank").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "linked")
 
 
-def _round(state: DataFrame, shards: int) -> DataFrame | None:
+def _round(state: DataFrame, shards: int, small: int = 0) -> DataFrame | None:
     """The state after one round of moves; None if none can be made."""
     tally = state.where("linked").groupBy("h", "shard").agg(F.count(F.lit(1)).alias("n"))
     # Ties between shards fall differently for each group, so that no shard is asked for more than others.
     goal = tally.groupBy("h").agg(
-        F.max_by("shard", F.struct("n", F.xxhash64("h", "shard"))).alias("goal"))
+        F.max_by("shard", F.struct("n", F.xxhash64("h", "shard"))).alias("goal"), F.max("n").alias("there"))
     aimed = state.join(goal, "h", "left")
-    aimed = aimed.withColumn("cell", F.when(F.col("linked"), F.col("shard") * shards + F.coalesce("goal", "shard"))
-                             .otherwise(shards * shards + F.col("shard"))).drop("goal")
+    gives_way = ~F.col("linked") | ((F.col("there") == F.col("members")) & (F.col("members") <= small))
+    aimed = aimed.withColumn("cell", F.when(gives_way, shards * shards + F.col("shard"))
+                             .otherwise(F.col("shard") * shards + F.coalesce("goal", "shard"))).drop("goal", "there")
     aimed = checkpointed(aimed)
     counts = {r["cell"]: r["n"] for r in aimed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     wanted = [[counts.get(i * shards + j, 0) if i != j else 0 for j in range(shards)] for i in range(shards)]
@@ -140,6 +149,13 @@ def _destination(moves: list[tuple[int, int, int, int]]) -> Column:
     return reduce(lambda otherwise, m: F.when(m[0], F.lit(m[1])).otherwise(otherwise), fits, F.col("shard"))
 
 
+def cut_links(assigned: DataFrame, by: str = "text_crc32") -> int:
+    """Pairs of rows with equal ``by`` in different shards."""
+    tally = assigned.groupBy(by, "shard").agg(F.count(F.lit(1)).alias("n"))
+    pairs = tally.groupBy(by).agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("within"))
+    return pairs.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2)).first()[0] or 0
+
+
 def split_groups(assigned: DataFrame, by: str = "text_crc32") -> DataFrame:
     """How many groups of equal ``by`` lie in how many shards: what the moves are to lower."""
     return (assigned.groupBy(by).agg(F.countDistinct("shard").alias("shards"), F.count(F.lit(1)).alias("n"))

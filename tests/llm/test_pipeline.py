@@ -38,9 +38,9 @@ def test_rows_against_brute_force(spark):
 def test_stages_on_odd_rows(spark, odd, none, tmp_path):
     spark.createDataFrame([(4, 1, 0), (6, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for docs in (odd, none):
+    for label, docs in (("odd", odd), ("none", none)):
         for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            path = f"{tmp_path}/{docs is odd}{number}"
+            path = f"{tmp_path}/{label}{number}"
             out = stage(spark, docs, str(tmp_path))
             if number < len(corpus_pipeline.STAGES) - 1:
                 assert out.columns == docs.columns

@@ -43,6 +43,13 @@ def test_a_group_larger_than_a_shard(spark):
     assert max(hot) >= 2 * 1334 / 8
 
 
+def test_moves_lower_the_cut(spark):
+    """Groups of many sizes, nearly all rows linked: fewer cut links with every round, close to the least in the end."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.floor(F.sqrt(F.col("id") * 8)).cast("string").alias("text"))
+    cuts = [sharding.cut_links(sharding.balanced_shards(docs, shards=4, rounds=n)) for n in (0, 1, 3, 8)]
+    assert cuts == sorted(cuts, reverse=True) and cuts[-1] < 0.1 * cuts[0]
+
+
 @pytest.mark.parametrize("wanted,free", [
     ([[0, 5, 0], [0, 0, 0], [2, 1, 0]], [0, 3, 0]), ([[0, 9, 9], [9, 0, 9], [9, 9, 0]], [0, 0, 0]), ([[0, 4], [0, 0]], [0, 9])])
 def test_quotas_leave_counts_as_they_were(wanted, free):
