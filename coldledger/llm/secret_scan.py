@@ -2,9 +2,12 @@
 
 The field tags tokens as secret begin (B), inside (I) or outside (O). Its features are the token's shape
 (length, kinds of characters, variety), what the three tokens before and the one after are (keyword,
-separator, quote, shaped), whether a keyword stands near, and whether the text has one at all. It is
-fitted by maximum likelihood on windows of at most ``SAMPLE_DOCS`` documents, tagged by the patterns, and
-decoded by Viterbi. Spans that it finds and that touch no pattern's span are added under kind ``crf``.
+separator, quote, shaped), whether a keyword stands near, whether the text has one at all, and how many of the text's
+tokens are shaped. It is fitted by maximum likelihood on windows of at most ``SAMPLE_DOCS`` documents, tagged by the
+patterns: pieces of at most ``WINDOW_TOKENS`` tokens, and ``SAMPLE_TOKENS`` tokens of each document at most. Each
+window with a secret is seen once more with its separators and quotes masked as plain words and without its shape,
+so the field learns to know a secret by its surroundings where no pattern matches. Decoding is by Viterbi. Spans that it finds and that
+touch no pattern's span are added under kind ``crf``.
 
 Most tokens are plain (no digit, under 20 characters, no keyword) and far from others; they all have
 the same scores. Where those favour O by more than any transition can give back, every best path passes
@@ -21,6 +24,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from coldledger.llm.linear import SparseRows
 from coldledger.llm.shared import map_batches, whole
 
-SAMPLE_DOCS, SAMPLE_WINDOWS = 1_500, 20  # documents to learn from, and windows of each
+SAMPLE_DOCS, SAMPLE_TOKENS, WINDOW_TOKENS = 1_500, 240, 48  # documents to learn from, tokens of each and of a window
 KINDS = ("assign", "access", "hex", "crf")
 TAGS = ("O", "B", "I")
 # What counts as a secret by pattern.
@@ -77,13 +81,22 @@ def shape(token: str) -> str:
     return f"{size}{kinds}{variety}{'h' if re.fullmatch('[0-9a-f]+', token) else ''}{'k' if token.startswith('AKIA') else ''}"
 
 
-def token_features(shapes: list[str], i: int, keyword_in_text: bool) -> list[str]:
+SHARES = ("none", "few", "some", "many")
+
+
+def shaped_share(shapes: list[str]) -> str:
+    """How many tokens of a text are shaped."""
+    shaped = sum(s not in ("plain", "keyword", "separator", "quote") for s in shapes)
+    return SHARES[(shaped > 0) + (50 * shaped > len(shapes)) + (5 * shaped > len(shapes))]
+
+
+def token_features(shapes: list[str], i: int, keyword_in_text: bool, share: str) -> list[str]:
     """Names of the features of token i; outside the text everything is plain."""
     at = lambda j: shapes[j] if 0 <= j < len(shapes) else "plain"
     role = lambda s: s if s in ("plain", "keyword", "separator", "quote") else "shaped"
     near = "keyword" in (at(i - 1), at(i - 2), at(i - 3))
     own = shapes[i]
-    return [f"own {own}", f"own {role(own)} near {near}", f"size {own[0]} near {near}", f"text {keyword_in_text}",
+    return [f"own {own}", f"own {role(own)} near {near}", f"size {own[0]} near {near}", f"text {keyword_in_text}", f"share {share}",
             f"-1 {role(at(i - 1))}", f"-2 {role(at(i - 2))}", f"-3 {role(at(i - 3))}", f"+1 {role(at(i + 1))}"]
 
 
@@ -109,10 +122,10 @@ class Field:
     steps: np.ndarray  # from tag, to tag
     local: bool = False  # may stretches be decoded on their own?
 
-    def emissions(self, shapes: list[str], low: int, end: int, keyword: bool) -> np.ndarray:
+    def emissions(self, shapes: list[str], low: int, end: int, keyword: bool, share: str) -> np.ndarray:
         out = np.zeros((end - low, len(TAGS)))
         for i in range(low, end):
-            for f in token_features(shapes, i, keyword):
+            for f in token_features(shapes, i, keyword, share):
                 k = self.names.get(f)
                 if k is not None:
                     out[i - low] += self.weights[k]
@@ -134,8 +147,8 @@ class Field:
         """Check that plain tokens far from others are O on every best path."""
         gain = 2 * float(self.steps[np.isfinite(self.steps)].max() - self.steps[np.isfinite(self.steps)].min())
         margins = []
-        for keyword in (False, True):
-            e = self.emissions(["plain"], 0, 1, keyword)[0]
+        for keyword, share in product((False, True), SHARES):
+            e = self.emissions(["plain"], 0, 1, keyword, share)[0]
             margins.append(float(e[0] - e[1:].max()))
         self.local = min(margins) > gain
 
@@ -145,11 +158,11 @@ class Field:
             return []
         tokens = [m.span() for m in _TOKENS.finditer(text)]
         shapes = [shape(text[a:b]) for a, b in tokens]
-        keyword = "keyword" in shapes
+        keyword, share = "keyword" in shapes, shaped_share(shapes)
         out = []
         for low, end in stretches(shapes) if self.local else [(0, len(shapes))] if shapes else []:
             open_at = None
-            for i, tag in enumerate(self.viterbi(self.emissions(shapes, low, end, keyword)), low):
+            for i, tag in enumerate(self.viterbi(self.emissions(shapes, low, end, keyword, share)), low):
                 if tag == 1 or tag == 2 and open_at is None:
                     out.append((tokens[i][0], tokens[i][1]))
                     open_at = len(out) - 1
@@ -161,25 +174,33 @@ class Field:
 
 
 def tagged_windows(text: str) -> list[list[str]]:
-    """Training sequences of a text: for each token its tag and its features."""
+    """Training sequences of a text, SAMPLE_TOKENS tokens at most: for each token its tag and its features."""
     tokens = [m.span() for m in _TOKENS.finditer(text)]
     shapes = [shape(text[a:b]) for a, b in tokens]
-    keyword = "keyword" in shapes
+    keyword, share = "keyword" in shapes, shaped_share(shapes)
     secret = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
-    secret += [(s, e) for s, k, e in pattern_spans(text) if k]
-    out = []
-    for low, end in stretches(shapes):
-        rows, before = [], None
-        for i in range(low, end):
-            a, b = tokens[i]
-            mine = next((s for s in secret if s[0] < b and a < s[1]), None)
-            tag = "O" if mine is None else "I" if mine == before else "B"
+    secret = sorted(secret + [(s, e) for s, k, e in pattern_spans(text) if k])
+    out, left, at = [], SAMPLE_TOKENS, 0
+    pieces = [(a, min(end, a + WINDOW_TOKENS)) for low, end in stretches(shapes) for a in range(low, end, WINDOW_TOKENS)]
+    for low, end in pieces:
+        end = min(end, low + left)
+        if end <= low:
+            break
+        tags, before = [], None
+        for a, b in tokens[low:end]:
+            while at < len(secret) and secret[at][1] <= a:  # both lists are in order
+                at += 1
+            mine = secret[at] if at < len(secret) and secret[at][0] < b else None
+            tags.append("O" if mine is None else "I" if mine == before else "B")
             before = mine
-            rows.append(" | ".join([tag, *token_features(shapes, i, keyword)]))
-        out.append(rows)
+        out.append([" | ".join([t, *token_features(shapes, i, keyword, share)]) for i, t in enumerate(tags, low)])
+        if "B" in tags:  # once more without separators and quotes, and without the exact shapes of secrets
+            masked = shapes[:low] + ["plain" if s in ("separator", "quote") else s for s in shapes[low:end]] + shapes[end:]
+            out.append([" | ".join([t, *token_features(masked, i, keyword, share)[t != "O":]]) for i, t in enumerate(tags, low)])
+        left -= end - low
     if not out and tokens:  # what ordinary text looks like
         i = len(tokens) // 2
-        out.append([" | ".join(["O", *token_features(shapes, i, keyword)])])
+        out.append([" | ".join(["O", *token_features(shapes, i, keyword, share)])])
     return out
 
 
@@ -193,7 +214,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [w for t in batch.column(0) for w in tagged_windows(t.as_py())[:SAMPLE_WINDOWS]]
+            rows = [w for t in batch.column(0) for w in tagged_windows(t.as_py())]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["rows"])
 
     got = sorted(map_batches(texts, windows, "rows array<string>").toArrow()["rows"].to_pylist())
@@ -268,8 +289,13 @@ def _sum_exp(z: np.ndarray, axis: int) -> np.ndarray:
 def all_spans(text: str, field: Field | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(pattern spans, all spans): the field's spans are added where they touch no pattern span."""
     base = pattern_spans(text)
-    more = [] if field is None else [
-        (a, 3, b) for a, b in field.spans(text) if not any(s < b and a < e for s, _, e in base)]
+    more, at, reach = [], 0, -1
+    for a, b in [] if field is None else field.spans(text):  # in order, like the others
+        while at < len(base) and base[at][0] < b:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= a:
+            more.append((a, 3, b))
     return base, sorted(base + more)
 
 

@@ -77,6 +77,33 @@ def test_field_finds_what_the_patterns_do_and_leaves_plain_text(field):
     assert not [t for t in (" ".join(WORDS), "we met 12 times in 2024", "") if field.spans(t)]
 
 
+def test_field_finds_secrets_that_no_pattern_matches(field):
+    """Keyword and secret without a separator, with words between, in other quotes: recall 0.9, plain text left alone."""
+    rng = random.Random(41)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    found = total = 0
+    for _ in range(300):
+        value = "".join(rng.choices(letters, k=rng.choice([16, 20, 24, 32]))) + "7"
+        words = rng.choices(WORDS, k=12)
+        words.insert(6, rng.choice([f"password is {value}", f"the secret {value}", f"token `{value}`", f"api_key => {value}", f"passwd was {value}"]))
+        text = " ".join(words)
+        assert not slow_base(text)
+        at = text.index(value)
+        total += 1
+        found += any(a < at + len(value) and at < b for a, b in field.spans(text))
+    assert found >= 0.9 * total
+    quiet = [" ".join(rng.choices([*WORDS, "12", "2024", "secret", "token"], k=20)) for _ in range(300)]
+    assert sum(bool(field.spans(t)) for t in quiet) <= 3
+
+
+def test_windows_are_bounded_and_spans_linear(field):
+    text = " ".join(f"word{i} token=abc{i}defgh" for i in range(20_000))
+    windows = scan.tagged_windows(text)
+    assert max(map(len, windows)) <= scan.WINDOW_TOKENS and sum(map(len, windows)) <= 2 * scan.SAMPLE_TOKENS
+    base, everything = scan.all_spans(text, field)
+    assert len(base) == 20_000 and set(base) <= set(everything)
+
+
 def test_base_spans_stay(field):
     for text in texts(100, 31):
         base, everything = scan.all_spans(text, field)
