@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coldledger.constants import DISK_WRITE_LIMIT, IDLE_RUNS, NET_RECV_LIMIT, NET_SENT_LIMIT, SAMPLE_SECONDS
-from coldledger.skew import bucketed_previous
+from coldledger.skew import ordered_previous
 
 COUNTERS = ("write_bytes", "sent_bytes", "recv_bytes")
 
@@ -35,9 +35,9 @@ def idle_streak(heartbeats: DataFrame, n: int = IDLE_RUNS) -> DataFrame:
         "host", "runs", "streak", (F.col("streak") >= n).alias("is_idle"))
 
 
-def io_rates(counters: DataFrame, unit: str = "day") -> DataFrame:
+def io_rates(counters: DataFrame, partitions: int | None = None) -> DataFrame:
     """Bytes per second between consecutive samples of a host, and whether any limit is passed."""
-    paired = bucketed_previous(counters, "host", ["ts", "seq"], ["ts", *COUNTERS], unit)
+    paired = ordered_previous(counters, "host", ["ts", "seq"], ["ts", *COUNTERS], partitions=partitions)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     seconds = (micros("ts") - micros("prev_ts")) / F.lit(1e6)
     rates = {c.replace("bytes", "rate"): F.try_divide((F.col(c) - F.col(f"prev_{c}")).cast("double"), seconds)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from coldledger.constants import META
 from coldledger.sinks.listing import store_listing
-from coldledger.skew import bucketed_running_sum
+from coldledger.skew import ordered_running_sum
 
 AS_OF = "2002-01-01 00:00:00"
 
@@ -255,7 +255,7 @@ def io_counters(spark: SparkSession, sf: str) -> DataFrame:
     """Running byte counters per host."""
     deltas = samples_of(table(spark, sf, "events")).selectExpr(
         "host", "ts", "seq", "write_bytes AS w", "sent_bytes AS s", "recv_bytes AS r")
-    return bucketed_running_sum(
+    return ordered_running_sum(
         deltas, "host", ["ts", "seq"], {"w": "write_bytes", "s": "sent_bytes", "r": "recv_bytes"}).drop("w", "s", "r")
 
 

@@ -56,6 +56,28 @@ def test_bucketed_running_sum(beats):
     assert same(skew.bucketed_running_sum(beats, "host", ["ts", "seq"], {"v": "total"}, "hour"), want)
 
 
+@pytest.mark.parametrize("partitions", [1, 5, 64])
+def test_ordered_previous_and_running_sum(spark, beats, partitions):
+    plain = Window.partitionBy("host").orderBy("ts", "seq")
+    some = beats.where("seq % 9 < 5").withColumn("host", F.expr("nullif(host, 5)"))
+    want = some.select("*", F.lag("v").over(plain).alias("prev_v"), F.lag("ts").over(plain).alias("prev_ts"))
+    assert same(skew.ordered_previous(some, "host", ["ts", "seq"], ["v", "ts"], partitions=partitions), want)
+    want = some.select("*", F.sum("v").over(plain.rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
+    assert same(skew.ordered_running_sum(some, "host", ["ts", "seq"], {"v": "total"}, partitions), want)
+    assert skew.ordered_previous(some.limit(0), "host", ["ts", "seq"], ["v"]).count() == 0
+    assert skew.ordered_running_sum(some.limit(0), "host", ["ts", "seq"], {"v": "total"}).count() == 0
+
+
+def test_a_third_of_one_day_in_one_host_is_spread(spark):
+    """No task gets twice the median when one host has a third of all rows within one day."""
+    rows = spark.range(60_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 1 ELSE id % 997 END AS host", "timestamp_seconds(1700000000 + (id * 7919) % 80000) AS ts",
+        "id AS seq", "id AS write_bytes", "id AS sent_bytes", "id AS recv_bytes")
+    placed = [r["count"] for r in skew._in_order(rows, "host", ["ts", "seq"], 24).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(placed) == 24 and max(placed) < 2 * sorted(placed)[12]
+    assert activity.io_rates(rows, 24).count() == 60_000 - rows.select("host").distinct().count()
+
+
 def brute_streaks(rows):
     hosts = {}
     for r in sorted(rows, key=lambda r: (r.host, r.ts, r.seq)):
