@@ -10,7 +10,6 @@ KIB, MIB, GIB, TIB = 1024, 1024**2, 1024**3, 1024**4
 SMALL_FILE_KIB = 1024
 MIN_FOLDER_GIB = 1
 MIN_FOLDER_AVG_MIB = 10
-MAX_REPORT_ROWS = 5000
 IDLE_RUNS = 72
 
 # Days since last access used by the aged-bytes report, oldest first.

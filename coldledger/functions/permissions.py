@@ -33,6 +33,12 @@ def mode_flags(mode: Column, owner: Column, group: Column, uid: int,
     return flags
 
 
+def can_search(mode: Column, owner: Column, group: Column, uid: int, gids: Sequence[int]) -> Column:
+    """May the user pass through a directory? By the bit of the first class that the user belongs to."""
+    member = group.isin([int(g) for g in gids]) if gids else F.lit(False)
+    return F.when(owner == F.lit(uid), has_bits(mode, 0o100)).when(member, has_bits(mode, 0o010)).otherwise(has_bits(mode, 0o001))
+
+
 def entry_type(mode: Column) -> Column:
     """'d' for a directory, 'l' for a link, 'f' for anything else, from the file-type bits."""
     kind = mode.bitwiseAND(F.lit(0o170000))

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coldledger.constants import (
-    AGE_DAYS, GIB, MAX_REPORT_ROWS, META, MIB, MIN_FOLDER_AVG_MIB, MIN_FOLDER_GIB, SNAPSHOT_DIRS, TIB)
-from coldledger.functions.paths import ancestors
+    AGE_DAYS, GIB, META, MIB, MIN_FOLDER_AVG_MIB, MIN_FOLDER_GIB, SNAPSHOT_DIRS, TIB)
+from coldledger.functions.paths import ancestors, clean_path
 from coldledger.functions.units import age_years, to_tib
 
 
@@ -163,6 +163,25 @@ def multi_root_union(roots: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tagged)
 
 
+def locked_folders(errors: DataFrame) -> DataFrame:
+    """Folders that the crawl could not enter, from its error lines (source, pos, line)."""
+    path = F.trim(F.substring_index(F.col("line"), "Locked Dir:", -1))
+    return errors.where(F.col("line").contains("Locked Dir:") & (path != "")).select(clean_path(path).alias("folder")).distinct()
+
+
+def mask_locked(folders: DataFrame, locked: DataFrame) -> DataFrame:
+    """Folders that the crawl saw whole, with ``complete``: is nothing below them locked?
+
+    Locked folders and all below them are left out: their numbers are those of a part. Both tests are equi-joins
+    on expanded ancestors of rows that are one per folder.
+    """
+    inside = (folders.select("folder", F.explode(ancestors(F.col("folder"))).alias("above"))
+              .join(locked.select(F.col("folder").alias("above")), "above", "left_semi").select("folder").distinct())
+    above = locked.select(F.explode(ancestors(F.col("folder"))).alias("folder")).distinct().withColumn("_cut", F.lit(True))
+    return (folders.join(inside, "folder", "left_anti").join(above, "folder", "left")
+            .withColumn("complete", F.col("_cut").isNull()).drop("_cut"))
+
+
 def crawl_errors(lines: DataFrame) -> DataFrame:
     """Locked directories and, per source, the first permission error.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from coldledger.operators.inventory import non_meta, pick
 from coldledger.operators.objects import (
     restore_readiness, restore_status_counts, tier_change_plan, tier_cost_estimate)
 from coldledger.operators.reports import archive_batch
-from coldledger.operators.verify import folder_checks, restore_plan, state_of, verify_archives
+from coldledger.operators.verify import archived_digests, folder_checks, restore_plan, state_of, verify_archives
 
 
 @dataclass(frozen=True)
@@ -61,6 +62,51 @@ def archive_plan(folders: DataFrame, files: DataFrame, catalogue: DataFrame, src
                        number("bundled"), number("bundled_bytes"), number("objects_before"), number("objects_after"))
 
 
+def rearchive_files(local: DataFrame, src: DataFrame, objects: DataFrame, places: DataFrame,
+                    names: Sequence[str] = META.all_meta, bundle_name: str = META.bundle) -> DataFrame:
+    """What a forced archive does with each file: folder, name, size, action.
+
+    Three sides meet: files on disk (folder, name, size, md5), the manifest of the last archive (folder, name, md5)
+    and what lies at the folder's place. keep: all agree; upload_new, upload_changed: not, or otherwise, in the
+    manifest; upload_missing: the archive lost or altered it; remove: archived but gone from disk; unbundle: the
+    packed file, which is unpacked first; drop: other metadata, which is deleted and written anew.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    here = local.select("folder", "name", F.lit(1).alias("side"), "size", text("md5").alias("md5"))
+    then = src.select("folder", "name", F.lit(2).alias("side"), F.lit(None).cast("long").alias("size"), text("md5").alias("md5"))
+    own = lambda side, c: F.when(F.col("side") == side, F.col(c))
+    met = here.unionByName(then).groupBy("folder", "name").agg(
+        F.max(own(1, "size")).alias("size"), F.max(own(1, "md5")).alias("disk"), F.max(own(2, "md5")).alias("listed"))
+    dst = archived_digests(objects).select("place", "name", F.col("md5").alias("there"))
+    where = places.select("folder", text("destination").alias("place"))
+    three = met.join(where, "folder").join(dst, ["place", "name"], "left").select("folder", "name", "size", "disk", "listed", "there")
+    unnamed = verify_archives(met.select("folder", "name", F.lit("").alias("md5")), objects, places).where(
+        "status = 'missing_on_src'").select("folder", "name", F.lit("remove").alias("action"), F.lit(None).cast("long").alias("size"))
+    same = lambda a, b: (F.col(a) == F.col(b)) & (F.col(a) != "")
+    on_disk, meta = F.col("disk").isNotNull(), F.col("name").isin(*names)
+    action = (F.when(on_disk & (F.col("name") == bundle_name), F.lit("unbundle"))
+              .when(on_disk & meta, F.lit("drop"))
+              .when(~on_disk & (meta | F.col("there").isNull()), F.lit(None))
+              .when(~on_disk, F.lit("remove"))
+              .when(F.col("listed").isNull(), F.lit("upload_new"))
+              .when(~same("disk", "listed"), F.lit("upload_changed"))
+              .when(F.coalesce(same("disk", "there"), F.lit(False)), F.lit("keep")).otherwise(F.lit("upload_missing")))
+    acted = three.select("folder", "name", action.alias("action"), "size").where("action IS NOT NULL")
+    return acted.unionByName(unnamed.where(~F.col("name").isin(*names))).select("folder", "name", "size", "action")
+
+
+def rearchive_plan(folders: DataFrame, local: DataFrame, catalogue: DataFrame, src: DataFrame, objects: DataFrame,
+                   names: Sequence[str] = META.all_meta, bundle_name: str = META.bundle) -> DataFrame:
+    """Steps of a forced archive for each folder with anything to do: unbundle, files by action, bytes to upload."""
+    places = catalogue_lookup(folders, catalogue).select("folder", "destination")
+    files = rearchive_files(local, src, objects, places, names, bundle_name)
+    count = lambda a: F.count_if(F.col("action") == a).alias(a)
+    return files.groupBy("folder").agg(
+        F.bool_or(F.col("action") == "unbundle").alias("unbundle"),
+        *[count(a) for a in ("drop", "keep", "upload_new", "upload_changed", "upload_missing", "remove")],
+        F.coalesce(F.sum(F.when(F.col("action").startswith("upload"), F.col("size"))), F.lit(0)).cast("long").alias("upload_bytes"))
+
+
 def catalogue_entries(archived: DataFrame, target: Target, mode: str, timestamp: str) -> DataFrame:
     """Catalogue rows for folders (folder, destination) whose archive was verified."""
     if mode not in ("Single", "Recursive"):

@@ -8,12 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldledger.constants import META
+from coldledger.constants import META, SNAPSHOT_DIRS
 from coldledger.functions.paths import basename, parent
 from coldledger.functions.units import epoch_days_ago
 from coldledger.operators.catalogue import path_overlaps
 from coldledger.operators.inventory import (
-    aged_bytes, aged_bytes_report, index_summary, is_hotspot, multi_root_union, size_units, truncate_units)
+    aged_bytes, aged_bytes_report, index_summary, is_hotspot, locked_folders, mask_locked, multi_root_union, size_units,
+    skip_snapshots, truncate_units)
 from coldledger.operators.ownership import resolve_owner
 
 
@@ -24,6 +25,7 @@ class IndexResult:
     folders: DataFrame
     hot: DataFrame
     report: DataFrame
+    locked: DataFrame | None = None
 
     @property
     def summary(self) -> DataFrame:
@@ -53,9 +55,17 @@ def folder_facts(crawl: DataFrame, names: Sequence[str] = META.all_meta) -> Data
 
 
 def index_job(crawl: DataFrame, users: DataFrame, groups: DataFrame, as_of: str,
-              min_gib: float | None = None, min_mib: float | None = None) -> IndexResult:
-    """Hotspots of a crawl, largest first, under the report's column names."""
-    folders = folder_facts(crawl)
+              min_gib: float | None = None, min_mib: float | None = None, errors: DataFrame | None = None,
+              snapshots: Sequence[str] = SNAPSHOT_DIRS) -> IndexResult:
+    """Hotspots of a crawl, largest first, under the report's column names.
+
+    Everything below a snapshot directory is left out. With the crawl's error lines, so is every folder that it
+    could not enter, and the report says for the others whether their subtree is ``Complete``.
+    """
+    folders = skip_snapshots(folder_facts(crawl), snapshots) if snapshots else folder_facts(crawl)
+    locked = None if errors is None else locked_folders(errors)
+    if locked is not None:
+        folders = mask_locked(folders, locked)
     hot = truncate_units(size_units(folders).where(is_hotspot(min_gib, min_mib))).withColumns({
         "accd": epoch_days_ago(F.col("atime"), as_of), "modd": epoch_days_ago(F.col("mtime"), as_of)})
     named = resolve_owner(hot, users, groups)
@@ -64,8 +74,9 @@ def index_job(crawl: DataFrame, users: DataFrame, groups: DataFrame, as_of: str,
         F.col("gib").alias("GiB"), F.col("mib_avg").alias("MiBAvg"), F.col("folder").alias("Folder"),
         F.col("group_name").alias("Group"), F.col("tib").alias("TiB"),
         F.col("fcount").alias("FileCount"), F.col("dirsum").alias("DirSize"),
+        *([] if locked is None else [F.col("complete").alias("Complete")]),
     ).orderBy(F.desc("DirSize"), "Folder")
-    return IndexResult(folders, hot, report)
+    return IndexResult(folders, hot, report, locked)
 
 
 def index_roots(crawls: dict[str, DataFrame], users: DataFrame, groups: DataFrame, as_of: str,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coldledger.constants import META
+from coldledger.constants import META, SEARCH_PUNCTUATION
 
 _DAY = "CAST(floor((epoch_us(TIMESTAMP '{as_of}') - epoch_us({ts})) / 86400000000) AS BIGINT)"
 
@@ -269,17 +269,15 @@ _CAT = "folder_key, archive_folder, s3_storage_class, archive_mode, timestamp, u
 
 def _search(query: str) -> str:
     """Cascade by branch: person, project if no person, organisation if neither, always text."""
-    import re
-
-    cleaned = query
-    for ch in ",:?'$^%&*!`~+={}\\[]\"":
-        cleaned = cleaned.replace(ch, " ")
-    words = [w.lower() for w in cleaned.split(" ") if w]
-    has = lambda c: " AND ".join(f"contains(lower({c}), '{w}')" for w in words)
-    worded = "false" if re.fullmatch(r"[0-9.]+", cleaned.strip()) else "true"
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    cleaned = f"translate({quoted(query)}, {quoted(SEARCH_PUNCTUATION)}, repeat(' ', {len(SEARCH_PUNCTUATION)}))"
+    has = lambda c: (
+        f"coalesce(list_aggregate(list_transform(words, lambda w: contains(lower({c}), w)), 'bool_and'), false)")
     return _with(("grants",), f"""
-        , tested AS (SELECT *, {worded} AND {has('contact_pi_name')} AS p, lower(project_num) = '{' '.join(words)}' AS j,
-            {worded} AND {has('org_name')} AS o, {has("(project_title || ' ' || text)")} AS t FROM grants),
+        , asked AS (SELECT list_filter(string_split(lower({cleaned}), ' '), lambda w: w <> '') AS words,
+                           NOT regexp_full_match(trim({cleaned}), '[0-9.]+') AS worded),
+        tested AS (SELECT *, worded AND {has('contact_pi_name')} AS p, lower(project_num) = array_to_string(words, ' ') AS j,
+            worded AND {has('org_name')} AS o, {has("(project_title || ' ' || text)")} AS t FROM grants, asked),
         flags AS (SELECT coalesce(bool_or(p), false) AS any_p, coalesce(bool_or(j), false) AS any_j FROM tested),
         found AS (
           SELECT *, 0 AS rk, 'pi' AS found_by FROM tested WHERE p
@@ -374,6 +372,42 @@ def statements() -> dict[str, str]:
           AND CASE WHEN k % 4 = 0 THEN account IN ('BUILDING', 'MACHINERY') WHEN k % 12 = 9 THEN true
                 WHEN k % 4 = 2 THEN true WHEN k % 4 = 3 THEN own_region = r_name ELSE own_nation = resource END"""
 
+    people = """
+        WITH p AS (SELECT c_custkey AS principal, c_mktsegment AS account, n_name AS own_nation, r_name AS own_region
+                   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+        r AS (SELECT n_nationkey AS k, n_name AS resource, r_name,
+                     CASE WHEN k % 4 = 0 THEN 'accounts' WHEN k % 12 = 9 OR k % 4 = 2 THEN 'everyone' ELSE 'groups' END AS rule,
+                     CASE WHEN k % 4 = 0 THEN 'BUILDING,MACHINERY' WHEN k % 12 = 9 OR k % 4 = 2 THEN 'ALL'
+                       WHEN k % 4 = 3 THEN r_name ELSE n_name END AS names
+              FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 9 <> 8),
+        pairs AS (SELECT principal, r.*, (k % 6 = 5 AND (own_nation = 'NATION_3' OR own_region = 'EUROPE'))
+                           OR (k % 7 = 3 AND account = 'HOUSEHOLD') AS denied,
+                         CASE rule WHEN 'everyone' THEN true WHEN 'accounts' THEN account IN ('BUILDING', 'MACHINERY')
+                           ELSE own_nation = names OR own_region = names END AS named
+                  FROM p, r)
+        """
+    q["entitlement_policies"] = people + """
+        SELECT resource, rule, names, count(*) FILTER (named AND NOT denied) AS principals, count(*) FILTER (named AND denied) AS excluded
+        FROM pairs GROUP BY resource, rule, names"""
+    q["entitlement_exceptions"] = people + "SELECT resource, principal FROM pairs WHERE rule = 'everyone' AND denied"
+    bits = lambda word, bit: f"(uid = 7 AND {word} & {bit << 6} <> 0 OR gid IN (1, 2, 3, 4, 5) AND {word} & {bit << 3} <> 0)"
+    add("folder_permission_tree", ("folders", "all_files", "rollup"), f"""
+        , entries AS (
+            SELECT folder, uid, gid, mode, false AS dir FROM all_files
+            UNION ALL
+            SELECT folder, uid, gid, CASE fcount % 3 WHEN 0 THEN 16895 WHEN 1 THEN 16877 ELSE 16832 END, true FROM rollup),
+        held AS (
+            SELECT folder, bool_and(({bits("mode", 4)} OR mode & 292 = 292) AND ({bits("mode", 2)} OR mode & 438 = 438)) AS own,
+                   bool_and(CASE WHEN dir THEN CASE WHEN uid = 7 THEN mode & 64 <> 0 WHEN gid IN (1, 2, 3, 4, 5) THEN mode & 8 <> 0
+                                               ELSE mode & 1 <> 0 END END) AS passes
+            FROM entries GROUP BY folder)
+        SELECT f.folder, coalesce((SELECT bool_and(own) FROM held WHERE held.folder = f.folder), true) AS direct_ok,
+               coalesce((SELECT bool_and(own) FROM held WHERE held.folder = f.folder OR starts_with(held.folder, f.folder || '/')), true)
+                 AS recursive_ok,
+               coalesce((SELECT bool_and(passes) FROM held WHERE held.folder = f.folder OR starts_with(f.folder, held.folder || '/')), true)
+                 AS reachable
+        FROM folders f""")
+
     # Catalogue
     add("catalogue_lookup", "looked_up",
         "SELECT folder, matched_folder, match, archive_mode, s3_storage_class FROM looked_up")
@@ -641,6 +675,30 @@ def statements() -> dict[str, str]:
                  '/' || split_part(folder, '/', 2)) AS line FROM rollup""")
     for name in ("index_job", "scan_hotspots"):
         add(name, "index_rows", "SELECT * FROM index_rows")
+    add("index_job_locked", ("index_rows", "places"), """
+        , locked AS (SELECT lvl3 AS folder FROM places WHERE s_suppkey % 7 = 3
+                     UNION SELECT lvl2 FROM places WHERE s_nationkey IN (4, 11))
+        SELECT "Folder", "FileCount", "DirSize",
+               NOT EXISTS (SELECT 1 FROM locked WHERE starts_with(locked.folder, i."Folder" || '/')) AS "Complete"
+        FROM index_rows AS i
+        WHERE NOT EXISTS (SELECT 1 FROM locked WHERE i."Folder" = locked.folder OR starts_with(i."Folder", locked.folder || '/'))""")
+    add("rearchive_plan", ("local_files", "src", "found", "looked_up"), f"""
+        , disk AS (SELECT folder, name, size, md5(folder || '/' || name || ':' || size || CASE WHEN uid % 40 = 3 THEN '!' ELSE '' END) AS md5
+                   FROM local_files WHERE uid % 90 <> 4),
+        acts AS (
+            SELECT folder, name, size,
+                   CASE WHEN d.md5 IS NOT NULL AND meta THEN 'drop' WHEN meta THEN NULL
+                     WHEN d.md5 IS NULL AND o.md5 IS NULL THEN NULL WHEN d.md5 IS NULL THEN 'remove'
+                     WHEN s.md5 IS NULL THEN 'upload_new' WHEN s.md5 <> d.md5 THEN 'upload_changed'
+                     WHEN o.md5 = d.md5 THEN 'keep' ELSE 'upload_missing' END AS action
+            FROM (SELECT folder, name, name IN ('{META.manifest}', '{META.md5}', '{META.md5_restored}', '{META.moved_note}') AS meta
+                  FROM (SELECT folder, name FROM disk UNION SELECT folder, name FROM src UNION SELECT folder, name FROM found))
+            LEFT JOIN disk d USING (folder, name) LEFT JOIN src s USING (folder, name) LEFT JOIN found o USING (folder, name))
+        SELECT folder, false AS unbundle, count(*) FILTER (action = 'drop') AS "drop", count(*) FILTER (action = 'keep') AS keep,
+               count(*) FILTER (action = 'upload_new') AS upload_new, count(*) FILTER (action = 'upload_changed') AS upload_changed,
+               count(*) FILTER (action = 'upload_missing') AS upload_missing, count(*) FILTER (action = 'remove') AS remove,
+               coalesce(sum(size) FILTER (action LIKE 'upload%'), 0)::BIGINT AS upload_bytes
+        FROM acts WHERE action IS NOT NULL GROUP BY folder""")
     add("index_roots", ("index_rows", "units"), """
         SELECT * FROM index_rows WHERE "Folder" IN (SELECT folder FROM units WHERE gibf >= 9)""")
     add("index_totals", "units", """

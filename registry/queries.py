@@ -167,6 +167,19 @@ def entitlements(spark: SparkSession, sf: str) -> DataFrame:
         "principal", "resource", F.array_join("options", ",").alias("options"))
 
 
+def entitlement_policies(spark: SparkSession, sf: str) -> DataFrame:
+    return ent.open_policies(v.principals(spark, sf), v.policies(spark, sf)).select(
+        "resource", "rule", F.array_join("names", ",").alias("names"), "principals", "excluded")
+
+
+def entitlement_exceptions(spark: SparkSession, sf: str) -> DataFrame:
+    return ent.exceptions(v.principals(spark, sf), v.policies(spark, sf))
+
+
+def folder_permission_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return perm.folder_permission_tree(v.crawl(spark, sf), v.folders(spark, sf), USER_ID, USER_GROUPS)
+
+
 # Catalogue
 
 
@@ -290,6 +303,15 @@ def archive_plan(spark: SparkSession, sf: str) -> DataFrame:
         v.listing(spark, sf), TARGET, kib=20 * 1024)
 
 
+def rearchive_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """All folders archived by force; some files on disk were altered since, some are gone."""
+    local = v.local_files(spark, sf).where("uid % 90 <> 4").selectExpr(
+        "folder", "name", "size",
+        "md5(concat(folder, '/', name, ':', size, CASE WHEN uid % 40 = 3 THEN '!' ELSE '' END)) AS md5")
+    return jobs.rearchive_plan(
+        v.folders(spark, sf), local, v.catalogue(spark, sf), v.src_manifest(spark, sf), v.listing(spark, sf))
+
+
 def _uploaded(spark: SparkSession, sf: str) -> DataFrame:
     return v.folders(spark, sf).select("folder", F.concat(F.lit(":s3:bkt/arch"), "folder").alias("destination"))
 
@@ -575,6 +597,12 @@ def index_job(spark: SparkSession, sf: str) -> DataFrame:
     return _index(spark, sf).report
 
 
+def index_job_locked(spark: SparkSession, sf: str) -> DataFrame:
+    """Hotspots of a crawl that could not enter some folders."""
+    return index.index_job(v.crawl(spark, sf), v.users(spark, sf), v.groups(spark, sf), v.AS_OF,
+                           errors=v.crawl_lines(spark, sf)).report.select("Folder", "FileCount", "DirSize", "Complete")
+
+
 def index_roots(spark: SparkSession, sf: str) -> DataFrame:
     crawled = v.crawl(spark, sf)
     return index.index_roots(

@@ -127,6 +127,15 @@ def crawl(spark: SparkSession, sf: str) -> DataFrame:
     return file_rows.unionByName(folder_rows)
 
 
+def crawl_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """What a crawl wrote to its error output: locked supplier and nation folders among other lines."""
+    places = supplier_places(spark, sf)
+    locked = places.where("s_suppkey % 7 = 3").selectExpr("concat('/', r_name, '/', n_name, '/', s_name) AS path").unionByName(
+        places.where("n_nationkey IN (4, 11)").selectExpr("concat('/', r_name, '/', n_name, '/') AS path"))
+    return locked.selectExpr("'crawl' AS source", "xxhash64(path) AS pos", "concat('Locked Dir: ', path) AS line").unionByName(
+        places.selectExpr("'crawl' AS source", "s_suppkey AS pos", "concat('Permission denied: ', s_name) AS line"))
+
+
 def users(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").selectExpr("c_custkey AS uid", "c_name AS user")
 

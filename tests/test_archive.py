@@ -298,3 +298,23 @@ def test_a_stored_listing_is_never_shuffled(spark):
 
 def rows_of_place(listing):
     return {r["place"]: r["objects"] for r in listing_sink.place_summary(listing).collect()}
+
+
+def test_forced_archive_compares_three_sides(spark, rows):
+    local = spark.createDataFrame(
+        [("/a", "same", 1, "1"), ("/a", "edited", 2, "x"), ("/a", "fresh", 4, "9"), ("/a", "lost", 8, "4"), ("/a", META.md5, 16, "m"),
+         ("/a", META.bundle, 32, "b"), ("/n", "x", 64, "1")], "folder string, name string, size long, md5 string")
+    src = spark.createDataFrame(
+        [("/a", "same", "1"), ("/a", "edited", "2"), ("/a", "lost", "4"), ("/a", "gone", "5"), ("/a", "never", "6"), ("/a", META.manifest, "7")],
+        "folder string, name string, md5 string")
+    at = lambda name, md5: ("b", f"arch/a/{name}", 1, None, None, md5)
+    objects = spark.createDataFrame(
+        [at("same", "1"), at("edited", "2"), at("lost", "altered"), at("gone", "5"), at("stray", "8"), at(META.manifest, "7")], LISTED)
+    catalogue = spark.createDataFrame([entry("/a")], KEYS)
+    places = cat.catalogue_lookup(folders_of(spark, "/a", "/n"), catalogue)
+    assert rows(jobs.rearchive_files(local, src, objects, places), "folder", "name", "action") == sorted([
+        ("/a", "same", "keep"), ("/a", "edited", "upload_changed"), ("/a", "fresh", "upload_new"), ("/a", "lost", "upload_missing"),
+        ("/a", "gone", "remove"), ("/a", "stray", "remove"), ("/a", META.md5, "drop"), ("/a", META.bundle, "unbundle"),
+        ("/n", "x", "upload_new")], key=repr)
+    plan = jobs.rearchive_plan(folders_of(spark, "/a", "/n"), local, catalogue, src, objects)
+    assert rows(plan) == [("/a", True, 1, 1, 1, 1, 1, 2, 14), ("/n", False, 0, 0, 1, 0, 0, 0, 64)]

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from coldledger.constants import META
-from coldledger.operators import bundle, inventory as inv, permissions as perm
+from coldledger.operators import bundle, entitlements as ent, inventory as inv, permissions as perm
+from coldledger.plans import index
 from coldledger.plans.index import index_job
 
 NOW = datetime(2024, 6, 1)
@@ -147,3 +148,57 @@ def test_folder_permissions(spark, rows):
     check = lambda deep: dict(rows(perm.folder_permission_ok(found, roots, 1, [2], deep)))
     assert check(False) == {"/a": True, "/a/b": False, "/c": True, "/d": True, "/none": True}
     assert check(True) == {"/a": False, "/a/b": False, "/c": True, "/d": True, "/none": True}
+
+
+CRAWLED = "filename string, UID long, GID long, st_atime long, st_mtime long, pw_fcount long, pw_dirsum long, st_mode int"
+
+
+def test_locked_and_snapshot_folders_in_the_index(spark):
+    folder = lambda path: (path, 1, 1, 0, 0, 1, 2**40, 0o40755)
+    crawl = spark.createDataFrame([folder(p) for p in ("/r", "/r/a", "/r/a/x", "/r/a/x/deep", "/r/ab", "/r/.snapshot/s", "/r/b")], CRAWLED)
+    lines = spark.createDataFrame(
+        [("s", 1, "Locked Dir: /r/a/x/"), ("s", 2, "Locked Dir: /r/b"), ("s", 3, "Permission denied: /r/ab"), ("s", 4, "Locked Dir:")],
+        "source string, pos long, line string")
+    users, groups = spark.createDataFrame([(1, "u")], "uid long, user string"), spark.createDataFrame([(1, "g")], "gid long, group_name string")
+    result = index.index_job(crawl, users, groups, "2024-01-01", errors=lines)
+    assert {(r["Folder"], r["Complete"]) for r in result.report.collect()} == {("/r", False), ("/r/a", False), ("/r/ab", True)}
+    assert result.summary.first()["folders"] == 3
+    plain = index.index_job(crawl, users, groups, "2024-01-01").report
+    assert "Complete" not in plain.columns and plain.count() == 6
+
+
+def test_permissions_of_directories_count(spark):
+    row = lambda path, mode, files=-1, uid=1, gid=1: (path, uid, gid, 0, 0, files, 0, mode)
+    crawl = spark.createDataFrame([
+        row("/", 0o40755, 1, 0, 0), row("/ok", 0o40777, 2), row("/ok/f", 0o100666), row("/ok/sub", 0o40777, 1), row("/ok/sub/f", 0o100666),
+        row("/dir", 0o40777, 1), row("/dir/f", 0o100666), row("/dir/shut", 0o40755, 0), row("/file", 0o40777, 1), row("/file/f", 0o100644),
+        row("/hidden", 0o40776, 1), row("/hidden/in", 0o40777, 1), row("/mine", 0o40700, 1, 7), row("/mine/f", 0o100600, -1, 7)], CRAWLED)
+    roots = spark.createDataFrame([(p,) for p in ("/ok", "/dir", "/file", "/hidden/in", "/mine", "/unknown")], "folder string")
+    got = {r.folder: (r.direct_ok, r.recursive_ok, r.reachable) for r in perm.folder_permission_tree(crawl, roots, 7, [9]).collect()}
+    assert got == {"/ok": (True, True, True), "/dir": (True, False, True), "/file": (False, False, True), "/hidden/in": (True, True, False),
+                   "/mine": (True, True, True), "/unknown": (True, True, True)}
+
+
+def test_open_policies_stand_for_all_pairs(spark):
+    import random
+
+    rng = random.Random(1)
+    some = lambda names, most: rng.sample(names, rng.randrange(most + 1))
+    accounts, groups = ["A", "B", "C"], ["g1", "g2", "g3", "ALL"]
+    principals = spark.createDataFrame([(i, rng.choice(accounts), some(groups, 3), ["o"]) for i in range(80)],
+                                       "principal long, account string, groups array<string>, options array<string>")
+    policies = spark.createDataFrame([
+        (f"r{i}", rng.choice(["UP", "UP", "DOWN"]), some(groups, 1), some(accounts, 1), rng.choice([[], [], some([*accounts, "ALL"], 2)]),
+         rng.choice([["ALL"], some(groups, 2), ["ALL", "g1"]]), [], []) for i in range(40)],
+        "resource string, state string, deny_groups array<string>, deny_accounts array<string>, allow_accounts array<string>, "
+        "allow_groups array<string>, deny_options array<string>, allow_options array<string>")
+    want = {}
+    for r in ent.entitlements(principals, policies).collect():
+        want[r["resource"]] = want.get(r["resource"], 0) + 1
+    found = ent.open_policies(principals, policies).collect()
+    assert {r["resource"]: r["principals"] for r in found if r["principals"]} == want
+    assert len(found) == policies.where("state = 'UP'").count()
+    left = {}
+    for r in ent.exceptions(principals, policies).collect():
+        left[r["resource"]] = left.get(r["resource"], 0) + 1
+    assert left == {r["resource"]: r["excluded"] for r in found if r["rule"] == "everyone" and r["excluded"]}

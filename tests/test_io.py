@@ -38,6 +38,34 @@ def test_crawl_files_with_headers_of_their_own(spark, tmp_path, rows):
     assert rows(crawl, "filename", "UID", "GID", "pw_dirsum") == [("/a", 5, 6, 7), ("/b", 5, 6, 7)]
 
 
+def test_crawl_files_without_header_and_with_several(spark, tmp_path, rows):
+    other = "GID,UID,filename,st_atime,st_mtime,pw_fcount,pw_dirsum,inode\n"
+    (tmp_path / "a.csv").write_text("9,/early,5,6,10,20,1,7\n" + HEADER + "1,/a,5,6,10,20,1,7\n" + other + "6,5,/b,10,20,1,8,2\n6,5,/c,10,20,1,9,2\n"
+                                    + HEADER + "1,/d,5,6,10,20,1,10\n")
+    (tmp_path / "none.csv").write_text("1,/lost,5,6,10,20,1,7\n2,/lost2,5,6,10,20,1,7\n")
+    crawl = src.read_crawl_csv(spark, str(tmp_path))
+    assert rows(src.good_rows(crawl), "filename", "UID", "GID", "pw_dirsum") == [
+        ("/a", 5, 6, 7), ("/b", 5, 6, 8), ("/c", 5, 6, 9), ("/d", 5, 6, 10)]
+    assert rows(src.bad_lines(crawl)) == [
+        (None, "1,/lost,5,6,10,20,1,7"), (None, "2,/lost2,5,6,10,20,1,7"), (None, "9,/early,5,6,10,20,1,7")]
+
+
+def test_headers_hold_across_the_pieces_of_a_file(spark, tmp_path):
+    other = "GID,UID,filename,st_atime,st_mtime,pw_fcount,pw_dirsum,inode\n"
+    body = HEADER + "".join(f"1,/a{k},5,6,10,20,1,7\n" for k in range(3000)) + other + "".join(f"6,5,/b{k},10,20,1,8,2\n" for k in range(3000))
+    (tmp_path / "c.csv").write_text(body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        crawl = src.good_rows(src.read_crawl_csv(spark, str(tmp_path)))
+        assert crawl.rdd.getNumPartitions() > 4
+        got = {(r["s"], r["UID"], r["GID"], r["pw_dirsum"]): r["count"] for r in crawl.groupBy(
+            F.substring("filename", 1, 2).alias("s"), "UID", "GID", "pw_dirsum").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {("/a", 5, 6, 7): 3000, ("/b", 5, 6, 8): 3000}
+
+
 def test_crawl_names_with_a_line_break_are_set_aside(spark, tmp_path, rows):
     (tmp_path / "c.csv").write_text(HEADER + '1,"/a\nb",5,6,10,20,1,7\n2,/c,5,6,10,20,1,7\n')
     crawl = src.read_crawl_csv(spark, str(tmp_path))
