@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import time
+
+import pytest
+
 from coldledger.llm.html_text import extract_pages, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -29,6 +33,45 @@ def test_unclosed_and_plain_pages():
     assert [main_text(t) for t in (None, "", "<nav>only menu</nav>", "<script>x", "<")] == ["", "", "", "", "<"]
 
 
+HEAD, INTRO, END = "A heading of some words", "An introduction, not long.", "And so it ends."
+BODY = "The body of the text goes on for much longer than the parts around it do. " * 8
+MENU = "<ul><li><a href=/a>Home</a><li><a href=/b>News of today</a><li><a href=/c>Contact</a></ul>"
+TEXT = [HEAD, INTRO, BODY.strip(), END]
+PARTS = f"<h1>{HEAD}</h1><p>{INTRO}</p><p>{BODY}</p><p>{END}</p>"
+#: Pages whose text is TEXT, in layouts of many kinds.
+LAYOUTS = {
+    "article": f"<nav>{MENU}</nav><article>{PARTS}</article><footer>Imprint</footer>",
+    "main with sections": f"<header>{MENU}</header><main><section><h1>{HEAD}</h1><p>{INTRO}</p></section><section><p>{BODY}</p></section>"
+                          f"<section><p>{END}</p></section></main><aside>Read this too, it is about the same matter.</aside>",
+    "three divs": f"<div id=menu>{MENU}</div><div><h1>{HEAD}</h1><p>{INTRO}</p></div><div><p>{BODY}</p></div><div><p>{END}</p></div>",
+    "nested divs": f"<div class=page><div class=top-menu>{MENU}</div><div class=story><div>{PARTS.replace('<p>', '<div><p>').replace('</p>', '</p></div>')}</div></div></div>",
+    "class with a sidebar's name": f"<div class='content has-sidebar'>{PARTS}</div><div class='sidebar left'>Popular: texts of the week</div>",
+    "class with tags enabled": f"<div class='post tags-enabled no-comments'>{PARTS}</div><div class=comments-area><p>{BODY} I say.</p></div>",
+    "wrapper named like a part": f"<div class=widget><div>{PARTS}</div></div><div class=cookie-notice>We use cookies.</div>",
+    "unclosed menu": f"<nav>{MENU}<div>{PARTS}</div>",
+    "unclosed header": f"<header><a href=/>Site</a><div class=body>{PARTS}</div><footer>Imprint",
+    "link list without names": f"<div>{MENU}</div><div>{PARTS}</div><div>{MENU}</div>",
+    "table": f"<table><tr><td>{MENU}<td>{PARTS}<tr><td><td></table>",
+    "bare paragraphs": f"<body>{PARTS}<div class=ad>Buy this.</div>",
+    "comment that never ends": f"<nav>{MENU}</nav><article>{PARTS}</article><!-- <p>",
+    "article in a promo wrapper": f"<div id=promo-box>Only today!</div><div class='site main-header'><article>{PARTS}</article></div>",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts(layout):
+    assert main_text(LAYOUTS[layout]).split("\n") == TEXT
+
+
+@pytest.mark.parametrize("page", [
+    "<!--" * 500_000, "<!" * 500_000, "<a <" * 500_000, "<div>" * 100_000 + "x", "<p>" + "<b>" * 50_000 + "</i>" * 50_000,
+    "<div class=x>a</div>" * 50_000, "<section>" * 20_000 + "</article>" * 50_000 + "x"], ids=range(7))
+def test_time_grows_with_length(page):
+    started = time.perf_counter()
+    main_text("<p>t</p>" + page)
+    assert time.perf_counter() - started < 6
+
+
 def test_short_blocks_stay():
     body = "".join(f"<p>{'Long text here. ' * 9}</p><p>A.</p>" for _ in range(40))
     assert main_text(f"<nav><a href=1>x</a></nav><article>{body}</article>").count("\n") == 79
