@@ -318,3 +318,21 @@ def test_forced_archive_compares_three_sides(spark, rows):
         ("/n", "x", "upload_new")], key=repr)
     plan = jobs.rearchive_plan(folders_of(spark, "/a", "/n"), local, catalogue, src, objects)
     assert rows(plan) == [("/a", True, 1, 1, 1, 1, 1, 2, 14), ("/n", False, 0, 0, 1, 0, 0, 0, 64)]
+
+
+def test_of_two_catalogue_writers_neither_is_lost(spark, catalogue, tmp_path, monkeypatch):
+    root = str(tmp_path / "cat")
+    cat_sink.write_snapshot(catalogue, root, 1)
+    first, second = (spark.createDataFrame([entry(f)], KEYS) for f in ("/first", "/second"))
+    merge, raced = cat_sink.catalogue_upsert, []
+
+    def slow_merge(old, entries):
+        if not raced:  # while the second writer merges, the first one is done
+            raced.append(True)
+            cat_sink.upsert_snapshot(spark, root, first)
+        return merge(old, entries)
+
+    monkeypatch.setattr(cat_sink, "catalogue_upsert", slow_merge)
+    assert cat_sink.upsert_snapshot(spark, root, second) == 3
+    keys = {r["folder_key"] for r in cat_sink.read_snapshot(spark, root).collect()}
+    assert {"/first", "/second"} <= keys and len(keys) == catalogue.count() + 2

@@ -1,11 +1,13 @@
 """Streams over several files give what the batch operators give over all rows."""
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from coldledger.operators import activity, inventory as inv
-from coldledger.streaming import jobs
+from coldledger.streaming import jobs, tables
 
 
 def arrive(spark, df, path, order, files=4):
@@ -75,3 +77,69 @@ def test_folder_rollup_and_resume(spark, tmp_path):
     got = jobs.stream_folder_rollup(stream, table, progress)
     want = inv.folder_rollup(files.unionByName(more))
     assert listed(got, want.columns) == listed(want, want.columns)
+
+
+SUMS = "folder string, n long"
+
+
+def _table(spark, root, batches=range(5)):
+    for k in batches:
+        rows = spark.createDataFrame([(f"/f{k % 2}", 10 ** k), ("/all", 1)], SUMS).coalesce(1)
+        rows.write.mode("overwrite").parquet(tables.batch_path(root, k))
+
+
+def _sums(rows):
+    return rows.groupBy("folder").agg(F.sum("n").alias("n"))
+
+
+def test_compaction_changes_no_sum(spark, tmp_path):
+    root, schema = str(tmp_path / "t"), spark.createDataFrame([], SUMS).schema
+    assert tables.read_table(spark, root, schema).count() == 0 and tables.compact(spark, root, schema, _sums) == -1
+    _table(spark, root)
+    want = listed(_sums(tables.read_table(spark, root, schema)), ["folder", "n"])
+    assert want == [("/all", 5), ("/f0", 10101), ("/f1", 1010)]
+    assert tables.compact(spark, root, schema, _sums) == 3
+    assert sorted(os.listdir(root)) == ["batch=000000000004", "upto=000000000003"]
+    assert listed(_sums(tables.read_table(spark, root, schema)), ["folder", "n"]) == want
+    _table(spark, root, [4])  # the stream writes its last batch anew
+    assert listed(_sums(tables.read_table(spark, root, schema)), ["folder", "n"]) == want
+    _table(spark, root, [5])
+    assert tables.compact(spark, root, schema, _sums) == 4
+    assert listed(_sums(tables.read_table(spark, root, schema)), ["folder", "n"]) == [("/all", 6), ("/f0", 10101), ("/f1", 101010)]
+
+
+@pytest.mark.parametrize("dies", ["rename_new", "clean"])
+def test_compaction_that_dies_midway(spark, tmp_path, monkeypatch, dies):
+    root, schema = str(tmp_path / "t"), spark.createDataFrame([], SUMS).schema
+    _table(spark, root)
+    want = listed(_sums(tables.read_table(spark, root, schema)), ["folder", "n"])
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patched:
+        patched.setattr(tables, dies, stop)
+        with pytest.raises(KeyboardInterrupt):
+            tables.compact(spark, root, schema, _sums)
+    assert listed(_sums(tables.read_table(spark, root, schema)), ["folder", "n"]) == want
+    tables.compact(spark, root, schema, _sums)
+    assert listed(_sums(tables.read_table(spark, root, schema)), ["folder", "n"]) == want
+    assert [n for n in sorted(os.listdir(root)) if not n.startswith(".")] == ["batch=000000000004", "upto=000000000003"]
+
+
+def test_an_unfinished_batch_is_not_read(spark, tmp_path):
+    root, schema = str(tmp_path / "t"), spark.createDataFrame([], SUMS).schema
+    _table(spark, root, [0, 1])
+    os.remove(f"{tables.batch_path(root, 1)}/_SUCCESS")
+    assert tables.read_table(spark, root, schema).count() == 2
+
+
+def test_idle_streak_goes_on_in_the_next_run(spark, events, tmp_path):
+    beats = events.select("host", "ts", "seq", "idle")
+    table, progress = str(tmp_path / "t"), str(tmp_path / "c")
+    stream = arrive(spark, beats.where("seq < 200"), tmp_path / "in", "seq", 1)
+    jobs.stream_idle_streak(stream, table, progress, 4)
+    beats.where("seq >= 200").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = jobs.stream_idle_streak(stream, table, progress, 4)
+    want = activity.idle_streak(events, 4)
+    assert listed(got, want.columns) == listed(want, want.columns)
