@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -36,7 +37,6 @@ ORDER = 5
 BLOCK_BYTES = 12_000_000
 CHUNK_BYTES = 1_000_000  # text of a block that is split into grams at a time
 START, END = 0xFE, 0xFF  # bytes that UTF-8 text never has
-GRAM, WORD = b"\x00", b"\x01"  # first byte of a key; the bare WORD key is the end token
 SYMBOLS = 256
 _LOWER = bytes(range(256)).lower()
 
@@ -60,13 +60,6 @@ def gram_codes(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return codes[np.arange(len(starts)) + starts], sizes
 
 
-def _gram_keys(codes: np.ndarray) -> pa.Array:
-    raw = codes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - ORDER - 1:]
-    keyed = np.concatenate([np.zeros((len(raw), 1), np.uint8), raw], axis=1)
-    offsets = np.arange(len(raw) + 1, dtype=np.int32) * (ORDER + 2)
-    return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(offsets), pa.py_buffer(keyed.tobytes())])
-
-
 def _chunks(texts: pa.ChunkedArray) -> Iterator[list[list[bytes]]]:
     """Words of some documents at a time."""
     part, size = [], 0
@@ -82,7 +75,7 @@ def _chunks(texts: pa.ChunkedArray) -> Iterator[list[list[bytes]]]:
 
 
 def _block_facts(docs: pa.Table) -> pa.Table:
-    """(block, key, n): all grams and words of a block with their counts in training documents."""
+    """(block, code, word, n): all grams and words of a block with their counts in training documents."""
     block = docs["block"][0].as_py()
     grams, words = [], []
     for train in (True, False):
@@ -95,16 +88,16 @@ def _block_facts(docs: pa.Table) -> pa.Table:
     parts = []
     for kept in (grams, words):
         summed = pa.concat_tables(kept).group_by("key").aggregate([("n", "sum")])
-        key = summed["key"].combine_chunks()
-        key = _gram_keys(key.to_numpy()) if kept is grams else key
-        parts.append(pa.table({"block": pa.array(np.full(len(key), block)), "key": key, "n": summed["n_sum"].cast(pa.int64())}))
+        none = lambda kind: pa.nulls(len(summed), kind)
+        code, word = (summed["key"], none(pa.binary())) if kept is grams else (none(pa.int64()), summed["key"])
+        parts.append(pa.table({"block": pa.array(np.full(len(summed), block)), "code": code, "word": word,
+                               "n": summed["n_sum"].cast(pa.int64())}))
     return pa.concat_tables(parts)
 
 
 def _tokens(split: list[list[bytes]]) -> pa.Array:
-    """Keys of the words of all documents, each document's followed by its end token."""
-    words = pa.array([w for words in split for w in (*words, b"")], pa.binary())
-    return pc.binary_join_element_wise(pa.scalar(WORD), words, pa.scalar(b""))
+    """The words of all documents, each document's followed by its end token, the empty word."""
+    return pa.array([w for words in split for w in (*words, b"")], pa.binary())
 
 
 class _Level:
@@ -158,18 +151,18 @@ def gram_log_probabilities(last: int, before: np.ndarray, symbol: np.ndarray, n:
 
 def _score_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """Scores of a block's documents from the values of their grams and words."""
-    keys, values = answers["key"].combine_chunks(), answers["value"].combine_chunks()
-    is_gram = pc.starts_with(keys, GRAM)
-    codes, gram_values = pa.array(_codes(keys.filter(is_gram))), values.filter(is_gram).to_numpy()
-    known_words = keys.filter(pc.invert(is_gram))
-    word_counts = values.filter(pc.invert(is_gram)).to_numpy()
+    is_gram = pc.is_valid(answers["code"])
+    grams_known, words_known = answers.filter(is_gram), answers.filter(pc.invert(is_gram))
+    place = pd.Index(grams_known["code"].to_numpy())  # hashed once for all chunks
+    gram_values = grams_known["value"].to_numpy()
+    known_words, word_counts = words_known["word"].combine_chunks(), words_known["value"].to_numpy()
     tokens, known, logs, scores = [], [], [], []
     for split in _chunks(docs["body"]):
         grams, sizes = gram_codes(split)
-        found = pc.index_in(pa.array(grams), value_set=codes)
-        if found.null_count:
+        found = place.get_indexer(grams)
+        if (found < 0).any():
             raise RuntimeError("a gram of a document has no value")
-        scores.append(np.add.reduceat(gram_values[found.to_numpy()], np.cumsum(sizes) - sizes))
+        scores.append(np.add.reduceat(gram_values[found], np.cumsum(sizes) - sizes))
         sizes = np.array([len(words) + 1 for words in split])
         seen = word_counts[pc.index_in(_tokens(split), value_set=known_words).to_numpy()]
         firsts = np.cumsum(sizes) - sizes
@@ -182,16 +175,6 @@ def _score_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
                      "n_known": joined(known), "logs": joined(logs), "score": joined(scores)})
 
 
-def _codes(keys: pa.Array) -> np.ndarray:
-    """Gram codes of gram keys, read from the array's own memory."""
-    raw = np.frombuffer(keys.buffers()[2], np.uint8) if len(keys) else np.zeros(0, np.uint8)
-    raw = raw[keys.offset * (ORDER + 2):(keys.offset + len(keys)) * (ORDER + 2)].reshape(-1, ORDER + 2)
-    codes = np.zeros(len(keys), np.int64)
-    for i in range(1, ORDER + 2):
-        codes = (codes << 8) | raw[:, i]
-    return codes
-
-
 def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -207,27 +190,32 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), body.alias("body"),
         F.pmod(F.xxhash64(F.col(id_col), body), F.lit(blocks)).alias("block"))
     folder = work_dir(spark, "ppm")
-    facts = _written(dealt.groupBy("block").applyInArrow(_block_facts, "block long, key binary, n long"), f"{folder}/facts")
-    totals = _written(facts.groupBy("key").agg(F.sum("n").alias("n")), f"{folder}/totals")
-    is_word = F.substring("key", 1, 1) == F.lit(WORD)
-    corpus = totals.where(is_word & (F.col("n") > 0)).agg(
+    facts = _written(dealt.groupBy("block").applyInArrow(
+        _block_facts, "block long, code long, word binary, n long"), f"{folder}/facts")
+    has_word = F.col("word").isNotNull()
+    grams, words = facts.where(~has_word).select("block", "code", "n"), facts.where(has_word).select("block", "word", "n")
+    gram_totals = _written(grams.groupBy("code").agg(F.sum("n").alias("n")), f"{folder}/grams")
+    word_totals = _written(words.groupBy("word").agg(F.sum("n").alias("n")), f"{folder}/words")
+    corpus = word_totals.where("n > 0").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    grams = totals.where(~is_word)
     # At most 256 x 256 rows.
     pairs = np.zeros((SYMBOLS, SYMBOLS))
-    for row in grams.groupBy(F.substring("key", ORDER + 1, 2).alias("pair")).agg(F.sum("n").alias("n")).collect():
-        pairs[row["pair"][0], row["pair"][1]] = row["n"]
+    for row in gram_totals.groupBy(F.col("code").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).collect():
+        pairs[row["pair"] >> 8, row["pair"] & 0xFF] = row["n"]
 
     def probabilities(part: pa.Table) -> pa.Table:
-        codes = _codes(part["key"].combine_chunks())
+        codes = part["code"].to_numpy()
         last, symbol = int(codes[0] >> 8) % SYMBOLS, codes % SYMBOLS
         values = gram_log_probabilities(last, codes >> 24, symbol, part["n"].to_numpy(), pairs)
-        return pa.table({"key": part["key"], "value": values})
+        return pa.table({"code": part["code"], "value": values})
 
-    model = (grams.groupBy(F.substring("key", ORDER, 2)).applyInArrow(probabilities, "key binary, value double")
-             .unionByName(totals.where(is_word).select("key", F.col("n").cast("double").alias("value"))))
+    model = gram_totals.groupBy(F.shiftright("code", 8).bitwiseAND(0xFFFF)).applyInArrow(probabilities, "code long, value double")
+    asked = grams.select("block", "code").join(model, "code").select(
+        "block", "code", F.lit(None).cast("binary").alias("word"), "value")
+    counted = words.select("block", "word").join(word_totals, "word").select(
+        "block", F.lit(None).cast("long").alias("code"), "word", F.col("n").cast("double").alias("value"))
     # Written as well, so that the shuffle files of this join are gone before the next ones come.
-    answers = _written(facts.select("block", "key").join(model, "key").select("block", "key", "value"), f"{folder}/answers")
+    answers = _written(asked.unionByName(counted), f"{folder}/answers")
     scored = (dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _score_block, f"id {dealt.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, "
                       "n_known long, logs double, score double"))
