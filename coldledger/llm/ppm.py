@@ -49,15 +49,19 @@ def gram_codes(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Code of each gram (context and symbol as one number) of all documents, and the grams of each."""
     pad = bytes([START]) * ORDER
     lines = [b" ".join(words) for words in docs]
-    data = np.frombuffer(b"".join([pad + line + bytes([END]) for line in lines]), dtype=np.uint8).astype(np.int64)
-    codes = np.zeros(max(0, len(data) - ORDER), dtype=np.int64)
-    for i in range(ORDER + 1):
-        codes = (codes << 8) | data[i:len(data) - ORDER + i]
+    data = b"".join([pad + line + bytes([END]) for line in lines])
     sizes = np.array([len(line) + 1 for line in lines], dtype=np.int64)
+    if not lines:
+        return np.zeros(0, np.int64), sizes
+    # Eight bytes from every place, read as one number; the first ORDER + 1 of them are the gram.
+    eight = np.ndarray((len(data) - ORDER,), ">u8", data + bytes(8), strides=(1,))
+    codes = eight.astype(np.uint64)
+    codes >>= np.uint64(8 * (7 - ORDER))
     # Grams that reach from one document's end into the next one's start are cut out.
-    first = np.concatenate(([0], np.cumsum(sizes + ORDER)[:-1])) if len(sizes) else np.zeros(0, np.int64)
-    starts = np.repeat(first - np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else first, sizes)
-    return codes[np.arange(len(starts)) + starts], sizes
+    inside = np.ones(len(codes), dtype=bool)
+    ends = np.cumsum(sizes + ORDER)[:-1] - ORDER
+    inside[(ends[:, None] + np.arange(ORDER)).ravel()] = False
+    return codes[inside].view(np.int64), sizes
 
 
 def _chunks(texts: pa.ChunkedArray) -> Iterator[list[list[bytes]]]:
@@ -74,25 +78,35 @@ def _chunks(texts: pa.ChunkedArray) -> Iterator[list[list[bytes]]]:
         yield part
 
 
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where each different value of a sorted array begins."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
+
+
 def _block_facts(docs: pa.Table) -> pa.Table:
     """(block, code, word, n): all grams and words of a block with their counts in training documents."""
     block = docs["block"][0].as_py()
-    grams, words = [], []
+    codes, counts, words = [], [], []
     for train in (True, False):
         for split in _chunks(docs.filter(pc.equal(docs["train"], train))["body"]):
-            for found, kept in ((pa.array(gram_codes(split)[0]), grams), (_tokens(split), words)):
-                counted = pc.value_counts(found)
-                n = counted.field("counts")
-                kept.append(pa.table({"key": counted.field("values"), "n": n if train else pc.multiply(n, 0)}))
+            ordered = np.sort(gram_codes(split)[0])
+            starts = _runs(ordered)
+            codes.append(ordered[starts])
+            counts.append(np.diff(starts, append=len(ordered)) * train)
+            counted = pc.value_counts(_tokens(split))
+            words.append(pa.table({"word": counted.field("values"), "n": pc.multiply(counted.field("counts"), int(train))}))
             pa.default_memory_pool().release_unused()
-    parts = []
-    for kept in (grams, words):
-        summed = pa.concat_tables(kept).group_by("key").aggregate([("n", "sum")])
-        none = lambda kind: pa.nulls(len(summed), kind)
-        code, word = (summed["key"], none(pa.binary())) if kept is grams else (none(pa.int64()), summed["key"])
-        parts.append(pa.table({"block": pa.array(np.full(len(summed), block)), "code": code, "word": word,
-                               "n": summed["n_sum"].cast(pa.int64())}))
-    return pa.concat_tables(parts)
+    code, n = np.concatenate(codes), np.concatenate(counts)
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    starts = _runs(code)
+    code, n = code[starts], np.add.reduceat(n, starts)
+    summed = pa.concat_tables(words).group_by("word").aggregate([("n", "sum")])
+    rows = lambda size, code, word, n: pa.table({
+        "block": pa.array(np.full(size, block)), "code": code, "word": word, "n": n})
+    return pa.concat_tables([
+        rows(len(code), pa.array(code), pa.nulls(len(code), pa.binary()), pa.array(n, pa.int64())),
+        rows(len(summed), pa.nulls(len(summed), pa.int64()), summed["word"], summed["n_sum"].cast(pa.int64()))])
 
 
 def _tokens(split: list[list[bytes]]) -> pa.Array:
