@@ -69,6 +69,28 @@ def restore_readiness(counts: DataFrame) -> DataFrame:
     return counts.select("*", (F.col("triggered") + running > 0).alias("pending"), mix.alias("progress"))
 
 
+def running_restores(objects: DataFrame) -> DataFrame:
+    """Retrievals per location: how many run, at which options, until when at the latest; and what is back until when.
+
+    Needs storage_class, restore, restore_tier (the option of the last request) and restore_requested beside the
+    place. The end of a running retrieval is its request plus the longest time its class and option take, null where
+    the class does not offer the option. ``kept_until`` is the first date on which a restored copy expires.
+    """
+    waits = retrieval_options(objects.sparkSession).select(  # a fixed handful of rows
+        F.col("storage_class").alias("_class"), F.col("option").alias("_option"), F.col("hours_hi").alias("_hours"))
+    state = F.coalesce("restore", F.lit(""))
+    running, back = state.contains('ongoing-request="true"'), state.contains('ongoing-request="false"')
+    known = objects.join(F.broadcast(waits), (F.col("storage_class") == F.col("_class")) & (F.col("restore_tier") == F.col("_option")), "left")
+    end = F.col("restore_requested") + F.make_dt_interval(secs=F.round(F.col("_hours") * 3600, 0).cast("decimal(18,6)"))
+    expiry = F.try_to_timestamp(F.regexp_extract(state, 'expiry-date="[A-Za-z]*,? *([^"]*?)(?: GMT)?"', 1), F.lit("d MMM yyyy HH:mm:ss"))
+    place = placed(objects)[0].alias("location")
+    return known.groupBy(place).agg(
+        F.count_if(running).alias("running"),
+        F.array_join(F.array_sort(F.collect_set(F.when(running, F.col("restore_tier")))), "+").alias("tiers"),
+        F.max(F.when(running, end)).alias("expected_end"), F.count_if(back).alias("restored"),
+        F.min(F.when(back, expiry)).alias("kept_until"))
+
+
 def tier_change_plan(folders: DataFrame, catalogue: DataFrame, objects: DataFrame, new_class: str) -> DataFrame:
     """What moving the archives of the given folders to another storage class would touch.
 

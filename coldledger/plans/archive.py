@@ -14,7 +14,7 @@ from coldledger.operators.bundle import small_file_plan
 from coldledger.operators.catalogue import KEY, catalogue_lookup, destination, path_overlaps
 from coldledger.operators.inventory import non_meta, pick
 from coldledger.operators.objects import (
-    restore_readiness, restore_status_counts, tier_change_plan, tier_cost_estimate)
+    restore_readiness, restore_status_counts, running_restores, tier_change_plan, tier_cost_estimate)
 from coldledger.operators.reports import archive_batch
 from coldledger.operators.verify import archived_digests, folder_checks, restore_plan, state_of, verify_archives
 
@@ -139,6 +139,13 @@ def restore_job(folders: DataFrame, catalogue: DataFrame, files: DataFrame, obje
                     F.coalesce("progress", F.lit("none")).alias("progress")))
 
 
+def restore_watch(folders: DataFrame, catalogue: DataFrame, objects: DataFrame) -> DataFrame:
+    """Archived folders with a retrieval under way: source, running, tiers, expected_end."""
+    places = catalogue_lookup(folders, catalogue).where("match <> 'none'").select("folder", F.col("destination").alias("location"))
+    return (places.join(running_restores(objects).where("running > 0"), "location")
+            .select("folder", F.col("location").alias("source"), "running", "tiers", "expected_end"))
+
+
 def tier_change_job(folders: DataFrame, catalogue: DataFrame, objects: DataFrame, new_class: str) -> DataFrame:
     """Tier-change plan with the monthly cost before and after."""
     plan = tier_change_plan(folders, catalogue, objects, new_class)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from coldledger.operators.permissions import writable_hotspots
 from coldledger.operators.reports import note_text
+from coldledger.sinks.storage import remove, rename_new
 from coldledger.sources.crawl import read_hotspots
 
 _CSV = {"header": "true", "quote": '"', "escape": '"'}
@@ -64,14 +66,23 @@ def write_manifest(manifest: DataFrame, path: str, buckets: int = BUCKETS) -> No
 
 
 def write_md5_manifest(digests: DataFrame, folders: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """'<folder> TAB <md5>  <name>' lines in hash buckets of folders. Fails when a folder has nothing to list."""
-    missing = folders.select("folder").join(
-        digests.groupBy("folder").agg(F.count(F.lit(1)).alias("_n")), "folder", "left_anti").agg(
+    """'<folder> TAB <md5>  <name>' lines in hash buckets of folders. Fails when a folder has nothing to list.
+
+    The digests are evaluated once: the lines are written aside, tested there, and then take the place of ``path``.
+    """
+    spark = digests.sparkSession
+    lines = digests.select("folder", F.concat("folder", F.lit("\t"), "md5", F.lit("  "), "name").alias("value"))
+    aside = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    _by_bucket(lines, buckets).drop("folder").write.partitionBy("bucket").text(aside)
+    listed = spark.read.schema("value string").option("recursiveFileLookup", "true").text(aside).select(
+        F.substring_index("value", "\t", 1).alias("folder")).distinct()
+    missing = folders.select("folder").join(listed, "folder", "left_anti").agg(
         F.countDistinct("folder").alias("n"), F.min("folder").alias("first")).first()
     if missing["n"]:
+        remove(spark, aside)
         raise ValueError(f"no checksums for {missing['n']} folders, first: {missing['first']}")
-    lines = digests.select("folder", F.concat("folder", F.lit("\t"), "md5", F.lit("  "), "name").alias("value"))
-    _by_bucket(lines, buckets).drop("folder").write.mode("overwrite").partitionBy("bucket").text(path)
+    remove(spark, path)
+    rename_new(spark, aside, path)
 
 
 def write_deletion_notes(notes: DataFrame, path: str, buckets: int = BUCKETS) -> None:

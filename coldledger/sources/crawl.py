@@ -87,10 +87,10 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_report_listing(spark: SparkSession, path: str) -> DataFrame:
-    """Reports below a path with the rows of each and when it was written last."""
+    """Reports below a path with the rows of each and when it was written last, newest first."""
     rows = spark.read.schema("line string").option("recursiveFileLookup", "true").text(path).select(
         "line", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"))
     # Every part file starts with the header.
     report = basename(parent(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))))
     return rows.groupBy(report.alias("report")).agg(
-        (F.count(F.lit(1)) - F.countDistinct("file")).alias("rows"), F.max("mtime").alias("mtime"))
+        (F.count(F.lit(1)) - F.countDistinct("file")).alias("rows"), F.max("mtime").alias("mtime")).orderBy(F.desc("mtime"), "report")

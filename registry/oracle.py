@@ -536,6 +536,14 @@ def statements() -> dict[str, str]:
         FROM ({bulk})""")
     add("restore_readiness", "objects", f"""
         SELECT location, triggered + restoring > 0 AS pending, {mix} AS progress FROM ({bulk})""")
+    add("restore_watch", ("looked_up", "objects"), """
+        SELECT l.asked_for AS folder, l.dest AS source, count(*) AS running, string_agg(DISTINCT tier, '+' ORDER BY tier) AS tiers,
+               max(asked + to_seconds(CASE storage_class || tier WHEN 'GLACIERBulk' THEN 43200 WHEN 'GLACIERStandard' THEN 18000
+                     WHEN 'GLACIERExpedited' THEN 300 WHEN 'DEEP_ARCHIVEBulk' THEN 172800 WHEN 'DEEP_ARCHIVEStandard' THEN 43200 END))
+                 AS expected_end
+        FROM (SELECT *, (['Bulk', 'Standard', 'Expedited'])[size % 3 + 1] AS tier, TIMESTAMP '2001-12-01' + to_seconds(size % 100000) AS asked
+              FROM objects WHERE ongoing = 'true') o JOIN (SELECT folder AS asked_for, dest FROM looked_up) l ON o.location = l.dest
+        GROUP BY l.asked_for, l.dest""")
     add("tier_change_plan", "tier_plan", """
         SELECT archive, location, folders, decision, old_class, new_class, total, changed, skipped, bytes FROM tier_plan""")
     add("tier_change_update", ("tier_plan", "catalogue"), f"""
@@ -717,7 +725,9 @@ def statements() -> dict[str, str]:
     for name in ("scan_catalogue_json", "parse_catalogue"):
         add(name, "catalogue", f"SELECT {_CAT} FROM catalogue")
     add("report_listing", "index_rows", """
-        SELECT '+' || split_part("Folder", '/', 2) || '.csv' AS report, count(*) AS rows FROM index_rows GROUP BY ALL""")
+        -- The reports were written one after the other, in the order of the regions' names.
+        SELECT report, rows, CAST(row_number() OVER (ORDER BY report DESC) AS INTEGER) AS place
+        FROM (SELECT '+' || split_part("Folder", '/', 2) || '.csv' AS report, count(*) AS rows FROM index_rows GROUP BY ALL)""")
     add("sink_catalogue_export", "catalogue", "SELECT folder_key AS local_folder, timestamp FROM catalogue")
     add("scan_transfer_log", "log_lines", "SELECT kind, msg, bytes, last_error FROM log_lines")
     q["scan_key_value"] = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coldledger.constants import META
@@ -384,6 +384,14 @@ def restore_readiness(spark: SparkSession, sf: str) -> DataFrame:
         "location", "pending", "progress")
 
 
+def restore_watch(spark: SparkSession, sf: str) -> DataFrame:
+    """Folders whose retrieval is under way, at which options and until when."""
+    asked = v.listing(spark, sf).withColumns({
+        "restore_tier": F.expr("element_at(array('Bulk', 'Standard', 'Expedited'), CAST(size % 3 + 1 AS INT))"),
+        "restore_requested": F.expr("timestamp_ntz'2001-12-01 00:00:00' + make_dt_interval(0, 0, 0, size % 100000)")})
+    return jobs.restore_watch(v.folders(spark, sf), v.catalogue(spark, sf), asked)
+
+
 def tier_change_plan(spark: SparkSession, sf: str) -> DataFrame:
     return obj.tier_change_plan(v.folders(spark, sf), v.catalogue(spark, sf), v.objects(spark, sf), "GLACIER_IR")
 
@@ -667,7 +675,7 @@ def sink_md5_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """The lines as they are on storage."""
     path = work_dir(spark, "md5")
     digests = verify.md5_manifest(v.src_manifest(spark, sf))
-    sink.write_md5_manifest(digests, digests.select("folder"), path)
+    sink.write_md5_manifest(digests, v.folders(spark, sf, 1000), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
@@ -726,7 +734,8 @@ def report_listing(spark: SparkSession, sf: str) -> DataFrame:
     for root in ROOTS:
         rows = report.where(paths.is_under(F.col("Folder"), F.lit(root)))
         sink.write_hotspots(rows, f"{path}/{root.replace('/', '+')}.csv")
-    return crawl_src.read_report_listing(spark, path).select("report", "rows")
+    newest_first = Window.orderBy(F.desc("mtime"), "report")  # one row per report
+    return crawl_src.read_report_listing(spark, path).select("report", "rows", F.row_number().over(newest_first).alias("place"))
 
 
 def sink_deletion_notes(spark: SparkSession, sf: str) -> DataFrame:

@@ -336,3 +336,16 @@ def test_of_two_catalogue_writers_neither_is_lost(spark, catalogue, tmp_path, mo
     assert cat_sink.upsert_snapshot(spark, root, second) == 3
     keys = {r["folder_key"] for r in cat_sink.read_snapshot(spark, root).collect()}
     assert {"/first", "/second"} <= keys and len(keys) == catalogue.count() + 2
+
+
+def test_running_restores_tell_tier_and_end(spark):
+    from datetime import datetime
+
+    asked, on, off = datetime(2024, 1, 1), 'ongoing-request="true"', 'ongoing-request="false", expiry-date="{}"'
+    rows = [("b", "a/1", "GLACIER", on, "Bulk", asked), ("b", "a/2", "GLACIER", on, "Expedited", asked), ("b", "a/3", "GLACIER", None, None, None),
+            ("b", "d/1", "DEEP_ARCHIVE", on, "Expedited", asked), ("b", "r/1", "GLACIER", off.format("Fri, 23 Dec 2022 00:00:00 GMT"), "Bulk", asked),
+            ("b", "r/2", "GLACIER", off.format("Fri, 3 Feb 2023 00:00:00 GMT"), "Bulk", asked), ("b", "r/3", "GLACIER", off.format("x"), "Bulk", asked)]
+    objects = spark.createDataFrame(rows, "bucket string, key string, storage_class string, restore string, restore_tier string, restore_requested timestamp")
+    got = {r.location: tuple(r)[1:] for r in obj.running_restores(objects).collect()}
+    assert got == {":s3:b/a": (2, "Bulk+Expedited", datetime(2024, 1, 1, 12), 0, None), ":s3:b/d": (1, "Expedited", None, 0, None),
+                   ":s3:b/r": (0, "", None, 3, datetime(2022, 12, 23))}

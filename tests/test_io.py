@@ -143,3 +143,23 @@ def test_grants(spark):
 
 def test_work_dir_is_new_each_time(spark):
     assert work_dir(spark, "x") != work_dir(spark, "x")
+
+
+def test_md5_lists_name_folders_without_any(spark, tmp_path, rows):
+    digests = spark.createDataFrame([("/a", "x", "0" * 32)], "folder string, name string, md5 string")
+    target = str(tmp_path / "m")
+    sink.write_md5_manifest(digests, digests.select("folder"), target)
+    with pytest.raises(ValueError, match="/b"):
+        sink.write_md5_manifest(digests.withColumn("name", F.lit("y")), spark.createDataFrame([("/a",), ("/b",)], "folder string"), target)
+    assert rows(text.read_md5_manifest(spark, target)) == rows(digests)  # what was there stays
+
+
+def test_reports_are_listed_newest_first(spark, tmp_path):
+    import os
+
+    report = spark.createDataFrame([("u", "/a", 1)], "User string, Folder string, DirSize bigint")
+    for k, name in enumerate(("+b.csv", "+c.csv", "+a.csv")):
+        sink.write_hotspots(report, str(tmp_path / "r" / name))
+        for file in (tmp_path / "r" / name).iterdir():
+            os.utime(file, (1_700_000_000 + k, 1_700_000_000 + k))
+    assert [r["report"] for r in src.read_report_listing(spark, str(tmp_path / "r")).collect()] == ["+a.csv", "+c.csv", "+b.csv"]
