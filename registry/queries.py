@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from coldledger.constants import META
 from coldledger.functions import paths, units
 from coldledger.functions import text
+from coldledger.functions.objects import location as object_location
 from coldledger.operators import (
     activity, bundle, capacity, catalogue as cat, entitlements as ent, inventory as inv, objects as obj,
     ownership, permissions as perm, reports, search, verify)
@@ -409,7 +410,7 @@ def tier_change_update(spark: SparkSession, sf: str) -> DataFrame:
 
 def tier_cost_estimate(spark: SparkSession, sf: str) -> DataFrame:
     sizes = v.objects(spark, sf).groupBy(
-        obj.location(F.col("bucket"), F.col("key")).alias("location"), "storage_class").agg(F.sum("size").alias("bytes"))
+        object_location(F.col("bucket"), F.col("key")).alias("location"), "storage_class").agg(F.sum("size").alias("bytes"))
     return obj.tier_cost_estimate(sizes, "Expedited").withColumn("hours_hi", F.round("hours_hi", 4))
 
 
