@@ -40,6 +40,12 @@ def skip_snapshots(files: DataFrame, skip: Sequence[str] = SNAPSHOT_DIRS) -> Dat
     return files.where(~reduce(lambda a, b: a | b, inside))
 
 
+def crawl_outside_snapshots(crawl: DataFrame, skip: Sequence[str] = SNAPSHOT_DIRS) -> DataFrame:
+    """The same for crawl rows, tested on their paths before anything is grouped."""
+    path = F.when(F.col("pw_fcount") == -1, F.col("filename")).otherwise(F.concat("filename", F.lit("/")))
+    return crawl.where(~reduce(lambda a, b: a | b, [F.contains(path, F.lit(f"/{s}/")) for s in skip]))
+
+
 def files_and_links(crawl: DataFrame) -> DataFrame:
     """Regular files and links; links to directories are entries too and are never followed."""
     return crawl.where(F.col("type").isin("f", "l"))

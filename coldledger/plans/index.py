@@ -13,8 +13,8 @@ from coldledger.functions.paths import basename, parent
 from coldledger.functions.units import epoch_days_ago
 from coldledger.operators.catalogue import path_overlaps
 from coldledger.operators.inventory import (
-    aged_bytes, aged_bytes_report, index_summary, is_hotspot, locked_folders, mask_locked, multi_root_union, size_units,
-    skip_snapshots, truncate_units)
+    aged_bytes, aged_bytes_report, crawl_outside_snapshots, index_summary, is_hotspot, locked_folders, mask_locked,
+    multi_root_union, size_units, truncate_units)
 from coldledger.operators.ownership import resolve_owner
 
 
@@ -62,7 +62,7 @@ def index_job(crawl: DataFrame, users: DataFrame, groups: DataFrame, as_of: str,
     Everything below a snapshot directory is left out. With the crawl's error lines, so is every folder that it
     could not enter, and the report says for the others whether their subtree is ``Complete``.
     """
-    folders = skip_snapshots(folder_facts(crawl), snapshots) if snapshots else folder_facts(crawl)
+    folders = folder_facts(crawl_outside_snapshots(crawl, snapshots) if snapshots else crawl)
     locked = None if errors is None else locked_folders(errors)
     if locked is not None:
         folders = mask_locked(folders, locked)
