@@ -52,7 +52,9 @@ def _identity(id_col: str, text: Column) -> list[Column]:
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1) -> DataFrame:
     """(h1, h2, doc, body_hash, pos) of every line that can be dropped."""
     text = whole(F.col(f"`{text_col}`"))
-    rows = docs.select(*_identity(id_col, text), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    # The identity is a column before the text is split, or it would be hashed again for each line.
+    named = docs.select(*_identity(id_col, text), text.alias("body"))
+    rows = named.select("doc", "body_hash", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
     key = line_key(F.col("line"))
     # Two hashes of 64 bits with different seeds.
     return rows.where(F.length(key) >= min_chars).select(
