@@ -2,16 +2,19 @@
 
 A seed is a mask over word positions; positions outside it are ignored, so a hit survives substituted
 words there. Each position of each training text is hashed under every mask and meets the hashes of the
-benchmark in a broadcast join; no training text is ever shuffled. Around each hit the two texts are
-compared word by word on the hit's diagonal.
+benchmark; around each hit the two texts are compared word by word on the hit's diagonal.
 
 A document overlaps an item if ``window`` aligned words around a hit (all words of a shorter item)
 agree in at least ``similarity`` of the places. The two masks together hit every window of 13 words
 with two substitutions, wherever they fall, so nothing that the rule covers is missed. Items of fewer
 than 13 words are looked up by runs of words short enough that one of them must be free of errors.
+A few words are no passage: an item of fewer than ``min_words`` overlaps only the documents that have
+its words and no others, which an equal join of the whole word lists finds.
 
-The benchmark is the query set: it is cut into blocks of bounded size, and each block is broadcast and
-meets all documents. Only hits are shuffled, aggregated first in each task.
+A benchmark of at most ``broadcast_bytes`` of text is broadcast and meets the documents in one scan, in
+which no training text is shuffled. A larger one is never broadcast, and still costs one scan: a table of
+bits, bounded by construction, drops the positions whose seeds the benchmark does not have, what is left
+joins the seeds by shuffle, and a second scan compares the words of the documents that were hit.
 
 Words are runs of letters and digits in lower case. Defined cases: null, empty or wordless texts and
 items overlap nothing; a repeated item id is several items under one id, a repeated document id several
@@ -26,9 +29,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coldledger.llm.shared import whole
+
 MASKS = ((0, 2, 3, 5, 6, 7), (0, 1, 3, 7, 9, 10))
 WINDOW, SIMILARITY = 13, 0.8
-BLOCK_WORDS = 500_000  # words of the benchmark that one broadcast block may have
+MIN_WORDS = 5  # an item of fewer words is no passage
+BROADCAST_BYTES = 4 << 20  # text of a benchmark that may be broadcast
+SLOTS = 1 << 22  # rows of 64 bits in the table that sifts positions: 64 MB at most
 
 
 def words_of(text: Column) -> Column:
@@ -52,56 +59,15 @@ def _seed(mask: tuple[int, ...], tag: int, hashes: Column, at: Column) -> Column
     return F.xxhash64(F.lit(tag), *[F.get(hashes, at + F.lit(offset)) for offset in mask])
 
 
-def _blocks(items: DataFrame, block_words: int) -> int:
-    """How many hash blocks keep each one's words within the bound (or a single item in each)."""
-    sizes = items.agg(F.sum(F.size("item_words")).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    blocks = max(1, math.ceil((sizes["s"] or 0) / block_words))
-    while blocks < sizes["n"]:
-        worst = (items.groupBy(_block(blocks)).agg(F.sum(F.size("item_words")).alias("s"), F.count(F.lit(1)).alias("n"))
-                 .where("n > 1").agg(F.max("s")).first()[0] or 0)
-        if worst <= block_words:
-            break
-        blocks *= 2
-    return blocks
-
-
-def _block(blocks: int) -> Column:
-    return F.pmod(F.col("item_key"), F.lit(blocks))
-
-
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             item_col: str = "item_id", item_text: str = "text", window: int = WINDOW,
-             similarity: float = SIMILARITY, masks=MASKS, block_words: int = BLOCK_WORDS) -> DataFrame:
+             item_col: str = "item_id", item_text: str = "text", **options) -> DataFrame:
     """(id, item, start, matched, item_words, coverage) for each document and item that overlap.
 
     start: word of the document that lies under the item's first word (negative: before the text);
     matched: agreeing words over the whole item; coverage: matched / item_words.
     """
-    items = (benchmark.select(F.col(item_col).alias("item"), words_of(F.col(item_text)).alias("item_words"))
-             .where(F.size("item_words") > 0).distinct()
-             .withColumn("item_key", F.xxhash64("item", "item_words")))
-    short = [r[0] for r in items.select(F.size("item_words").alias("n")).where(F.col("n") < window).distinct().collect()]
-    # A tag names the shape of a mask; short items share the runs of equal length.
-    shapes = {tuple(m): tag for tag, m in enumerate(masks)}
-    short_of = {n: short_masks(n, similarity) for n in short}
-    for run in sorted({len(m) for ms in short_of.values() for m in ms}):
-        shapes.setdefault(tuple(range(run)), len(shapes))
-    seeds = _item_seeds(items, masks, short_of, shapes, window)
-    texts = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
-    texts = texts.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    places = (texts.where(F.size("words") > 0)
-              .select("id", "words", "hashes", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
-              .select("id", "words", "at", F.explode(F.array(*[
-                  _seed(mask, tag, F.col("hashes"), F.col("at")) for mask, tag in shapes.items()])).alias("seed")))
-    blocks = _blocks(items, block_words)
-    found = reduce(DataFrame.unionByName, [
-        _verified(
-            places.join(F.broadcast(seeds.where(_block(blocks) == block)), "seed")
-            .join(F.broadcast(items.where(_block(blocks) == block)), "item_key"), window, similarity)
-        for block in range(blocks)])
-    diagonals = found.groupBy("id", "item", "start", "matched", "n_words").agg(F.count(F.lit(1)).alias("hits"))
-    best = diagonals.groupBy("id", "item").agg(
-        F.max(F.struct("matched", -F.col("start"), "n_words")).alias("best"))
+    found = _overlaps(docs, benchmark, id_col, text_col, item_col, item_text, **options)
+    best = found.groupBy("id", "item").agg(F.max(F.struct("matched", -F.col("start"), "n_words")).alias("best"))
     return best.select(
         F.col("id").alias(id_col), F.col("item").alias(item_col),
         (-F.col("best")["col2"]).alias("start"), F.col("best")["matched"].alias("matched"),
@@ -109,6 +75,75 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         (F.col("best")["matched"] / F.col("best")["n_words"]).alias("coverage"))
 
 
+def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id",
+              item_text: str = "text", window: int = WINDOW, similarity: float = SIMILARITY, masks=MASKS,
+              min_words: int = MIN_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(id, body_hash, item, start, matched, n_words), at least one row for each overlap."""
+    all_items = (benchmark.select(F.col(item_col).alias("item"), words_of(F.col(item_text)).alias("item_words"))
+                 .where(F.size("item_words") > 0).distinct()
+                 .withColumn("item_key", F.xxhash64("item", "item_words")))
+    items, few = (all_items.where(c) for c in (F.size("item_words") >= min_words, F.size("item_words") < min_words))
+    n = F.size("item_words")
+    asked = all_items.agg(
+        F.sum(F.octet_length(F.array_join("item_words", " "))).alias("bytes"), F.count_if(n < min_words).alias("few"),
+        F.collect_set(F.when((n >= min_words) & (n < window), n)).alias("short")).first()
+    # A tag names the shape of a mask; short items share the runs of equal length.
+    shapes = {tuple(m): tag for tag, m in enumerate(masks)}
+    short_of = {n: short_masks(n, similarity) for n in sorted(asked["short"])}
+    for run in sorted({len(m) for ms in short_of.values() for m in ms}):
+        shapes.setdefault(tuple(range(run)), len(shapes))
+    seeds = _item_seeds(items, masks, short_of, shapes, window)
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(whole(F.col(text_col))).alias("body_hash"),
+                        words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0)
+    small = (asked["bytes"] or 0) <= broadcast_bytes
+    found = [(_by_broadcast if small else _by_shuffle)(texts, items, seeds, shapes, window, similarity)]
+    if asked["few"]:
+        found.append(_same_words(texts, F.broadcast(few) if small else few))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _places(texts: DataFrame, shapes, *columns: str) -> DataFrame:
+    """The seeds of every position of every text under every mask, beside the named columns."""
+    return (texts.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+            .select(*columns, "hashes", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
+            .select(*columns, "at", F.explode(F.array(*[
+                _seed(mask, tag, F.col("hashes"), F.col("at")) for mask, tag in shapes.items()])).alias("seed")))
+
+
+def _by_broadcast(texts: DataFrame, items: DataFrame, seeds: DataFrame, shapes, window: int,
+                  similarity: float) -> DataFrame:
+    hits = (_places(texts, shapes, "id", "body_hash", "words").join(F.broadcast(seeds), "seed")
+            .join(F.broadcast(items), "item_key").withColumn("start", F.col("at") - F.col("offset")))
+    length = F.least(F.lit(window), F.size("item_words"))
+    first = F.greatest(F.lit(0), F.col("offset") - (length - 1))
+    last = F.least(F.col("offset"), F.size("item_words") - length)
+    found = _verified(hits, first, last, window, similarity)
+    return found.distinct()
+
+
+def _by_shuffle(texts: DataFrame, items: DataFrame, seeds: DataFrame, shapes, window: int,
+                similarity: float) -> DataFrame:
+    slot = F.shiftright("seed", 6).bitwiseAND(F.lit(SLOTS - 1)).alias("slot")
+    bits = (seeds.select(slot, F.expr("shiftleft(1L, cast(seed & 63 AS int)) AS bit"))
+            .groupBy("slot").agg(F.bit_or("bit").alias("bits")))
+    keyed = texts.withColumn("doc_key", F.xxhash64("id", "body_hash"))
+    asking = (_places(keyed, shapes, "doc_key").withColumn("slot", slot).join(F.broadcast(bits), "slot")
+              .where(F.expr("getbit(bits, cast(seed & 63 AS int)) = 1")))
+    # All hits of a diagonal are one row; its windows are then all compared.
+    diagonals = (asking.join(seeds, "seed")
+                 .select("doc_key", "item_key", (F.col("at") - F.col("offset")).alias("start")).distinct())
+    hits = diagonals.join(items, "item_key").join(keyed, "doc_key")
+    last = F.size("item_words") - F.least(F.lit(window), F.size("item_words"))
+    return _verified(hits, F.lit(0), last, window, similarity).distinct()
+
+
+def _same_words(texts: DataFrame, few: DataFrame) -> DataFrame:
+    """Documents that consist of a very short item's words."""
+    n = F.size("words")
+    return texts.join(few, texts["words"] == few["item_words"]).select(
+        "id", "body_hash", "item", F.lit(0).alias("start"), n.alias("n_words"), n.alias("matched")).distinct()
+
+
 def _item_seeds(items: DataFrame, masks, short_of, shapes, window: int) -> DataFrame:
     """(seed, item_key, offset): offset is the item's word under the seed's first place."""
     hashed = items.withColumn("hashes", F.transform("item_words", lambda w: F.xxhash64(w)))
@@ -127,26 +162,27 @@ def _item_seeds(items: DataFrame, masks, short_of, shapes, window: int) -> DataF
             .where("seed is not null"))
 
 
-def _verified(hits: DataFrame, window: int, similarity: float) -> DataFrame:
-    """Hits whose diagonal agrees often enough in some window of the item."""
-    n = F.size("item_words")
-    start = F.col("at") - F.col("offset")
+def _verified(hits: DataFrame, first: Column, last: Column, window: int, similarity: float) -> DataFrame:
+    """Hits whose diagonal agrees often enough in one of the item's windows from ``first`` to ``last``."""
     same = F.transform("item_words", lambda w, i: F.when(
         (i + F.col("start") >= 0) & F.coalesce(F.get("words", i + F.col("start")) == w, F.lit(False)), 1).otherwise(0))
     length = F.least(F.lit(window), F.col("n_words"))
     enough = F.ceil(F.lit(similarity) * length - F.lit(1e-9))
     agreeing = lambda s: F.aggregate(F.slice("same", s + 1, length), F.lit(0), lambda a, x: a + x)
-    windows = F.sequence(
-        F.greatest(F.lit(0), F.col("offset") - (length - 1)), F.least(F.col("offset"), F.col("n_words") - length))
-    return (hits.select("id", "item", "item_words", "words", "offset", n.alias("n_words"), start.alias("start"))
-            .select("id", "item", "offset", "n_words", "start", same.alias("same"))
-            .where(F.exists(windows, lambda s: agreeing(s) >= enough))
-            .select("id", "item", "start", "n_words",
+    return (hits.select("id", "body_hash", "item", "start", F.size("item_words").alias("n_words"),
+                        first.alias("first"), last.alias("last"), same.alias("same"))
+            .where(F.exists(F.sequence("first", "last"), lambda s: agreeing(s) >= enough))
+            .select("id", "body_hash", "item", "start", "n_words",
                     F.aggregate("same", F.lit(0), lambda a, x: a + x).alias("matched")))
 
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      **options) -> DataFrame:
-    """The documents that overlap no benchmark item, with all their columns. Rows without an id stay."""
-    hit = overlaps(docs, benchmark, id_col, text_col, **options).select(id_col).distinct()
-    return docs.join(hit, id_col, "left_anti").select(docs.columns)
+    """The documents that overlap no benchmark item, with all their columns. Rows without an id stay.
+
+    Of an id that repeats with other texts, the rows whose own text overlaps go.
+    """
+    hit = _overlaps(docs, benchmark, id_col, text_col, **options).select(
+        F.col("id").alias("hit_id"), F.col("body_hash").alias("hit_hash")).distinct()
+    same = (docs[id_col] == hit["hit_id"]) & (F.xxhash64(whole(docs[text_col])) == hit["hit_hash"])
+    return docs.join(hit, same, "left_anti")

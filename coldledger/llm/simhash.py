@@ -149,7 +149,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_of_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                           max_bits: int = 2) -> DataFrame:
-    """The rows whose id is their component's id, with all their columns. Rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(keep, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    """One document of each component, with all its columns: the smallest id, of texts under one id the smallest hash.
+
+    A document is an id with its text: rows that repeat both stay or go together. Rows without an id stay.
+    """
+    named = docs.select(F.when(F.col(id_col).isNotNull(), F.struct(
+        F.col(id_col).alias("id"), F.xxhash64(whole(F.col(text_col))).alias("body_hash"))).alias("id"),
+        F.col(text_col).alias("text"))
+    found = near_duplicates(named, "id", "text", shingle, max_bits)
+    keep = found.where("id = component_id").select(
+        F.col("id")["id"].alias("keep_id"), F.col("id")["body_hash"].alias("keep_hash")).distinct()
+    same = (docs[id_col] == keep["keep_id"]) & (F.xxhash64(whole(docs[text_col])) == keep["keep_hash"])
+    return docs.join(keep, same, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))

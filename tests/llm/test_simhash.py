@@ -112,3 +112,12 @@ def test_query_against_brute_force(spark):
     want = roots(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:] if bin(docs[a] ^ docs[b]).count("1") <= 2])
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in op1_simhash_near_dedup(spark, sf).collect()}
     assert got == {i: (f"{docs[i]:016x}", want[i]) for i in ids}
+
+
+def test_an_id_that_repeats_with_other_texts(spark):
+    a, b = "a text that came twice", "something else altogether"
+    docs = spark.createDataFrame([(1, a, "x"), (2, a, "x"), (2, b, "y"), (2, b, "y"), (None, b, "z"), (3, b, "x")],
+                                 "doc_id long, text string, keep_id string")
+    kept = simhash.keep_one_of_component(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["keep_id"]) for r in kept.collect()) == [(0, "z"), (1, "x"), (2, "y"), (2, "y")]
