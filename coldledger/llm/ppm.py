@@ -9,10 +9,12 @@ unigram score of the words (add-one counts) comes along.
 
 How it is dealt out: documents form blocks of about ``BLOCK_BYTES`` by a hash. Each block lists its
 different byte grams and words, once each, with their training counts. The lists are summed to the
-counts of the corpus; all grams that share the last two context bytes are one small part of the trie and
-get their probabilities together (shorter contexts are one table of 256 x 256 counts). The values return
-to the blocks that asked and meet the documents there. So no task holds more than its block and the
-answers for it, while the model grows with the corpus.
+counts of the corpus. Grams that share the last three context bytes lie in one part of the trie and get their
+probabilities together; many such contexts, dealt by hash, make a part of about ``PART_GRAMS`` grams, and one
+context has 2 ** 24 different grams at most, whatever the rows. Contexts of two bytes and fewer are one table
+of at most 2 ** 24 counts (16 bytes each; text in UTF-8 has far fewer) that every part gets. The values return to
+the blocks that asked and meet the documents there. So no task holds more than its block and the answers for
+it, while the model grows with the corpus.
 
 Defined cases: null text counts as empty: one end symbol, one token. Rows without an id are scored like
 others, are not learned from and count as held out. Repeated rows count as often as they occur. Without
@@ -36,6 +38,7 @@ from coldledger.session import work_dir
 ORDER = 5
 BLOCK_BYTES = 12_000_000
 CHUNK_BYTES = 1_000_000  # text of a block that is split into grams at a time
+PART_GRAMS = 50_000
 START, END = 0xFE, 0xFF  # bytes that UTF-8 text never has
 SYMBOLS = 256
 _LOWER = bytes(range(256)).lower()
@@ -136,21 +139,44 @@ class _Level:
         return self.counts[self.gram]
 
 
-def gram_log_probabilities(last: int, before: np.ndarray, symbol: np.ndarray, n: np.ndarray,
-                           pairs: np.ndarray) -> np.ndarray:
-    """log10 probabilities of grams with training counts n that share the last two context bytes.
+class ShortContexts:
+    """Counts of the contexts of two bytes and fewer, from the counts n > 0 of all grams' last three bytes."""
 
-    before: the ORDER - 2 bytes ahead of those two, as a number; last: the byte right before the symbol.
-    The grams must be all with these two bytes; ``pairs`` has the counts of (byte, next symbol).
+    def __init__(self, codes: np.ndarray, n: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.n = codes[order], n[order]
+        two = self.codes >> 8
+        self.pairs = np.bincount(self.codes & 0xFFFF, self.n, SYMBOLS ** 2).reshape(SYMBOLS, SYMBOLS)
+        self.single = self.pairs.sum(axis=0)
+        self.total_two, self.variety_two = np.bincount(two, self.n, SYMBOLS ** 2), np.bincount(two, minlength=SYMBOLS ** 2)
+        # What the next shorter context counts for the symbols that a context knows.
+        self.known_two = np.bincount(two, self.pairs.ravel()[self.codes & 0xFFFF], SYMBOLS ** 2)
+        self.known_one = (self.pairs > 0) @ self.single
+
+    def count_two(self, codes: np.ndarray) -> np.ndarray:
+        """Training counts of (two context bytes, symbol), 0 if there are none."""
+        if not len(self.codes):
+            return np.zeros(len(codes))
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.n[at], 0)
+
+
+def gram_log_probabilities(codes: np.ndarray, n: np.ndarray, short: ShortContexts) -> np.ndarray:
+    """log10 probabilities of grams with training counts n.
+
+    The grams must be all with the last three context bytes that occur among them.
     """
-    levels = [_Level(before % (SYMBOLS ** k), symbol, n) for k in range(ORDER - 2, -1, -1)]
-    c1, c0 = pairs[last], pairs.sum(axis=0)
+    context, symbol = codes >> 8, codes % SYMBOLS
+    levels = [_Level(context % (SYMBOLS ** k), symbol, n) for k in range(ORDER, 2, -1)]
+    two, one = context % (SYMBOLS ** 2), context % SYMBOLS
+    c2, c1, c0 = short.count_two(codes % (SYMBOLS ** 3)), short.pairs[one, symbol], short.single
+    variety_one, variety_none = (short.pairs > 0).sum(axis=1), (c0 > 0).sum()
     orders = [(levels[0].count, levels[0].total, levels[0].variety)]
     for longer, level in zip(levels, levels[1:], strict=False):
         orders.append((level.count, level.total - longer.known_in(level.count), level.variety - longer.variety))
-    orders.append((c1[symbol], c1.sum() - levels[-1].known_in(c1[symbol]), (c1 > 0).sum() - levels[-1].variety))
-    everywhere = np.ones(len(n))
-    orders.append((c0[symbol], (c0.sum() - (c1 > 0) @ c0) * everywhere, ((c0 > 0).sum() - (c1 > 0).sum()) * everywhere))
+    orders.append((c2, short.total_two[two] - levels[-1].known_in(c2), short.variety_two[two] - levels[-1].variety))
+    orders.append((c1, short.pairs.sum(axis=1)[one] - short.known_two[two], variety_one[one] - short.variety_two[two]))
+    orders.append((c0[symbol], c0.sum() - short.known_one[one], variety_none - variety_one[one]))
     out, waiting = np.zeros(len(n)), np.ones(len(n), dtype=bool)
     for count, total, variety in orders:
         alive = waiting & (total > 0)
@@ -159,7 +185,7 @@ def gram_log_probabilities(last: int, before: np.ndarray, symbol: np.ndarray, n:
         escape = alive & ~here
         out[escape] += np.log10(variety[escape] / (2 * total[escape]))
         waiting &= ~here
-    out[waiting] -= np.log10(max(1, SYMBOLS - (c0 > 0).sum()))
+    out[waiting] -= np.log10(max(1, SYMBOLS - variety_none))
     return out
 
 
@@ -190,7 +216,7 @@ def _score_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
 
 
 def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
-                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                    block_bytes: int = BLOCK_BYTES, part_grams: int = PART_GRAMS) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``train`` says which documents to learn from; null counts as no.
@@ -212,18 +238,18 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     word_totals = _written(words.groupBy("word").agg(F.sum("n").alias("n")), f"{folder}/words")
     corpus = word_totals.where("n > 0").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    # At most 256 x 256 rows.
-    pairs = np.zeros((SYMBOLS, SYMBOLS))
-    for row in gram_totals.groupBy(F.col("code").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).collect():
-        pairs[row["pair"] >> 8, row["pair"] & 0xFF] = row["n"]
+    # At most 2 ** 24 rows.
+    ends = (gram_totals.where("n > 0").groupBy(F.col("code").bitwiseAND(0xFFFFFF).alias("code"))
+            .agg(F.sum("n").alias("n")).toArrow())
+    short = ShortContexts(ends["code"].to_numpy(), ends["n"].to_numpy().astype(float))
 
     def probabilities(part: pa.Table) -> pa.Table:
-        codes = part["code"].to_numpy()
-        last, symbol = int(codes[0] >> 8) % SYMBOLS, codes % SYMBOLS
-        values = gram_log_probabilities(last, codes >> 24, symbol, part["n"].to_numpy(), pairs)
+        values = gram_log_probabilities(part["code"].to_numpy(), part["n"].to_numpy(), short)
         return pa.table({"code": part["code"], "value": values})
 
-    model = gram_totals.groupBy(F.shiftright("code", 8).bitwiseAND(0xFFFF)).applyInArrow(probabilities, "code long, value double")
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-gram_totals.count() // part_grams))
+    model = gram_totals.groupBy(F.pmod(F.xxhash64(F.shiftright("code", 8).bitwiseAND(0xFFFFFF)), F.lit(parts))).applyInArrow(
+        probabilities, "code long, value double")
     asked = grams.select("block", "code").join(model, "code").select(
         "block", "code", F.lit(None).cast("binary").alias("word"), "value")
     counted = words.select("block", "word").join(word_totals, "word").select(

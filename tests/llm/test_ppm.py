@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,19 +46,33 @@ def slow_scores(docs):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [100, 10_000_000])
-def test_against_brute_force(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "part_grams"), [(100, 1), (10_000_000, 10_000_000)])
+def test_against_brute_force(spark, block_bytes, part_grams):
     texts = ["the cat sat on the mat", "The CAT\tsat", None, "", "a rat ate the mat", "über ñandú über", "zzz qqq 123", "the the the",
              "mat on cat", "an unseen ünicode 漢字"] * 3
     docs = [(i, t, i % 4 != 2) for i, t in enumerate(texts)] + [(None, "the cat", False), (5, "a rat", True), (5, "a rat", True)]
     df = spark.createDataFrame(docs, "doc_id long, text string, train boolean")
-    got = [tuple(r) for r in ppm.score_documents(df, F.col("train"), block_bytes=block_bytes).collect()]
+    got = [tuple(r) for r in ppm.score_documents(df, F.col("train"), block_bytes=block_bytes, part_grams=part_grams).collect()]
     key = lambda r: (str(r[0]), r[2], r[6])
     for g, w in zip(sorted(got, key=key), sorted(slow_scores(docs), key=key), strict=True):
         assert g[:5] == w[:5]
         assert g[5] == pytest.approx(w[5], abs=1e-9) and g[6] == pytest.approx(w[6], abs=1e-9)
 
 
+def test_one_context_does_not_grow_a_part_without_bound(spark):
+    """Grams of a hot pair of context bytes are dealt over many parts; each part has all grams of its contexts."""
+    rng = random.Random(5)
+    lines = [" ".join("".join(rng.choices("aeio", k=3)) + "th" + rng.choice("aeio") for _ in range(40)) for _ in range(40)]
+    codes = np.unique(ppm.gram_codes([ppm.split_words(t) for t in lines])[0])
+    n = np.ones(len(codes), dtype=np.int64)
+    ends, at = np.unique(codes & 0xFFFFFF, return_inverse=True)
+    short = ppm.ShortContexts(ends, np.bincount(at, n))
+    whole = ppm.gram_log_probabilities(codes, n, short)
+    for context in np.unique((codes >> 8) & 0xFFFFFF):
+        part = ((codes >> 8) & 0xFFFFFF) == context
+        assert np.allclose(ppm.gram_log_probabilities(codes[part], n[part], short), whole[part])
+
+
 def test_nothing_to_learn(spark, none, odd):
     assert ppm.score_documents(none, F.lit(True)).count() == 0
     rows = ppm.score_documents(odd, F.lit(False)).collect()
