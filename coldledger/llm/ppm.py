@@ -14,7 +14,7 @@ probabilities together; many such contexts, dealt by hash, make a part of about
 context has 2 ** 24 different grams at most, whatever the rows. Contexts of two bytes and fewer are one table
 of at most 2 ** 24 counts (16 bytes each; text in UTF-8 has far fewer) that every part gets. The values return to
 the blocks that asked and meet the documents there. So no task holds more than its block and the answers for
-it, while the model grows with the corpus.
+it, while the model grows with the corpus. Working tables go as soon as nothing reads them any more.
 
 Defined cases: null text counts as empty: one end symbol, one token. Rows without an id are scored like
 others, are not learned from and count as held out. Repeated rows count as often as they occur. Without
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from coldledger.llm.shared import ship_package, whole
 from coldledger.session import work_dir
+from coldledger.sinks.storage import remove
 
 ORDER = 5
 BLOCK_BYTES = 12_000_000
@@ -256,6 +257,8 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         "block", F.lit(None).cast("long").alias("code"), "word", F.col("n").cast("double").alias("value"))
     # Written as well, so that the shuffle files of this join are gone before the next ones come.
     answers = _written(asked.unionByName(counted), f"{folder}/answers")
+    for done in ("facts", "grams", "words"):
+        remove(spark, f"{folder}/{done}")
     scored = (dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _score_block, f"id {dealt.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, "
                       "n_known long, logs double, score double"))
