@@ -92,10 +92,12 @@ def _keys(prints: DataFrame) -> DataFrame:
     return map_batches(prints.select("fp"), expand, "fp long, key long, asks boolean")
 
 
-def linked_pairs(prints: DataFrame, max_bits: int = 2, pair_bound: int = 64) -> DataFrame:
-    """Links (a, b) between different fingerprints: all pairs of sparse keys, stars of crowded ones.
+def linked_pairs(prints: DataFrame, max_bits: int = 2, pair_bound: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between different fingerprints, and (fp, links): how many others each has within ``max_bits`` bits.
 
-    The links connect exactly the fingerprints that pairs within ``max_bits`` bits connect.
+    Links are all pairs of sparse keys and stars of crowded ones; they connect exactly the fingerprints that all pairs
+    connect. The counts are those of all pairs, without listing them: two fingerprints that differ in one or two bits
+    share exactly two lists of one-bit neighbours, so half the other members of its lists are a fingerprint's partners.
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("Golay keys of three segments find up to two differing bits")
@@ -109,20 +111,34 @@ def linked_pairs(prints: DataFrame, max_bits: int = 2, pair_bound: int = 64) ->
     answering = sparse.select("key", F.col("fp").alias("b"))
     pairs = (asking.join(answering, "key").where((F.col("a") != F.col("b")) & (distance <= max_bits))
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    hot = shared.where(F.col("n") > pair_bound).select("fp").distinct()
+    hot = checkpointed(shared.where(F.col("n") > pair_bound).select("fp").distinct())
     if max_bits == 2:
+        pairs = checkpointed(pairs.distinct())
         flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
         listed = hot.select("fp", F.explode(flips).alias("middle"))
         least = listed.groupBy("middle").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        stars = (listed.join(least, "middle").where("fp != low")
-                 .select(F.col("low").alias("a"), F.col("fp").alias("b")))
-        return pairs.unionByName(stars).distinct()
-    if max_bits == 1:
-        flips = F.array(*[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
-        other = hot.select(F.col("fp").alias("b"))
-        stars = hot.select(F.col("fp").alias("a"), F.explode(flips).alias("b")).join(other, "b").select("a", "b")
-        return pairs.unionByName(stars).distinct()
-    return pairs.distinct()
+        lists = checkpointed(listed.join(least, "middle").select("fp", "low", "n"))
+        stars = lists.where("fp != low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
+        # Pairs of two hot fingerprints are all in the lists; a pair with another one shares no crowded key.
+        hot_end = lambda end: hot.select(F.col("fp").alias(end), F.lit(True).alias(f"hot_{end}"))
+        others = (pairs.join(hot_end("a"), "a", "left").join(hot_end("b"), "b", "left")
+                  .where("hot_a is null or hot_b is null"))
+        counts = _ends(others).unionByName(lists.select("fp", ((F.col("n") - 1) / 2).alias("links")))
+        pairs = pairs.unionByName(stars).distinct()
+    else:
+        if max_bits == 1:
+            flips = F.array(*[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
+            other = hot.select(F.col("fp").alias("b"))
+            flipped = hot.select(F.col("fp").alias("a"), F.explode(flips).alias("b")).join(other, "b")
+            pairs = pairs.unionByName(flipped.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        pairs = checkpointed(pairs.distinct())
+        counts = _ends(pairs)
+    return pairs, counts.groupBy("fp").agg(F.sum("links").cast("long").alias("links"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(fp, 1) for both ends of each pair."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("fp"), F.lit(1.0).alias("links"))
 
 
 def _signed(word: int) -> int:
@@ -131,18 +147,15 @@ def _signed(word: int) -> int:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     max_bits: int = 2, pair_bound: int = 64) -> DataFrame:
-    """One row per document: id, fp, component_id, links (other fingerprints within ``max_bits`` are counted
-    as the links found for its fingerprint)."""
+    """One row per document: id, fp, component_id, links (other fingerprints within ``max_bits`` bits of its own)."""
     rows = checkpointed(with_fingerprints(docs, id_col, text_col, shingle))
     prints = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("low")))
-    pairs = checkpointed(linked_pairs(prints, max_bits, pair_bound))
+    pairs, links = linked_pairs(prints, max_bits, pair_bound)
     labels = component_labels(pairs)
     rooted = prints.join(labels, prints["fp"] == labels["vertex"], "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp")))
-    named = (rooted.join(lows, "root").select("fp", "component_id")
-             .join(ends.groupBy("fp").agg(F.count(F.lit(1)).alias("links")), "fp", "left"))
+    named = rooted.join(lows, "root").select("fp", "component_id").join(links, "fp", "left")
     return rows.join(named, "fp", "left").select(
         F.col("id").alias(id_col), "fp", "component_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import xxhash
 
@@ -54,9 +55,11 @@ def fingerprints(seed=3, centres=30, around=12):
 def check_links(spark, bound, bits=2):
     prints = fingerprints()
     df = spark.createDataFrame([(signed(f),) for f in prints], "fp long")
-    got = [(a, b) for a, b in simhash.linked_pairs(df, max_bits=bits, pair_bound=bound).collect()]
+    pairs, links = simhash.linked_pairs(df, max_bits=bits, pair_bound=bound)
+    got = [(a, b) for a, b in pairs.collect()]
     mask = (1 << 64) - 1
     want = [(a, b) for i, a in enumerate(prints) for b in prints[i + 1:] if bin(a ^ b).count("1") <= bits]
+    assert dict(links.collect()) == Counter(signed(f) for pair in want for f in pair)
     for a, b in got:
         assert bin((a & mask) ^ (b & mask)).count("1") <= 2 * bits
     labelled = roots([signed(f) for f in prints], got)
@@ -71,7 +74,8 @@ def test_sparse_keys_find_all_pairs(spark):
 
 
 def test_crowded_keys_link_the_same_components(spark):
-    check_links(spark, bound=1)
+    for bound in (1, 4, 8):
+        check_links(spark, bound=bound)
 
 
 def test_one_bit(spark):
@@ -110,8 +114,10 @@ def test_query_against_brute_force(spark):
     docs = {r["doc_id"]: slow_fingerprint(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     ids = sorted(docs)
     want = roots(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:] if bin(docs[a] ^ docs[b]).count("1") <= 2])
-    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in op1_simhash_near_dedup(spark, sf).collect()}
-    assert got == {i: (f"{docs[i]:016x}", want[i]) for i in ids}
+    different = set(docs.values())
+    links = {f: sum(0 < bin(f ^ g).count("1") <= 2 for g in different) for f in different}
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"], r["links"]) for r in op1_simhash_near_dedup(spark, sf).collect()}
+    assert got == {i: (f"{docs[i]:016x}", want[i], links[docs[i]]) for i in ids}
 
 
 def test_an_id_that_repeats_with_other_texts(spark):
