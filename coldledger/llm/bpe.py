@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from coldledger.llm.shared import map_batches, whole
 
 # What a worker remembers, in two generations of pieces; forgetting costs time and changes no result.
-CACHED_PIECES, CACHED_CHARS, CACHED_PAIRS = 500_000, 64, 1_000_000
+CACHED_PIECES, CACHED_CHARS, CACHED_PAIRS = 100_000, 64, 200_000
 LAZY_BYTES = 200  # pieces up to this long settle only the prefixes they need
 REACH = 3  # characters beyond its end that a match of the split pattern may depend on
 
