@@ -32,6 +32,7 @@ from coldledger.llm.shared import map_batches, whole
 SAMPLE_ROWS = 10_000
 TERMS = 1_000
 FOLDS = 4
+HELD_TERMS = 50_000  # terms that a task counts before it hands them on
 BEGINNINGS = (5, 6, 7)
 SHARE_AT_ONE = 0.02  # a term that makes up this share of the words has value 1
 THRESHOLD = 0.5
@@ -143,17 +144,23 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
 def _telling_terms(texts: DataFrame, names: list[str], most: int) -> list[str]:
     """The terms whose presence tells some category apart best, by the size of their chi-square."""
 
+    def listed(counts: dict[str, np.ndarray]) -> pa.RecordBatch:
+        table = np.array(list(counts.values()), dtype=np.int64).reshape(len(counts), len(names) + 1)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.string()), *[pa.array(table[:, i]) for i in range(table.shape[1])]],
+            ["term", "n", *names])
+
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            counts: dict[str, np.ndarray] = {}
             flags = np.column_stack([np.ones(len(batch))] + [c.to_numpy() for c in batch.columns[1:]]).astype(np.int64)
             for text, row in zip(batch.column(0), flags, strict=True):
                 for term in term_counts(text.as_py())[0]:
                     counts[term] = counts[term] + row if term in counts else row.copy()
-            table = np.array(list(counts.values()), dtype=np.int64).reshape(len(counts), len(names) + 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()), *[pa.array(table[:, i]) for i in range(table.shape[1])]],
-                ["term", "n", *names])
+                if len(counts) >= HELD_TERMS:
+                    yield listed(counts)
+                    counts = {}
+        yield listed(counts)
 
     kinds = ", ".join(f"`{n}` long" for n in ["n", *names])
     totals = texts.agg(F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(n) for n in names]).first()
