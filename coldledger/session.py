@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_fallback: dict[str, str] = {}
 
@@ -41,3 +41,10 @@ def work_dir(spark: SparkSession, label: str) -> str:
             _local_fallback[context.applicationId] = tempfile.mkdtemp(prefix="coldledger-")
         base = _local_fallback[context.applicationId]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """The rows from a table in the shared folder, for those who read them more than once."""
+    path = work_dir(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,7 +17,7 @@ from coldledger.operators import (
     ownership, permissions as perm, reports, search, verify)
 from coldledger.plans import archive as jobs
 from coldledger.plans import index
-from coldledger.session import work_dir
+from coldledger.session import kept, work_dir
 from coldledger.sinks import catalogue as cat_sink, listing as listing_sink, reports as sink
 from coldledger.sources import catalogue as cat_src, crawl as crawl_src, grants as grant_src, text as text_src
 from coldledger.streaming import jobs as stream
@@ -629,10 +629,15 @@ def scan_hotspots(spark: SparkSession, sf: str) -> DataFrame:
     return crawl_src.read_hotspots(spark, path)
 
 
+def _stored_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report, made once for several writers; each of them sorts its rows anew."""
+    return kept(index_job(spark, sf), "report").orderBy(F.desc("DirSize"), "Folder")
+
+
 def sink_hotspots(spark: SparkSession, sf: str) -> DataFrame:
     """A second write without force keeps the first report; with force it replaces it."""
     path = work_dir(spark, "report")
-    report = index_job(spark, sf)
+    report = _stored_report(spark, sf)
     sink.write_hotspots(report.where("GiB >= 10"), path)
     sink.write_hotspots(report, path)
     kept = crawl_src.read_hotspots(spark, path).groupBy().agg(F.count(F.lit(1)).alias("kept_rows"))
@@ -731,7 +736,7 @@ def scan_delimited(spark: SparkSession, sf: str) -> DataFrame:
 
 def report_listing(spark: SparkSession, sf: str) -> DataFrame:
     path = work_dir(spark, "reports")
-    report = index_job(spark, sf)
+    report = _stored_report(spark, sf)
     for root in ROOTS:
         rows = report.where(paths.is_under(F.col("Folder"), F.lit(root)))
         sink.write_hotspots(rows, f"{path}/{root.replace('/', '+')}.csv")
