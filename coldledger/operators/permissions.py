@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from coldledger.functions.paths import ancestors, parent
 from coldledger.functions.permissions import can_search, mode_flags
+from coldledger.session import kept
 
 
 def rw_permissions(files: DataFrame, uid: int, gids: Sequence[int]) -> DataFrame:
@@ -52,8 +53,9 @@ def folder_permission_tree(crawl: DataFrame, roots: DataFrame, uid: int, gids: S
     flags = mode_flags(F.col("st_mode"), F.col("UID"), F.col("GID"), uid, gids)
     granted = flags["can_read"] & flags["can_write"]
     passes = can_search(F.col("st_mode"), F.col("UID"), F.col("GID"), uid, gids)
-    held = crawl.groupBy(F.when(is_dir, F.col("filename")).otherwise(parent(F.col("filename"))).alias("folder")).agg(
-        F.bool_and(granted).alias("own"), F.bool_and(F.when(is_dir, passes)).alias("open"))
+    # A row per folder, read three times: the crawl is made and reduced once.
+    held = kept(crawl.groupBy(F.when(is_dir, F.col("filename")).otherwise(parent(F.col("filename"))).alias("folder")).agg(
+        F.bool_and(granted).alias("own"), F.bool_and(F.when(is_dir, passes)).alias("open")), "permissions")
     below = (held.select(F.explode(ancestors(F.col("folder"))).alias("folder"), "own")
              .groupBy("folder").agg(F.bool_and("own").alias("all")))
     wanted = roots.select("folder").distinct()
