@@ -577,14 +577,19 @@ def restore_state(spark: SparkSession, sf: str) -> DataFrame:
 # Scans and sinks: data is derived, written to the shared folder and read back
 
 
+def _with_broken(rows: DataFrame) -> DataFrame:
+    """Each folder's line a second time with a UID that does not parse; the crawl is made once for both."""
+    return rows.withColumn("UID", F.explode(
+        F.when(F.col("type") == "d", F.array(F.col("UID"), F.lit("not a number"))).otherwise(F.array("UID"))))
+
+
 def scan_crawl_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Latin-1 CSV with lines that do not parse, as a crawler may leave them."""
     path = work_dir(spark, "crawl-csv")
     names = [f.name for f in crawl_src.CRAWL.fields]
     rows = v.crawl(spark, sf).withColumn("filename", F.concat("filename", F.lit("_é"))).select(
         *[F.col(n).cast("string").alias(n) for n in names])
-    broken = rows.where("type = 'd'").withColumn("UID", F.lit("not a number"))
-    rows.unionByName(broken).write.option("encoding", "ISO-8859-1").option("header", "true").csv(path)
+    _with_broken(rows).write.option("encoding", "ISO-8859-1").option("header", "true").csv(path)
     return crawl_src.good_rows(crawl_src.read_crawl_csv(spark, path)).select(
         "filename", "UID", "GID", "st_atime", "pw_fcount", "pw_dirsum", "type")
 
@@ -593,8 +598,7 @@ def scan_crawl_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     path = work_dir(spark, "crawl-csv")
     names = [f.name for f in crawl_src.CRAWL.fields]
     rows = v.crawl(spark, sf).select(*[F.col(n).cast("string").alias(n) for n in names])
-    broken = rows.where("type = 'd'").withColumn("UID", F.lit("not a number"))
-    rows.unionByName(broken).write.option("header", "true").csv(path)
+    _with_broken(rows).write.option("header", "true").csv(path)
     return crawl_src.bad_lines(crawl_src.read_crawl_csv(spark, path, "UTF-8"))
 
 
