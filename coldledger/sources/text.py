@@ -39,12 +39,14 @@ def parse_key_values(line: Column) -> Column:
     A key that comes again has its last value.
     """
     tokens = F.filter(F.split(F.trim(line), r"\s+"), lambda t: F.contains(t, F.lit("=")))
-    pairs = F.transform(tokens, lambda t: F.struct(
-        F.substring_index(t, "=", 1).alias("key"),
-        F.substring(t, F.instr(t, "=") + 1, F.length(t)).alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(
-        F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(0))), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    keys = F.transform(tokens, lambda t: F.substring_index(t, "=", 1))
+    values = F.transform(tokens, lambda t: F.substring(t, F.instr(t, "=") + 1, F.length(t)))
+    # Bound to a name, the lists are made once a line, not once for each of its tokens.
+    line_keys_values = F.array(F.struct(F.reverse(keys).alias("keys"), F.reverse(values).alias("values")))
+    maps = F.transform(line_keys_values, lambda b: F.transform(
+        F.array(F.reverse(F.array_distinct(b["keys"]))), lambda last: F.map_from_arrays(
+            last, F.transform(last, lambda k: F.element_at(b["values"], F.array_position(b["keys"], k).cast("int"))))))
+    return F.when(tokens.isNotNull(), maps[0][0])
 
 
 def parse_delimited(line: Column, schema: str, sep: str = "|", quote: str = '"') -> Column:

@@ -727,8 +727,9 @@ def scan_key_value(spark: SparkSession, sf: str) -> DataFrame:
     lines = v.table(spark, sf, "part").selectExpr(
         "concat('Brand=old Part=', p_partkey, ' Brand=', p_brand, '  Expr=a=', p_size, ' Type=', p_type) AS line")
     kv = text_src.parse_key_values(F.col("line"))
-    return lines.select(kv["Part"].cast("long").alias("part"), kv["Brand"].alias("brand"),
-                        kv["Expr"].alias("expr"), kv["Type"].alias("type"))
+    kv, parsed = F.col("kv"), lines.select(kv.alias("kv"))
+    return parsed.select(kv["Part"].cast("long").alias("part"), kv["Brand"].alias("brand"),
+                         kv["Expr"].alias("expr"), kv["Type"].alias("type"))
 
 
 def scan_delimited(spark: SparkSession, sf: str) -> DataFrame:
