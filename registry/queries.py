@@ -617,7 +617,10 @@ def index_job_locked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_roots(spark: SparkSession, sf: str) -> DataFrame:
-    crawled = v.crawl(spark, sf)
+    # Kept by root, so that each root's crawl is read from its own directory and not made anew.
+    made, path = v.crawl(spark, sf), work_dir(spark, "crawl")
+    sink.write_crawl(made, path)
+    crawled = spark.read.schema(made.schema).parquet(path)
     return index.index_roots(
         {r: crawled.where(F.col("root") == r).drop("root") for r in ROOTS},
         v.users(spark, sf), v.groups(spark, sf), v.AS_OF, min_gib=9).report
