@@ -40,7 +40,8 @@ def entitlements(principals: DataFrame, policies: DataFrame) -> DataFrame:
             .otherwise(F.array().cast("array<string>")))
     return (pairs.where(~F.coalesce(denied, F.lit(False)))
             .select("principal", "resource", F.array_sort(left).alias("options"))
-            .dropDuplicates(["principal", "resource"]))
+            # Arrays are reduced by sorting; dealt before that, no task sorts all pairs of its part of the principals.
+            .repartition("principal", "resource").dropDuplicates(["principal", "resource"]))
 
 
 def _rule(policies: DataFrame) -> DataFrame:
