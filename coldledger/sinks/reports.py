@@ -62,7 +62,7 @@ def write_manifest(manifest: DataFrame, path: str, buckets: int = BUCKETS) -> No
     The folder is a column: paths may be longer than a directory name, and folders are too many for
     one directory each.
     """
-    _by_bucket(manifest, buckets).write.mode("overwrite").partitionBy("bucket").options(**_CSV).csv(path)
+    _by_bucket(manifest, buckets).write.mode("overwrite").partitionBy("bucket").options(**_CSV, compression="gzip").csv(path)
 
 
 def write_md5_manifest(digests: DataFrame, folders: DataFrame, path: str, buckets: int = BUCKETS) -> None:
