@@ -25,6 +25,17 @@ def placed(objects: DataFrame) -> tuple[Column, Column]:
             F.coalesce(basename(F.col("key")), F.lit("")).alias("name"))
 
 
+def packed_digest(md5: Column) -> Column:
+    """A digest text as bytes, half as many to shuffle where it is 32 hex digits; different texts stay different."""
+    return F.when(md5.rlike(r"\A[0-9a-f]{32}\z"), F.unhex(md5)).otherwise(F.encode(F.concat(F.lit("text:" + " " * 16), md5), "UTF-8"))
+
+
+def digest_text(packed: Column) -> Column:
+    """The text that ``packed_digest`` was given."""
+    return F.when(F.octet_length(packed) == 16, F.lower(F.hex(packed))).otherwise(
+        F.decode(F.substring(packed, 22, 1 << 30), "UTF-8"))
+
+
 def is_glacier(storage_class: Column) -> Column:
     return storage_class.isin(*GLACIER_CLASSES)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from coldledger.constants import META
 from coldledger.operators.catalogue import catalogue_lookup
 from coldledger.operators.inventory import non_meta
-from coldledger.functions.objects import is_glacier, placed
+from coldledger.functions.objects import digest_text, is_glacier, packed_digest, placed
 
 
 def content_md5(files: DataFrame, content: str = "content") -> DataFrame:
@@ -34,9 +34,9 @@ def archived_digests(objects: DataFrame, more: Sequence[str] = ()) -> DataFrame:
     """
     if "place" in objects.columns:
         return objects
-    digest = F.coalesce("md5", F.lit(""))
-    return objects.select(*placed(objects), digest.alias("md5"), *more).groupBy("place", "name").agg(
-        F.when(F.min("md5") == F.max("md5"), F.min("md5")).otherwise(F.lit("")).alias("md5"),
+    digest = packed_digest(F.coalesce("md5", F.lit("")))
+    return objects.select(*placed(objects), digest.alias("_md5"), *more).groupBy("place", "name").agg(
+        F.when(F.min("_md5") == F.max("_md5"), digest_text(F.min("_md5"))).otherwise(F.lit("")).alias("md5"),
         *[F.max(c).alias(c) for c in more])
 
 
@@ -84,10 +84,11 @@ def verified_folders(verification: DataFrame) -> DataFrame:
 
 
 def _listed(src: DataFrame, places: DataFrame, *keep: str) -> DataFrame:
-    """Manifest rows with their folder's place: folder, place, name, md5, *keep."""
+    """Manifest rows with their folder's place: folder, place, name, digest (packed), *keep."""
+    digests = src.select("folder", "name", packed_digest(F.coalesce("md5", F.lit(""))).alias("digest"), *keep)
     where = places.select("folder", F.coalesce("destination", F.lit("")).alias("place"))
-    return src.join(where, "folder", "left").select(
-        "folder", F.coalesce("place", F.lit("")).alias("place"), "name", F.coalesce("md5", F.lit("")).alias("md5"), *keep)
+    return digests.join(where, "folder", "left").select(
+        "folder", F.coalesce("place", F.lit("")).alias("place"), "name", "digest", *keep)
 
 
 def _against(listed: DataFrame, objects: DataFrame, *keep: str) -> DataFrame:
@@ -95,20 +96,28 @@ def _against(listed: DataFrame, objects: DataFrame, *keep: str) -> DataFrame:
 
     Only manifests move: they meet the listing on place and name, by which a stored listing is bucketed.
     """
-    dst = archived_digests(objects).select("place", "name", F.col("md5").alias("dst_md5"))
-    met = listed.join(dst, ["place", "name"], "left")
-    same = F.coalesce((F.col("md5") == F.col("dst_md5")) & (F.col("md5") != ""), F.lit(False))
+    return _judged(listed.join(_stored(objects), ["place", "name"], "left"), *keep)
+
+
+def _stored(objects: DataFrame) -> DataFrame:
+    return archived_digests(objects).select("place", "name", packed_digest(F.col("md5")).alias("dst_md5"))
+
+
+def _judged(met: DataFrame, *keep: str) -> DataFrame:
+    """The status of each manifest name that has met the listing, and whether there is such a name at all."""
+    same = F.coalesce((F.col("digest") == F.col("dst_md5")) & (F.col("digest") != packed_digest(F.lit(""))), F.lit(False))
     return met.groupBy("place", "name", "folder", *keep).agg(
         F.when(~F.bool_and(F.col("dst_md5").isNotNull()), F.lit("missing_on_dst"))
-        .when(F.bool_and(same), F.lit("match")).otherwise(F.lit("differ")).alias("status"))
+        .when(F.bool_and(same), F.lit("match")).otherwise(F.lit("differ")).alias("status"),
+        (F.count("digest") > 0).alias("listed"))
 
 
 def verify_archives(src: DataFrame, objects: DataFrame, places: DataFrame) -> DataFrame:
     """Compare manifests with what lies at their folders' places (folder, destination): folder, name, status.
 
     As ``verify_checksums``, but for a listing, raw or stored, instead of rows under folders. Objects at a place
-    that a folder's manifest does not name are missing_on_src for it. What no manifest names is found by an
-    anti-join that leaves the listing where it lies; only that remainder is looked up by place. Where folders share
+    that a folder's manifest does not name are missing_on_src for it. Manifests are
+    moved to the listing once, for what they name and for what they do not; only that remainder is looked up by place. Where folders share
     a place, each name that one of them lists is asked of all.
     """
     at = places.where("destination IS NOT NULL").select("folder", F.col("destination").alias("place"))
@@ -116,12 +125,13 @@ def verify_archives(src: DataFrame, objects: DataFrame, places: DataFrame) -> Da
     listed = _listed(src, places)
     asked = (listed.join(sharing, "place", "left").withColumn("by", F.col("folder"))
              .withColumn("folder", F.explode(F.coalesce("sharers", F.array("folder")))))
-    found = _against(asked.select("place", "name", "folder", "md5", (F.col("by") == F.col("folder")).alias("own")),
-                     objects, "own").groupBy("place", "name", "folder").agg(F.max_by("status", "own").alias("status"),
-                                                                          F.bool_or("own").alias("own"))
+    moved = asked.select("place", "name", "folder", "digest", (F.col("by") == F.col("folder")).alias("own"))
+    # Both readers of this join name all its columns, so that they share what was moved; no manifest row lacks a digest.
+    met = moved.join(_stored(objects), ["place", "name"], "full")
+    found = _judged(met, "own").where("listed").groupBy("place", "name", "folder").agg(
+        F.max_by("status", "own").alias("status"), F.bool_or("own").alias("own"))
     status = F.when(F.col("own"), F.col("status")).when(F.col("status") != "missing_on_dst", F.lit("missing_on_src"))
-    others = (archived_digests(objects).select("place", "name").join(listed, ["place", "name"], "left_anti")
-              .join(at, "place").select("folder", "name", F.lit("missing_on_src").alias("status")))
+    others = met.where("digest IS NULL AND folder IS NULL AND own IS NULL").select("place", "name").join(at, "place").select("folder", "name", F.lit("missing_on_src").alias("status"))
     return found.select("folder", "name", status.alias("status")).where("status IS NOT NULL").unionByName(others)
 
 

@@ -16,6 +16,7 @@ from coldledger.operators.inventory import non_meta, pick
 from coldledger.operators.objects import (
     restore_readiness, restore_status_counts, running_restores, tier_change_plan, tier_cost_estimate)
 from coldledger.operators.reports import archive_batch
+from coldledger.session import kept
 from coldledger.operators.verify import archived_digests, folder_checks, restore_plan, state_of, verify_archives
 
 
@@ -75,8 +76,9 @@ def rearchive_files(local: DataFrame, src: DataFrame, objects: DataFrame, places
     here = local.select("folder", "name", F.lit(1).alias("side"), "size", text("md5").alias("md5"))
     then = src.select("folder", "name", F.lit(2).alias("side"), F.lit(None).cast("long").alias("size"), text("md5").alias("md5"))
     own = lambda side, c: F.when(F.col("side") == side, F.col(c))
-    met = here.unionByName(then).groupBy("folder", "name").agg(
-        F.max(own(1, "size")).alias("size"), F.max(own(1, "md5")).alias("disk"), F.max(own(2, "md5")).alias("listed"))
+    # Read for the names that are met and for those that are not.
+    met = kept(here.unionByName(then).groupBy("folder", "name").agg(
+        F.max(own(1, "size")).alias("size"), F.max(own(1, "md5")).alias("disk"), F.max(own(2, "md5")).alias("listed")), "rearchive")
     dst = archived_digests(objects).select("place", "name", F.col("md5").alias("there"))
     where = places.select("folder", text("destination").alias("place"))
     three = met.join(where, "folder").join(dst, ["place", "name"], "left").select("folder", "name", "size", "disk", "listed", "there")

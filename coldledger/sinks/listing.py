@@ -9,6 +9,7 @@ from coldledger.operators.verify import archived_digests
 from coldledger.session import work_dir
 
 KEYS = ("place", "name")
+MORE = ("bucket", "key", "size", "storage_class", "restore")
 
 
 def store_listing(objects: DataFrame, table: str, buckets: int | None = None, path: str | None = None) -> DataFrame:
@@ -21,8 +22,10 @@ def store_listing(objects: DataFrame, table: str, buckets: int | None = None, pa
     """
     spark = objects.sparkSession
     count = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = archived_digests(objects, ("bucket", "key", "size", "storage_class", "restore"))
-    (rows.repartition(count, *KEYS).write.format("parquet").bucketBy(count, *KEYS).sortBy(*KEYS)
+    rows = archived_digests(objects, MORE)
+    if count != int(spark.conf.get("spark.sql.shuffle.partitions")):  # else the rows lie by bucket already
+        rows = rows.repartition(count, *KEYS)
+    (rows.write.format("parquet").bucketBy(count, *KEYS).sortBy(*KEYS).option("compression", "zstd")
      .option("path", path or work_dir(spark, "listing")).mode("overwrite").saveAsTable(table))
     return spark.table(table)
 
