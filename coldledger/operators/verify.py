@@ -83,12 +83,12 @@ def verified_folders(verification: DataFrame) -> DataFrame:
         failed.alias("failed"), (failed == 0).alias("ok"))
 
 
-def _listed(src: DataFrame, places: DataFrame, *keep: str) -> DataFrame:
-    """Manifest rows with their folder's place: folder, place, name, digest (packed), *keep."""
+def _listed(src: DataFrame, places: DataFrame, *keep: str, places_with: Sequence[str] = ()) -> DataFrame:
+    """Manifest rows with their folder's place: folder, place, name, digest (packed), *keep, *places_with."""
     digests = src.select("folder", "name", packed_digest(F.coalesce("md5", F.lit(""))).alias("digest"), *keep)
-    where = places.select("folder", F.coalesce("destination", F.lit("")).alias("place"))
+    where = places.select("folder", F.coalesce("destination", F.lit("")).alias("place"), *places_with)
     return digests.join(where, "folder", "left").select(
-        "folder", F.coalesce("place", F.lit("")).alias("place"), "name", "digest", *keep)
+        "folder", F.coalesce("place", F.lit("")).alias("place"), "name", "digest", *keep, *places_with)
 
 
 def _against(listed: DataFrame, objects: DataFrame, *keep: str) -> DataFrame:
@@ -96,20 +96,12 @@ def _against(listed: DataFrame, objects: DataFrame, *keep: str) -> DataFrame:
 
     Only manifests move: they meet the listing on place and name, by which a stored listing is bucketed.
     """
-    return _judged(listed.join(_stored(objects), ["place", "name"], "left"), *keep)
-
-
-def _stored(objects: DataFrame) -> DataFrame:
-    return archived_digests(objects).select("place", "name", packed_digest(F.col("md5")).alias("dst_md5"))
-
-
-def _judged(met: DataFrame, *keep: str) -> DataFrame:
-    """The status of each manifest name that has met the listing, and whether there is such a name at all."""
+    dst = archived_digests(objects).select("place", "name", packed_digest(F.col("md5")).alias("dst_md5"))
+    met = listed.join(dst, ["place", "name"], "left")
     same = F.coalesce((F.col("digest") == F.col("dst_md5")) & (F.col("digest") != packed_digest(F.lit(""))), F.lit(False))
     return met.groupBy("place", "name", "folder", *keep).agg(
         F.when(~F.bool_and(F.col("dst_md5").isNotNull()), F.lit("missing_on_dst"))
-        .when(F.bool_and(same), F.lit("match")).otherwise(F.lit("differ")).alias("status"),
-        (F.count("digest") > 0).alias("listed"))
+        .when(F.bool_and(same), F.lit("match")).otherwise(F.lit("differ")).alias("status"))
 
 
 def verify_archives(src: DataFrame, objects: DataFrame, places: DataFrame) -> DataFrame:
@@ -122,16 +114,18 @@ def verify_archives(src: DataFrame, objects: DataFrame, places: DataFrame) -> Da
     """
     at = places.where("destination IS NOT NULL").select("folder", F.col("destination").alias("place"))
     sharing = at.groupBy("place").agg(F.collect_set("folder").alias("sharers")).where(F.size("sharers") > 1)
-    listed = _listed(src, places)
-    asked = (listed.join(sharing, "place", "left").withColumn("by", F.col("folder"))
-             .withColumn("folder", F.explode(F.coalesce("sharers", F.array("folder")))))
+    # Folders learn who shares their place before the manifests, which are many more rows, meet them.
+    listed = _listed(src, places.select("folder", F.coalesce("destination", F.lit("")).alias("destination")).join(
+        sharing.withColumnRenamed("place", "destination"), "destination", "left"), places_with=("sharers",))
+    asked = listed.withColumn("by", F.col("folder")).withColumn("folder", F.explode(F.coalesce("sharers", F.array("folder"))))
     moved = asked.select("place", "name", "folder", "digest", (F.col("by") == F.col("folder")).alias("own"))
-    # Both readers of this join name all its columns, so that they share what was moved; no manifest row lacks a digest.
-    met = moved.join(_stored(objects), ["place", "name"], "full")
-    found = _judged(met, "own").where("listed").groupBy("place", "name", "folder").agg(
+    found = _against(moved, objects, "own").groupBy("place", "name", "folder").agg(
         F.max_by("status", "own").alias("status"), F.bool_or("own").alias("own"))
     status = F.when(F.col("own"), F.col("status")).when(F.col("status") != "missing_on_dst", F.lit("missing_on_src"))
-    others = met.where("digest IS NULL AND folder IS NULL AND own IS NULL").select("place", "name").join(at, "place").select("folder", "name", F.lit("missing_on_src").alias("status"))
+    # Moved once for both joins, as this one, too, names all columns; no manifest row lacks a digest.
+    unnamed = moved.join(archived_digests(objects).select("place", "name"), ["place", "name"], "full").where(
+        "digest IS NULL AND folder IS NULL AND own IS NULL").select("place", "name")
+    others = unnamed.join(at, "place").select("folder", "name", F.lit("missing_on_src").alias("status"))
     return found.select("folder", "name", status.alias("status")).where("status IS NOT NULL").unionByName(others)
 
 

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from coldledger.functions.objects import digest_text, packed_digest
-from coldledger.operators import entitlements as ent, permissions as perm
+from coldledger.operators import entitlements as ent, permissions as perm, verify
 from coldledger.sinks import reports as sink
+from coldledger.sinks.listing import store_listing
 from coldledger.sources.text import parse_key_values
 from registry import queries as q
 
@@ -26,7 +27,7 @@ def crawl(spark, tmp_path):
 
 def test_the_crawl_is_reduced_once_for_the_permission_tree(spark, crawl, rows):
     tree = perm.folder_permission_tree(crawl, spark.createDataFrame([("/a",), ("/b",)], "folder string"), 1, [1])
-    assert "crawl-source" not in plan_of(tree)
+    assert "st_mode" not in plan_of(tree)
     assert rows(tree) == [("/a", True, True, True), ("/b", False, False, False)]
 
 
@@ -70,3 +71,22 @@ def test_a_packed_digest_is_short_and_exact(spark):
     found = packed.select("t", digest_text(F.col("p")).alias("back"), F.octet_length("p").alias("n"), "p").collect()
     assert all(r["t"] == r["back"] for r in found) and len({bytes(r["p"]) for r in found}) == len(texts)
     assert [r["n"] for r in found][:2] == [16, 16] and 16 not in [r["n"] for r in found][2:]
+
+
+def test_manifests_are_read_and_moved_once(spark, tmp_path, rows):
+    path = str(tmp_path / "src-table")
+    spark.createDataFrame([("/a", "x", "1"), ("/a", "gone", "2"), ("/b", "y", "3")], "folder string, name string, md5 string").write.parquet(path)
+    objects = spark.createDataFrame([("b", "p/a/x", "1"), ("b", "p/a/new", "9"), ("b", "p/b/y", "4")], "bucket string, key string, md5 string").withColumns(
+        {"size": F.lit(1).cast("long"), "storage_class": F.lit("GLACIER"), "restore": F.lit(None).cast("string")})
+    listing = store_listing(objects, "listing_once")
+    places = spark.createDataFrame([("/a", ":s3:b/p/a"), ("/b", ":s3:b/p/b")], "folder string, destination string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = verify.verify_archives(spark.read.parquet(path), listing, places)
+        assert len([line for line in plan_of(found).split("\n") if "FileScan" in line and "struct<folder:string,name:string" in line]) == 1
+        assert rows(found) == [("/a", "gone", "missing_on_dst"), ("/a", "new", "missing_on_src"), ("/a", "x", "match"), ("/b", "y", "differ")]
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
