@@ -37,9 +37,11 @@ from coldledger.session import work_dir
 from coldledger.sinks.storage import remove
 
 ORDER = 5
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 CHUNK_BYTES = 1_000_000  # text of a block that is split into grams at a time
 PART_GRAMS = 50_000
+SLICE_ROWS = 100_000  # facts that a worker hands over at a time
+ROW_GROUP_BYTES = 16 << 20  # of the working tables; a task buffers this much of each file it writes
 START, END = 0xFE, 0xFF  # bytes that UTF-8 text never has
 SYMBOLS = 256
 _LOWER = bytes(range(256)).lower()
@@ -101,8 +103,10 @@ def _block_facts(docs: pa.Table) -> pa.Table:
             words.append(pa.table({"word": counted.field("values"), "n": pc.multiply(counted.field("counts"), int(train))}))
             pa.default_memory_pool().release_unused()
     code, n = np.concatenate(codes), np.concatenate(counts)
+    del codes, counts
     order = np.argsort(code, kind="stable")
     code, n = code[order], n[order]
+    del order
     starts = _runs(code)
     code, n = code[starts], np.add.reduceat(n, starts)
     summed = pa.concat_tables(words).group_by("word").aggregate([("n", "sum")])
@@ -113,6 +117,12 @@ def _block_facts(docs: pa.Table) -> pa.Table:
         rows(len(summed), pa.nulls(len(summed), pa.int64()), summed["word"], summed["n_sum"].cast(pa.int64()))])
 
 
+def _facts_in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The facts of one block, a slice at a time, so that neither side of the pipe holds all of them as one message."""
+    yield from _block_facts(pa.Table.from_batches(list(batches))).to_batches(max_chunksize=SLICE_ROWS)
+    pa.default_memory_pool().release_unused()
+
+
 def _tokens(split: list[list[bytes]]) -> pa.Array:
     """The words of all documents, each document's followed by its end token, the empty word."""
     return pa.array([w for words in split for w in (*words, b"")], pa.binary())
@@ -232,7 +242,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         F.pmod(F.xxhash64(F.col(id_col), body), F.lit(blocks)).alias("block"))
     folder = work_dir(spark, "ppm")
     facts = _written(dealt.groupBy("block").applyInArrow(
-        _block_facts, "block long, code long, word binary, n long"), f"{folder}/facts")
+        _facts_in_slices, "block long, code long, word binary, n long"), f"{folder}/facts")
     has_word = F.col("word").isNotNull()
     grams, words = facts.where(~has_word).select("block", "code", "n"), facts.where(has_word).select("block", "word", "n")
     gram_totals = _written(grams.groupBy("code").agg(F.sum("n").alias("n")), f"{folder}/grams")
@@ -275,7 +285,7 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     before = conf.get(switch, "false")
     conf.set(switch, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     finally:
         conf.set(switch, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

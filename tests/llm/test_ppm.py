@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,11 @@ def test_model_beats_unigrams_on_held_out_text(spark):
 
     got = op5_ppm_scoring(spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert got[1] > got[0]
+
+
+def test_facts_are_handed_over_in_slices(monkeypatch):
+    monkeypatch.setattr(ppm, "SLICE_ROWS", 10)
+    docs = pa.table({"id": [1, 2, 3], "train": [True, False, True], "body": ["some words here", None, "Some other words"], "block": [7, 7, 7]})
+    parts = list(ppm._facts_in_slices(iter(docs.to_batches(max_chunksize=2))))
+    assert len(parts) > 1 and max(part.num_rows for part in parts) <= 10
+    assert pa.Table.from_batches(parts).equals(ppm._block_facts(docs))
