@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from coldledger.llm.shared import map_batches, whole
 
 # What a worker remembers, in two generations of pieces; forgetting costs time and changes no result.
-CACHED_PIECES, CACHED_CHARS, CACHED_PAIRS = 500_000, 64, 1_000_000
+CACHED_PIECES, CACHED_CHARS, CACHED_PAIRS = 250_000, 64, 1_000_000
 LAZY_BYTES = 200  # pieces up to this long settle only the prefixes they need
+SLICE_ROWS = 500  # documents whose ids are held at a time
 REACH = 3  # characters beyond its end that a match of the split pattern may depend on
 
 
@@ -56,10 +57,15 @@ class Vocabulary:
         self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.forward, self.backward = _trie(ranks, 1), _trie(ranks, -1)
+        self.backward = _trie(ranks, -1)
         #: Tokens that are the encoding of their own bytes; others never occur.
         self.stable = {token for data, token in ranks.items() if self._merged(data) == [token]}
 
+    @cached_property
+    def forward(self) -> dict[int, tuple[int, dict]]:
+        """For long pieces and edits only, so it is made when the first of them comes."""
+        return _trie(self.ranks, 1)
+
     def _merged(self, data: bytes) -> list[int]:
         """Tokens after all merges of a short string."""
         parts = [self.byte_ids[b] for b in data]
@@ -253,7 +259,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, split = vocabulary(path), regex.compile(pattern)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             counts, id_shas, text_shas, kept = [], [], [], []
             for value in batch.column(1):
                 ids = vocab.encode(value.as_py(), split)

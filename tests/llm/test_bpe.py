@@ -74,3 +74,9 @@ def test_documents(odd, none, reference):
         assert r["ids_sha256"] == hashlib.sha256(packed).hexdigest() and r["n_tokens"] == len(r["ids"])
         assert r["decoded_sha256"] == hashlib.sha256(reference.decode_bytes(r["ids"])).hexdigest()
     assert bpe.encode_documents(none, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_the_table_for_long_pieces_is_made_when_one_comes():
+    words = bpe.Vocabulary({bytes([b]): b for b in range(256)} | {b"ab": 256})
+    assert words.encode_piece("abab") == (256, 256) and "forward" not in vars(words)
+    assert words.encode_piece("ab" * bpe.LAZY_BYTES) == (256,) * bpe.LAZY_BYTES and "forward" in vars(words)
