@@ -15,6 +15,7 @@ from coldledger.constants import META
 from coldledger.operators.catalogue import catalogue_lookup
 from coldledger.operators.inventory import non_meta
 from coldledger.functions.objects import digest_text, is_glacier, packed_digest, placed
+from coldledger.session import kept
 
 
 def content_md5(files: DataFrame, content: str = "content") -> DataFrame:
@@ -83,12 +84,21 @@ def verified_folders(verification: DataFrame) -> DataFrame:
         failed.alias("failed"), (failed == 0).alias("ok"))
 
 
-def _listed(src: DataFrame, places: DataFrame, *keep: str, places_with: Sequence[str] = ()) -> DataFrame:
-    """Manifest rows with their folder's place: folder, place, name, digest (packed), *keep, *places_with."""
+def distinct_places(places: DataFrame, *more: str) -> DataFrame:
+    """Each folder and its place (empty if it has none) once, so that repeated folders do not multiply their files."""
+    return places.select("folder", F.coalesce("destination", F.lit("")).alias("place"), *more).distinct()
+
+
+def stored_places(places: DataFrame, *more: str) -> DataFrame:
+    """``distinct_places`` from a table, whose size Spark knows before it moves files to meet it."""
+    return kept(distinct_places(places, *more), "places")
+
+
+def _listed(src: DataFrame, places: DataFrame, *keep: str) -> DataFrame:
+    """Manifest rows with their folder's place: folder, place, name, digest (packed), *keep, more columns of places."""
     digests = src.select("folder", "name", packed_digest(F.coalesce("md5", F.lit(""))).alias("digest"), *keep)
-    where = places.select("folder", F.coalesce("destination", F.lit("")).alias("place"), *places_with)
-    return digests.join(where, "folder", "left").select(
-        "folder", F.coalesce("place", F.lit("")).alias("place"), "name", "digest", *keep, *places_with)
+    return digests.join(places, "folder", "left").select(
+        "folder", F.coalesce("place", F.lit("")).alias("place"), "name", "digest", *keep, *places.columns[2:])
 
 
 def _against(listed: DataFrame, objects: DataFrame, *keep: str) -> DataFrame:
@@ -104,28 +114,40 @@ def _against(listed: DataFrame, objects: DataFrame, *keep: str) -> DataFrame:
         .when(F.bool_and(same), F.lit("match")).otherwise(F.lit("differ")).alias("status"))
 
 
+def asked_of_places(src: DataFrame, places: DataFrame, *keep: str) -> DataFrame:
+    """Manifest rows for each folder that shares the place of the one listing them: place, name, folder, digest, own, *keep."""
+    at = places.where("destination IS NOT NULL").select("folder", F.col("destination").alias("place"))
+    sharing = at.groupBy("place").agg(F.collect_set("folder").alias("sharers")).where(F.size("sharers") > 1)
+    # Folders learn who shares their place before the manifests, which are many more rows, meet them.
+    shared = places.select("folder", F.coalesce("destination", F.lit("")).alias("destination"), F.lit(True).alias("placed")).join(
+        sharing.withColumnRenamed("place", "destination"), "destination", "left")
+    listed = _listed(src, stored_places(shared, "sharers", "placed"), *keep)
+    asked = listed.withColumn("by", F.col("folder")).withColumn("folder", F.explode(F.coalesce("sharers", F.array("folder"))))
+    return asked.select("place", "name", "folder", "digest", (F.col("by") == F.col("folder")).alias("own"), "placed", *keep)
+
+
+def unnamed_objects(moved: DataFrame, objects: DataFrame, places: DataFrame) -> DataFrame:
+    """Folder and name of the objects at folders' places that none of the rows ``asked_of_places`` names."""
+    at = places.where("destination IS NOT NULL").select("folder", F.col("destination").alias("place"))
+    # Moved once for both joins, as this one, too, names all columns; no manifest row lacks a digest.
+    nothing = " AND ".join(f"{c} IS NULL" for c in moved.columns if c not in ("place", "name"))
+    unnamed = moved.join(archived_digests(objects).select("place", "name"), ["place", "name"], "full").where(nothing).select("place", "name")
+    return unnamed.join(at, "place").select("folder", "name")
+
+
 def verify_archives(src: DataFrame, objects: DataFrame, places: DataFrame) -> DataFrame:
     """Compare manifests with what lies at their folders' places (folder, destination): folder, name, status.
 
     As ``verify_checksums``, but for a listing, raw or stored, instead of rows under folders. Objects at a place
-    that a folder's manifest does not name are missing_on_src for it. Manifests are
-    moved to the listing once, for what they name and for what they do not; only that remainder is looked up by place. Where folders share
-    a place, each name that one of them lists is asked of all.
+    that a folder's manifest does not name are missing_on_src for it. Manifests are moved to the listing once, for what
+    they name and for what they do not; only that remainder is looked up by place. Where folders share a place, each name
+    that one of them lists is asked of all.
     """
-    at = places.where("destination IS NOT NULL").select("folder", F.col("destination").alias("place"))
-    sharing = at.groupBy("place").agg(F.collect_set("folder").alias("sharers")).where(F.size("sharers") > 1)
-    # Folders learn who shares their place before the manifests, which are many more rows, meet them.
-    listed = _listed(src, places.select("folder", F.coalesce("destination", F.lit("")).alias("destination")).join(
-        sharing.withColumnRenamed("place", "destination"), "destination", "left"), places_with=("sharers",))
-    asked = listed.withColumn("by", F.col("folder")).withColumn("folder", F.explode(F.coalesce("sharers", F.array("folder"))))
-    moved = asked.select("place", "name", "folder", "digest", (F.col("by") == F.col("folder")).alias("own"))
+    moved = asked_of_places(src, places).drop("placed")
     found = _against(moved, objects, "own").groupBy("place", "name", "folder").agg(
         F.max_by("status", "own").alias("status"), F.bool_or("own").alias("own"))
     status = F.when(F.col("own"), F.col("status")).when(F.col("status") != "missing_on_dst", F.lit("missing_on_src"))
-    # Moved once for both joins, as this one, too, names all columns; no manifest row lacks a digest.
-    unnamed = moved.join(archived_digests(objects).select("place", "name"), ["place", "name"], "full").where(
-        "digest IS NULL AND folder IS NULL AND own IS NULL").select("place", "name")
-    others = unnamed.join(at, "place").select("folder", "name", F.lit("missing_on_src").alias("status"))
+    others = unnamed_objects(moved, objects, places).withColumn("status", F.lit("missing_on_src"))
     return found.select("folder", "name", status.alias("status")).where("status IS NOT NULL").unionByName(others)
 
 
@@ -138,7 +160,7 @@ def folder_checks(src: DataFrame, objects: DataFrame, places: DataFrame, restore
     sides = src.select("folder", "name", "md5", F.lit("src").alias("side"))
     if restored is not None:
         sides = sides.unionByName(restored.select("folder", "name", "md5", F.lit("re").alias("side")))
-    facts = _against(_listed(sides, places, "side"), objects, "side").groupBy("folder", "place", "side").agg(
+    facts = _against(_listed(sides, distinct_places(places), "side"), objects, "side").groupBy("folder", "place", "side").agg(
         F.count(F.lit(1)).alias("names"), F.bool_and(F.col("status") == "match").alias("match"))
     held = archived_digests(objects).groupBy("place").agg(F.count(F.lit(1)).alias("held"))
     judged = facts.join(held, "place", "left").withColumn("ok", F.col("match") & (F.col("names") == F.col("held")))
@@ -162,6 +184,7 @@ def state_of(found: DataFrame, src: DataFrame, objects: DataFrame) -> DataFrame:
              .when(entry & F.col("ok"), F.lit("archived"))
              .when(entry, F.lit("mismatch"))
              .otherwise(F.lit("leftover")))
+    found = kept(found, "found")  # small, and known to be so before files meet it
     checks = folder_checks(src, objects, found)
     return found.join(checks, "folder", "left").select(*found.columns, state.alias("state"))
 
@@ -199,7 +222,7 @@ def delete_plan(folders: DataFrame, catalogue: DataFrame, src: DataFrame, object
                 .when(~F.coalesce("has_manifest", F.lit(False)), F.lit("no_manifest"))
                 .when(~F.col("ok"), F.lit("checksum_mismatch"))
                 .otherwise(F.lit("delete")))
-    found = catalogue_lookup(folders, catalogue)
+    found = kept(catalogue_lookup(folders, catalogue), "found")  # small, and known to be so before files meet it
     return (found.join(folder_checks(src, objects, found, restored), "folder", "left")
             .join(local, "folder", "left")
             .select("folder", decision.alias("decision"), "destination",

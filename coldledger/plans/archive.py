@@ -16,8 +16,10 @@ from coldledger.operators.inventory import non_meta, pick
 from coldledger.operators.objects import (
     restore_readiness, restore_status_counts, running_restores, tier_change_plan, tier_cost_estimate)
 from coldledger.operators.reports import archive_batch
+from coldledger.functions.objects import digest_text
 from coldledger.session import kept
-from coldledger.operators.verify import archived_digests, folder_checks, restore_plan, state_of, verify_archives
+from coldledger.operators.verify import (
+    archived_digests, asked_of_places, folder_checks, restore_plan, state_of, unnamed_objects, verify_archives)
 
 
 @dataclass(frozen=True)
@@ -72,21 +74,23 @@ def rearchive_files(local: DataFrame, src: DataFrame, objects: DataFrame, places
     manifest; upload_missing: the archive lost or altered it; remove: archived but gone from disk; unbundle: the
     packed file, which is unpacked first; drop: other metadata, which is deleted and written anew.
     """
-    text = lambda c: F.coalesce(c, F.lit(""))
-    here = local.select("folder", "name", F.lit(1).alias("side"), "size", text("md5").alias("md5"))
-    then = src.select("folder", "name", F.lit(2).alias("side"), F.lit(None).cast("long").alias("size"), text("md5").alias("md5"))
-    own = lambda side, c: F.when(F.col("side") == side, F.col(c))
-    # Read for the names that are met and for those that are not.
-    met = kept(here.unionByName(then).groupBy("folder", "name").agg(
-        F.max(own(1, "size")).alias("size"), F.max(own(1, "md5")).alias("disk"), F.max(own(2, "md5")).alias("listed")), "rearchive")
+    here = local.select("folder", "name", "md5", F.lit(1).alias("side"), "size")
+    then = src.select("folder", "name", "md5", F.lit(2).alias("side"), F.lit(None).cast("long").alias("size"))
+    # Both sides move to the listing once, with their digests packed.
+    moved = asked_of_places(here.unionByName(then), places, "side", "size")
+    own = lambda side, c: F.when(F.col("own") & (F.col("side") == side), c)
+    digest = digest_text(F.col("digest"))
     dst = archived_digests(objects).select("place", "name", F.col("md5").alias("there"))
-    where = places.select("folder", text("destination").alias("place"))
-    three = met.join(where, "folder").join(dst, ["place", "name"], "left").select("folder", "name", "size", "disk", "listed", "there")
-    unnamed = verify_archives(met.select("folder", "name", F.lit("").alias("md5")), objects, places).where(
-        "status = 'missing_on_src'").select("folder", "name", F.lit("remove").alias("action"), F.lit(None).cast("long").alias("size"))
+    three = moved.join(dst, ["place", "name"], "left").groupBy("place", "name", "folder").agg(
+        F.max(own(1, F.col("size"))).alias("size"), F.max(own(1, digest)).alias("disk"), F.max(own(2, digest)).alias("listed"),
+        F.max("there").alias("there"), F.bool_or("own").alias("own"), F.bool_or(F.col("own") & F.col("placed")).alias("placed"))
+    unnamed = unnamed_objects(moved, objects, places).select(
+        "folder", "name", F.lit("remove").alias("action"), F.lit(None).cast("long").alias("size"))
     same = lambda a, b: (F.col(a) == F.col(b)) & (F.col(a) != "")
     on_disk, meta = F.col("disk").isNotNull(), F.col("name").isin(*names)
-    action = (F.when(on_disk & (F.col("name") == bundle_name), F.lit("unbundle"))
+    action = (F.when(~F.col("own"), F.when(F.col("there").isNotNull() & ~meta, F.lit("remove")))
+              .when(~F.coalesce("placed", F.lit(False)), F.lit(None))
+              .when(on_disk & (F.col("name") == bundle_name), F.lit("unbundle"))
               .when(on_disk & meta, F.lit("drop"))
               .when(~on_disk & (meta | F.col("there").isNull()), F.lit(None))
               .when(~on_disk, F.lit("remove"))
@@ -172,6 +176,7 @@ def archive_commit(uploaded: DataFrame, src: DataFrame, objects: DataFrame, targ
     A single archive is recorded if it matches. ``roots`` (folder, destination) are recursive archives:
     each is recorded only if no folder below it fails and at least one matches.
     """
+    uploaded = kept(uploaded.select("folder", "destination"), "uploaded")  # known to be small before files meet it
     checks = uploaded.join(folder_checks(src, objects, uploaded), "folder", "left").select(
         "folder", "destination", F.coalesce("has_manifest", F.lit(False)).alias("has_manifest"),
         F.coalesce("ok", F.lit(False)).alias("ok"))

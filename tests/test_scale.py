@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coldledger.functions.objects import digest_text, packed_digest
 from coldledger.operators import entitlements as ent, permissions as perm, verify
+from coldledger.plans import archive as jobs
 from coldledger.sinks import reports as sink
 from coldledger.sinks.listing import store_listing
 from coldledger.sources.text import parse_key_values
@@ -90,3 +91,17 @@ def test_manifests_are_read_and_moved_once(spark, tmp_path, rows):
     finally:
         for k, value in before.items():
             spark.conf.set(k, value)
+
+
+def test_folders_find_their_place_without_moving_files(spark, tmp_path, rows):
+    spark.createDataFrame([("/a", "x", "1")], "folder string, name string, md5 string").write.parquet(str(tmp_path / "src"))
+    src = spark.read.parquet(str(tmp_path / "src"))
+    objects = spark.createDataFrame([("b", "p/a/x", "1")], "bucket string, key string, md5 string")
+    places = spark.createDataFrame([("/a", ":s3:b/p/a")] * 3, "folder string, destination string")
+    assert verify.distinct_places(places).count() == 1
+    assert rows(verify.folder_checks(src, objects, places)) == [("/a", True, True)]
+    committed = jobs.archive_commit(places, src, objects, jobs.Target("b", "p", "GLACIER"), "t")
+    assert "BroadcastHashJoin [folder" in plan_of(committed) and committed.count() == 3
+    files = jobs.rearchive_files(src.withColumn("size", F.lit(3).cast("long")), src, objects, places)
+    assert "rearchive-" not in plan_of(files)  # both sides go to the listing as they are
+    assert rows(files) == [("/a", "x", 3, "keep")]
