@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coldledger.operators.verify import archived_digests
-from coldledger.session import work_dir
+from coldledger.session import shuffles_freed, work_dir
 
 KEYS = ("place", "name")
 MORE = ("bucket", "key", "size", "storage_class", "restore")
@@ -25,8 +25,9 @@ def store_listing(objects: DataFrame, table: str, buckets: int | None = None, pa
     rows = archived_digests(objects, MORE)
     if count != int(spark.conf.get("spark.sql.shuffle.partitions")):  # else the rows lie by bucket already
         rows = rows.repartition(count, *KEYS)
-    (rows.write.format("parquet").bucketBy(count, *KEYS).sortBy(*KEYS).option("compression", "zstd")
-     .option("path", path or work_dir(spark, "listing")).mode("overwrite").saveAsTable(table))
+    with shuffles_freed(spark):  # the table stands for them, and plans that read it need the disk
+        (rows.write.format("parquet").bucketBy(count, *KEYS).sortBy(*KEYS).option("compression", "zstd")
+         .option("path", path or work_dir(spark, "listing")).mode("overwrite").saveAsTable(table))
     return spark.table(table)
 
 

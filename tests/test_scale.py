@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from coldledger.functions.objects import digest_text, packed_digest
 from coldledger.operators import entitlements as ent, permissions as perm, verify
 from coldledger.plans import archive as jobs
+from coldledger.session import kept
 from coldledger.sinks import reports as sink
 from coldledger.sinks.listing import store_listing
 from coldledger.sources.text import parse_key_values
@@ -105,3 +106,19 @@ def test_folders_find_their_place_without_moving_files(spark, tmp_path, rows):
     files = jobs.rearchive_files(src.withColumn("size", F.lit(3).cast("long")), src, objects, places)
     assert "rearchive-" not in plan_of(files)  # both sides go to the listing as they are
     assert rows(files) == [("/a", "x", 3, "keep")]
+
+
+def shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toList()
+    return {n for n in (blocks.apply(i).getName() for i in range(blocks.size())) if n.startswith("shuffle_")}
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark, rows):
+    objects = spark.createDataFrame([("b", f"p/a/{i % 50}", "1") for i in range(100)], "bucket string, key string, md5 string").withColumns(
+        {"size": F.lit(1).cast("long"), "storage_class": F.lit("GLACIER"), "restore": F.lit(None).cast("string")})
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, set_to = shuffle_files(spark), spark.conf.get(setting, None)
+    listing = store_listing(objects, "listing_freed")
+    stored = kept(objects.groupBy("key").count(), "freed")
+    assert not shuffle_files(spark) - before and spark.conf.get(setting, None) == set_to
+    assert listing.count() == stored.count() == 50 and {r["count"] for r in stored.collect()} == {2}
