@@ -14,7 +14,9 @@ its words and no others, which an equal join of the whole word lists finds.
 A benchmark of at most ``broadcast_bytes`` of text is broadcast and meets the documents in one scan, in
 which no training text is shuffled. A larger one is never broadcast, and still costs one scan: a table of
 bits, bounded by construction, drops the positions whose seeds the benchmark does not have, what is left
-joins the seeds by shuffle, and a second scan compares the words of the documents that were hit.
+joins the seeds by shuffle and is stored, and a second scan compares the words of the documents that were
+hit. It drops the others by such a table, too, so that only texts with a hit are shuffled, uncut.
+An item's text is matched once, however many ids have it.
 
 Words are runs of letters and digits in lower case. Defined cases: null, empty or wordless texts and
 items overlap nothing; a repeated item id is several items under one id, a repeated document id several
@@ -30,12 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coldledger.llm.shared import whole
+from coldledger.session import kept
 
 MASKS = ((0, 2, 3, 5, 6, 7), (0, 1, 3, 7, 9, 10))
 WINDOW, SIMILARITY = 13, 0.8
 MIN_WORDS = 5  # an item of fewer words is no passage
 BROADCAST_BYTES = 4 << 20  # text of a benchmark that may be broadcast
-SLOTS = 1 << 22  # rows of 64 bits in the table that sifts positions: 64 MB at most
+SLOTS = 1 << 22  # words of 64 bits in a table that sifts, ROW of them in a row: some 50 MB at most
+ROW = 1 << 5
 
 
 def words_of(text: Column) -> Column:
@@ -66,8 +70,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     start: word of the document that lies under the item's first word (negative: before the text);
     matched: agreeing words over the whole item; coverage: matched / item_words.
     """
-    found = _overlaps(docs, benchmark, id_col, text_col, item_col, item_text, **options)
-    best = found.groupBy("id", "item").agg(F.max(F.struct("matched", -F.col("start"), "n_words")).alias("best"))
+    found, names = _overlaps(docs, benchmark, id_col, text_col, item_col, item_text, **options)
+    best = found.join(names, "item_key").groupBy("id", "item").agg(F.max(F.struct("matched", -F.col("start"), "n_words")).alias("best"))
     return best.select(
         F.col("id").alias(id_col), F.col("item").alias(item_col),
         (-F.col("best")["col2"]).alias("start"), F.col("best")["matched"].alias("matched"),
@@ -77,12 +81,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id",
               item_text: str = "text", window: int = WINDOW, similarity: float = SIMILARITY, masks=MASKS,
-              min_words: int = MIN_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(id, body_hash, item, start, matched, n_words), at least one row for each overlap."""
+              min_words: int = MIN_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(id, body_hash, item_key, start, matched, n_words), at least one row for each overlap, and (item_key, item)."""
     all_items = (benchmark.select(F.col(item_col).alias("item"), words_of(F.col(item_text)).alias("item_words"))
                  .where(F.size("item_words") > 0).distinct()
-                 .withColumn("item_key", F.xxhash64("item", "item_words")))
-    items, few = (all_items.where(c) for c in (F.size("item_words") >= min_words, F.size("item_words") < min_words))
+                 .withColumn("item_key", F.xxhash64("item_words")))
+    names, item_texts = all_items.select("item_key", "item"), all_items.select("item_key", "item_words").distinct()
+    items, few = (item_texts.where(c) for c in (F.size("item_words") >= min_words, F.size("item_words") < min_words))
     n = F.size("item_words")
     asked = all_items.agg(
         F.sum(F.octet_length(F.array_join("item_words", " "))).alias("bytes"), F.count_if(n < min_words).alias("few"),
@@ -93,13 +98,35 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     for run in sorted({len(m) for ms in short_of.values() for m in ms}):
         shapes.setdefault(tuple(range(run)), len(shapes))
     seeds = _item_seeds(items, masks, short_of, shapes, window)
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(whole(F.col(text_col))).alias("body_hash"),
-                        words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0)
+    bodies = docs.select(F.col(id_col).alias("id"), F.xxhash64(whole(F.col(text_col))).alias("body_hash"),
+                         whole(F.col(text_col)).alias("body"))
+    texts = bodies.select("id", "body_hash", words_of(F.col("body")).alias("words")).where(F.size("words") > 0)
     small = (asked["bytes"] or 0) <= broadcast_bytes
-    found = [(_by_broadcast if small else _by_shuffle)(texts, items, seeds, shapes, window, similarity)]
+    found = [_by_broadcast(texts, items, seeds, shapes, window, similarity) if small
+             else _by_shuffle(texts, bodies, items, seeds, shapes, window, similarity)]
     if asked["few"]:
         found.append(_same_words(texts, F.broadcast(few) if small else few))
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found), F.broadcast(names) if small else names
+
+
+def _bits(values: DataFrame, column: str) -> DataFrame:
+    """(slot, bits): a bit for each value of a column of longs, so that others can be told from them; bounded by SLOTS."""
+    word = F.shiftright(column, 6).bitwiseAND(F.lit(SLOTS - 1)).alias("word")
+    words = (values.select(word, F.expr(f"shiftleft(1L, cast({column} & 63 AS int)) AS bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    place = (F.col("word") % ROW).cast("int")
+    rows = words.groupBy(F.expr(f"word div {ROW}").alias("slot")).agg(
+        F.map_from_entries(F.collect_list(F.struct(place, "bits"))).alias("held"))
+    return rows.select("slot", F.transform(F.sequence(F.lit(0), F.lit(ROW - 1)), lambda i: F.coalesce(
+        F.try_element_at("held", i), F.lit(0).cast("long"))).alias("bits"))
+
+
+def _sifted(rows: DataFrame, bits: DataFrame, column: str) -> DataFrame:
+    """The rows whose value in the column has its bit: all that ``_bits`` was made of, and few others."""
+    word = f"(shiftright({column}, 6) & {SLOTS - 1})"
+    return (rows.withColumn("slot", F.expr(f"{word} div {ROW}")).join(F.broadcast(bits), "slot")
+            .where(F.expr(f"getbit(get(bits, cast({word} % {ROW} AS int)), cast({column} & 63 AS int)) = 1"))
+            .drop("slot", "bits"))
 
 
 def _places(texts: DataFrame, shapes, *columns: str) -> DataFrame:
@@ -121,18 +148,17 @@ def _by_broadcast(texts: DataFrame, items: DataFrame, seeds: DataFrame, shapes,
     return found.distinct()
 
 
-def _by_shuffle(texts: DataFrame, items: DataFrame, seeds: DataFrame, shapes, window: int,
+def _by_shuffle(texts: DataFrame, bodies: DataFrame, items: DataFrame, seeds: DataFrame, shapes, window: int,
                 similarity: float) -> DataFrame:
-    slot = F.shiftright("seed", 6).bitwiseAND(F.lit(SLOTS - 1)).alias("slot")
-    bits = (seeds.select(slot, F.expr("shiftleft(1L, cast(seed & 63 AS int)) AS bit"))
-            .groupBy("slot").agg(F.bit_or("bit").alias("bits")))
-    keyed = texts.withColumn("doc_key", F.xxhash64("id", "body_hash"))
-    asking = (_places(keyed, shapes, "doc_key").withColumn("slot", slot).join(F.broadcast(bits), "slot")
-              .where(F.expr("getbit(bits, cast(seed & 63 AS int)) = 1")))
+    doc_key = F.xxhash64("id", "body_hash").alias("doc_key")
+    asking = _sifted(_places(texts.select(doc_key, "words"), shapes, "doc_key"), _bits(seeds, "seed"), "seed")
     # All hits of a diagonal are one row; its windows are then all compared.
-    diagonals = (asking.join(seeds, "seed")
-                 .select("doc_key", "item_key", (F.col("at") - F.col("offset")).alias("start")).distinct())
-    hits = diagonals.join(items, "item_key").join(keyed, "doc_key")
+    diagonals = kept(asking.join(seeds, "seed")
+                     .select("doc_key", "item_key", (F.col("at") - F.col("offset")).alias("start")).distinct(), "diagonals")
+    hit = _sifted(bodies.select("*", doc_key), _bits(diagonals, "doc_key"), "doc_key")
+    # Cut into words behind the shuffle: as they are, texts take a fraction of the room.
+    cut = hit.repartition("doc_key").select("id", "body_hash", "doc_key", words_of(F.col("body")).alias("words"))
+    hits = diagonals.join(items, "item_key").join(cut, "doc_key")
     last = F.size("item_words") - F.least(F.lit(window), F.size("item_words"))
     return _verified(hits, F.lit(0), last, window, similarity).distinct()
 
@@ -141,7 +167,7 @@ def _same_words(texts: DataFrame, few: DataFrame) -> DataFrame:
     """Documents that consist of a very short item's words."""
     n = F.size("words")
     return texts.join(few, texts["words"] == few["item_words"]).select(
-        "id", "body_hash", "item", F.lit(0).alias("start"), n.alias("n_words"), n.alias("matched")).distinct()
+        "id", "body_hash", "item_key", F.lit(0).alias("start"), n.alias("n_words"), n.alias("matched")).distinct()
 
 
 def _item_seeds(items: DataFrame, masks, short_of, shapes, window: int) -> DataFrame:
@@ -169,10 +195,10 @@ def _verified(hits: DataFrame, first: Column, last: Column, window: int, similar
     length = F.least(F.lit(window), F.col("n_words"))
     enough = F.ceil(F.lit(similarity) * length - F.lit(1e-9))
     agreeing = lambda s: F.aggregate(F.slice("same", s + 1, length), F.lit(0), lambda a, x: a + x)
-    return (hits.select("id", "body_hash", "item", "start", F.size("item_words").alias("n_words"),
+    return (hits.select("id", "body_hash", "item_key", "start", F.size("item_words").alias("n_words"),
                         first.alias("first"), last.alias("last"), same.alias("same"))
             .where(F.exists(F.sequence("first", "last"), lambda s: agreeing(s) >= enough))
-            .select("id", "body_hash", "item", "start", "n_words",
+            .select("id", "body_hash", "item_key", "start", "n_words",
                     F.aggregate("same", F.lit(0), lambda a, x: a + x).alias("matched")))
 
 
@@ -182,7 +208,7 @@ def without_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
 
     Of an id that repeats with other texts, the rows whose own text overlaps go.
     """
-    hit = _overlaps(docs, benchmark, id_col, text_col, **options).select(
-        F.col("id").alias("hit_id"), F.col("body_hash").alias("hit_hash")).distinct()
+    found, _ = _overlaps(docs, benchmark, id_col, text_col, **options)
+    hit = found.select(F.col("id").alias("hit_id"), F.col("body_hash").alias("hit_hash")).distinct()
     same = (docs[id_col] == hit["hit_id"]) & (F.xxhash64(whole(docs[text_col])) == hit["hit_hash"])
     return docs.join(hit, same, "left_anti")

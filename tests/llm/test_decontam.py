@@ -129,3 +129,26 @@ def test_query_on_the_small_tables(spark):
         "doc_id" if t == "documents" else "item_id", "text").collect()]
     got = {(r["doc_id"], r["item_id"]) for r in op9_benchmark_decontamination(spark, sf).collect()}
     assert got == slow(read("documents"), read("benchmark"))
+
+
+def test_a_text_under_many_ids_is_matched_once_and_only_hit_documents_move(spark):
+    leak = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    d = spark.createDataFrame([(1, f"see {leak} there"), (2, "all clean and nothing else in here"), (None, leak), (3, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, leak.upper()) for i in range(5)] + [(0, "all the others are elsewhere my friend")], "item_id long, text string")
+    for bound in (decontam.BROADCAST_BYTES, 0):
+        found, names = decontam._overlaps(d, b, "doc_id", "text", broadcast_bytes=bound)
+        assert sorted((r["id"] or 0, r["start"]) for r in found.collect()) == [(0, 0), (1, 1)] and names.count() == 6
+        assert {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(d, b, broadcast_bytes=bound).collect()} == {
+            (i, k) for i in (1, None) for k in range(5)}
+    plan = decontam.overlaps(d, b, broadcast_bytes=0)._jdf.queryExecution().optimizedPlan().toString()
+    moved = [line for line in plan.split("\n") if "getbit" in line]
+    assert len(moved) == 1 and "words" not in moved[0]
+
+
+def test_bits_keep_what_they_were_made_of(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "SLOTS", 1 << 8)
+    held = [0, -1, 63, 64, 1 << 40, -(1 << 63), (1 << 63) - 1, 4095, 4096, 16384]
+    bits = decontam._bits(spark.createDataFrame([(h,) for h in held * 2], "v long"), "v")
+    assert bits.where(f"size(bits) != {decontam.ROW}").count() == 0 and bits.groupBy("slot").count().where("count > 1").count() == 0
+    asked = spark.createDataFrame([(h,) for h in [*held, 1, 62, -2, 128]], "v long")
+    assert sorted(r["v"] for r in decontam._sifted(asked, bits, "v").collect()) == sorted(held)
