@@ -209,6 +209,7 @@ def without_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     Of an id that repeats with other texts, the rows whose own text overlaps go.
     """
     found, _ = _overlaps(docs, benchmark, id_col, text_col, **options)
-    hit = found.select(F.col("id").alias("hit_id"), F.col("body_hash").alias("hit_hash")).distinct()
+    # From a table, whose size Spark knows before it moves documents to meet it.
+    hit = kept(found.select(F.col("id").alias("hit_id"), F.col("body_hash").alias("hit_hash")).distinct(), "hit")
     same = (docs[id_col] == hit["hit_id"]) & (F.xxhash64(whole(docs[text_col])) == hit["hit_hash"])
     return docs.join(hit, same, "left_anti")

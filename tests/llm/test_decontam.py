@@ -152,3 +152,12 @@ def test_bits_keep_what_they_were_made_of(spark, monkeypatch):
     assert bits.where(f"size(bits) != {decontam.ROW}").count() == 0 and bits.groupBy("slot").count().where("count > 1").count() == 0
     asked = spark.createDataFrame([(h,) for h in [*held, 1, 62, -2, 128]], "v long")
     assert sorted(r["v"] for r in decontam._sifted(asked, bits, "v").collect()) == sorted(held)
+
+
+def test_documents_are_searched_once_when_hits_are_taken_out(spark):
+    leak = "one two three four five six"
+    d = spark.createDataFrame([(1, f"see {leak} there"), (2, "all clean"), (None, leak)], "doc_id long, text string")
+    for bound in (decontam.BROADCAST_BYTES, 0):
+        clean = decontam.without_overlaps(d, spark.createDataFrame([(7, leak)], "item_id long, text string"), broadcast_bytes=bound)
+        assert "Generate" not in clean._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(r["doc_id"] or 0 for r in clean.collect()) == [0, 2]
